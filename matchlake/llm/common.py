@@ -79,6 +79,27 @@ class WordHashes(dict):
 _hashes = WordHashes()
 
 
+_KEEP = 250_000
+
+
+class Recent(dict):
+    """Values by string, computed on a miss. The last KEEP to 2 KEEP strings used stay, so memory is bounded."""
+
+    def __init__(self, make):
+        super().__init__()
+        self.make, self.older = make, {}
+
+    def __missing__(self, key: str) -> bytes:
+        if len(self) >= _KEEP:
+            self.older = dict(self)
+            self.clear()
+        value = self.older.get(key)
+        if value is None:
+            value = self.make(key)
+        self[key] = value
+        return value
+
+
 def word_hashes(words: list[bytes]) -> np.ndarray:
     return np.fromiter(map(_hashes.__getitem__, words), np.uint64, len(words))
 

@@ -26,7 +26,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from matchlake.llm.common import arrow_rows, documents, materialize, read
+from matchlake.llm.common import Recent, documents, materialize, read
 
 CAPACITY = 2048
 PER_PARTITION = 50_000
@@ -36,27 +36,6 @@ PIECES = "doc_id long, piece int, start long, length long, ids_crc32 long"
 _ODD = re.compile(r"[\x1c-\x1f\x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000]|<\|")
 #: Letters and then punctuation, all of one byte's code points: two tokens at most, case folds one to one.
 _CHUNK = re.compile(r"([A-Za-z\xc0-\xd6\xd8-\xf6\xf8-\xff]*)([!-&(-/:-@\[-`{-~]*)")
-_KEEP = 250_000
-
-
-class Recent(dict):
-    """Values by string, computed on a miss. The last KEEP to 2 KEEP strings used stay, so memory is bounded."""
-
-    def __init__(self, make):
-        super().__init__()
-        self.make, self.older = make, {}
-
-    def __missing__(self, key: str) -> bytes:
-        if len(self) >= _KEEP:
-            self.older = dict(self)
-            self.clear()
-        value = self.older.get(key)
-        if value is None:
-            value = self.make(key)
-        self[key] = value
-        return value
-
-
 def _byte_letters() -> dict[int, int]:
     """The printable letter that stands for each byte in a byte-level vocabulary: itself, or 256 upwards in order."""
     plain = {*range(0x21, 0x7F), *range(0xA1, 0xAD), *range(0xAE, 0x100)}
