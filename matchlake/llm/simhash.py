@@ -301,17 +301,25 @@ def _verified(members: DataFrame, df: DataFrame, k: int, similarity: float, radi
             sets_ = [np.frombuffer(x, np.uint64) for x in group["hashes"]]
             size, side, across = np.array([len(x) for x in sets_]), group["side"].to_numpy(), group["i"].iloc[0] != group["j"].iloc[0]
             forest = _Forest(len(nodes))
+            ends = np.cumsum(size)
+            starts = ends - size
+            _, ids = np.unique(np.concatenate(sets_), return_inverse=True)
+            held = np.zeros(ids.max(initial=0) + 1, np.int64)
             for a in range(1, len(nodes)):
                 d = distances(fps[a : a + 1], fps[:a])[0]
                 ok = (d <= radius) & (np.minimum(size[a], size[:a]) >= similarity * np.maximum(size[a], size[:a]) - 1e-9)
+                ok &= forest.label[:a] != forest.label[a]
                 if across:
                     ok &= side[:a] != side[a]
-                for b in np.flatnonzero(ok)[np.argsort(d[ok], kind="stable")].tolist():
-                    if forest.label[a] == forest.label[b]:
-                        continue
-                    both = len(np.intersect1d(sets_[a], sets_[b], assume_unique=True))
-                    if both >= similarity * (size[a] + size[b] - both) - 1e-9:
-                        forest.union(np.array([a, b]))
+                if not ok.any():
+                    continue
+                own = ids[starts[a] : ends[a]]
+                held[own] = 1
+                both = np.array([held[ids[starts[b] : ends[b]]].sum() for b in np.flatnonzero(ok)]) if ok.sum() < 8 else np.diff(np.concatenate([[0], np.cumsum(held[ids[: ends[a - 1]]])])[np.append(starts[:a], ends[a - 1])])[ok]
+                held[own] = 0
+                near = np.flatnonzero(ok)[both >= similarity * (size[a] + size[:a][ok] - both) - 1e-9]
+                if len(near):
+                    forest.union(np.append(near, a))
             found.append(np.stack(forest.edges(nodes)))
         one, two = np.concatenate(found, axis=1)
         return pd.DataFrame({"a": one, "b": two})
