@@ -20,7 +20,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from matchlake.llm import packing, quality, secrets, simhash, substring_dedup
-from matchlake.llm.common import materialize, scratch_dir
+from matchlake.llm.common import materialize, read, scratch_dir
 
 COLUMNS = ("doc_id", "text", "lang", "source", "n_chars")
 
@@ -32,7 +32,7 @@ def _with_text(docs: DataFrame, texts: DataFrame, new: str) -> DataFrame:
 
 
 def quality_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    kept = quality.classify(docs).where("keep").select("doc_id").distinct()
+    kept = quality.classify(docs, labels=read(spark, sf_dir, "labels")).where("keep").select("doc_id").distinct()
     return docs.join(kept, "doc_id", "left_semi").select(*COLUMNS)
 
 

@@ -3,9 +3,15 @@
 Overlapping heuristic labellers vote keep, reject or abstain on each document.  Those for one defect only
 reject or abstain: the absence of one defect says nothing of another.  Expectation-maximisation
 over the table of vote patterns (at most 3 ** labellers rows, counted over all documents) estimates each
-labeller's accuracies and every pattern's posterior, per facet (form, abuse); no true label is used.  Posteriors of a bounded
+labeller's accuracies and every pattern's posterior, per facet (form, insults, learnt words).  Posteriors of a bounded
 sample (SAMPLE documents, chosen by hash) train a hashed linear scorer, which judges every document.
 
+Where labels are given, one labeller's word list is learnt from a bounded sample of them (LABELLED, chosen by
+hash): words whose share of toxic documents is SHARE or more and by a Chernoff bound, corrected for the
+number of words, no accident.  It votes reject where a document holds TOGETHER of them.  Nothing else uses a
+true label; without labels that labeller abstains.  Null labels and those of absent documents count for
+nothing, and of several labels of a document the toxic one holds.
+
 Features are presence bits of words, hashed to BITS bits and kept if LEAST_DOCS sample documents have
 them, and bins of the text's shape.  Defined results: an empty text has no features and no votes; an
 empty table gives an empty result; every row is judged on its own, so copies get equal scores.
@@ -13,6 +19,7 @@ empty table gives an empty result; every row is judged on its own, so copies get
 
 from __future__ import annotations
 
+import math
 import operator
 import zlib
 from collections import Counter
@@ -23,9 +30,11 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from matchlake.llm.common import Recent, arrow_rows, documents, read
+from matchlake.llm.common import Recent, arrow_rows, documents, materialize, read
 
 SAMPLE = 20_000
+LABELLED = 20_000
+SHARE, TOGETHER = 0.8, 2
 BITS = 18
 LEAST_DOCS = 20
 THRESHOLD = 0.5
@@ -38,8 +47,9 @@ KEEP, REJECT, ABSTAIN = "k", "r", "-"
 
 # Abusive words.
 INSULTS = frozenset("clown disgusting idiot loser moron pathetic scum stupid trash worthless".split())
-#: Labellers by what they judge; a document is rejected for its form or for abuse.
-FACETS = (slice(0, 7), slice(7, 10))
+#: Labellers by what they judge; a document is rejected for its form, for insults or for learnt words.
+#: Insults and learnt words are apart, as they come from different languages: one class cannot model both.
+FACETS = (slice(0, 7), slice(7, 10), slice(10, 11))
 _FIRST, _SECOND = frozenset(sorted(INSULTS)[::2]), frozenset(sorted(INSULTS)[1::2])
 _STRIP = b".,;:!?*%$&#|~\"'()[]{}<>=+-_/\\@^`"
 _SYMBOLS = b"*%$&#|~^=<>{}\\"
@@ -60,8 +70,8 @@ def shape(raw: bytes, words: list[bytes], counts: dict[bytes, int], known: list[
     }
 
 
-def votes(s: dict[str, float], words: set[str], n: int) -> str:
-    """One letter per labeller."""
+def votes(s: dict[str, float], words: set[str], learnt: int, n: int) -> str:
+    """One letter per labeller. words: the insults held; learnt: how many learnt words are."""
     over = lambda x, bad: REJECT if x > bad else ABSTAIN
     out = [
         over(s["symbols"], 0.05),
@@ -74,6 +84,7 @@ def votes(s: dict[str, float], words: set[str], n: int) -> str:
         REJECT if words & _FIRST else ABSTAIN,
         REJECT if words & _SECOND else ABSTAIN,
         REJECT if len(words & INSULTS) > 1 else ABSTAIN,
+        REJECT if learnt >= TOGETHER else ABSTAIN,
     ]
     return "".join(out) if n else ABSTAIN * len(out)
 
@@ -87,7 +98,7 @@ def _cleaned(word: bytes) -> tuple[str, int, bool, bool]:
     return w.decode(errors="replace"), zlib.crc32(w) & _MASK, len(word) > 2 and t.isupper() and t != t.lower(), word.endswith((b".", b","))
 
 
-def read_text(text: str) -> tuple[str, dict[str, float], list[tuple]]:
+def read_text(text: str, learnt: frozenset[str] = frozenset()) -> tuple[str, dict[str, float], list[tuple]]:
     """Votes, shape and distinct words."""
     global _clean
     if _clean is None:
@@ -97,13 +108,16 @@ def read_text(text: str) -> tuple[str, dict[str, float], list[tuple]]:
     counts = Counter(words)
     known = [_clean[w] for w in counts]
     s = shape(raw, words, counts, known)
-    return votes(s, {k[0] for k in known} & INSULTS, len(words)), s, known
+    bare = {k[0] for k in known}
+    held = len(bare & learnt)
+    s["learnt"] = min(held, 2 * TOGETHER) / 20  # one bin per word
+    return votes(s, bare & INSULTS, held, len(words)), s, known
 
 
-def features(text: str) -> tuple[str, np.ndarray]:
+def features(text: str, learnt: frozenset[str] = frozenset()) -> tuple[str, np.ndarray]:
     """Votes, and the hashed features."""
-    pattern, s, known = read_text(text)
-    bins = [zlib.crc32(f"\t{k}:{min(int(v * 20), 20)}".encode()) & _MASK for k, v in s.items()] if known else []
+    pattern, s, known = read_text(text, learnt)
+    bins = [zlib.crc32(f"\t{k}:{min(int(v * 20 + 1e-9), 20)}".encode()) & _MASK for k, v in s.items()] if known else []
     return pattern, np.unique(np.array([k[1] for k in known if k[0]] + bins, np.uint32))
 
 
@@ -170,15 +184,60 @@ def train(rows: list[tuple[np.ndarray, float]], epochs: int = 8, rate: float = 0
     return weight.astype(np.float32), float(bias)
 
 
-def fit(df: DataFrame, sample: int = SAMPLE) -> tuple[np.ndarray, float, dict[str, float]]:
+def typical(counts: list[tuple[str, int, int]], toxic: int, clean: int, words: int) -> frozenset[str]:
+    """Words of toxic documents from (word, toxic documents, clean ones that hold it); words: how many there are in all."""
+    if not toxic or not clean:
+        return frozenset()
+    base, needed = toxic / (toxic + clean), math.log(max(words, 2))
+    if base >= SHARE:
+        return frozenset()
+
+    def gap(t: int, n: int) -> float:
+        x = t / (t + n)
+        return (t + n) * (x * math.log(x / base) + ((1 - x) * math.log((1 - x) / (1 - base)) if n else 0.0))
+
+    return frozenset(w for w, t, n in counts if w and t >= SHARE * (t + n) and gap(t, n) > needed)
+
+
+def learn_words(df: DataFrame, labels: DataFrame, most: int = LABELLED) -> frozenset[str]:
+    """typical of a sample of about most labelled documents (labels: doc_id, toxic)."""
+    own = labels.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("toxic").cast("int").alias("toxic"))
+    own = own.where("doc_id IS NOT NULL AND toxic IS NOT NULL").groupBy("doc_id").agg(F.max("toxic").alias("toxic"))
+    every = max(1, -(-own.count() // most))
+    chosen = F.broadcast(own.where(F.pmod(F.xxhash64("doc_id"), F.lit(every)) == 0).limit(2 * most))
+    schema = pa.schema([("word", pa.string()), ("toxic", pa.int64()), ("clean", pa.int64())])
+
+    def count(batches):
+        for batch in batches:
+            seen: tuple[Counter, Counter] = Counter(), Counter()
+            for text, toxic in arrow_rows(batch):
+                seen[not toxic].update({k[0] for k in read_text(text)[2]} - {""})
+                seen[not toxic][""] += 1  # counts the documents
+            words = list(seen[0] | seen[1])
+            yield pa.RecordBatch.from_pydict({"word": words, "toxic": [seen[0][w] for w in words], "clean": [seen[1][w] for w in words]}, schema)
+
+    marked = documents(df).join(chosen, "doc_id").select("text", "toxic")
+    totals = marked.mapInArrow(count, "word string, toxic long, clean long").groupBy("word").agg(F.sum("toxic").alias("toxic"), F.sum("clean").alias("clean"))
+    totals = materialize(totals, "word_counts")
+    n = totals.count()
+    toxic, clean = (totals.where("word = ''").select("toxic", "clean").first() or (0, 0)) if n else (0, 0)
+    # the rest cannot pass; what is left is bounded by the sample
+    kept = totals.where((F.col("toxic") >= 2) & (F.col("toxic") >= SHARE * (F.col("toxic") + F.col("clean"))) & (F.col("word") != ""))
+    return typical([tuple(r) for r in kept.collect()], toxic, clean, n)
+
+
+def fit(df: DataFrame, sample: int = SAMPLE, labels: DataFrame | None = None) -> tuple[np.ndarray, float, dict[str, float], frozenset[str]]:
+    """Weights, bias, posterior per vote pattern, learnt words."""
     docs = documents(df)
+    learnt = learn_words(df, labels) if labels is not None else frozenset()
+    listed = df.sparkSession.sparkContext.broadcast(learnt)
     schema = pa.schema([("pattern", pa.string()), ("n", pa.int64())])
 
     def vote(batches):
         for batch in batches:
             n: dict[str, int] = {}
             for _, text in arrow_rows(batch):
-                p = read_text(text)[0]
+                p = read_text(text, listed.value)[0]
                 n[p] = n.get(p, 0) + 1
             yield pa.RecordBatch.from_pydict({"pattern": list(n), "n": list(n.values())}, schema)
 
@@ -189,27 +248,26 @@ def fit(df: DataFrame, sample: int = SAMPLE) -> tuple[np.ndarray, float, dict[st
     def take(batches):
         out = pa.schema([("doc_id", pa.int64()), ("pattern", pa.string()), ("x", pa.binary())])
         for batch in batches:
-            rows = [(d, *features(t)) for d, t in arrow_rows(batch)]
+            rows = [(d, *features(t, listed.value)) for d, t in arrow_rows(batch)]
             yield pa.RecordBatch.from_pydict({"doc_id": [r[0] for r in rows], "pattern": [r[1] for r in rows], "x": [r[2].tobytes() for r in rows]}, out)
 
     chosen = docs.where(F.pmod(F.xxhash64("doc_id"), F.lit(every)) == 0).mapInArrow(take, "doc_id long, pattern string, x binary")
     rows = sorted(((r["doc_id"], bytes(r["x"]), post[r["pattern"]]) for r in chosen.limit(2 * sample).collect()))
     weight, bias = train([(np.frombuffer(x, np.uint32), y) for _, x, y in rows])
-    return weight, bias, post
+    return weight, bias, post, learnt
 
 
-def classify(df: DataFrame, sample: int = SAMPLE, threshold: float = THRESHOLD) -> DataFrame:
-    """doc_id, votes, posterior and score (both: chance of reject), keep."""
-    weight, bias, post = fit(df, sample)
-    shared = df.sparkSession.sparkContext.broadcast((weight, bias, post))
+def classify(df: DataFrame, sample: int = SAMPLE, threshold: float = THRESHOLD, labels: DataFrame | None = None) -> DataFrame:
+    """doc_id, votes, posterior and score (both: chance of reject), keep. labels: doc_id, toxic (optional)."""
+    shared = df.sparkSession.sparkContext.broadcast(fit(df, sample, labels))
 
     def judge(batches):
-        weight, bias, post = shared.value
+        weight, bias, post, learnt = shared.value
         schema = pa.schema([("doc_id", pa.int64()), ("votes", pa.string()), ("posterior", pa.float64()), ("score", pa.float64()), ("keep", pa.bool_())])
         for batch in batches:
             out = []
             for doc_id, text in arrow_rows(batch):
-                pattern, x = features(text)
+                pattern, x = features(text, learnt)
                 score = float(1 / (1 + np.exp(-np.clip(weight[x].sum() + bias, -30, 30))))
                 out.append((doc_id, pattern, post.get(pattern), score, score < threshold))
             yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*out, strict=True) if out else [[]] * 5, schema, strict=True)], schema=schema)
@@ -218,7 +276,7 @@ def classify(df: DataFrame, sample: int = SAMPLE, threshold: float = THRESHOLD)
 
 
 def op3_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return classify(read(spark, sf_dir, "documents"))
+    return classify(read(spark, sf_dir, "documents"), labels=read(spark, sf_dir, "labels"))
 
 
 QUERIES = {"op3_quality_classifier": op3_quality_classifier}

@@ -197,6 +197,23 @@ def test_classifier_on_held_out_labels(spark, sf):
     assert sum(clean) >= 0.97 * len(clean) and sum(junk) <= 0.2 * len(junk)
 
 
+def test_learnt_words_on_the_other_half_of_the_labels(spark):
+    sf = "/root/testdata/sf0.1"
+    df, labels = spark.read.parquet(f"{sf}/documents.parquet"), spark.read.parquet(f"{sf}/labels.parquet")
+    half = labels.where("crc32(cast(doc_id AS string)) % 2 = 1")
+    odd = [(None, 1, 1), (-5, 1, 1), (3, 1, None)]
+    got = quality.classify(df, labels=half.unionByName(spark.createDataFrame(odd, "doc_id long, quality int, toxic int")))
+    rest = got.join(labels.where("crc32(cast(doc_id AS string)) % 2 = 0"), "doc_id").selectExpr("toxic", "quality", "keep").collect()
+    toxic, clean = [r["keep"] for r in rest if r["toxic"]], [r["keep"] for r in rest if not r["toxic"] and r["quality"]]
+    assert sum(toxic) <= 0.25 * len(toxic) and sum(clean) >= 0.985 * len(clean)
+
+
+def test_typical_words():
+    counts = [("bad", 9, 0), ("rare", 2, 0), ("both", 9, 9), ("mostly", 30, 3)]
+    assert quality.typical(counts, 100, 900, 5000) == {"bad", "mostly"}
+    assert quality.typical(counts, 0, 900, 5000) == quality.typical(counts, 100, 0, 5000) == frozenset()
+
+
 def test_pieces_against_plain_viterbi():
     P = pytest.importorskip("public_tokenizers")
     vocabulary = pieces.load_vocabulary(P.path("piece_bpe_32k.model"))
