@@ -8,8 +8,9 @@ sample (SAMPLE documents, chosen by hash) train a hashed linear scorer, which ju
 
 Where labels are given, one labeller's word list is learnt from a bounded sample of them (LABELLED, chosen by
 hash): words whose share of toxic documents is SHARE or more and by a Chernoff bound, corrected for the
-number of words, no accident.  It votes reject where a document holds TOGETHER of them.  Nothing else uses a
-true label; without labels that labeller abstains.  Null labels and those of absent documents count for
+number of words, no accident.  Copies are no evidence of their own: of the sampled texts of one label that are
+near copies of each other (ALIKE of their three-word shingles or more, by a min-hash sketch) one counts.
+It votes reject where a document holds TOGETHER of the words.  Nothing else uses a true label; without labels that labeller abstains.  Null labels and those of absent documents count for
 nothing, and of several labels of a document the toxic one holds.
 
 Features are presence bits of words, hashed to BITS bits and kept if LEAST_DOCS sample documents have
@@ -27,14 +28,18 @@ from collections import Counter
 import numpy as np
 import pandas as pd
 import pyarrow as pa
+import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from matchlake.llm.common import Recent, arrow_rows, documents, materialize, read
+from matchlake.llm.simhash import shingle_hashes
 
 SAMPLE = 20_000
 LABELLED = 20_000
 SHARE, TOGETHER = 0.8, 2
+#: Near copies for the learnt words: least share of equal sketch values, bins of a sketch, values of a band.
+ALIKE, BINS, BAND = 0.5, 128, 3
 BITS = 18
 LEAST_DOCS = 20
 THRESHOLD = 0.5
@@ -199,6 +204,46 @@ def typical(counts: list[tuple[str, int, int]], toxic: int, clean: int, words: i
     return frozenset(w for w, t, n in counts if w and t >= SHARE * (t + n) and gap(t, n) > needed)
 
 
+def _digest(text: str) -> str:
+    return xxhash.xxh3_128_hexdigest(b" ".join(text.encode().lower().split()))
+
+
+def sketch(text: str) -> np.ndarray:
+    """The least hash of the text's three-word shingles in each of BINS equal ranges; an empty range takes the next one's."""
+    h = np.unique(shingle_hashes(text, 3))
+    if not len(h):
+        return np.zeros(BINS, np.uint64)
+    held, first = np.unique(h >> np.uint64(64 - BINS.bit_length() + 1), return_index=True)
+    after = np.searchsorted(held, np.arange(BINS, dtype=np.uint64)) % len(held)
+    steps = (held[after].astype(np.int64) - np.arange(BINS)) % BINS  # a value carried further is another value
+    return h[first[after]] + steps.astype(np.uint64)
+
+
+def copy_classes(sketches: np.ndarray) -> np.ndarray:
+    """A number for each sketch, equal for those chained by a share of ALIKE or more of equal values."""
+    root = np.arange(len(sketches))
+
+    def find(i: int) -> int:
+        while root[i] != i:
+            root[i] = root[root[i]]
+            i = root[i]
+        return i
+
+    for at in range(0, BINS - BAND + 1, BAND):
+        keys = np.ascontiguousarray(sketches[:, at : at + BAND]).view(f"V{8 * BAND}").ravel()
+        order = np.argsort(keys, kind="stable")
+        cuts = np.flatnonzero(np.append(keys[order][1:] != keys[order][:-1], True)) + 1 if len(order) else []
+        for a, b in zip([0, *cuts], cuts, strict=False):
+            rest = order[a:b]
+            while len(rest) > 1:
+                near = (sketches[rest[1:]] == sketches[rest[0]]).mean(axis=1) >= ALIKE
+                for i in rest[1:][near].tolist():
+                    x, y = sorted((find(i), find(int(rest[0]))))
+                    root[y] = x
+                rest = rest[1:][~near]
+    return np.array([find(i) for i in range(len(root))], np.int64)
+
+
 def learn_words(df: DataFrame, labels: DataFrame, most: int = LABELLED) -> frozenset[str]:
     """typical of a sample of about most labelled documents (labels: doc_id, toxic)."""
     own = labels.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("toxic").cast("int").alias("toxic"))
@@ -207,6 +252,26 @@ def learn_words(df: DataFrame, labels: DataFrame, most: int = LABELLED) -> froze
     chosen = F.broadcast(own.where(F.pmod(F.xxhash64("doc_id"), F.lit(every)) == 0).limit(2 * most))
     schema = pa.schema([("word", pa.string()), ("toxic", pa.int64()), ("clean", pa.int64())])
 
+    def draw(batches):
+        out = pa.schema([("digest", pa.string()), ("toxic", pa.int32()), ("sketch", pa.binary())])
+        for batch in batches:
+            rows = list(dict.fromkeys((_digest(t), x, sketch(t).tobytes()) for _, t, x in arrow_rows(batch)))
+            yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*rows, strict=True) if rows else [[]] * 3, out, strict=True)], schema=out)
+
+    labelled = documents(df).join(chosen, "doc_id").select("doc_id", "text", "toxic")
+    drawn = labelled.mapInArrow(draw, "digest string, toxic int, sketch binary").groupBy("digest", "toxic").agg(F.first("sketch").alias("sketch"))
+    texts = drawn.orderBy("digest", "toxic").limit(4 * most).collect()
+    classes = copy_classes(np.frombuffer(b"".join(bytes(r["sketch"]) for r in texts), np.uint64).reshape(len(texts), BINS))
+    first: dict[tuple[int, bool], tuple[str, int]] = {}
+    for r, c in zip(texts, classes.tolist(), strict=True):
+        first.setdefault((c, r["toxic"] != 0), (r["digest"], r["toxic"]))
+    once = df.sparkSession.sparkContext.broadcast(frozenset(first.values()))
+
+    def pick(batches):
+        for batch in batches:
+            rows = [(g, t, x) for _, t, x in arrow_rows(batch) if ((g := _digest(t)), x) in once.value]
+            yield pa.RecordBatch.from_pydict({"digest": [r[0] for r in rows], "text": [r[1] for r in rows], "toxic": [r[2] for r in rows]}, pa.schema([("digest", pa.string()), ("text", pa.string()), ("toxic", pa.int32())]))
+
     def count(batches):
         for batch in batches:
             seen: tuple[Counter, Counter] = Counter(), Counter()
@@ -216,7 +281,7 @@ def learn_words(df: DataFrame, labels: DataFrame, most: int = LABELLED) -> froze
             words = list(seen[0] | seen[1])
             yield pa.RecordBatch.from_pydict({"word": words, "toxic": [seen[0][w] for w in words], "clean": [seen[1][w] for w in words]}, schema)
 
-    marked = documents(df).join(chosen, "doc_id").select("text", "toxic")
+    marked = labelled.mapInArrow(pick, "digest string, text string, toxic int").dropDuplicates(["digest", "toxic"]).select("text", "toxic")
     totals = marked.mapInArrow(count, "word string, toxic long, clean long").groupBy("word").agg(F.sum("toxic").alias("toxic"), F.sum("clean").alias("clean"))
     totals = materialize(totals, "word_counts")
     n = totals.count()

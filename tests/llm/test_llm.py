@@ -214,6 +214,27 @@ def test_typical_words():
     assert quality.typical(counts, 0, 900, 5000) == quality.typical(counts, 100, 0, 5000) == frozenset()
 
 
+def test_copies_of_a_toxic_text_teach_no_words(spark):
+    rng = np.random.default_rng(6)
+    some = lambda n: [f"o{i}" for i in rng.integers(0, 3000, n)]
+    copied = some(300)
+    near = [" ".join([*copied[:i], f"new{i}", *copied[i + 1 :]]) for i in range(200)]
+    toxic = [" ".join([*copied])] * 200 + near + [" ".join([*some(40), "vile", "foul"]) for _ in range(60)]
+    clean = [" ".join(some(40)) for _ in range(600)]
+    rows = [(i, t, 1, int(i < len(toxic))) for i, t in enumerate(toxic + clean)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, quality int, toxic int")
+    assert quality.learn_words(df, df) == {"vile", "foul"}
+
+
+def test_copy_classes_merge_near_copies_only():
+    rng = np.random.default_rng(7)
+    base = [f"u{i}" for i in range(400)]
+    texts = [" ".join(base), " ".join([*base[:200], "x", *base[201:]]), " ".join(f"u{i}" for i in rng.permutation(400)), "", "", "a b", "a b c d"]
+    c = quality.copy_classes(np.stack([quality.sketch(t) for t in texts])).tolist()
+    assert c[0] == c[1] and c[3] == c[4] and len(set(c)) == 5
+    assert len(quality.copy_classes(np.empty((0, quality.BINS), np.uint64))) == 0
+
+
 def test_pieces_against_plain_viterbi():
     P = pytest.importorskip("public_tokenizers")
     vocabulary = pieces.load_vocabulary(P.path("piece_bpe_32k.model"))
