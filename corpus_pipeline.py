@@ -6,7 +6,7 @@ Every stage takes (spark, docs, sf_dir).  All but the last return the columns of
 2. near_dups  one document of each near-duplicate group stays (five-word shingles, similarity 0.8 or more);
 3. substrings words of repeated long spans go, the kept ones joined by one space;
 4. secrets    spans of secrets become a mark;
-5. packing    token pieces with their sequence and place.
+5. packing    token pieces, ids included, with their sequence and place.
 
 n_chars follows the text.  Rows whose doc_id is null take no part; of rows that share one, the near-duplicate
 stage keeps one.
@@ -20,7 +20,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from matchlake.llm import packing, quality, secrets, simhash, substring_dedup
-from matchlake.llm.common import materialize, read, scratch_dir
+from matchlake.llm.common import read, scratch_dir
 
 COLUMNS = ("doc_id", "text", "lang", "source", "n_chars")
 
@@ -54,8 +54,8 @@ def secrets_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 def packing_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     import public_tokenizers
 
-    cut = materialize(packing.pieces(docs, public_tokenizers.path("word_bpe_49k.json")), "pieces")
-    return packing.pack_pieces(cut).select("doc_id", "piece", "start", "length", "ids_crc32", "sequence_id", "offset")
+    packed = packing.pack_pieces(packing.pieces(docs, public_tokenizers.path("word_bpe_49k.json")))
+    return packed.select("doc_id", "piece", "start", "length", F.crc32("ids").alias("ids_crc32"), "sequence_id", "offset", "ids")
 
 
 STAGES = [

@@ -1,7 +1,8 @@
 """Best-fit packing with certified bin counts.
 
 Every document's token ids, closed by the end id, are cut into pieces of at most ``capacity``; pieces
-are packed whole into sequences.  Only (doc_id, piece, length) move between executors, never tokens.
+are packed whole into sequences.  The pieces with their ids are written once; the rounds move only their
+keys and lengths.  Then the ids are joined to their places, and `sequences` puts them together.
 
 A round packs each partition by best-fit decreasing and certifies it: the largest of a family of
 dual-feasible-function bounds is a lower bound on the bins of any packing of those pieces.  A partition
@@ -31,7 +32,7 @@ from matchlake.llm.common import Recent, documents, materialize, read
 CAPACITY = 2048
 PER_PARTITION = 50_000
 ROUNDS = 3
-PIECES = "doc_id long, piece int, start long, length long, ids_crc32 long"
+PIECES = "doc_id long, piece int, start long, length long, ids binary"
 #: White space outside ASCII, separators and strings of special tokens take the slow exact way.
 _ODD = re.compile(r"[\x1c-\x1f\x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000]|<\|")
 #: Letters and then punctuation, all of one byte's code points: two tokens at most, case folds one to one.
@@ -85,14 +86,14 @@ def _encoder(model: str) -> Encoder:
 
 
 def pieces(df: DataFrame, tokenizer: str, capacity: int = CAPACITY, end_id: int = 0) -> DataFrame:
-    """Pieces of every document; tokenizer is the path of a file of the tokenizers library (bounded, under 16 MB)."""
+    """Pieces of every document with their ids (little-endian uint32); tokenizer is the path of a file of the tokenizers library (bounded, under 16 MB)."""
     with open(tokenizer, encoding="utf-8") as f:
         model = f.read()
     if len(model) > 16 << 20:
         raise ValueError("the tokenizer file is too large to send to every executor")
     shared = df.sparkSession.sparkContext.broadcast(model)
     end = np.array([end_id], "<u4").tobytes()
-    schema = pa.schema([("doc_id", pa.int64()), ("piece", pa.int32()), ("start", pa.int64()), ("length", pa.int64()), ("ids_crc32", pa.int64())])
+    schema = pa.schema([("doc_id", pa.int64()), ("piece", pa.int32()), ("start", pa.int64()), ("length", pa.int64()), ("ids", pa.binary())])
 
     def cut(batches):
         ids = _encoder(shared.value)
@@ -104,7 +105,7 @@ def pieces(df: DataFrame, tokenizer: str, capacity: int = CAPACITY, end_id: int
                     raw = ids.encode(text) + end
                     for p, a in enumerate(range(0, len(raw), 4 * capacity)):
                         part = raw[a : a + 4 * capacity]
-                        out.append((doc_id, p, a // 4, len(part) // 4, zlib.crc32(part)))
+                        out.append((doc_id, p, a // 4, len(part) // 4, part))
                 yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*out, strict=True), schema, strict=True)], schema=schema)
 
     return documents(df).mapInArrow(cut, PIECES)
@@ -157,7 +158,8 @@ def best_fit(lengths: np.ndarray, capacity: int):
     return where, offset, np.array(fill, np.int64)
 
 
-_PACKED = PIECES + ", sequence_id long, offset long, final boolean, bins long, bound long"
+_KEYS = ("piece_id", "doc_id", "piece", "length", "ids_crc32")
+_PACKED = "piece_id long, doc_id long, piece int, length long, ids_crc32 long, sequence_id long, offset long, final boolean, bins long, bound long"
 
 
 def _packer(capacity: int, r: int, last: bool):
@@ -173,11 +175,11 @@ def _packer(capacity: int, r: int, last: bool):
     return run
 
 
-def pack_pieces(df: DataFrame, capacity: int = CAPACITY, rounds: int = ROUNDS, per_partition: int = PER_PARTITION) -> DataFrame:
-    """Adds sequence_id and offset to pieces. sequence_id: round, partition and bin in one number."""
-    whole = df.where(F.col("length") == capacity).select("*", F.lit(0).cast("long").alias("offset"))
+def _places(df: DataFrame, capacity: int, rounds: int, per_partition: int) -> DataFrame:
+    """_KEYS with sequence_id and offset. sequence_id: round, partition and bin in one number, or the piece_id of a full piece."""
+    whole = df.where(F.col("length") == capacity).select("*", F.col("piece_id").alias("sequence_id"), F.lit(0).cast("long").alias("offset"))
     ids = F.xxhash64("doc_id", "piece", "ids_crc32")
-    done = [whole.withColumn("sequence_id", F.monotonically_increasing_id())]
+    done = [whole]
     left, packed = df.where(F.col("length") < capacity), None
     open_count = left.count()
     for r in range(rounds):
@@ -198,11 +200,28 @@ def pack_pieces(df: DataFrame, capacity: int = CAPACITY, rounds: int = ROUNDS, p
     return out
 
 
+def pack_pieces(df: DataFrame, capacity: int = CAPACITY, rounds: int = ROUNDS, per_partition: int = PER_PARTITION) -> DataFrame:
+    """Pieces, ids included, with sequence_id and offset."""
+    cut = materialize(df.withColumn("ids_crc32", F.crc32("ids")).withColumn("piece_id", F.monotonically_increasing_id()), "pieces")
+    places = _places(cut.select(*_KEYS), capacity, rounds, per_partition).select("piece_id", "sequence_id", "offset")
+    return cut.join(places, "piece_id").select(*df.columns, "sequence_id", "offset")
+
+
+def sequences(packed: DataFrame) -> DataFrame:
+    """The packed sequences: sequence_id, ids, and the members (offset, doc_id, piece, start, length) in order."""
+    member = F.struct("offset", "doc_id", "piece", "start", "length", "ids")
+    whole = packed.groupBy("sequence_id").agg(F.array_sort(F.collect_list(member)).alias("all"))
+    ids = F.aggregate("all", F.lit(b""), lambda done, m: F.concat(done, m["ids"]))
+    return whole.select("sequence_id", ids.alias("ids"), F.transform("all", lambda m: m.dropFields("ids")).alias("members"))
+
+
 def op7_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     import public_tokenizers
 
-    cut = materialize(pieces(read(spark, sf_dir, "documents"), public_tokenizers.path("word_bpe_49k.json")), "pieces")
-    return pack_pieces(cut).select("doc_id", "piece", "start", "length", "ids_crc32", "sequence_id", "offset")
+    packed = pack_pieces(pieces(read(spark, sf_dir, "documents"), public_tokenizers.path("word_bpe_49k.json")))
+    each = sequences(packed).select("sequence_id", "ids", F.explode("members").alias("m")).select("sequence_id", "ids", "m.*")
+    own = F.substring("ids", (4 * F.col("offset") + 1).cast("int"), (4 * F.col("length")).cast("int"))
+    return each.select("doc_id", "piece", "start", "length", F.crc32(own).alias("ids_crc32"), "sequence_id", "offset")
 
 
 QUERIES = {"op7_best_fit_packing": op7_best_fit_packing}

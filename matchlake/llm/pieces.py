@@ -13,13 +13,13 @@ the empty text has no ids; a text that itself holds the marker decodes it as a s
 
 from __future__ import annotations
 
-import hashlib
 import re
 import zlib
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from matchlake.llm.common import Recent, arrow_rows, documents, read
 
@@ -114,29 +114,32 @@ def _codec(key: int, vocabulary: Vocabulary) -> Codec:
 
 
 def encode_documents(df: DataFrame, model_file: str) -> DataFrame:
-    """doc_id, ids (little-endian uint32) and the text decoded from them."""
+    """doc_id, ids (little-endian uint32), the text decoded from them, and whether it is the document's."""
     vocabulary = load_vocabulary(model_file)
     key = zlib.crc32(repr(vocabulary).encode())
     shared = df.sparkSession.sparkContext.broadcast(vocabulary)
-    schema = pa.schema([("doc_id", pa.int64()), ("n_ids", pa.int64()), ("ids_crc32", pa.int64()), ("decoded_sha256", pa.string()), ("round_trip", pa.bool_())])
+    schema = pa.schema([("doc_id", pa.int64()), ("ids", pa.binary()), ("decoded", pa.string()), ("round_trip", pa.bool_())])
 
     def run(batches):
         codec = _codec(key, shared.value)
         for batch in batches:
-            rows = []
-            for doc_id, text in arrow_rows(batch):
-                ids = codec.encode(text)
-                back = codec.decode(ids)
-                rows.append((doc_id, len(ids) // 4, zlib.crc32(ids), hashlib.sha256(back.encode()).hexdigest(), back == text))
-            yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*rows, strict=True) if rows else [[]] * 5, schema, strict=True)], schema=schema)
+            for small in (batch.slice(i, 512) for i in range(0, batch.num_rows, 512)):
+                rows = []
+                for doc_id, text in arrow_rows(small):
+                    ids = codec.encode(text)
+                    back = codec.decode(ids)
+                    rows.append((doc_id, ids, back, back == text))
+                yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*rows, strict=True), schema, strict=True)], schema=schema)
 
-    return documents(df).mapInArrow(run, "doc_id long, n_ids long, ids_crc32 long, decoded_sha256 string, round_trip boolean")
+    return documents(df).mapInArrow(run, "doc_id long, ids binary, decoded string, round_trip boolean")
 
 
 def op6_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
     import public_tokenizers
 
-    return encode_documents(read(spark, sf_dir, "documents"), public_tokenizers.path("piece_bpe_32k.model"))
+    coded = encode_documents(read(spark, sf_dir, "documents"), public_tokenizers.path("piece_bpe_32k.model"))
+    n_ids = F.octet_length("ids").cast("long") / 4
+    return coded.select("doc_id", n_ids.cast("long").alias("n_ids"), F.crc32("ids").alias("ids_crc32"), F.sha2("decoded", 256).alias("decoded_sha256"), "round_trip")
 
 
 QUERIES = {"op6_sentencepiece": op6_sentencepiece}

@@ -95,6 +95,33 @@ def test_packing(docs):
     assert max(fill.values()) <= 2048 and len(fill) == -(-sum(fill.values()) // 2048)
 
 
+def test_packed_sequences_hold_the_ids(docs):
+    P = pytest.importorskip("public_tokenizers")
+    from tokenizers import Tokenizer
+
+    path = P.path("word_bpe_49k.json")
+    whole, got, seen = Tokenizer.from_file(path), Counter(), {}
+    for s in packing.sequences(packing.pack_pieces(packing.pieces(docs, path))).collect():
+        ids = np.frombuffer(bytes(s["ids"]), "<u4").tolist()
+        assert len(ids) == sum(m["length"] for m in s["members"]) <= 2048
+        for m in s["members"]:
+            part = ids[m["offset"] : m["offset"] + m["length"]]
+            got[m["doc_id"], m["start"], tuple(part)] += 1
+    expected = Counter()
+    for i, t in TEXTS:
+        ids = [*whole.encode(t or "", add_special_tokens=False).ids, 0]
+        expected.update((i, a, tuple(ids[a : a + 2048])) for a in range(0, len(ids), 2048))
+    assert got == expected
+
+
+def test_pieces_return_ids_and_text(docs):
+    P = pytest.importorskip("public_tokenizers")
+    path = P.path("piece_bpe_32k.model")
+    codec = pieces.Codec(pieces.load_vocabulary(path))
+    got = sorted((r["doc_id"], bytes(r["ids"]), r["decoded"]) for r in pieces.encode_documents(docs, path).collect())
+    assert got == sorted((i, codec.encode(t or ""), codec.decode(codec.encode(t or ""))) for i, t in TEXTS)
+
+
 def test_bounds_never_exceed_a_packing():
     rng = np.random.default_rng(1)
     for _ in range(30):
