@@ -66,7 +66,8 @@ STAGES = [
     ("packing", packing_stage),
 ]
 
-#: SQL cannot express the classifier, so the rows are held against a plain Python version in the tests.
+#: SQL cannot express the classifier. No test holds the rows of run() against a plain version yet; the operators
+#: behind the stages have their own tests.
 ORACLE_SQL = None
 
 
