@@ -52,10 +52,18 @@ def w05(spark, sf):
     return rounded(plays(spark, sf).select("game", F.avg(F.when(F.col("w").isNotNull(), F.col("value"))).over(trailing(["player"], SEQ, 10)).alias("mean")))
 
 
+def bounded(df, most):
+    """All rows on the driver; fails beyond the bound rather than leave some out."""
+    rows = df.limit(most + 1).toPandas()
+    if len(rows) > most:
+        raise ValueError(f"over {most} rows in a dimension that must be small")
+    return rows
+
+
 @query("w06_dense_rolling", "WITH g AS (SELECT DISTINCT player, CAST(ts AS DATE) AS day FROM plays), k AS (SELECT DISTINCT mode FROM plays), c AS (SELECT player, CAST(ts AS DATE) AS day, mode, count(*) AS n FROM plays GROUP BY ALL), d AS (SELECT player, day, mode, coalesce(n, 0) AS n FROM g CROSS JOIN k LEFT JOIN c USING (player, day, mode)) SELECT player, strftime(day, '%Y-%m-%d') AS day, mode, CAST(sum(n) OVER (PARTITION BY player, mode ORDER BY day ROWS BETWEEN 4 PRECEDING AND CURRENT ROW) AS BIGINT) AS recent FROM d", "plays")
 def w06(spark, sf):
     p = plays(spark, sf).withColumn("day", F.to_date("ts"))
-    modes = [r[0] for r in p.select("mode").distinct().limit(1000).collect()]  # a dimension, bounded
+    modes = bounded(p.select("mode").distinct(), 1000)["mode"].tolist()
     counts = p.groupBy("player", "day").pivot("mode", modes).agg(F.count("game"))
     dense = counts.select("player", "day", F.explode(F.array(*(F.struct(F.lit(m).alias("mode"), F.coalesce(F.col(m), F.lit(0)).alias("n")) for m in modes))).alias("m")).select("player", "day", "m.*")
     return dense.select("player", F.date_format("day", "yyyy-MM-dd").alias("day"), "mode", F.sum("n").over(trailing(["player", "mode"], ["day"], 5)).alias("recent"))
@@ -378,7 +386,7 @@ def m13(spark, sf):
 @query("m15_bootstrap")
 def m15(spark, sf):
     c = plays(spark, sf).where("w IS NOT NULL").groupBy("mode", F.date_format("ts", "yyyy-MM").alias("cluster")).agg(F.sum(F.col("w") - 0.5).alias("total"), F.count("*").alias("n"))
-    b = M.bootstrap(spark, c.orderBy("mode", "cluster").limit(100_000).toPandas(), 2000)
+    b = M.bootstrap(spark, bounded(c.orderBy("mode", "cluster"), 100_000), 2000)
     q = F.percentile("mean", F.array(F.lit(0.025), F.lit(0.5), F.lit(0.975)))
     return rounded(b.agg(q.alias("q")).select(F.col("q")[0].alias("low"), F.col("q")[1].alias("mid"), F.col("q")[2].alias("high")))
 

@@ -2,6 +2,7 @@ import math
 
 import numpy as np
 import pandas as pd
+import pytest
 from pyspark.sql import functions as F
 
 from matchlake.functions import scalar as S
@@ -117,3 +118,11 @@ def test_tri_state_conflict(spark):
 def test_best_of_edges(spark):
     r = spark.range(1).select(S.best_of(F.lit(1.0), 5).alias("a"), S.best_of(F.lit(0.0), 3).alias("b"), S.best_of(F.lit(0.5), 7).alias("c")).first()
     assert (r["a"], r["b"]) == (1.0, 0.0) and abs(r["c"] - 0.5) < 1e-12
+
+
+def test_dimensions_beyond_the_bound_fail(spark):
+    from matchlake.plans.sequences import bounded
+
+    assert len(bounded(spark.range(5), 5)) == 5
+    with pytest.raises(ValueError):
+        bounded(spark.range(6), 5)
