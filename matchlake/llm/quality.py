@@ -2,20 +2,27 @@
 
 Overlapping heuristic labellers vote keep, reject or abstain on each document.  Those for one defect only
 reject or abstain: the absence of one defect says nothing of another.  Expectation-maximisation
-over the table of vote patterns (at most 3 ** labellers rows, counted over all documents) estimates each
-labeller's accuracies and every pattern's posterior, per facet (form, insults, learnt words).  Posteriors of a bounded
-sample (SAMPLE documents, chosen by hash) train a hashed linear scorer, which judges every document.
-
-Where labels are given, one labeller's word list is learnt from a bounded sample of them (LABELLED, chosen by
-hash): words whose share of toxic documents is SHARE or more and by a Chernoff bound, corrected for the
-number of words, no accident.  Copies are no evidence of their own: of the sampled texts of one label that are
-near copies of each other (ALIKE of their three-word shingles or more, by a min-hash sketch) one counts.
-It votes reject where a document holds TOGETHER of the words.  Nothing else uses a true label; without labels that labeller abstains.  Null labels and those of absent documents count for
-nothing, and of several labels of a document the toxic one holds.
-
-Features are presence bits of words, hashed to BITS bits and kept if LEAST_DOCS sample documents have
-them, and bins of the text's shape.  Defined results: an empty text has no features and no votes; an
-empty table gives an empty result; every row is judged on its own, so copies get equal scores.
+over the table of vote patterns (counted over all documents) estimates each labeller's accuracies and every
+pattern's posterior, per facet (symbols, shouting, repetition, abuse): four labellers judge each of them, and
+a document is rejected for any.  No accuracy is given beforehand; each estimate begins with one vote of each kind.
+Posteriors of a bounded sample (SAMPLE documents, chosen by hash) train a hashed linear scorer, which judges every
+document.
+
+The words of abuse are INSULTS and, where labels are given, those learnt from a bounded sample of them (LABELLED,
+chosen by hash): words whose share of toxic documents is SHARE or more and by a Chernoff bound, corrected for the
+number of words, no accident.  Their hash deals them to four labellers, so each has words of every language.
+Nothing else uses a true label.  Null labels and those of absent documents count for nothing, and of several labels
+of a document the toxic one holds.
+
+Copies are no evidence of their own: of the sampled texts of one label (for the words), and of the sampled documents
+of one posterior (for the scorer), that are near copies of each other (by a min-hash sketch) one counts.
+
+Features are presence bits of words, hashed to BITS bits, and bins of the text's shape.  The scorer weighs those
+alone that LEAST_DOCS sample documents have and whose link with the posteriors is, corrected for their number, no
+accident; without this screen the noise of rare words rejects clean documents.
+
+Defined results: an empty text has no features and no votes; a null text is empty; an empty table gives an empty
+result; every row is judged on its own, so copies get equal scores and repeated rows stay apart.
 """
 
 from __future__ import annotations
@@ -26,36 +33,29 @@ import zlib
 from collections import Counter
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from matchlake.llm.common import Recent, arrow_rows, documents, materialize, read
+from matchlake.llm.common import Recent, arrow_rows, documents, materialize, mix, pack, read, unpack
 from matchlake.llm.simhash import shingle_hashes
 
 SAMPLE = 20_000
 LABELLED = 20_000
-SHARE, TOGETHER = 0.8, 2
-#: Near copies for the learnt words: least share of equal sketch values, bins of a sketch, values of a band.
-ALIKE, BINS, BAND = 0.5, 128, 3
+SHARE = 0.8
+#: Near copies: least share of equal sketch values, of shingles and of features; bins of a sketch, values of a band.
+ALIKE, ALIKE_FEATURES, BINS, BAND = 0.5, 0.7, 128, 3
 BITS = 18
 LEAST_DOCS = 20
 THRESHOLD = 0.5
-#: Prior of a labeller's votes (keep, reject, abstain) under each class, weighing STRENGTH times the documents:
-#: a defect labeller seldom fires on a document to keep; a keep vote says little of one to reject.
-DEFECT_PRIOR = ((0.0, 0.001, 0.999), None)
-KEEP_PRIOR = ((0.75, 0.0, 0.25), (0.65, 0.0, 0.35))
-STRENGTH = 1.0
 KEEP, REJECT, ABSTAIN = "k", "r", "-"
 
 # Abusive words.
 INSULTS = frozenset("clown disgusting idiot loser moron pathetic scum stupid trash worthless".split())
-#: Labellers by what they judge; a document is rejected for its form, for insults or for learnt words.
-#: Insults and learnt words are apart, as they come from different languages: one class cannot model both.
-FACETS = (slice(0, 7), slice(7, 10), slice(10, 11))
-_FIRST, _SECOND = frozenset(sorted(INSULTS)[::2]), frozenset(sorted(INSULTS)[1::2])
+#: Labellers by what they judge; the first one, which votes keep on prose, has a say in every facet of form.
+FACETS = ((0, 1, 2, 3), (0, 4, 5, 6), (0, 7, 8, 9), (10, 11, 12, 13))
+GROUPS = 4
 _STRIP = b".,;:!?*%$&#|~\"'()[]{}<>=+-_/\\@^`"
 _SYMBOLS = b"*%$&#|~^=<>{}\\"
 _MASK = (1 << BITS) - 1
@@ -64,32 +64,41 @@ _MASK = (1 << BITS) - 1
 def shape(raw: bytes, words: list[bytes], counts: dict[bytes, int], known: list[tuple]) -> dict[str, float]:
     """known: _cleaned of each distinct word, in the order of counts."""
     n = max(len(words), 1)
+    shouting = stops = marked = small = 0
+    for (_, _, shout, stop, mark, low), c in zip(known, counts.values(), strict=True):
+        shouting += c * shout
+        stops += c * stop
+        marked += c * mark
+        small += c * low
     return {
         "symbols": (len(raw) - len(raw.translate(None, _SYMBOLS))) / max(len(raw), 1),
-        "shouting": sum(c for k, c in zip(known, counts.values(), strict=True) if k[2]) / n,
+        "marked": marked / n,
         "bars": counts.get(b"|", 0) / n,
-        "repeats": sum(map(operator.eq, words, words[1:])) / n,
+        "shouting": shouting / n,
+        "small": small / n,
         "bangs": raw.count(b"!!") / n,
+        "repeats": sum(map(operator.eq, words, words[1:])) / n,
         "variety": len(counts) / n,
-        "stops": sum(c for k, c in zip(known, counts.values(), strict=True) if k[3]) / n,
+        "top": max(counts.values(), default=0) / n,
+        "stops": stops / n,
     }
 
 
-def votes(s: dict[str, float], words: set[str], learnt: int, n: int) -> str:
-    """One letter per labeller. words: the insults held; learnt: how many learnt words are."""
+def votes(s: dict[str, float], groups: set[int], n: int) -> str:
+    """One letter per labeller. groups: those of the abusive words held; n: words."""
     over = lambda x, bad: REJECT if x > bad else ABSTAIN
     out = [
+        KEEP if 0.02 < s["stops"] < 0.4 else ABSTAIN,
         over(s["symbols"], 0.05),
-        over(s["shouting"], 0.25),
+        over(s["marked"], 0.15),
         over(s["bars"], 0.1),
-        over(s["repeats"], 0.2),
+        over(s["shouting"], 0.25),
+        REJECT if n >= 10 and s["small"] < 0.3 else ABSTAIN,
         over(s["bangs"], 0.15),
+        over(s["repeats"], 0.2),
         REJECT if n >= 50 and s["variety"] < 0.2 else ABSTAIN,
-        KEEP if 0.02 < s["stops"] < 0.4 else ABSTAIN,
-        REJECT if words & _FIRST else ABSTAIN,
-        REJECT if words & _SECOND else ABSTAIN,
-        REJECT if len(words & INSULTS) > 1 else ABSTAIN,
-        REJECT if learnt >= TOGETHER else ABSTAIN,
+        REJECT if n >= 50 and s["top"] > 0.2 else ABSTAIN,
+        *(REJECT if g in groups else ABSTAIN for g in range(GROUPS)),
     ]
     return "".join(out) if n else ABSTAIN * len(out)
 
@@ -97,14 +106,20 @@ def votes(s: dict[str, float], words: set[str], learnt: int, n: int) -> str:
 _clean: Recent | None = None
 
 
-def _cleaned(word: bytes) -> tuple[str, int, bool, bool]:
-    """Bare word, its hash, is it all capitals, does a full stop or comma end it?"""
+def _cleaned(word: bytes) -> tuple[str, int, bool, bool, bool, bool]:
+    """Bare word, its hash, is it all capitals, does a full stop or comma end it, has it a symbol, or small letters?"""
     w, t = word.strip(_STRIP).lower(), word.decode(errors="replace")
-    return w.decode(errors="replace"), zlib.crc32(w) & _MASK, len(word) > 2 and t.isupper() and t != t.lower(), word.endswith((b".", b","))
+    shout = len(word) > 2 and t.isupper() and t != t.lower()
+    return w.decode(errors="replace"), zlib.crc32(w) & _MASK, shout, word.endswith((b".", b",")), len(word.translate(None, _SYMBOLS)) < len(word), t != t.upper()
+
 
+def group_of(word: str) -> int:
+    """The labeller of an abusive word."""
+    return (zlib.crc32(word.encode()) >> 8) % GROUPS
 
-def read_text(text: str, learnt: frozenset[str] = frozenset()) -> tuple[str, dict[str, float], list[tuple]]:
-    """Votes, shape and distinct words."""
+
+def read_text(text: str, abusive: dict[str, int] | None = None) -> tuple[str, dict[str, float], list[tuple]]:
+    """Votes, shape and distinct words. abusive: words with their group_of."""
     global _clean
     if _clean is None:
         _clean = Recent(_cleaned)
@@ -113,15 +128,14 @@ def read_text(text: str, learnt: frozenset[str] = frozenset()) -> tuple[str, dic
     counts = Counter(words)
     known = [_clean[w] for w in counts]
     s = shape(raw, words, counts, known)
-    bare = {k[0] for k in known}
-    held = len(bare & learnt)
-    s["learnt"] = min(held, 2 * TOGETHER) / 20  # one bin per word
-    return votes(s, bare & INSULTS, held, len(words)), s, known
+    held = {k[0] for k in known} & abusive.keys() if abusive else set()
+    s["abuse"] = min(len(held), 4) / 20  # one bin per word
+    return votes(s, {abusive[w] for w in held} if held else set(), len(words)), s, known
 
 
-def features(text: str, learnt: frozenset[str] = frozenset()) -> tuple[str, np.ndarray]:
-    """Votes, and the hashed features."""
-    pattern, s, known = read_text(text, learnt)
+def features(text: str, abusive: dict[str, int] | None = None) -> tuple[str, np.ndarray]:
+    """Votes, and the hashed features in ascending order."""
+    pattern, s, known = read_text(text, abusive)
     bins = [zlib.crc32(f"\t{k}:{min(int(v * 20 + 1e-9), 20)}".encode()) & _MASK for k, v in s.items()] if known else []
     return pattern, np.unique(np.array([k[1] for k in known if k[0]] + bins, np.uint32))
 
@@ -134,15 +148,16 @@ def combined(patterns: dict[str, int]) -> dict[str, float]:
     """Chance of reject for each vote pattern: for any facet."""
     keep = dict.fromkeys(patterns, 1.0)
     for facet in FACETS:
+        own = {p: "".join(p[j] for j in facet) for p in patterns}
         part: dict[str, int] = {}
         for p, n in patterns.items():
-            part[p[facet]] = part.get(p[facet], 0) + n
+            part[own[p]] = part.get(own[p], 0) + n
         post, _ = posteriors(part)
-        keep = {p: k * (1 - post[p[facet]]) for p, k in keep.items()}
+        keep = {p: k * (1 - post[own[p]]) for p, k in keep.items()}
     return {p: 1 - k for p, k in keep.items()}
 
 
-def posteriors(patterns: dict[str, int], rounds: int = 100) -> tuple[dict[str, float], np.ndarray]:
+def posteriors(patterns: dict[str, int], rounds: int = 500) -> tuple[dict[str, float], np.ndarray]:
     """Chance of reject for each vote pattern, and each labeller's table P(vote | class).
 
     Begins at patterns with any reject vote being rejects; votes are independent given the class.
@@ -152,14 +167,14 @@ def posteriors(patterns: dict[str, int], rounds: int = 100) -> tuple[dict[str, f
     names = sorted(patterns)
     n = np.array([patterns[p] for p in names], float)
     v = np.array([[(KEEP, REJECT, ABSTAIN).index(c) for c in p] for p in names])
-    r = np.array([0.95 if REJECT in p else 0.05 for p in names])
+    r = np.array([0.95 if REJECT in p else 0.001 for p in names])
     for _ in range(rounds):
         prior = float(np.clip((n * r).sum() / n.sum(), 1e-6, 1 - 1e-6))
         table = np.zeros((v.shape[1], 2, 3))
         for j in range(v.shape[1]):
+            kinds = [(v[:, j] == 0).any(), True, True]  # a labeller's own kinds of votes
             for c, w in enumerate((n * (1 - r), n * r)):
-                prior_votes = (KEEP_PRIOR if (v[:, j] == 0).any() else DEFECT_PRIOR)[c]
-                got = np.bincount(v[:, j], w, 3) + 0.1 + (STRENGTH * n.sum() * np.array(prior_votes) if prior_votes else 0)
+                got = np.bincount(v[:, j], w, 3) + kinds
                 table[j, c] = got / got.sum()
         each = [sum(_logs(table[j, c])[v[:, j]] for j in range(v.shape[1])) for c in (0, 1)]
         gap = np.clip(each[0] + np.log(1 - prior) - each[1] - np.log(prior), -60, 60)
@@ -170,10 +185,21 @@ def posteriors(patterns: dict[str, int], rounds: int = 100) -> tuple[dict[str, f
     return dict(zip(names, r.tolist(), strict=True)), table
 
 
+def screened(rows: list[tuple[np.ndarray, float]]) -> np.ndarray:
+    """Which features enough documents have, with a mean posterior that differs by more than chance allows."""
+    n, y = np.zeros(1 << BITS), np.zeros(1 << BITS)
+    for x, posterior in rows:
+        n[x] += 1
+        y[x] += posterior
+    mean = sum(p for _, p in rows) / max(len(rows), 1)
+    enough = n >= min(LEAST_DOCS, max(2, len(rows) // 50))
+    spread = np.sqrt(np.maximum(n * mean * (1 - mean), 1e-12))
+    return enough & (np.abs(y - n * mean) > (math.sqrt(2 * math.log(max(enough.sum(), 2))) + 1) * spread)
+
+
 def train(rows: list[tuple[np.ndarray, float]], epochs: int = 8, rate: float = 0.3, decay: float = 1e-5) -> tuple[np.ndarray, float]:
     """Logistic regression on soft labels by AdaGrad, documents in a fixed order."""
-    seen = np.bincount(np.concatenate([x for x, _ in rows] or [np.empty(0, np.int64)]).astype(np.int64), minlength=1 << BITS)
-    usable = seen >= min(LEAST_DOCS, max(2, len(rows) // 50))
+    usable = screened(rows)
     weight, power, bias, bias_power = np.zeros(1 << BITS), np.full(1 << BITS, 1e-6), 0.0, 1e-6
     rows = [(x[usable[x]], y) for x, y in rows]
     rng = np.random.default_rng(0)
@@ -208,9 +234,8 @@ def _digest(text: str) -> str:
     return xxhash.xxh3_128_hexdigest(b" ".join(text.encode().lower().split()))
 
 
-def sketch(text: str) -> np.ndarray:
-    """The least hash of the text's three-word shingles in each of BINS equal ranges; an empty range takes the next one's."""
-    h = np.unique(shingle_hashes(text, 3))
+def _sketch(h: np.ndarray) -> np.ndarray:
+    """The least of ascending distinct hashes in each of BINS equal ranges; an empty range takes the next one's."""
     if not len(h):
         return np.zeros(BINS, np.uint64)
     held, first = np.unique(h >> np.uint64(64 - BINS.bit_length() + 1), return_index=True)
@@ -219,8 +244,24 @@ def sketch(text: str) -> np.ndarray:
     return h[first[after]] + steps.astype(np.uint64)
 
 
-def copy_classes(sketches: np.ndarray) -> np.ndarray:
-    """A number for each sketch, equal for those chained by a share of ALIKE or more of equal values."""
+def sketch(text: str) -> np.ndarray:
+    """Min-hash of the text's three-word shingles."""
+    return _sketch(np.unique(shingle_hashes(text, 3)))
+
+
+def one_of_copies(rows: list[tuple[int, np.ndarray, float]]) -> list[tuple[np.ndarray, float]]:
+    """Features and posterior of the first of each group of near copies with posteriors on one side."""
+    if not rows:
+        return []
+    sketches = np.stack([_sketch(np.unique(mix(x.astype(np.uint64)))) for _, x, _ in rows])
+    first: dict[tuple[int, bool], int] = {}
+    for i, c in enumerate(copy_classes(sketches, ALIKE_FEATURES).tolist()):
+        first.setdefault((c, rows[i][2] > 0.5), i)
+    return [rows[i][1:] for i in first.values()]
+
+
+def copy_classes(sketches: np.ndarray, alike: float = ALIKE) -> np.ndarray:
+    """A number for each sketch, equal for those chained by a share of alike or more of equal values."""
     root = np.arange(len(sketches))
 
     def find(i: int) -> int:
@@ -236,7 +277,7 @@ def copy_classes(sketches: np.ndarray) -> np.ndarray:
         for a, b in zip([0, *cuts], cuts, strict=False):
             rest = order[a:b]
             while len(rest) > 1:
-                near = (sketches[rest[1:]] == sketches[rest[0]]).mean(axis=1) >= ALIKE
+                near = (sketches[rest[1:]] == sketches[rest[0]]).mean(axis=1) >= alike
                 for i in rest[1:][near].tolist():
                     x, y = sorted((find(i), find(int(rest[0]))))
                     root[y] = x
@@ -245,11 +286,11 @@ def copy_classes(sketches: np.ndarray) -> np.ndarray:
 
 
 def learn_words(df: DataFrame, labels: DataFrame, most: int = LABELLED) -> frozenset[str]:
-    """typical of a sample of about most labelled documents (labels: doc_id, toxic)."""
+    """typical of a sample of at most 2 * most labelled documents (labels: doc_id, toxic)."""
     own = labels.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("toxic").cast("int").alias("toxic"))
     own = own.where("doc_id IS NOT NULL AND toxic IS NOT NULL").groupBy("doc_id").agg(F.max("toxic").alias("toxic"))
     every = max(1, -(-own.count() // most))
-    chosen = F.broadcast(own.where(F.pmod(F.xxhash64("doc_id"), F.lit(every)) == 0).limit(2 * most))
+    chosen = F.broadcast(own.where(F.pmod(F.xxhash64("doc_id"), F.lit(every)) == 0).orderBy(F.xxhash64("doc_id"), "doc_id").limit(2 * most))
     schema = pa.schema([("word", pa.string()), ("toxic", pa.int64()), ("clean", pa.int64())])
 
     def draw(batches):
@@ -291,53 +332,47 @@ def learn_words(df: DataFrame, labels: DataFrame, most: int = LABELLED) -> froze
     return typical([tuple(r) for r in kept.collect()], toxic, clean, n)
 
 
-def fit(df: DataFrame, sample: int = SAMPLE, labels: DataFrame | None = None) -> tuple[np.ndarray, float, dict[str, float], frozenset[str]]:
-    """Weights, bias, posterior per vote pattern, learnt words."""
-    docs = documents(df)
-    learnt = learn_words(df, labels) if labels is not None else frozenset()
-    listed = df.sparkSession.sparkContext.broadcast(learnt)
-    schema = pa.schema([("pattern", pa.string()), ("n", pa.int64())])
+def read_documents(df: DataFrame, abusive: dict[str, int]) -> DataFrame:
+    """doc_id, votes and packed features of every document: the one pass over the texts."""
+    listed = df.sparkSession.sparkContext.broadcast(abusive)
+    schema = pa.schema([("doc_id", pa.int64()), ("votes", pa.string()), ("x", pa.binary())])
 
-    def vote(batches):
+    def run(batches):
         for batch in batches:
-            n: dict[str, int] = {}
-            for _, text in arrow_rows(batch):
-                p = read_text(text, listed.value)[0]
-                n[p] = n.get(p, 0) + 1
-            yield pa.RecordBatch.from_pydict({"pattern": list(n), "n": list(n.values())}, schema)
+            rows = [(d, *features(t, listed.value)) for d, t in arrow_rows(batch)]
+            yield pa.RecordBatch.from_pydict({"doc_id": [r[0] for r in rows], "votes": [r[1] for r in rows], "x": [pack(r[2], True) for r in rows]}, schema)
 
-    patterns = {p: c for p, c in docs.mapInArrow(vote, "pattern string, n long").groupBy("pattern").agg(F.sum("n")).collect()}
-    post = combined(patterns)
-    every = max(1, -(-sum(patterns.values()) // sample))
+    return documents(df).mapInArrow(run, "doc_id long, votes string, x binary")
 
-    def take(batches):
-        out = pa.schema([("doc_id", pa.int64()), ("pattern", pa.string()), ("x", pa.binary())])
-        for batch in batches:
-            rows = [(d, *features(t, listed.value)) for d, t in arrow_rows(batch)]
-            yield pa.RecordBatch.from_pydict({"doc_id": [r[0] for r in rows], "pattern": [r[1] for r in rows], "x": [r[2].tobytes() for r in rows]}, out)
 
-    chosen = docs.where(F.pmod(F.xxhash64("doc_id"), F.lit(every)) == 0).mapInArrow(take, "doc_id long, pattern string, x binary")
-    rows = sorted(((r["doc_id"], bytes(r["x"]), post[r["pattern"]]) for r in chosen.limit(2 * sample).collect()))
-    weight, bias = train([(np.frombuffer(x, np.uint32), y) for _, x, y in rows])
-    return weight, bias, post, learnt
+def fit(marked: DataFrame, sample: int = SAMPLE) -> tuple[np.ndarray, float, dict[str, float]]:
+    """Weights, bias and posterior per vote pattern, from read_documents."""
+    patterns = {p: c for p, c in marked.groupBy("votes").agg(F.count("*")).collect()}  # at most 2 ** labellers
+    post = combined(patterns)
+    every, h = max(1, -(-sum(patterns.values()) // sample)), F.xxhash64("doc_id", "x")
+    chosen = marked.where(F.pmod(h, F.lit(every)) == 0).orderBy(h, "doc_id").limit(2 * sample).collect()
+    rows = sorted(((r["doc_id"], bytes(r["x"]), post[r["votes"]]) for r in chosen))
+    weight, bias = train(one_of_copies([(d, unpack(x, True), y) for d, x, y in rows]))
+    return weight, bias, post
 
 
 def classify(df: DataFrame, sample: int = SAMPLE, threshold: float = THRESHOLD, labels: DataFrame | None = None) -> DataFrame:
     """doc_id, votes, posterior and score (both: chance of reject), keep. labels: doc_id, toxic (optional)."""
-    shared = df.sparkSession.sparkContext.broadcast(fit(df, sample, labels))
+    words = INSULTS | (learn_words(df, labels) if labels is not None else frozenset())
+    marked = materialize(read_documents(df, {w: group_of(w) for w in words}), "votes")
+    shared = df.sparkSession.sparkContext.broadcast(fit(marked, sample))
 
     def judge(batches):
-        weight, bias, post, learnt = shared.value
+        weight, bias, post = shared.value
         schema = pa.schema([("doc_id", pa.int64()), ("votes", pa.string()), ("posterior", pa.float64()), ("score", pa.float64()), ("keep", pa.bool_())])
         for batch in batches:
             out = []
-            for doc_id, text in arrow_rows(batch):
-                pattern, x = features(text, learnt)
-                score = float(1 / (1 + np.exp(-np.clip(weight[x].sum() + bias, -30, 30))))
+            for doc_id, pattern, x in arrow_rows(batch):
+                score = float(1 / (1 + np.exp(-np.clip(weight[unpack(x, True)].sum() + bias, -30, 30))))
                 out.append((doc_id, pattern, post.get(pattern), score, score < threshold))
             yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*out, strict=True) if out else [[]] * 5, schema, strict=True)], schema=schema)
 
-    return documents(df).mapInArrow(judge, "doc_id long, votes string, posterior double, score double, keep boolean")
+    return marked.mapInArrow(judge, "doc_id long, votes string, posterior double, score double, keep boolean")
 
 
 def op3_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
