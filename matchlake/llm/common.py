@@ -29,6 +29,7 @@ END = b" "  # no word holds a space, so this never equals one
 BEGIN = b"\t"
 BLOCK_BYTES = 4 << 20
 _CACHE_WORDS = 400_000
+_SHORT = 128
 
 
 def read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
@@ -124,17 +125,21 @@ def rolling(h: np.ndarray, k: int, multiplier: int = 0x9E3779B97F4A7C15) -> np.n
 
 
 def pack(a: np.ndarray, delta: bool = False) -> bytes:
-    """An unsigned array as zstd over byte planes; delta suits ascending values."""
+    """An unsigned array as zstd over byte planes, or as it is where it is short; delta suits ascending values."""
     a = np.ascontiguousarray(a)
-    if delta and len(a):
+    if a.nbytes < _SHORT:
+        return b"0" + a.dtype.char.encode() + a.tobytes()
+    if delta:
         a = np.concatenate([a[:1], np.diff(a)])
     planes = a.view(np.uint8).reshape(-1, a.dtype.itemsize).T
-    return a.dtype.char.encode() + zstandard.ZstdCompressor(1).compress(np.ascontiguousarray(planes).tobytes())
+    return b"1" + a.dtype.char.encode() + zstandard.ZstdCompressor(1).compress(np.ascontiguousarray(planes).tobytes())
 
 
 def unpack(b: bytes, delta: bool = False) -> np.ndarray:
-    dtype = np.dtype(b[:1].decode())
-    raw = np.frombuffer(zstandard.ZstdDecompressor().decompress(b[1:]), np.uint8)
+    dtype = np.dtype(b[1:2].decode())
+    if b[:1] == b"0":
+        return np.frombuffer(b, dtype, offset=2)
+    raw = np.frombuffer(zstandard.ZstdDecompressor().decompress(b[2:]), np.uint8)
     a = np.ascontiguousarray(raw.reshape(dtype.itemsize, -1).T).reshape(-1).view(dtype)
     return np.cumsum(a, dtype=dtype) if delta else a
 

@@ -41,8 +41,16 @@ def test_empty_tables(docs):
         assert f(none).count() == 0
 
 
-def test_substrings(docs):
-    got = sorted((r["doc_id"], r["n_words"], r["n_removed"]) for r in substring_dedup.repeated_spans(docs).collect())
+@pytest.mark.parametrize("key_bits", [64, 4])
+def test_substrings(docs, key_bits):
+    """With 4 bits nearly all edges collide; the words decide all the same."""
+    rows = substring_dedup.repeated_spans(docs, key_bits=key_bits, texts=True).collect()
+    got = sorted((r["doc_id"], r["n_words"], r["n_removed"]) for r in rows)
+    by = {r["doc_id"]: words(r["text"]) for r in rows}
+    for r in rows:
+        for s in r["spans"]:
+            source = by[s["source_doc"]][s["source_start"] : s["source_start"] + s["length"]]
+            assert s["source_doc"] < r["doc_id"] and len(source) == s["length"] and source == words(r["text"])[s["start"] : s["start"] + s["length"]]
     first: dict = {}
     for i, t in sorted(TEXTS, key=lambda x: x[0]):
         w = words(t)
@@ -58,6 +66,22 @@ def test_substrings(docs):
     assert got == sorted(expected)
 
 
+def test_paths_end_at_branches(spark):
+    """A third document that holds a part cuts the shared path there; each piece has one source."""
+    p = [f"p{i}" for i in range(60)]
+    df = spark.createDataFrame([(5, " ".join(["a", *p, "b"])), (9, " ".join(["c", *p, "d"])), (2, " ".join(["e", *p[20:40], "f"]))], "doc_id long, text string")
+    got = {r["doc_id"]: [(s["start"], s["length"], s["source_doc"], s["source_start"]) for s in r["spans"]] for r in substring_dedup.repeated_spans(df).collect()}
+    assert got == {2: [], 5: [(21, 20, 2, 1)], 9: [(1, 32, 5, 1), (21, 20, 2, 1), (29, 32, 5, 29)]}
+
+
+def test_messages_grow_with_the_entries_only(spark):
+    rng = np.random.default_rng(5)
+    text = lambda n: " ".join(f"x{i}" for i in rng.integers(0, 10**6, n))
+    table = substring_dedup.blocks(spark.createDataFrame([(i, text(300)) for i in range(40)], "doc_id long, text string"))
+    sent = [r["n"] for b in (1000, 1_000_000) for r in substring_dedup._shared_anchors(table, 13, b).selectExpr("count(*) AS n").collect()]
+    assert sent[1] <= 40 * 300
+
+
 def test_language_model(docs):
     got = {r["doc_id"]: r for r in language_model.score(docs).collect()}
     held = lambda i: zlib.crc32(str(i).encode()) % 5 == 1
