@@ -5,11 +5,15 @@ space, ends trimmed) and hashed to 128 bits by two chained XXH64.  Inside equal
 bytes are compared; should two texts differ under one digest, the later ones (in byte order) carry
 an ordinal, so equal fingerprints always mean equal folded texts.
 
-Only digests that occur twice are compared, so texts that are alone never move for it.  A group of
-copies is reduced map-side to one row per task before any shuffle.
-
-Defined results: the empty text and blank ones share a fingerprint; likeness of exact digests is 1 or 0;
-the order of documents is by doc_id, then text; a single document is its own next one.
+Every text is folded once; what later steps need is a table of digests.  Only digests that occur twice are
+compared, so texts that are alone never move for it, and a group of copies is reduced map-side to one row per
+task before any shuffle.  The order of all documents comes from a range partitioning of (doc_id, text hash)
+pairs; only the last pair of each range meets the others in one window.
+
+Defined results: the empty text and blank ones share a fingerprint, and a null text is empty; likeness of exact
+digests is 1 or 0; the order of documents is by doc_id, then by a hash of the text; rows equal in doc_id and text
+have the same next document, one that differs from them; a document that is alone is its own next one; further
+columns are not read; an empty table gives an empty result.
 """
 
 from __future__ import annotations
@@ -21,7 +25,7 @@ from matchlake.llm.common import documents, materialize, read
 
 #: White space of any kind; each becomes a space, and runs of spaces one.
 WHITE = "\t\n\r\x0b\x0c\x1c\x1d\x1e\x1f\x85\xa0\u1680\u2000\u2001\u2002\u2003\u2004\u2005\u2006\u2007\u2008\u2009\u200a\u2028\u2029\u202f\u205f\u3000"
-SPAN = 1024  # ids of one window; neighbours across windows meet through its last row
+PER_RANGE = 1_000_000  # pairs of one range
 BROADCAST_DIGESTS = 1_000_000  # 32 hex digits each: under 100 MB
 
 
@@ -34,11 +38,21 @@ def wide_hash(folded: Column) -> Column:
     return F.concat(F.lpad(F.lower(F.hex(F.xxhash64(folded))), 16, "0"), F.lpad(F.lower(F.hex(F.xxhash64(F.lit("wide"), folded))), 16, "0"))
 
 
-def collisions(df: DataFrame) -> DataFrame | None:
-    """digest, folded, ordinal of texts that differ under one digest; None if there are none."""
-    hashed = df.select(canonical(F.col("text")).alias("folded")).withColumn("digest", wide_hash(F.col("folded")))
-    many = materialize(hashed.groupBy("digest").agg(F.count("*").alias("n")).where("n > 1").select("digest"), "digests")
+def digests(df: DataFrame) -> DataFrame:
+    """doc_id, h, n_chars and digest of (doc_id, text), written: the one folding of all texts."""
+    # the folded text is a column of its own, so that the two halves of its hash do not fold it twice
+    folded = df.select("doc_id", F.xxhash64("text").alias("h"), F.char_length("text").cast("long").alias("n_chars"), canonical(F.col("text")).alias("folded"))
+    return materialize(folded.select("doc_id", "h", "n_chars", wide_hash(F.col("folded")).alias("digest")), "hashes")
+
+
+def collisions(df: DataFrame, hashes: DataFrame, digest: Column | None = None) -> DataFrame | None:
+    """digest, folded, ordinal of texts that differ under one digest; None if there are none.
+
+    digest: what to take for a digest of the column folded (wide_hash; tests force collisions with it).
+    """
+    many = materialize(hashes.groupBy("digest").agg(F.count("*").alias("n")).where("n > 1").select("digest"), "digests")
     many = F.broadcast(many) if many.count() <= BROADCAST_DIGESTS else many
+    hashed = df.select(canonical(F.col("text")).alias("folded")).withColumn("digest", wide_hash(F.col("folded")) if digest is None else digest)
     variants = hashed.join(many, "digest").groupBy("digest", "folded").agg(F.count("*").alias("n"))
     apart = materialize(variants.groupBy("digest").agg(F.count("*").alias("v"), F.collect_list("folded").alias("folded")).where("v > 1"), "collisions")
     if apart.isEmpty():
@@ -47,14 +61,19 @@ def collisions(df: DataFrame) -> DataFrame | None:
 
 
 def fingerprints(df: DataFrame) -> DataFrame:
-    """Adds fingerprint to (doc_id, text)."""
-    apart = collisions(df)
-    folded = canonical(F.col("text"))
+    """doc_id, h (a hash of the text), n_chars and fingerprint of (doc_id, text)."""
+    hashes = digests(df)
+    apart = collisions(df, hashes)
     if apart is None:
-        return df.withColumn("fingerprint", wide_hash(folded))
-    hashed = df.withColumn("folded", folded).withColumn("digest", wide_hash(F.col("folded")))
-    named = hashed.join(apart, ["digest", "folded"], "left")
-    return named.select(*df.columns, F.concat_ws("-", "digest", F.col("ordinal").cast("string")).alias("fingerprint"))
+        return hashes.withColumnRenamed("digest", "fingerprint")
+    hashed = df.withColumn("h", F.xxhash64("text")).withColumn("n_chars", F.char_length("text").cast("long")).withColumn("folded", canonical(F.col("text")))
+    return named(hashed.withColumn("digest", wide_hash(F.col("folded"))), apart).drop("text")
+
+
+def named(hashed: DataFrame, apart: DataFrame) -> DataFrame:
+    """hashed (digest, folded and others) with fingerprint: the digest, and the ordinal of later texts under it."""
+    both = hashed.join(apart, ["digest", "folded"], "left")
+    return both.withColumn("fingerprint", F.concat_ws("-", "digest", F.col("ordinal").cast("string"))).drop("digest", "folded", "ordinal")
 
 
 def exact_groups(df: DataFrame) -> DataFrame:
@@ -64,37 +83,48 @@ def exact_groups(df: DataFrame) -> DataFrame:
     return marked.join(first, "fingerprint")
 
 
-def with_next(df: DataFrame) -> DataFrame:
-    """Adds next_text: the text before this one by (doc_id, text); the first one's next is the last."""
-    docs = df.withColumn("span", F.floor(F.col("doc_id") / SPAN))
-    lasts = docs.groupBy("span").agg(F.max(F.struct("doc_id", "text")).alias("last"))
-    lasts = materialize(lasts.select("span", F.floor(F.col("span") / SPAN).alias("wide"), F.col("last.text").alias("last_text")), "spans")
-    by_span = Window.partitionBy("wide").orderBy("span")
-    # one row per SPAN * SPAN ids: a few thousand at any size met in practice
-    wides = lasts.groupBy("wide").agg(F.max("span").alias("last_span"))
-    wides = wides.select("wide", F.coalesce(F.lag("last_span").over(Window.orderBy("wide")), F.max("last_span").over(Window.partitionBy())).alias("before_wide"))
-    chain = lasts.select("span", "wide", F.lag("span").over(by_span).alias("inside")).join(wides, "wide").select("span", F.coalesce("inside", "before_wide").alias("before"))
-    edge = chain.join(lasts.select(F.col("span").alias("before"), "last_text"), "before").select("span", "last_text")
-    order = Window.partitionBy("span").orderBy("doc_id", "text")
-    here = docs.withColumn("own_next", F.lag("text").over(order))
-    return here.join(edge, "span").select(*df.columns, F.coalesce("own_next", "last_text").alias("next_text"))
+def with_next(marked: DataFrame, per_range: int = PER_RANGE) -> DataFrame:
+    """Distinct (doc_id, h), with next_id, next_h and next_fingerprint: the one before it in ascending order.
+
+    marked: doc_id, h, fingerprint.  The next one of the first is the last.
+    """
+    pairs = marked.select("doc_id", "h", "fingerprint").dropDuplicates(["doc_id", "h"])
+    pairs = materialize(pairs, "pairs")
+    ranges = max(1, -(-pairs.count() // per_range))
+    dealt = materialize(pairs.repartitionByRange(ranges, "doc_id", "h").withColumn("part", F.spark_partition_id()), "ranges")
+    own = F.struct("doc_id", "h", "fingerprint")
+    within = Window.partitionBy("part").orderBy("doc_id", "h")
+    # one row per range of PER_RANGE documents
+    lasts = dealt.groupBy("part").agg(F.max(own).alias("last"))
+    over = Window.partitionBy(F.lit(0)).orderBy("part")
+    before = lasts.select("part", F.coalesce(F.lag("last").over(over), F.last("last").over(over.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing))).alias("border"))
+    near = dealt.withColumn("inside", F.lag(own).over(within)).join(before, "part").withColumn("next", F.coalesce("inside", "border"))
+    return near.select("doc_id", "h", F.col("next.doc_id").alias("next_id"), F.col("next.h").alias("next_h"), F.col("next.fingerprint").alias("next_fingerprint"))
+
+
+def edited(df: DataFrame, marked: DataFrame) -> DataFrame:
+    """df (doc_id, text) with h, n_chars, fingerprint, next_fingerprint and edited: the last third replaced.
+
+    Only as many code points of the next text travel as its predecessor takes.
+    """
+    third = F.floor(F.col("n_chars") / 3).cast("int")
+    once = marked.dropDuplicates(["doc_id", "h"])
+    links = materialize(once.join(with_next(marked), ["doc_id", "h"]).withColumn("part", third), "links")
+    texts = df.select("doc_id", F.xxhash64("text").alias("h"), "text")
+    wanted = links.select(F.col("next_id").alias("doc_id"), F.col("next_h").alias("h"), F.col("doc_id").alias("of_id"), F.col("h").alias("of_h"), "part", "n_chars", "fingerprint", "next_fingerprint")
+    repeated = not marked.groupBy("doc_id", "h").count().where("count > 1").isEmpty()
+    heads = (texts.dropDuplicates(["doc_id", "h"]) if repeated else texts).join(wanted, ["doc_id", "h"])
+    heads = heads.select(F.col("of_id").alias("doc_id"), F.col("of_h").alias("h"), "n_chars", "fingerprint", "next_fingerprint", "part", F.expr("left(text, part)").alias("head"))
+    made = F.when(F.col("part") > 0, F.concat(F.expr("left(text, cast(n_chars - part as int))"), "head")).otherwise(F.col("text"))
+    return texts.join(heads, ["doc_id", "h"]).withColumn("edited", made).drop("head", "part")
 
 
 def op9_canonical_digest(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = documents(read(spark, sf_dir, "documents"))
-    marked = with_next(fingerprints(docs))
-    n = F.char_length("text")
-    part = F.floor(n / 3).cast("int")
-    edited = F.concat(F.expr("left(text, cast(char_length(text) - floor(char_length(text) / 3) as int))"), F.expr("left(next_text, cast(floor(char_length(text) / 3) as int))"))
-    made = marked.withColumn("n_chars", n.cast("long")).withColumn("edited", F.when(part > 0, edited).otherwise(F.col("text")))
-    made = made.withColumn("edited_fingerprint", wide_hash(canonical(F.col("edited")))).withColumn("next_fingerprint", wide_hash(canonical(F.col("next_text"))))
-    own = canonical(F.col("text"))
-
-    def likeness(fingerprint: str, text: str) -> Column:
-        same = F.substring("fingerprint", 1, 32) == F.col(fingerprint)
-        return F.when(same, (own == canonical(F.col(text))).cast("double")).otherwise(F.lit(0.0))
-
-    return made.select("doc_id", "n_chars", F.sha2(F.col("edited").cast("binary"), 256).alias("edited_sha256"), "fingerprint", "edited_fingerprint", likeness("edited_fingerprint", "edited").alias("near_edited"), likeness("next_fingerprint", "next_text").alias("near_next"))
+    made = edited(docs, fingerprints(docs)).withColumn("folded", canonical(F.col("edited"))).withColumn("edited_fingerprint", wide_hash(F.col("folded")))
+    same = F.substring("fingerprint", 1, 32) == F.col("edited_fingerprint")
+    near = F.when(same, (canonical(F.col("text")) == F.col("folded")).cast("double")).otherwise(F.lit(0.0))
+    return made.select("doc_id", "n_chars", F.sha2(F.col("edited").cast("binary"), 256).alias("edited_sha256"), "fingerprint", "edited_fingerprint", near.alias("near_edited"), (F.col("fingerprint") == F.col("next_fingerprint")).cast("double").alias("near_next"))
 
 
 QUERIES = {"op9_canonical_digest": op9_canonical_digest}

@@ -3,6 +3,7 @@
 import hashlib
 import math
 import re
+import unicodedata
 import zlib
 from collections import Counter
 
@@ -217,9 +218,49 @@ def test_digest(docs):
     assert by[5] == f"{h:016x}{xxhash.xxh64_intdigest(c, xxhash.xxh64_intdigest(b'wide', 42)):016x}"
 
 
-def test_next_document(spark):
-    df = spark.createDataFrame([(1, "a"), (5000, "b"), (4_000_000, "c"), (2, "d")], "doc_id long, text string")
-    assert {r["text"]: r["next_text"] for r in digest.with_next(df).collect()} == {"c": "b", "b": "d", "d": "a", "a": "c"}
+@pytest.mark.parametrize("per_range", [1, 2, 100])
+def test_next_document(spark, per_range):
+    rows = [(1, "a"), (5000, "b"), (4_000_000, "c"), (2, "d"), (2, "d"), (-(2**62), "e"), (2**62, "f")]
+    marked = digest.fingerprints(spark.createDataFrame(rows, "doc_id long, text string"))
+    got = {r["doc_id"]: r["next_id"] for r in digest.with_next(marked, per_range).collect()}
+    ids = sorted({i for i, _ in rows})
+    assert got == {i: ids[k - 1] for k, i in enumerate(ids)}
+
+
+def _folded(t):
+    return " ".join(unicodedata.normalize("NFC", t.upper().lower()).split())
+
+
+def test_digest_query_against_plain_python(spark, sf, duck):
+    rows = duck.execute("SELECT doc_id, coalesce(text, '') FROM documents ORDER BY doc_id DESC").fetchall()
+    got = {r["doc_id"]: r for r in digest.op9_canonical_digest(spark, sf).collect()}
+    assert len(got) == len(rows)
+    prints = {}
+    for k, (i, t) in enumerate(rows):
+        after, part, r = rows[(k + 1) % len(rows)][1], len(t) // 3, got[i]
+        e = t[: len(t) - part] + after[:part] if part else t
+        assert r["n_chars"] == len(t) and r["edited_sha256"] == hashlib.sha256(e.encode()).hexdigest()
+        assert r["near_edited"] == float(_folded(t) == _folded(e)) and r["near_next"] == float(_folded(t) == _folded(after))
+        assert prints.setdefault(_folded(t), r["fingerprint"]) == r["fingerprint"]
+    assert len(set(prints.values())) == len(prints)
+
+
+def test_texts_that_collide_get_fingerprints_of_their_own(spark):
+    df = spark.createDataFrame([(1, "A b"), (2, "a  B"), (3, "c"), (4, "d"), (5, None)], "doc_id long, text string")
+    docs = digest.documents(df)
+    one = digest.F.lit("0" * 32)
+    apart = digest.collisions(docs, docs.select(one.alias("digest")), one)
+    hashed = docs.select("doc_id", digest.canonical(digest.F.col("text")).alias("folded"), one.alias("digest"))
+    by = {r["doc_id"]: r["fingerprint"] for r in digest.named(hashed, apart).collect()}
+    assert by[1] == by[2] and len({by[i] for i in (1, 3, 4, 5)}) == 4 and by[5] == "0" * 32
+
+
+def test_digest_of_awkward_tables(spark):
+    one = spark.createDataFrame([(7, "abc", "x", 1)], "doc_id long, text string, h string, part int")
+    docs = digest.documents(one)
+    assert [(r["doc_id"], r["edited"]) for r in digest.edited(docs, digest.fingerprints(docs)).collect()] == [(7, "aba")]
+    none = digest.documents(one.limit(0))
+    assert digest.edited(none, digest.fingerprints(none)).count() == 0
 
 
 def test_url_rules_by_trie_and_join(spark):
