@@ -11,9 +11,13 @@ row of the cell table (a first centroid), queries as lists per row with the colu
 task meets one block with one list and returns only the best k of each query, so no pair table exists and
 no cell is gathered whole.
 
+An entry's cell is met by cost, not by a bound, so recall is measured, not certain.  A table of no more vectors than
+CODES has one centroid for each, and what a query meets is then exactly the nearest share of them.
+
 Defined results: vectors that are null, zero, of another length than the table's most common one, or hold
 null or non-finite components take no part; with fewer candidates than k all come back; equal distances
-go by vec_id; rows that share a vec_id count as one (the first by content).
+go by vec_id; rows that share a vec_id count as one (the first by content), so repeated rows come once; only vec_id and embedding
+are read, so further columns never clash; an empty table gives an empty result.
 """
 
 from __future__ import annotations
@@ -30,12 +34,12 @@ from matchlake.llm.common import materialize, read
 
 SAMPLE = 16_384
 CODES = 256
-PER_CELL = 8
 BLOCK = 2000
+SLICE = 256  # queries routed at a time: SLICE * CODES ** 2 bytes of opened cells at most
 ROUNDS = 12
-#: Entries met by a query, as a share of all and at least LEAST.  Vectors without structure (all nearly
-#: equally far apart, like those of the test tables) need this much for a recall of 0.9.
-VISIT, LEAST = 0.5, 2000
+#: Entries met by a query, as a share of all.  Vectors without structure (all nearly equally far apart, like those
+#: of the test tables) need so much for a recall of 0.9.
+VISIT = 0.35
 
 
 def usable(df: DataFrame) -> DataFrame:
@@ -86,20 +90,20 @@ def walk(first: np.ndarray, second: np.ndarray, counts: dict[int, int], enough:
 
 
 class MultiIndex:
-    def __init__(self, vectors: DataFrame, k: int, visit: float = VISIT, least: int = LEAST):
-        """vectors: vec_id, vec. k: results per query."""
+    def __init__(self, vectors: DataFrame, k: int, visit: float = VISIT):
+        """vectors: vec_id, vec. k: results per query. visit: share of the entries that a query meets."""
         self.k, self.spark = k, vectors.sparkSession
         key = F.sha2(F.array_join(F.transform("vec", lambda x: F.when(x == 0, F.lit(0.0)).otherwise(x)).cast("array<string>"), ","), 256)
         order = Window.partitionBy("key").orderBy("vec_id")
         kept = vectors.withColumn("key", key).withColumn("r", F.row_number().over(order)).where(F.col("r") <= k + 1)
         self.entries = materialize(kept.groupBy("key").agg(F.first("vec").alias("vec"), F.sort_array(F.collect_list("vec_id")).alias("ids")), "entries")
         n = self.entries.count()
-        self.codes = max(1, min(CODES, round(math.sqrt(n / PER_CELL)), n))
+        self.codes = max(1, min(CODES, n))
         sample = [r[0] for r in self.entries.select("vec").orderBy("key").limit(SAMPLE).collect()]
         x = np.array(sample, float) if sample else np.zeros((1, 2))
         self.half = x.shape[1] // 2
         self.books = kmeans(x[:, : self.half], min(self.codes, len(x))), kmeans(x[:, self.half :], min(self.codes, len(x)))
-        self.enough = max(least, math.ceil(visit * n))
+        self.enough = max(k + 1, math.ceil(visit * n))
         books, half = self.books, self.half
 
         def place(batches):
@@ -132,18 +136,20 @@ class MultiIndex:
 
         def route(batches):
             for pdf in batches:
-                v, ids = np.array(pdf["vec"].tolist(), float), pdf["vec_id"].to_numpy()
-                lists: dict[int, dict[int, np.ndarray]] = {}
-                if len(v):
-                    one, two = _squares(v[:, :half], books[0]), _squares(v[:, half:], books[1])
-                    for i, (a, b) in enumerate(zip(one, two, strict=True)):
-                        for c in walk(a, b, counts, enough):
-                            opened = lists.setdefault(c // width, {})
-                            if i not in opened:
-                                opened[i] = np.zeros(width, bool)
-                            opened[i][c % width] = True
-                rows = [(r, ids[[*x]].tobytes(), v[[*x]].tobytes(), np.concatenate([*x.values()]).tobytes()) for r, x in lists.items()]
-                yield pd.DataFrame(rows, columns=["row", "ids", "queries", "opened"])
+                for at in range(0, len(pdf), SLICE):
+                    yield slice_of(pdf[at : at + SLICE])
+
+        def slice_of(pdf: pd.DataFrame) -> pd.DataFrame:
+            v, ids = np.array(pdf["vec"].tolist(), float), pdf["vec_id"].to_numpy()
+            lists: dict[int, dict[int, np.ndarray]] = {}
+            for i, (a, b) in enumerate(zip(_squares(v[:, :half], books[0]), _squares(v[:, half:], books[1]), strict=True)):
+                for c in walk(a, b, counts, enough):
+                    opened = lists.setdefault(c // width, {})
+                    if i not in opened:
+                        opened[i] = np.zeros(width, bool)
+                    opened[i][c % width] = True
+            rows = [(r, ids[[*x]].tobytes(), v[[*x]].tobytes(), np.concatenate([*x.values()]).tobytes()) for r, x in lists.items()]
+            return pd.DataFrame(rows, columns=["row", "ids", "queries", "opened"])
 
         def rerank(batches):
             for pdf in batches:
