@@ -2,7 +2,9 @@
 
 Fingerprints are 64-bit words, a bit being set if it is set in over half of the shingles' hashes.
 A vantage-point tree over a bounded sample (SAMPLE fingerprints) parts all fingerprints: each inner
-node has a vantage point and a median distance, inside goes left, outside right.  A fingerprint lives
+node has a vantage point and a median distance, inside goes left, outside right.  Below the DEPTH levels that the
+sample can fit, vantage points are drawn from the node's number and the bound is the middle distance of random words,
+so the tree is as deep as the table asks for and needs no more memory; the triangle bounds hold for any of them.  A fingerprint lives
 in one leaf and visits every other leaf that the triangle bounds cannot exclude within the radius, so
 that every pair within it meets in a leaf; a pair is compared in the later of its two leaves only.
 A leaf is one shard; shards and their visitors are split into chunks of CHUNK, and every task compares one
@@ -14,7 +16,8 @@ bound (sets of similarity s differ in size by 1/s at most: bands), and the exact
 shingle sets decides.  At such radii the triangle bounds exclude next to nothing; the size bands do.
 
 Defined results: a text without words has fingerprint zero and is linked like any other; documents of
-one fingerprint are one component; documents that share a doc_id are one node.
+one fingerprint are one component; documents that share a doc_id are linked, whatever their texts; a null text is
+empty; repeated rows come back each; only doc_id and text are read; an empty table gives an empty result.
 """
 
 from __future__ import annotations
@@ -28,7 +31,7 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from matchlake.llm.common import SEED, arrow_rows, documents, materialize, read
+from matchlake.llm.common import SEED, arrow_rows, documents, materialize, mix, read
 from matchlake.llm.components import components
 
 SAMPLE = 8192
@@ -87,10 +90,11 @@ def distances(a: np.ndarray, b: np.ndarray) -> np.ndarray:
 
 
 class VantageTree:
-    """Inner nodes 1.. in heap order; the leaves of depth d are the nodes from 2**d."""
+    """Inner nodes 1.. in heap order; the leaves of depth d are the nodes from 2**d. fitted: levels from the sample."""
 
-    def __init__(self, sample: np.ndarray, depth: int):
-        self.depth = depth
+    def __init__(self, sample: np.ndarray, depth: int, fitted: int = DEPTH):
+        self.depth, self.whole = depth, depth
+        self.depth = depth = min(depth, fitted)
         self.vantage = np.zeros((1 << depth, sample.shape[1] if len(sample) else 1), np.uint64)
         self.bound = np.zeros(1 << depth, np.int64)
         parts = {1: sample}
@@ -107,14 +111,23 @@ class VantageTree:
             if 2 * node < 1 << depth:
                 parts[2 * node], parts[2 * node + 1] = own[inside], own[~inside]
 
-    def _distance(self, fps: np.ndarray, node: np.ndarray) -> np.ndarray:
-        return np.bitwise_count(fps ^ self.vantage[node]).astype(np.int64).sum(axis=1)
+        self.depth = self.whole
+
+    def _split(self, fps: np.ndarray, node: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Distance of each point to its node's vantage point, and the node's bound."""
+        fitted = node < len(self.bound)
+        own = np.where(fitted, node, 0)
+        drawn = mix(node.astype(np.uint64)[:, None] * np.uint64(fps.shape[1]) + np.arange(fps.shape[1], dtype=np.uint64))
+        vantage = np.where(fitted[:, None], self.vantage[own], drawn)
+        middle = 32 * fps.shape[1] - 1 + (drawn[:, 0] & np.uint64(1)).astype(np.int64)
+        return np.bitwise_count(fps ^ vantage).astype(np.int64).sum(axis=1), np.where(fitted, self.bound[own], middle)
 
     def home(self, fps: np.ndarray, depth: np.ndarray) -> np.ndarray:
         node = np.ones(len(fps), np.int64)
         for level in range(self.depth):
             go = np.flatnonzero(depth > level)
-            node[go] = 2 * node[go] + (self._distance(fps[go], node[go]) > self.bound[node[go]])
+            d, m = self._split(fps[go], node[go])
+            node[go] = 2 * node[go] + (d > m)
         return node
 
     def overlapping(self, fps: np.ndarray, depth: np.ndarray, radius: int) -> tuple[np.ndarray, np.ndarray]:
@@ -124,7 +137,7 @@ class VantageTree:
             go = depth[at] > level
             stay_at, stay = at[~go], node[~go]
             at, node = at[go], node[go]
-            d, m = self._distance(fps[at], node), self.bound[node]
+            d, m = self._split(fps[at], node)
             left, right = d - radius <= m, d + radius > m
             at, node = np.concatenate([stay_at, at[left], at[right]]), np.concatenate([stay, 2 * node[left], 2 * node[right] + 1])
         return at, node
@@ -163,7 +176,7 @@ def links(nodes: DataFrame, radius: int, ratio: float = 0.0) -> DataFrame:
     sample = [r[0] for r in nodes.select("fp").orderBy(F.xxhash64("fp")).limit(SAMPLE).collect()]
     band = F.floor(F.log(F.greatest(F.col("size"), F.lit(1)).cast("double")) / -math.log(ratio) + 1e-9) if ratio else F.lit(0)
     counts = {int(b): n for b, n in nodes.groupBy(band.cast("long").alias("band")).agg(F.count("*")).collect()}
-    depths = {b: min(DEPTH, max(0, math.ceil(math.log2(n / LEAF)))) for b, n in counts.items()}
+    depths = {b: max(0, math.ceil(math.log2(n / LEAF))) for b, n in counts.items()}
     tree = VantageTree(_words(sample), max(depths.values(), default=0))
 
     def places(pdf: pd.DataFrame):
@@ -172,15 +185,15 @@ def links(nodes: DataFrame, radius: int, ratio: float = 0.0) -> DataFrame:
         own = _band(sizes, ratio)
         at = lambda b: np.array([depths.get(int(x), -1) for x in b], np.int64)
         depth = at(own)
-        home = (own << 20) + tree.home(fps, depth)
+        home = (own << 40) + tree.home(fps, depth)
         point, node = tree.overlapping(fps, depth, radius)
-        shard = (own[point] << 20) + node
+        shard = (own[point] << 40) + node
         point, shard = point[shard >= home[point]], shard[shard >= home[point]]
         if ratio:
             up = at(own + 1)
             some = np.flatnonzero(up >= 0)
             p, n = tree.overlapping(fps[some], up[some], radius)
-            point, shard = np.concatenate([point, some[p]]), np.concatenate([shard, (own[some[p]] + 1 << 20) + n])
+            point, shard = np.concatenate([point, some[p]]), np.concatenate([shard, (own[some[p]] + 1 << 40) + n])
         return fps, sizes, home, point, shard
 
     def count(batches):
@@ -190,8 +203,8 @@ def links(nodes: DataFrame, radius: int, ratio: float = 0.0) -> DataFrame:
                 values, n = np.unique(x, return_counts=True)
                 yield pd.DataFrame({"shard": values, "resident": kind, "n": n})
 
-    amounts = nodes.mapInPandas(count, "shard long, resident boolean, n long").groupBy("shard", "resident").agg(F.sum("n").alias("n")).collect()
-    pieces = {(r["shard"], r["resident"]): -(-r["n"] // CHUNK) for r in amounts}
+    amounts = nodes.mapInPandas(count, "shard long, resident boolean, n long").groupBy("shard", "resident").agg(F.sum("n").alias("n")).where(F.col("n") > CHUNK)
+    pieces = {(r["shard"], r["resident"]): -(-r["n"] // CHUNK) for r in amounts.collect()}  # the overfull shards only
 
     def deal(batches):
         for pdf in batches:
@@ -204,7 +217,7 @@ def links(nodes: DataFrame, radius: int, ratio: float = 0.0) -> DataFrame:
                 cuts = np.flatnonzero(np.append(True, where[1:] != where[:-1])) if len(where) else []
                 for a, b in zip(cuts, [*cuts[1:], len(where)], strict=True):
                     s = int(where[a])
-                    mine, other = pieces[s, resident], pieces.get((s, not resident), 0)
+                    mine, other = pieces.get((s, resident), 1), pieces.get((s, not resident), 1)
                     chunk = ids[who[a:b]] % mine if mine > 1 else np.zeros(b - a, np.int64)
                     for c in np.unique(chunk):
                         x = who[a:b][chunk == c]
@@ -218,6 +231,8 @@ def links(nodes: DataFrame, radius: int, ratio: float = 0.0) -> DataFrame:
             n = np.frombuffer(b"".join(own["nodes"]), np.int64)
             return n, np.frombuffer(b"".join(own["fps"]), np.uint64).reshape(len(n), -1), np.frombuffer(b"".join(own["sizes"]), np.int64)
 
+        if pdf["resident"].nunique() < 2:
+            return pd.DataFrame({"a": np.empty(0, np.int64), "b": np.empty(0, np.int64)})
         h, hf, hs = side(True)
         v, vf, vs = side(False)
         nodes_ = np.unique(np.concatenate([h, v]))
@@ -238,11 +253,19 @@ def links(nodes: DataFrame, radius: int, ratio: float = 0.0) -> DataFrame:
     return nodes.mapInPandas(deal, _DEALT).groupBy("shard", "i", "j").applyInPandas(compare, _LINKS)
 
 
+def _shared_ids(marked: DataFrame) -> DataFrame:
+    """Links among the nodes of each doc_id that has several. marked: doc_id, node."""
+    pairs = marked.select("doc_id", "node").distinct()
+    least = pairs.groupBy("doc_id").agg(F.min("node").alias("b"), F.max("node").alias("most")).where("b < most").select("doc_id", "b")
+    return pairs.join(least, "doc_id").where("node <> b").select(F.col("node").alias("a"), "b")
+
+
 def simhash_components(df: DataFrame, k: int = 3, radius: int = 3) -> DataFrame:
     """doc_id, fingerprint, component_id and the links by SimHash alone."""
     docs = materialize(fingerprints(df, k), "fingerprints")
     nodes = materialize(docs.groupBy("fp").agg(F.min("doc_id").alias("node"), F.lit(1).cast("long").alias("size")), "nodes")
-    roots = components(links(nodes, radius))
+    shared = _shared_ids(docs.join(nodes, "fp"))
+    roots = components(links(nodes, radius).unionByName(shared))
     named = nodes.join(roots, "node", "left").select("fp", F.coalesce("root", "node").alias("component_id"))
     return docs.join(named, "fp").select("doc_id", F.col("fp").alias("fingerprint"), "component_id")
 
