@@ -1,16 +1,23 @@
 """Secret scans, in DataFrame functions only.
 
 Base kinds are found by pattern.  Beyond them, every long token takes a randomness battery in the
-encoding inferred from its symbols: chi-squared uniformity over that alphabet, a runs test about its
-middle, and lag-1 serial correlation.  Under the null hypothesis "structured text" the chi-squared
-statistic is noncentral, with a noncentrality that grows with the length (n times alphabet times the
-coincidence rate of such text, less n), so short tokens cannot look significant: the p-value of a
-token is the chance that structured text scores as uniform as it does.  Benjamini-Hochberg at RATE,
-in each length class, picks the discoveries; tokens that fail the order tests are no candidates.
-The class thresholds come from a histogram of a fixed number of cells over all documents.
-
-Defined results: a null text is empty; touching tokens that overlap a base span add nothing; offsets
-are code points with an exclusive end.
+encoding inferred from its symbols, each test against the null hypothesis "structured text":
+
+* chi-squared uniformity over the alphabet: under the null the statistic is noncentral, with a noncentrality
+  that grows with the length (n times alphabet times the coincidence rate of such text, less n);
+* runs: the number of word-like stretches (a capital and small letters, capitals, digits; separators go with what
+  follows).  Structured tokens begin one every four symbols (five, with letters of one case), random ones of several classes nearly every two;
+* order: a runs test about the alphabet's middle and lag-1 serial correlation against randomness, so that tokens
+  such as counted alphabets, which are uniform but ordered, are no candidates.
+
+Fisher's method combines the first two where the token has several classes of symbols.  Benjamini-Hochberg at RATE,
+in each class of length and encoding, picks the discoveries.  The class thresholds come from a histogram of a
+fixed number of cells over all documents.
+
+Offsets of matches are running sums over the pieces between them, taken in chunks, so the work grows with the text.
+Defined results: a null text is empty; tokens that overlap a base span add nothing; offsets are code points with an
+exclusive end; columns named base or found are replaced, and all others stay; repeated rows are scanned each; an
+empty table gives an empty result; a text's own U+FFFF may join the tokens beside it.
 """
 
 from __future__ import annotations
@@ -26,10 +33,15 @@ from matchlake.llm.common import documents, read
 ASSIGN = r"""(?i)(password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)"""
 BASE = (("assign", ASSIGN, 2, 12), ("access", r"AKIA[A-Z0-9]{14,}", 0, 18), ("hex", r"[0-9a-f]{16,}", 0, 16))
 KEYWORDS = ("passw", "secret", "token", "apikey", "api_key")  # every assign match holds one, in lower case
-TOKEN = r"(?<![A-Za-z0-9+/_-])[A-Za-z0-9+/_-]{20,}"
+_M = "\uffff"  # stands for each code point of an assign span while tokens are looked for
+TOKEN = f"(?<![A-Za-z0-9+/_{_M}-])[A-Za-z0-9+/_{_M}-]{{20,}}"
+STRETCH = "[+/_-]*(?:[A-Z]?[a-z]+|[A-Z]+|[0-9]+|$)"
+STRETCHES, ONE_CASE = 0.25, 0.2  # of a structured token begin at this share of its symbols; letters of one case only
 RATE, ORDER_LEVEL = 0.01, 0.001
-LENGTHS = (20, 32, 48, 64)
+LENGTHS = (20, 24, 32, 48, 64)
+KINDS = 3  # of encodings: one class of symbols, several, several with separators
 CELLS, PER_DECADE = 400, 20
+CHUNK, PIECE = 256, 4096  # running sums and substrings work on so much at a time
 
 # Encodings in the order tried: pattern, alphabet, coincidence rate of structured text in it.
 _L, _U, _D = "abcdefghijklmnopqrstuvwxyz", "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "0123456789"
@@ -50,22 +62,42 @@ ENCODINGS = (
 _SPAN = "struct<start: bigint, kind_no: int, stop: bigint, kind: string, value: string>"
 
 
+def _running(values: Column, step) -> Column:
+    """For each of the long values, what step makes of all before it (from 0), in chunks: no array grows long by steps."""
+    n = F.size(values)
+    parts = F.transform(F.sequence(F.lit(0), F.floor((n - 1) / CHUNK).cast("int")), lambda i: F.slice(values, i * CHUNK + 1, CHUNK))
+    zero = F.lit(0).cast("long")
+    inner = F.struct(zero.alias("at"), F.array().cast("array<bigint>").alias("out"))
+    each = F.transform(parts, lambda c: F.aggregate(c, inner, lambda a, x: F.struct(step(a["at"], x).cast("long").alias("at"), F.concat(a["out"], F.array(a["at"])).alias("out"))))
+    outer = F.struct(zero.alias("at"), F.array().cast("array<array<bigint>>").alias("out"))
+    whole = F.aggregate(each, outer, lambda a, x: F.struct(step(a["at"], x["at"]).cast("long").alias("at"), F.concat(a["out"], F.array(F.transform(x["out"], lambda y: step(a["at"], y).cast("long")))).alias("out")))
+    return F.when(n > 0, F.flatten(whole["out"])).otherwise(F.array().cast("array<bigint>"))
+
+
 def find_all(text: Column, pattern: str, kind_no: int, kind: str, group: int = 0, least: int = 0) -> Column:
     """Spans of all matches: the pieces between them give the offsets."""
     found = F.regexp_extract_all(text, F.lit(pattern), F.lit(0))
     value = F.regexp_extract_all(text, F.lit(pattern), F.lit(group)) if group else found
-    gaps = F.slice(F.split(text, pattern, -1), F.lit(1), F.size(found))
-    start = F.struct(F.lit(0).cast("long").alias("at"), F.array().cast(f"array<{_SPAN}>").alias("out"))
 
-    def step(acc: Column, x: Column) -> Column:
-        first = acc["at"] + F.char_length(x["gap"])
-        stop = (first + F.char_length(x["m"])).cast("long")
-        span = F.struct(first.cast("long").alias("start"), F.lit(kind_no).alias("kind_no"), stop.alias("stop"), F.lit(kind).alias("kind"), x["v"].alias("value"))
-        return F.struct(stop.alias("at"), F.when(F.char_length(x["v"]) >= least, F.concat(acc["out"], F.array(span))).otherwise(acc["out"]).alias("out"))
+    def spans(zipped: Column) -> Column:
+        before = _running(F.transform(zipped, lambda x: (x["gap"] + F.char_length(x["m"])).cast("long")), lambda a, x: a + x)
+        return F.zip_with(zipped, before, span)
+
+    def span(x: Column, at: Column) -> Column:
+        first = at + x["gap"]
+        return F.struct(first.cast("long").alias("start"), F.lit(kind_no).alias("kind_no"), (first + F.char_length(x["m"])).cast("long").alias("stop"), F.lit(kind).alias("kind"), x["v"].alias("value"))
+
+    gaps = F.transform(F.slice(F.split(text, pattern, -1), F.lit(1), F.size(found)), lambda x: F.char_length(x))
+    zipped = F.transform(F.arrays_zip(gaps.alias("gap"), found.alias("m"), value.alias("v")), lambda x: F.struct(x["gap"].alias("gap"), x["m"].alias("m"), x["v"].alias("v")))
+    return F.filter(_let(zipped, spans), lambda x: F.char_length(x["value"]) >= least)
+
 
-    zipped = F.arrays_zip(gaps.alias("gap"), found.alias("m"), value.alias("v"))
-    zipped = F.transform(zipped, lambda x: F.struct(x["gap"].alias("gap"), x["m"].alias("m"), x["v"].alias("v")))
-    return F.aggregate(zipped, start, step, lambda acc: acc["out"])
+def _masked(text: Column) -> Column:
+    """The text with each code point of the assign spans replaced by _M."""
+    found = F.regexp_extract_all(text, F.lit(ASSIGN), F.lit(0))
+    value = F.regexp_extract_all(text, F.lit(ASSIGN), F.lit(2))
+    shown = F.zip_with(found, value, lambda m, v: F.when(F.char_length(v) >= BASE[0][3], F.repeat(F.lit(_M), F.char_length(m))).otherwise(m))
+    return F.array_join(F.zip_with(F.split(text, ASSIGN, -1), shown, lambda gap, m: F.concat(gap, F.coalesce(m, F.lit("")))), "")
 
 
 def _normal(z: Column) -> Column:
@@ -79,7 +111,7 @@ def _let(value: Column, use) -> Column:
 
 
 def battery(token: Column) -> Column:
-    """struct(p, order_p): chance of such uniformity under structured text, Simes p of the order tests."""
+    """struct(kind, p, order_p): number of the encoding's kind, chance of such a token under structured text, Simes p of the order tests."""
     encoding = lambda e: F.struct(F.lit(e[1]).alias("alphabet"), F.lit(float(len(e[1]))).alias("k"), F.lit(e[2]).alias("rate"))
     chosen = reduce(lambda rest, e: F.when(token.rlike(e[0]), encoding(e)).otherwise(rest), reversed(ENCODINGS[:-1]), encoding(ENCODINGS[-1]))
     return _let(chosen, lambda e: _tests(token, e["alphabet"], F.char_length(token).cast("double"), e["k"], e["rate"]))
@@ -89,7 +121,13 @@ def _tests(token: Column, alphabet: Column, n: Column, k: Column, rate: Column)
     counts = F.transform(F.split(alphabet, ""), lambda c: (n - F.char_length(F.replace(token, c, F.lit("")))))
     squares = F.aggregate(counts, F.lit(0.0), lambda a, c: a + c * c)
     far = n * (k * rate - 1)
-    p = _let((k / n * squares - n - (k - 1 + far)) / F.sqrt(2 * (k - 1 + 2 * far)), _normal)
+    even = _let((k / n * squares - n - (k - 1 + far)) / F.sqrt(2 * (k - 1 + 2 * far)), _normal)
+    stretches = F.size(F.filter(F.regexp_extract_all(token, F.lit(STRETCH), F.lit(0)), lambda x: x != "")) - 1
+    usual = F.when(token.rlike("[a-z]") & token.rlike("[A-Z]"), STRETCHES).otherwise(ONE_CASE)
+    mixed = _let((stretches - usual * (n - 1)) / F.sqrt(usual * (1 - usual) * (n - 1)), lambda z: _normal(-z))
+    classes = sum(token.rlike(x).cast("int") for x in ("[a-z]", "[A-Z]", "[0-9]"))
+    kind = F.when(token.rlike("[^A-Za-z0-9]"), 2).when(classes > 1, 1).otherwise(0)
+    both = _let(F.greatest(even * mixed, F.lit(1e-300)), lambda x: x * (1 - F.log(x)))  # Fisher, four degrees of freedom
     marks = F.transform(F.split(token, ""), lambda c: F.instr(alphabet, c).cast("double") - 0.5)
     names = ("last", "runs", "cross", "high", "power")
     start = F.struct(*(F.lit(v).alias(x) for x, v in zip(names, (-1.0, 0.0, 0.0, 0.0, 0.0), strict=True)))
@@ -108,15 +146,28 @@ def _tests(token: Column, alphabet: Column, n: Column, k: Column, rate: Column)
         worst, better = F.greatest(runs, serial), F.least(runs, serial)  # Simes: twice the smaller p, or the larger
         return F.least(4 * _let(-worst, _normal), 2 * _let(-better, _normal))
 
-    return F.struct(p.alias("p"), _let(F.aggregate(marks, start, step), order).alias("order_p"))
+    return F.struct(kind.alias("kind"), F.when(classes > 1, both).otherwise(even).alias("p"), _let(F.aggregate(marks, start, step), order).alias("order_p"))
 
 
 def _cell(p: Column) -> Column:
     return F.least(F.lit(CELLS - 1), F.greatest(F.lit(0), F.floor(-F.log10(F.greatest(p, F.lit(1e-300))) * PER_DECADE))).cast("int")
 
 
-def _class(length: Column) -> Column:
-    return reduce(lambda rest, x: F.when(length >= x[1], F.lit(x[0])).otherwise(rest), enumerate(LENGTHS), F.lit(0))
+def _class(length: Column, kind: Column) -> Column:
+    return reduce(lambda rest, x: F.when(length >= x[1], F.lit(x[0])).otherwise(rest), enumerate(LENGTHS), F.lit(0)) * KINDS + kind
+
+
+def thresholds(counted: list[tuple[int, int, int]], rate: float = RATE) -> list[int]:
+    """Benjamini-Hochberg on (class, cell, tokens): per class the lowest cell whose members are discoveries."""
+    least = []
+    for c in range(len(LENGTHS) * KINDS):
+        own, seen, lowest = {cell: n for k, cell, n in counted if k == c}, 0, CELLS
+        for cell in sorted(own, reverse=True):
+            seen += own[cell]
+            if 10 ** (-cell / PER_DECADE) <= rate * seen / sum(own.values()):
+                lowest = cell
+        least.append(lowest)
+    return least
 
 
 def scan(df: DataFrame) -> DataFrame:
@@ -126,30 +177,22 @@ def scan(df: DataFrame) -> DataFrame:
     small = F.lower(text)
     words = reduce(lambda a, b: a | b, (F.contains(small, F.lit(w)) for w in KEYWORDS))
     pieces = F.array_join(F.filter(F.split(text, " "), lambda x: F.char_length(x) >= 16), " ")
-    df = df.withColumns({"_words": words, "_akia": F.contains(text, F.lit("AKIA")), "_long": pieces})
+    df = df.drop("base", "found").withColumns({"_words": words, "_akia": F.contains(text, F.lit("AKIA")), "_long": pieces})
     signs = (F.col("_words"), F.col("_akia"), F.col("_long").rlike(BASE[2][1]))
     none = F.array().cast(f"array<{_SPAN}>")
     base = F.array_sort(F.concat(*(F.when(sign, find_all(text, p, i, kind, g, least)).otherwise(none) for i, (sign, (kind, p, g, least)) in enumerate(zip(signs, BASE, strict=True)))))
-    tokens = F.when(F.col("_long").rlike(TOKEN), find_all(text, TOKEN, 3, "random", 0, LENGTHS[0])).otherwise(none)
-
-    def judged(spans: Column) -> Column:
-        free = F.filter(tokens, lambda t: ~F.exists(spans, lambda b: (b["start"] < t["stop"]) & (t["start"] < b["stop"])))
-        return F.struct(spans.alias("base"), F.transform(free, lambda t: F.struct(t.alias("span"), battery(t["value"]).alias("test"))).alias("tokens"))
-
-    marked = df.withColumn("_scan", _let(base, judged))
+    masked = F.when(F.col("_words"), _masked(text)).otherwise(text)
+    tokens = F.when(F.col("_long").rlike(TOKEN), _let(masked, lambda m: find_all(m, TOKEN, 3, "random", 0, LENGTHS[0]))).otherwise(none)
+    # access and hex spans lie whole in one token
+    free = F.filter(tokens, lambda t: ~(F.contains(t["value"], F.lit(_M)) | t["value"].rlike(BASE[1][1]) | t["value"].rlike(BASE[2][1])))
+    judged = F.transform(free, lambda t: F.struct(t.alias("span"), battery(t["value"]).alias("test")))
+    marked = df.withColumn("_scan", F.struct(base.alias("base"), judged.alias("tokens")))
     test = F.col("t.test")
     cells = marked.select(F.explode("_scan.tokens").alias("t")).where(test["order_p"] >= ORDER_LEVEL)
-    counted = cells.groupBy(_class(F.char_length("t.span.value")).alias("c"), _cell(test["p"]).alias("cell")).agg(F.count("*").alias("n")).collect()
-    least = []  # per length class, the lowest cell whose members are discoveries
-    for c in range(len(LENGTHS)):
-        own, seen, lowest = {r["cell"]: r["n"] for r in counted if r["c"] == c}, 0, CELLS
-        for cell in sorted(own, reverse=True):
-            seen += own[cell]
-            if 10 ** (-cell / PER_DECADE) <= RATE * seen / sum(own.values()):
-                lowest = cell
-        least.append(lowest)
-    bound = lambda x: reduce(lambda rest, y: F.when(x >= y[1], F.lit(least[y[0]])).otherwise(rest), enumerate(LENGTHS), F.lit(CELLS))
-    found = F.filter("_scan.tokens", lambda t: (t["test"]["order_p"] >= ORDER_LEVEL) & (_cell(t["test"]["p"]) >= bound(F.char_length(t["span"]["value"]))))
+    counted = cells.groupBy(_class(F.char_length("t.span.value"), test["kind"]).alias("c"), _cell(test["p"]).alias("cell")).agg(F.count("*").alias("n")).collect()
+    least = F.array(*map(F.lit, thresholds([tuple(r) for r in counted])))
+    bound = lambda t: F.get(least, _class(F.char_length(t["span"]["value"]), t["test"]["kind"]))
+    found = F.filter("_scan.tokens", lambda t: (t["test"]["order_p"] >= ORDER_LEVEL) & (_cell(t["test"]["p"]) >= bound(t)))
     return marked.withColumns({"base": F.col("_scan.base"), "found": F.array_sort(F.concat("_scan.base", F.transform(found, lambda t: t["span"])))}).drop("_scan", "_words", "_akia", "_long")
 
 
@@ -159,14 +202,20 @@ def spans_text(spans: Column) -> Column:
 
 def redacted(text: Column, spans: Column, mark: str = "[SECRET]") -> Column:
     """The text with every span (sorted; overlaps joined) replaced by the mark."""
-    start = F.struct(F.lit(0).cast("long").alias("at"), F.lit("").alias("out"))
+    pieces = F.regexp_extract_all(text, F.lit(f"(?s).{{1,{PIECE}}}"), F.lit(0))
+
+    def between(p: Column, a: Column, b: Column) -> Column:
+        first = F.floor(a / PIECE).cast("int")
+        some = F.slice(p, first + 1, F.greatest(F.floor((b - 1) / PIECE).cast("int") - first + 1, F.lit(0)))
+        return F.substring(F.array_join(some, ""), (a % PIECE + 1).cast("int"), (b - a).cast("int"))
 
-    def step(a: Column, s: Column) -> Column:
-        between = F.substring(text, (a["at"] + 1).cast("int"), (s["start"] - a["at"]).cast("int"))
-        return F.when(s["start"] >= a["at"], F.struct(s["stop"].alias("at"), F.concat(a["out"], between, F.lit(mark)).alias("out"))).otherwise(F.struct(F.greatest(a["at"], s["stop"]).alias("at"), a["out"].alias("out")))
+    def whole(p: Column) -> Column:
+        reach = _running(F.transform(spans, lambda x: x["stop"]), lambda a, x: F.greatest(a, x))
+        shown = F.zip_with(spans, reach, lambda x, r: F.when((x["start"] >= r), F.concat(between(p, r, x["start"]), F.lit(mark))).otherwise(F.lit("")))
+        end = F.array_max(F.transform(spans, lambda x: x["stop"]))
+        return F.concat(F.array_join(shown, ""), between(p, end, F.char_length(text).cast("long")))
 
-    tail = lambda a: F.concat(a["out"], F.substring(text, (a["at"] + 1).cast("int"), F.lit(2**31 - 1)))
-    return F.when(F.size(spans) > 0, F.aggregate(spans, start, step, tail)).otherwise(text)
+    return F.when(F.size(spans) > 0, _let(pieces, whole)).otherwise(text)
 
 
 def op4_secret_scans(spark: SparkSession, sf_dir: str) -> DataFrame:
