@@ -175,14 +175,22 @@ def test_simhash(docs):
     assert got == {(i, f"{a:016x}"): root[i] for i, a in prints}
 
 
-def test_tree_loses_no_pair():
+def test_documents_that_share_an_id_are_linked(spark):
+    text = lambda c: " ".join(f"{c}{i}" for i in range(40))
+    df = spark.createDataFrame([(3, text("x")), (5, text("x")), (5, text("y")), (7, text("y")), (6, text("z"))], "doc_id long, text string")
+    assert {(r["doc_id"], r["component_id"]) for r in simhash.simhash_components(df).collect()} == {(3, 3), (5, 3), (7, 3), (6, 6)}
+
+
+@pytest.mark.parametrize("fitted", [0, 2, 9])
+def test_tree_loses_no_pair(fitted):
     rng = np.random.default_rng(2)
     x = rng.integers(0, 1 << 63, (600, 1), dtype=np.uint64)
     x[300:] = x[:300] ^ (np.uint64(1) << rng.integers(0, 63, (300, 1), dtype=np.uint64))
-    tree, depth = simhash.VantageTree(x, 4), np.full(600, 4)
+    tree, depth = simhash.VantageTree(x, 4, fitted), np.full(600, 4)
     home, (point, leaf) = tree.home(x, depth), tree.overlapping(x, depth, 3)
     seen = set(zip(point.tolist(), leaf.tolist(), strict=True))
     assert all((i, home[i + 300]) in seen and (i + 300, home[i]) in seen for i in range(300))
+    assert np.bincount(home).max() < 200  # the levels that are not fitted split as well
 
 
 def test_near_duplicates(docs, spark):
@@ -209,6 +217,76 @@ def test_random_tokens_are_found_and_words_are_not(spark):
     assert got == {1: ["random"], 2: []}
 
 
+def _spans(t):
+    out = []
+    for no, (kind, p, g, least) in enumerate((("assign", secrets.ASSIGN, 2, 12), ("access", "AKIA[A-Z0-9]+", 0, 18), ("hex", "[0-9a-f]+", 0, 16))):
+        out += [(m.start(), no, kind, m.end()) for m in re.finditer(p, t) if len(m[g]) >= least]
+    return [f"{k}:{a}:{b}" for a, _, k, b in sorted(out)]
+
+
+def test_secret_query_against_plain_python(spark, sf, duck):
+    texts = dict(duck.execute("SELECT doc_id, coalesce(text, '') FROM documents").fetchall())
+    got = secrets.op4_secret_scans(spark, sf).collect()
+    assert {r["doc_id"] for r in got} == set(texts)
+    for r in got:
+        base = _spans(texts[r["doc_id"]])
+        assert r["base_sha256"] == hashlib.sha256(",".join(base).encode()).hexdigest()
+        assert (r["n_assign"], r["n_access"], r["n_hex"]) == tuple(sum(x.startswith(k + ":") for x in base) for k in ("assign", "access", "hex"))
+        every = [x for x in r["spans"].split(",") if x]
+        assert [x for x in every if not x.startswith("random")] == base
+        places = [tuple(map(int, x.split(":")[1:])) for x in every]
+        assert places == sorted(places) and all(x[1] <= y[0] for x, y in zip(places, places[1:]) if "random" in ",".join(every))
+
+
+def _random_tokens(rng, alphabet, n, many):
+    return ["".join(rng.choice(list(alphabet), n)) for _ in range(many)]
+
+
+B62 = "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789"
+
+
+@pytest.mark.parametrize(("alphabet", "floors"), [(B62, {20: 0.5, 24: 0.8, 32: 0.9, 40: 0.95}), ("0123456789ABCDEF", {32: 0.8, 40: 0.9, 64: 0.95})])
+def test_power_by_length(spark, alphabet, floors):
+    """A hundred random tokens of a length among structured ones: the share found, and what is found besides."""
+    rng = np.random.default_rng(11)
+    words_ = "alpha user Config name value Session data list Index cache node Path File line id Request".split()
+    plain_ = ["".join(rng.choice(words_, 6)) + str(int(rng.integers(0, 100))) for _ in range(300)] + ["_".join(rng.choice(words_, 5)) for _ in range(300)] + ["/".join(["", *rng.choice(words_, 5)]) for _ in range(200)]
+    for n, floor in floors.items():
+        tokens = _random_tokens(rng, alphabet, n, 100)
+        df = spark.createDataFrame([(i, f"x {t} y") for i, t in enumerate(tokens + plain_)], "doc_id long, text string")
+        hit = {r["doc_id"] for r in secrets.scan(df).where("exists(found, s -> s.kind = 'random')").collect()}
+        true = len([i for i in hit if i < 100])
+        print("power", len(alphabet), n, true, len(hit) - true)
+        assert true >= 100 * floor and len(hit) - true <= 5
+
+
+def test_long_texts_take_seconds(spark):
+    import time
+
+    t = "0123456789abcdef " * 60_000
+    df = spark.createDataFrame([(1, t), (2, "token: abcdefghijkl " * 20_000), (3, "é" * 3_000_000)], "doc_id long, text string")
+    began = time.time()
+    got = {r["doc_id"]: (r["n"], r["m"]) for r in secrets.scan(df).select("doc_id", secrets.F.size("found").alias("n"), secrets.F.sha2(secrets.redacted(secrets.F.col("text"), secrets.F.col("found")), 256).alias("m")).collect()}
+    sha = lambda x: hashlib.sha256(x.encode()).hexdigest()
+    assert got == {1: (60_000, sha("[SECRET] " * 60_000)), 2: (20_000, sha("[SECRET] " * 20_000)), 3: (0, sha("é" * 3_000_000))}
+    assert time.time() - began < 60
+
+
+def test_redaction_joins_overlaps(spark):
+    df = spark.createDataFrame([("0123456789", [(1, 3), (2, 5), (2, 3), (7, 9)]), ("x" * 9000 + "yz", [(8999, 9001)]), ("", [])], "text string, s array<struct<start: long, stop: long>>")
+    got = [r[0] for r in df.select(secrets.redacted(secrets.F.col("text"), secrets.F.col("s"), "#")).collect()]
+    assert got == ["0#56#9", "x" * 8999 + "#z", ""]
+
+
+def test_clashing_names(spark):
+    df = spark.createDataFrame([(1, "AKIAABCDEFGHIJKLMN", "mine", 3, "http://a.com/en/1", "h", "r"), (1, None, None, None, None, None, None)], "doc_id long, text string, base string, found int, url string, host string, rule string")
+    assert [len(r["base"]) for r in secrets.scan(df).collect()] == [1, 0]
+    out = url_filter.judge(url_filter.with_parts(df), url_filter.RULES)
+    assert sorted(out.columns) == sorted([*df.columns, "path", "verdict"]) and [(r["host"], r["rule"]) for r in out.collect()] == [("a.com", "com/en/"), ("", None)]
+    assert url_filter.judge(url_filter.with_parts(df.limit(0)), url_filter.RULES).count() == 0
+    assert [r["verdict"] for r in url_filter.judge(url_filter.with_parts(df), []).collect()] == ["allow"] * 2
+
+
 def test_digest(docs):
     got = {(r["doc_id"], r["fingerprint"]) for r in digest.exact_groups(docs).collect()}
     by = dict(got)
@@ -282,6 +360,30 @@ def test_neighbours(spark):
         assert [(r["vec_id"]) for r in got if r["query_id"] == q] == [i for _, i in expected]
 
 
+def test_recall_of_the_walk(spark):
+    """Far more entries than a query meets: the heap walk decides what is reranked."""
+    rng = np.random.default_rng(12)
+    centres = rng.normal(size=(40, 16)) * 4
+    x = (centres[rng.integers(0, 40, 3000)] + rng.normal(size=(3000, 16))).round(4)
+    rows = [(i, v.tolist(), 0) for i, v in enumerate(x)] + [(0, x[0].tolist(), 1), (5001, [1.0] * 15, 2), (5002, [float("inf")] * 16, 3), (None, x[1].tolist(), 4)]
+    vectors = neighbours.usable(spark.createDataFrame(rows, "vec_id long, embedding array<double>, key int"))
+    got = neighbours.MultiIndex(vectors, 10).search(vectors.where("vec_id % 100 = 0")).collect()
+    by = {}
+    for r in got:
+        by.setdefault(r["query_id"], {})[r["rank"]] = (r["score"], r["vec_id"])
+    hit = 0
+    for q, ranks in by.items():
+        exact = sorted((math.dist(x[q], x[i]), i) for i in range(3000) if i != q)[:10]
+        assert [ranks[r] for r in range(1, 11)] == sorted(ranks.values()) and all(abs(s - math.dist(x[q], x[i])) < 1e-9 for s, i in ranks.values())
+        hit += len({i for _, i in exact} & {i for _, i in ranks.values()})
+    assert len(by) == 30 and hit >= 0.9 * 300
+
+
+def test_neighbours_of_an_empty_table(spark):
+    none = neighbours.usable(spark.createDataFrame([], "vec_id long, embedding array<double>"))
+    assert neighbours.MultiIndex(none, 10).search(none).count() == 0
+
+
 def test_classifier_on_held_out_labels(spark, sf):
     df, labels = spark.read.parquet("/root/testdata/sf0.01/documents.parquet"), spark.read.parquet("/root/testdata/sf0.01/labels.parquet")
     got = quality.classify(df).join(labels, "doc_id").selectExpr("quality = 1 AND toxic = 0 AS clean", "quality = 0 AS junk", "keep").collect()
