@@ -1,7 +1,8 @@
 """Rating systems, chronological evaluation, bootstrap and bracket simulation.
 
-Ratings advance event by event, so a fit is sequential in time; each key's history is one group, and
-keys run in parallel.  Games within an event are simultaneous.
+Ratings advance event by event, so a fit is sequential in time.  Games within an event are simultaneous, so all that
+a fit needs of them is a count per event and pair: `event_pairs` adds them up in the JVM, and the history that the
+fit of one key reads is bounded by events times pairs of its players, however many games there are.
 """
 
 from __future__ import annotations
@@ -18,42 +19,75 @@ from matchlake.functions.scalar import brier, log_loss
 SCALE = 173.7178  # Glicko-2 units
 
 
-def elo(history: pd.DataFrame, k: float = 32.0, scale: float = 400.0, half_life: float | None = None) -> pd.DataFrame:
-    """history: event, day, a, b, won (a's result). Adds p, the forecast before the event."""
+def event_pairs(df: DataFrame, keys: list[str], event: str, day: str, a: str, b: str, won: str) -> DataFrame:
+    """keys, event, day (of its end), a, b, games, wins (of a)."""
+    pairs = df.groupBy(*keys, F.col(event).alias("event"), F.col(a).alias("a"), F.col(b).alias("b")).agg(F.max(day).alias("_day"), F.count("*").alias("games"), F.sum(won).cast("long").alias("wins"))
+    return pairs.withColumn("day", F.max("_day").over(Window.partitionBy(*keys, "event"))).drop("_day")
+
+
+def _events(pairs: pd.DataFrame):
+    """Events in the order of their ends, then by id."""
+    ordered = pairs.sort_values(["day", "event", "a", "b"])
+    for (day, _), games in ordered.groupby(["day", "event"], sort=False):
+        yield float(day), games
+
+
+def elo(pairs: pd.DataFrame, cutoff: float, k: float = 32.0, scale: float = 400.0, half_life: float = 730.0) -> pd.DataFrame:
+    """Event-batch Elo: all games of an event are predicted from its opening ratings, then applied together.
+
+    An update weighs 2 ** (-age / half_life) of the event's end at the cutoff; ratings themselves do not decay.
+    """
     rating: dict = {}
-    last: dict = {}
-    out = []
-    for event, games in history.sort_values(["day", "event"]).groupby(["day", "event"], sort=False):
-        day = event[0]
-        at = lambda x: rating.get(x, 0.0) * (2 ** (-(day - last[x]) / half_life) if half_life and x in last else 1.0)
-        change: dict = {}
+    for day, games in _events(pairs[pairs["day"] < cutoff]):
+        weight, change = k * 2 ** (-(cutoff - day) / half_life), {}
         for g in games.itertuples(index=False):
-            p = 1 / (1 + 10 ** ((at(g.b) - at(g.a)) / scale))
-            out.append(p)
-            change[g.a] = change.get(g.a, 0.0) + k * (g.won - p)
-            change[g.b] = change.get(g.b, 0.0) - k * (g.won - p)
+            p = 1 / (1 + 10 ** ((rating.get(g.b, 0.0) - rating.get(g.a, 0.0)) / scale))
+            d = weight * (g.wins - g.games * p)
+            change[g.a], change[g.b] = change.get(g.a, 0.0) + d, change.get(g.b, 0.0) - d
         for x, d in change.items():
-            rating[x], last[x] = at(x) + d, day
-    return history.sort_values(["day", "event"]).assign(p=out)
+            rating[x] = rating.get(x, 0.0) + d
+    return pd.DataFrame(sorted(rating.items()), columns=["player", "rating"])
+
 
+def dynamic_bradley_terry(pairs: pd.DataFrame, cutoff: float, half_life: float = 365.0, ridge: float = 1.0, rounds: int = 300, tolerance: float = 1e-9) -> pd.DataFrame:
+    """Strengths at the cutoff. Each event is fitted jointly about the decayed strengths of those who return.
 
-def glicko2(history: pd.DataFrame, tau: float = 0.5) -> pd.DataFrame:
+    The step 1 / (ridge + most games of a player / 2) is within the bound of the objective's smoothness.
+    """
+    state: dict = {}
+    for day, games in _events(pairs[pairs["day"] < cutoff]):
+        names = sorted({*games["a"], *games["b"]})
+        at = {x: i for i, x in enumerate(names)}
+        a, b = games["a"].map(at).to_numpy(), games["b"].map(at).to_numpy()
+        n, wins = games["games"].to_numpy(float), games["wins"].to_numpy(float)
+        prior = np.array([state[x][0] * 2 ** (-(day - state[x][1]) / half_life) if x in state else 0.0 for x in names])
+        played = np.bincount(a, n, len(names)) + np.bincount(b, n, len(names))
+        step, s, moved, done = 1 / (ridge + played.max() / 2), prior.copy(), np.inf, 0
+        while done < rounds and moved > tolerance:
+            r = wins - n / (1 + np.exp(-(s[a] - s[b])))
+            change = step * (np.bincount(a, r, len(names)) - np.bincount(b, r, len(names)) - ridge * (s - prior))
+            s, moved, done = s + change, np.abs(change).max(), done + 1
+        state.update({x: (float(v), day) for x, v in zip(names, s, strict=True)})
+    return pd.DataFrame([(x, v * 2 ** (-(cutoff - day) / half_life)) for x, (v, day) in sorted(state.items())], columns=["player", "strength"])
+
+
+def glicko2(pairs: pd.DataFrame, tau: float = 0.5) -> pd.DataFrame:
     """Ratings (rating, deviation, volatility) after all events, one rating period each."""
     state: dict = {}
     g = lambda phi: 1 / math.sqrt(1 + 3 * phi * phi / math.pi**2)
-    for _, games in history.sort_values(["day", "event"]).groupby(["day", "event"], sort=False):
+    for _, games in _events(pairs):
         met: dict = {}
         for r in games.itertuples(index=False):
-            met.setdefault(r.a, []).append((r.b, r.won))
-            met.setdefault(r.b, []).append((r.a, 1 - r.won))
-        old = {x: state.get(x, (0.0, 350 / SCALE, 0.06)) for x in {*met, *(o for v in met.values() for o, _ in v)}}
+            met.setdefault(r.a, []).append((r.b, r.games, r.wins))
+            met.setdefault(r.b, []).append((r.a, r.games, r.games - r.wins))
+        old = {x: state.get(x, (0.0, 350 / SCALE, 0.06)) for x in met}
         for x, results in met.items():
             mu, phi, vol = old[x]
             weight = drift = 0.0
-            for other, s in results:
+            for other, n, wins in results:
                 w = g(old[other][1])
                 e = 1 / (1 + math.exp(-w * (mu - old[other][0])))
-                weight, drift = weight + w * w * e * (1 - e), drift + w * (s - e)
+                weight, drift = weight + n * w * w * e * (1 - e), drift + w * (wins - n * e)
             v = 1 / weight
             delta = v * drift
             vol = _volatility(phi, v, delta, vol, tau)
@@ -90,22 +124,6 @@ def _volatility(phi: float, v: float, delta: float, vol: float, tau: float) -> f
     return math.exp(low / 2)
 
 
-def bradley_terry(history: pd.DataFrame, ridge: float = 2.0, rounds: int = 300, tolerance: float = 1e-9) -> pd.DataFrame:
-    """Ridge-regularised strengths by gradient ascent with a step that cannot overshoot."""
-    names = sorted({*history["a"], *history["b"]})
-    at = {x: i for i, x in enumerate(names)}
-    a, b, won = history["a"].map(at).to_numpy(), history["b"].map(at).to_numpy(), history["won"].to_numpy(float)
-    s = np.zeros(len(names))
-    step = 1 / (ridge + np.bincount(np.concatenate([a, b]), minlength=len(names)).max() / 2)
-    for _ in range(rounds):
-        r = won - 1 / (1 + np.exp(-(s[a] - s[b])))
-        grad = np.bincount(a, r, len(names)) - np.bincount(b, r, len(names)) - ridge * s
-        s = s + step * grad
-        if np.abs(step * grad).max() < tolerance:
-            break
-    return pd.DataFrame({"player": names, "strength": s})
-
-
 def folds(events: DataFrame, least_train: int) -> DataFrame:
     """Per target event, the number of earlier events it may learn from: those that ended before it starts.
 
@@ -118,6 +136,13 @@ def folds(events: DataFrame, least_train: int) -> DataFrame:
     return before.select(F.explode("events").alias("event"), "train_events").where(F.col("train_events") >= least_train)
 
 
+def seed_confidence(df: DataFrame, keys: list[str], seed_a: str, seed_b: str, games: str, wins: str) -> DataFrame:
+    """comparisons, higher_wins and confidence that the higher seed wins: Beta(1, 1) smoothed, one half at least."""
+    higher = F.when(F.col(seed_a) < F.col(seed_b), F.col(wins)).otherwise(F.col(games) - F.col(wins))
+    got = df.groupBy(*keys).agg(F.sum(games).alias("comparisons"), F.sum(higher).alias("higher_wins"))
+    return got.withColumn("confidence", F.greatest(F.lit(0.5), (F.col("higher_wins") + 1) / (F.col("comparisons") + 2).cast("double")))
+
+
 def scores(df: DataFrame, keys: list[str], p: str, y: str) -> DataFrame:
     """n, accuracy (one half at 0.5), Brier and log loss."""
     pc, yc = F.col(p), F.col(y)
@@ -144,24 +169,63 @@ def bootstrap(spark: SparkSession, clusters: pd.DataFrame, replicates: int = 10_
     return spark.range(replicates).mapInPandas(run, "replicate long, mean double")
 
 
-def knockout(spark: SparkSession, strengths: list[float], simulations: int = 20_000, seed: int = 1) -> DataFrame:
-    """Title chances by seed in a single-elimination bracket of a power of two, simulated in parallel."""
-    order = [0]
-    while len(order) < len(strengths):
-        order = [x for s in order for x in (s, 2 * len(order) - 1 - s)]
-    power = np.array(strengths)
+def _uniform(seed: int, simulation: np.ndarray, match: int) -> np.ndarray:
+    """Random numbers by counter: of a simulation and a match alone, so that neither order nor partitioning shows."""
+    x = simulation.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15) + np.uint64((seed * 1_000_003 + match) % (1 << 64))
+    for shift, factor in ((30, 0xBF58476D1CE4E5B9), (27, 0x94D049BB133111EB)):
+        x = (x ^ (x >> np.uint64(shift))) * np.uint64(factor)
+    return ((x ^ (x >> np.uint64(31))) >> np.uint64(11)) / float(1 << 53)
+
+
+def double_elimination(power: np.ndarray, simulations: np.ndarray, seed: int = 1) -> np.ndarray:
+    """Champion (place in power, best seed first) of each simulation of a bracket of eight with a reset final.
+
+    Losers drop across the bracket, so that no two meet again at once.  The second final is played only where the
+    first goes to the side from below.  Checked: all but the champion lose twice, the champion at most once.
+    """
+    lost, count = np.zeros((len(simulations), len(power)), np.int64), 0
+    line = np.arange(len(simulations))
+
+    def play(a: np.ndarray, b: np.ndarray, where: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray]:
+        nonlocal count
+        first = _uniform(seed, simulations, count) < 1 / (1 + np.exp(-(power[a] - power[b])))
+        count += 1
+        win, lose = np.where(first, a, b), np.where(first, b, a)
+        if where is None:
+            lost[line, lose] += 1
+        else:
+            win = np.where(where, win, a)
+            lost[line[where], lose[where]] += 1
+        return win, lose
+
+    full = lambda i: np.full(len(simulations), i)
+    one = [play(full(a), full(b)) for a, b in ((0, 7), (3, 4), (1, 6), (2, 5))]
+    two = [play(one[0][0], one[1][0]), play(one[2][0], one[3][0])]
+    low = [play(one[0][1], one[1][1])[0], play(one[2][1], one[3][1])[0]]
+    low = [play(low[0], two[1][1])[0], play(low[1], two[0][1])[0]]
+    top, dropped = play(two[0][0], two[1][0])
+    below, _ = play(play(low[0], low[1])[0], dropped)
+    first, _ = play(top, below)
+    champion, _ = play(first, np.where(first == top, below, top), first == below)
+    others = np.ones_like(lost, bool)
+    others[line, champion] = False
+    if len(line) and not ((lost[others] == 2).all() and (lost[line, champion] < 2).all()):
+        raise AssertionError("a bracket lost a match")
+    return champion
+
+
+def bracket_titles(entrants: DataFrame, simulations: int = 20_000, seed: int = 1) -> DataFrame:
+    """entrant, titles, title_chance for the eight entrants (entrant, strength; more are an error), seeded by strength."""
+    field = entrants.orderBy(F.desc("strength"), "entrant").limit(9).collect()
+    if len(field) != 8:
+        raise ValueError("the bracket takes eight entrants")
+    power, names = np.array([r["strength"] for r in field], float), [r["entrant"] for r in field]
 
     def run(batches):
         for pdf in batches:
-            wins = np.zeros(len(power), np.int64)
-            for i in pdf["id"]:
-                rng, field = np.random.default_rng([seed, int(i)]), np.array(order)
-                while len(field) > 1:
-                    a, b = field[::2], field[1::2]
-                    p = 1 / (1 + np.exp(-(power[a] - power[b])))
-                    field = np.where(rng.random(len(a)) < p, a, b)
-                wins[field[0]] += 1
-            yield pd.DataFrame({"seed": np.arange(1, len(power) + 1), "titles": wins})
-
-    got = spark.range(simulations).mapInPandas(run, "seed long, titles long").groupBy("seed").agg(F.sum("titles").alias("titles"))
+            wins = np.bincount(double_elimination(power, pdf["id"].to_numpy(), seed), minlength=8)
+            yield pd.DataFrame({"entrant": names, "titles": wins})
+
+    kind = dict(entrants.dtypes)["entrant"]
+    got = entrants.sparkSession.range(simulations).mapInPandas(run, f"entrant {kind}, titles long").groupBy("entrant").agg(F.sum("titles").alias("titles"))
     return got.withColumn("title_chance", F.col("titles") / float(simulations))

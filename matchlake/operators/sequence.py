@@ -5,7 +5,6 @@ All partition by an owner, so that no window spans the whole input.
 
 from __future__ import annotations
 
-import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -73,36 +72,35 @@ def sequence_groups(df: DataFrame, keys: list[str], order: list[str], ts: str, r
     return sized.where(F.col("size").between(least, most))
 
 
-def best_of_three(df: DataFrame, keys: list[str], order: list[str], ts: str, opponent: str, gap: str) -> DataFrame:
-    """Sets against one opponent: consecutive games within the gap, closed when a side has two wins.
+def best_of_three(df: DataFrame, keys: list[str], order: list[str], ts: str, end: Column, opponent: str, gap: str) -> DataFrame:
+    """Decided sets against one opponent: games that start within the gap after the end of the one before, up to two wins.
 
-    The reset on closing is state that a window cannot hold; blocks that cannot share a set are cut by
-    windows first, so each Python group is one short block.
+    Games without an opponent or a date are left out and break nothing; those without a result sit inside a set.  Windows
+    cut the blocks that cannot share a set; the reset on deciding folds over each block's short sorted array in the JVM.
+    opened: the first result of the set.
     """
     whole = Window.partitionBy(*keys).orderBy(*order)
-    breaks = F.lag(opponent).over(whole).isNull() | (F.lag(opponent).over(whole) != F.col(opponent)) | F.coalesce(F.col(ts) > F.lag(ts).over(whole) + F.expr(f"INTERVAL {gap}"), F.lit(False))
-    blocks = df.withColumn("_b", breaks.cast("int")).withColumn("block", F.sum("_b").over(whole)).withColumn("pos", F.row_number().over(whole))
-    blocks = blocks.select(*keys, "block", "pos", F.col("w").cast("double").alias("w"))
-    names = [*keys, "block", "set_no", "games", "wins", "losses", "first_pos"]
-    kinds = dict(blocks.dtypes)
-
-    def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        out = []
-        for key, block in pdf.sort_values("pos").groupby([*keys, "block"], sort=False):
-            n = wins = losses = done = 0
-            first = None
-            for pos, w in zip(block["pos"], block["w"], strict=True):
-                first = pos if n == 0 else first
-                n += 1
-                wins, losses = wins + (w == 1), losses + (w == 0)
-                if max(wins, losses) == 2:
-                    done += 1
-                    out.append((*key, done, n, wins, losses, first))
-                    n = wins = losses = 0
-        return pd.DataFrame(out, columns=names)
-
-    schema = ", ".join(f"{c} {kinds[c]}" for c in keys) + ", block long, set_no long, games long, wins long, losses long, first_pos long"
-    return blocks.groupBy(*keys).applyInPandas(run, schema)
+    known = df.where(F.col(opponent).isNotNull() & F.col(ts).isNotNull()).withColumn("_end", end)
+    stays = (F.lag(opponent).over(whole) == F.col(opponent)) & (F.col(ts) <= F.lag("_end").over(whole) + F.expr(f"INTERVAL {gap}"))
+    marked = known.withColumn("_b", F.when(stays, 0).otherwise(1)).withColumn("block", F.sum("_b").over(whole)).withColumn("pos", F.row_number().over(whole).cast("long"))
+    blocks = marked.groupBy(*keys, "block").agg(F.sort_array(F.collect_list(F.struct("pos", F.col("w").cast("int").alias("w")))).alias("games"))
+    set_type = "struct<games: bigint, wins: bigint, losses: bigint, first_pos: bigint, opened: int>"
+    empty = F.struct(F.lit(None).cast(set_type).alias("now"), F.array().cast(f"array<{set_type}>").alias("done"))
+
+    def step(a: Column, g: Column) -> Column:
+        one = lambda name, more: F.coalesce(a["now"][name], F.lit(0).cast("long")) + more
+        now = F.struct(
+            one("games", F.lit(1)).alias("games"),
+            one("wins", F.when(g["w"] == 1, 1).otherwise(0)).alias("wins"),
+            one("losses", F.when(g["w"] == 0, 1).otherwise(0)).alias("losses"),
+            F.coalesce(a["now"]["first_pos"], g["pos"]).alias("first_pos"),
+            F.coalesce(a["now"]["opened"], g["w"]).alias("opened"),
+        ).cast(set_type)
+        over = F.greatest(now["wins"], now["losses"]) == 2
+        return F.struct(F.when(~over, now).alias("now"), F.when(over, F.concat(a["done"], F.array(now))).otherwise(a["done"]).alias("done"))
+
+    sets = blocks.select(*keys, "block", F.posexplode(F.aggregate("games", empty, step, lambda a: a["done"])).alias("set_no", "s"))
+    return sets.select(*keys, "block", (F.col("set_no") + 1).cast("long").alias("set_no"), "s.*")
 
 
 def median_split(df: DataFrame, keys: list[str], by: str, order: list[str]) -> DataFrame:

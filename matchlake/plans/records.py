@@ -172,7 +172,8 @@ MEASURED = "m AS (SELECT game, sum(landed) AS landed, sum(damage) AS damage FROM
 
 def measured(spark, sf):
     """Games with their moves' totals: null where no move was measured."""
-    return games(spark, sf).join(moves(spark, sf).groupBy("game").agg(F.sum("landed").alias("landed"), F.sum("damage").alias("damage")), "game", "left")
+    items = load(spark, sf, "lineitem").groupBy(F.col("l_orderkey").alias("game")).agg(F.sum("l_quantity").alias("landed"), F.sum("l_extendedprice").alias("damage"))
+    return games(spark, sf).join(items, "game", "left")
 
 
 @query("a03_overview", f"WITH {MEASURED} SELECT segment, {WL}, count(damage) AS measured, round(sum(damage) / nullif(count(damage), 0), 4) AS damage_per_game, round(avg(amount), 4) AS mean_amount FROM j GROUP BY segment", "games", "moves")
@@ -307,20 +308,23 @@ def a39(spark, sf):
 
 @query("a40_cube8_coverage", f"WITH {MEASURED} SELECT nation, segment, mode, CAST(grouping(nation) * 4 + grouping(segment) * 2 + grouping(mode) AS BIGINT) AS level, count(*) AS player_games, count(DISTINCT game) AS distinct_games, count(damage) AS covered, round(sum(amount) FILTER (damage IS NOT NULL), 2) AS covered_amount FROM j GROUP BY CUBE (nation, segment, mode)", "games", "moves")
 def a40(spark, sf):
-    got = measured(spark, sf).cube("nation", "segment", "mode").agg(F.grouping_id().cast("long").alias("level"), F.count("*").alias("player_games"), F.count_distinct("game").alias("distinct_games"), F.count("damage").alias("covered"), F.round(F.sum(F.when(F.col("damage").isNotNull(), F.col("amount"))), 2).alias("covered_amount"))
+    got = measured(spark, sf).cube("nation", "segment", "mode").agg(F.grouping_id().cast("long").alias("level"), F.count("*").alias("player_games"), F.count("game").alias("distinct_games"), F.count("damage").alias("covered"), F.round(F.sum(F.when(F.col("damage").isNotNull(), F.col("amount"))), 2).alias("covered_amount"))
     return got
 
 
-@query("a47_gap_fill", "WITH c AS (SELECT segment, CAST(year(ts) AS INTEGER) AS year, count(*) AS n FROM games WHERE year(ts) % 2 = 0 GROUP BY ALL), s AS (SELECT segment, unnest(range(min(year), max(year) + 1))::INTEGER AS year FROM c GROUP BY segment) SELECT segment, year, coalesce(n, 0) AS n FROM s LEFT JOIN c USING (segment, year)", "games")
+@query("a47_gap_fill", "WITH c AS (SELECT segment, CAST(year(ts) AS INTEGER) AS year, count(*) AS n FROM games GROUP BY ALL HAVING count(*) >= 40 AND min(game) % 3 > 0), s AS (SELECT segment, unnest(range(min(year), max(year) + 1))::INTEGER AS year FROM c GROUP BY segment) SELECT segment, year, coalesce(n, 0) AS n FROM s LEFT JOIN c USING (segment, year)", "games")
 def a47(spark, sf):
-    c = games(spark, sf).where(F.year("ts") % 2 == 0).groupBy("segment", F.year("ts").alias("year")).agg(F.count("*").alias("n"))
+    c = games(spark, sf).groupBy("segment", F.year("ts").alias("year")).agg(F.count("*").alias("n"), F.min("game").alias("first")).where("n >= 40 AND first % 3 > 0").drop("first")
     return A.gap_fill(c, ["segment"], "year", "n")
 
 
 @query("a48_composition", "SELECT p_type AS edition, p_brand AS main, count(*) AS n, array_to_string(list(p_name ORDER BY p_size, p_name)[1:3], ';') AS first_three FROM part GROUP BY ALL")
 def a48(spark, sf):
-    names = F.transform(F.slice(F.array_sort(F.collect_list(F.struct("p_size", "p_name"))), 1, 3), lambda x: x["p_name"])
-    return load(spark, sf, "part").groupBy(F.col("p_type").alias("edition"), F.col("p_brand").alias("main")).agg(F.count("*").alias("n"), F.array_join(names, ";").alias("first_three"))
+    part = load(spark, sf, "part").select(F.col("p_type").alias("edition"), F.col("p_brand").alias("main"), "p_size", "p_name")
+    ranked = part.withColumn("r", F.row_number().over(Window.partitionBy("edition", "main").orderBy("p_size", "p_name")))
+    names = F.transform(F.array_sort(F.collect_list(F.struct("p_size", "p_name"))), lambda x: x["p_name"])  # three of them
+    top = ranked.where("r <= 3").groupBy("edition", "main").agg(F.array_join(names, ";").alias("first_three"))
+    return part.groupBy("edition", "main").agg(F.count("*").alias("n")).join(top, ["edition", "main"])
 
 
 @query("a49_fold_other", "SELECT p_type AS edition, CASE WHEN p_brand IN ('Brand#11', 'Brand#12', 'Brand#13') THEN p_brand ELSE 'Other' END AS brand, count(*) AS n, round(count(*) / sum(count(*)) OVER (PARTITION BY p_type), 6) AS share FROM part GROUP BY 1, 2")

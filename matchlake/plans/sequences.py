@@ -14,7 +14,7 @@ from matchlake.operators import forecast as M
 from matchlake.operators import machines as K
 from matchlake.operators import sequence as W
 from matchlake.operators import stats as L
-from matchlake.plans.registry import games, plays, query, rounded
+from matchlake.plans.registry import VIEWS, games, plays, query, rounded
 from matchlake.session import load
 from matchlake.sources.tables import content_digest, smallest_per_pair
 from matchlake.streaming import incremental as I  # noqa: E741
@@ -100,19 +100,35 @@ def w10(spark, sf):
     return runs.groupBy("player", "run", "size").agg(F.count("*").alias("_n")).groupBy("size").agg(F.count("*").alias("n"))
 
 
+# Consecutive games against an opponent (none for every seventh game), cut at gaps after the end of the one before.
+SETS = f"""WITH RECURSIVE {VIEWS["plays"]}, f AS (SELECT *, game % 2 AS opp, ts + to_microseconds(CAST(floor(value / 60 * 1000000) AS BIGINT)) AS fin FROM plays WHERE game % 7 <> 0),
+m AS (SELECT *, CASE WHEN lag(opp) OVER p = opp AND ts <= lag(fin) OVER p + INTERVAL 10 DAY THEN 0 ELSE 1 END AS b, row_number() OVER p AS pos FROM f WINDOW p AS (PARTITION BY player ORDER BY ts, game)),
+k AS (SELECT *, CAST(sum(b) OVER (PARTITION BY player ORDER BY pos) AS BIGINT) AS block FROM m),
+c AS (SELECT player, block, pos, w, row_number() OVER (PARTITION BY player, block ORDER BY pos) AS i FROM k),
+r AS (
+  SELECT player, block, i, 1::BIGINT AS games, (CASE WHEN w = 1 THEN 1 ELSE 0 END)::BIGINT AS wins, (CASE WHEN w = 0 THEN 1 ELSE 0 END)::BIGINT AS losses, pos AS first_pos, w AS opened FROM c WHERE i = 1
+  UNION ALL
+  SELECT c.player, c.block, c.i, CASE WHEN greatest(r.wins, r.losses) = 2 THEN 1 ELSE r.games + 1 END, CASE WHEN greatest(r.wins, r.losses) = 2 THEN 0 ELSE r.wins END + CASE WHEN c.w = 1 THEN 1 ELSE 0 END,
+    CASE WHEN greatest(r.wins, r.losses) = 2 THEN 0 ELSE r.losses END + CASE WHEN c.w = 0 THEN 1 ELSE 0 END, CASE WHEN greatest(r.wins, r.losses) = 2 THEN c.pos ELSE r.first_pos END, CASE WHEN greatest(r.wins, r.losses) = 2 THEN c.w ELSE coalesce(r.opened, c.w) END
+  FROM r JOIN c ON c.player = r.player AND c.block = r.block AND c.i = r.i + 1
+), s AS (SELECT player, block, row_number() OVER (PARTITION BY player, block ORDER BY i) AS set_no, games, wins, losses, first_pos, opened FROM r WHERE greatest(wins, losses) = 2)"""
+
+
 def _sets(spark, sf):
-    return W.best_of_three(plays(spark, sf).withColumn("opponent", F.col("game") % 2), ["player"], SEQ, "ts", "opponent", "10 DAYS")
+    p = plays(spark, sf).withColumn("opponent", F.when(F.col("game") % 7 != 0, F.col("game") % 2))
+    return W.best_of_three(p, ["player"], SEQ, "ts", F.expr("ts + make_dt_interval(0, 0, 0, value / 60)"), "opponent", "10 DAYS")
 
 
-@query("w11_sets_bo3")
+@query("w11_sets_bo3", f"{SETS} SELECT * FROM s")
 def w11(spark, sf):
     return _sets(spark, sf)
 
 
-@query("w12_set_summary")
+@query("w12_set_summary", f"{SETS} SELECT player, count(*) AS sets, count(*) FILTER (wins = 2) AS won, round(avg(games), 6) AS mean_games, count(*) FILTER (abs(wins - losses) = 1) AS deciders, count(*) FILTER (abs(wins - losses) = 1 AND wins = 2) AS deciders_won, count(*) FILTER (opened = 0) AS after_loss, count(*) FILTER (opened = 0 AND wins = 2) AS after_loss_won FROM s GROUP BY player")
 def w12(spark, sf):
-    s = _sets(spark, sf)
-    return rounded(s.groupBy("player").agg(F.count("*").alias("sets"), F.count(F.when(F.col("wins") == 2, 1)).alias("won"), F.avg("games").alias("mean_games"), F.count(F.when(F.abs(F.col("wins") - F.col("losses")) == 1, 1)).alias("deciders")))
+    won, close, behind = F.col("wins") == 2, F.abs(F.col("wins") - F.col("losses")) == 1, F.col("opened") == 0
+    n = lambda c, name: F.count(F.when(c, 1)).alias(name)
+    return rounded(_sets(spark, sf).groupBy("player").agg(F.count("*").alias("sets"), n(won, "won"), F.avg("games").alias("mean_games"), n(close, "deciders"), n(close & won, "deciders_won"), n(behind, "after_loss"), n(behind & won, "after_loss_won")))
 
 
 @query("w13_records", f"WITH {RUNS}, b AS (SELECT player, max(length) FILTER (kind = 1) AS best_win_streak, max(length) FILTER (kind = 0) AS best_loss_streak FROM s GROUP BY player) SELECT p.player, best_win_streak, best_loss_streak, arg_max(game, (value, -game)) AS top_game FROM plays p LEFT JOIN b ON b.player = p.player GROUP BY ALL", "plays")
@@ -355,25 +371,53 @@ def _pairings(spark, sf):
     return g.where("b <> nation").select("segment", F.year("ts").alias("event"), F.datediff(F.to_date("ts"), F.lit("1992-01-01").cast("date")).alias("day_of"), F.col("nation").alias("a"), "b", F.col("w").alias("won"), "game")
 
 
-@query("m06_elo")
+CUTOFF = 2192  # days from 1992 to 1998
+PAIRS = """h AS (SELECT segment, CAST(year(ts) AS INTEGER) AS event, date_diff('day', DATE '1992-01-01', CAST(ts AS DATE)) AS day_of, nation AS a, CAST(game % 25 AS INTEGER) AS b, w AS won FROM games WHERE w IS NOT NULL AND game % 25 <> nation),
+q AS (SELECT segment, event, a, b, max(max(day_of)) OVER (PARTITION BY segment, event) AS fin, count(*) AS n, sum(won) AS wins FROM h GROUP BY segment, event, a, b)"""
+
+
+def _elo_sql() -> str:
+    """The events in turn, each from the ratings before it."""
+    steps = ["r1991 AS (SELECT DISTINCT segment, a AS player, 0.0::DOUBLE AS rating, false AS seen FROM h UNION SELECT DISTINCT segment, b, 0.0::DOUBLE, false FROM h)"]
+    for y in range(1992, 1998):
+        c = f"32 * 2.0 ** (-(2192 - fin) / 730.0) * (wins - n / (1 + 10 ** ((y.rating - x.rating) / 400)))"
+        steps.append(f"c{y} AS (SELECT q.*, {c} AS c FROM q JOIN r{y - 1} x ON x.segment = q.segment AND x.player = a JOIN r{y - 1} y ON y.segment = q.segment AND y.player = b WHERE event = {y} AND fin < 2192)")
+        steps.append(f"r{y} AS (SELECT r.segment, r.player, any_value(r.rating) + coalesce(sum(d.c), 0) AS rating, bool_or(r.seen OR d.c IS NOT NULL) AS seen FROM r{y - 1} r LEFT JOIN (SELECT segment, a AS player, c FROM c{y} UNION ALL SELECT segment, b, -c FROM c{y}) d ON d.segment = r.segment AND d.player = r.player GROUP BY r.segment, r.player)")
+    return f"WITH {PAIRS}, {', '.join(steps)} SELECT segment, player, round(rating, 4) AS rating FROM r1997 WHERE seen"
+
+
+def _by_segment(spark, sf, fit, schema):
+    """fit on the counts per event and pair of each segment."""
+    pairs = M.event_pairs(_pairings(spark, sf), ["segment"], "event", "day_of", "a", "b", "won")
+    names = [f.split()[0] for f in schema.split(", ")]
+    return pairs.groupBy("segment").applyInPandas(lambda key, pdf: fit(pdf).assign(segment=key[0])[names], schema)
+
+
+@query("m05_higher_seed", f"WITH {PAIRS}, s AS (SELECT segment, player, row_number() OVER (PARTITION BY segment ORDER BY sum(wins) DESC, player) AS seed FROM (SELECT segment, a AS player, wins FROM q WHERE event = 1992 UNION ALL SELECT segment, b, n - wins FROM q WHERE event = 1992) GROUP BY segment, player) SELECT q.segment, CAST(sum(n) AS BIGINT) AS comparisons, CAST(sum(CASE WHEN x.seed < y.seed THEN wins ELSE n - wins END) AS BIGINT) AS higher_wins, round(greatest(0.5, (sum(CASE WHEN x.seed < y.seed THEN wins ELSE n - wins END) + 1) / (sum(n) + 2)::DOUBLE), 6) AS confidence FROM q JOIN s x ON x.segment = q.segment AND x.player = a JOIN s y ON y.segment = q.segment AND y.player = b WHERE event > 1992 AND fin < 2192 GROUP BY q.segment", "games")
+def m05(spark, sf):
+    """Seeds from the wins of the first event; the confidence is that of the training events alone."""
+    pairs = M.event_pairs(_pairings(spark, sf), ["segment"], "event", "day_of", "a", "b", "won")
+    first = pairs.where("event = 1992")
+    wins = first.select("segment", F.col("a").alias("player"), "wins").unionByName(first.select("segment", F.col("b").alias("player"), (F.col("games") - F.col("wins")).alias("wins")))
+    seeds = wins.groupBy("segment", "player").agg(F.sum("wins").alias("w")).withColumn("seed", F.row_number().over(Window.partitionBy("segment").orderBy(F.desc("w"), "player")))
+    side = lambda c: seeds.select("segment", F.col("player").alias(c), F.col("seed").alias(f"seed_{c}"))
+    known = pairs.where((F.col("event") > 1992) & (F.col("day") < CUTOFF)).join(side("a"), ["segment", "a"]).join(side("b"), ["segment", "b"])
+    return rounded(M.seed_confidence(known, ["segment"], "seed_a", "seed_b", "games", "wins"))
+
+
+@query("m06_elo", _elo_sql(), "games")
 def m06(spark, sf):
-    x = _pairings(spark, sf).withColumn("day", (F.col("event") - 1992) * 365)
-    run = lambda pdf: M.elo(pdf.sort_values("game"), half_life=730.0)[["segment", "game", "won", "p"]]
-    out = x.select("segment", "event", "day", "a", "b", "won", "game").groupBy("segment").applyInPandas(run, "segment string, game long, won int, p double")
-    return rounded(M.scores(out, ["segment"], "p", "won"))
+    return rounded(_by_segment(spark, sf, lambda pdf: M.elo(pdf, CUTOFF), "segment string, player int, rating double"), 4)
 
 
 @query("m07_glicko2")
 def m07(spark, sf):
-    x = _pairings(spark, sf).withColumn("day", F.col("event") * 365)
-    run = lambda key, pdf: M.glicko2(pdf).assign(segment=key[0])[["segment", "player", "rating", "deviation", "volatility"]]
-    return rounded(x.groupBy("segment").applyInPandas(run, "segment string, player int, rating double, deviation double, volatility double"), 4)
+    return rounded(_by_segment(spark, sf, M.glicko2, "segment string, player int, rating double, deviation double, volatility double"), 4)
 
 
 @query("m08_dyn_bt")
 def m08(spark, sf):
-    run = lambda key, pdf: M.bradley_terry(pdf).assign(segment=key[0])[["segment", "player", "strength"]]
-    return rounded(_pairings(spark, sf).groupBy("segment").applyInPandas(run, "segment string, player int, strength double"))
+    return rounded(_by_segment(spark, sf, lambda pdf: M.dynamic_bradley_terry(pdf, CUTOFF), "segment string, player int, strength double"))
 
 
 @query("m13_calibration", "WITH x AS (SELECT least(9, CAST(floor(((value % 101) / 101.0) * 10) AS INTEGER)) AS bin, (value % 101) / 101.0 AS p, w FROM plays WHERE w IS NOT NULL) SELECT bin, count(*) AS n, round(avg(p), 6) AS mean_p, round(avg(w), 6) AS observed FROM x GROUP BY bin", "plays")
@@ -385,7 +429,10 @@ def m13(spark, sf):
 
 @query("m15_bootstrap")
 def m15(spark, sf):
-    c = plays(spark, sf).where("w IS NOT NULL").groupBy("mode", F.date_format("ts", "yyyy-MM").alias("cluster")).agg(F.sum(F.col("w") - 0.5).alias("total"), F.count("*").alias("n"))
+    """Interval of the difference in log loss between two forecasts of the same games, whole months drawn."""
+    p = F.greatest(F.lit(0.01), F.least(F.lit(0.99), (F.col("value") % 101) / 101.0))
+    x = plays(spark, sf).where("w IS NOT NULL").withColumn("d", S.log_loss(p, F.col("w")) - S.log_loss(F.lit(0.5), F.col("w")))
+    c = x.groupBy("mode", F.date_format("ts", "yyyy-MM").alias("cluster")).agg(F.sum("d").alias("total"), F.count("*").alias("n"))
     b = M.bootstrap(spark, bounded(c.orderBy("mode", "cluster"), 100_000), 2000)
     q = F.percentile("mean", F.array(F.lit(0.025), F.lit(0.5), F.lit(0.975)))
     return rounded(b.agg(q.alias("q")).select(F.col("q")[0].alias("low"), F.col("q")[1].alias("mid"), F.col("q")[2].alias("high")))
@@ -393,7 +440,10 @@ def m15(spark, sf):
 
 @query("m19_bracket_mc")
 def m19(spark, sf):
-    return M.knockout(spark, [1.5, 1.2, 0.9, 0.6, 0.4, 0.2, 0.0, -0.2], 5000)
+    """The eight nations with the best smoothed log-odds of their decided games."""
+    g = games(spark, sf).groupBy(F.col("nation").alias("entrant")).agg(F.sum("w").alias("wins"), F.count("w").alias("n"))
+    strength = g.select("entrant", F.log((F.col("wins") + 1) / (F.col("n") - F.col("wins") + 1)).alias("strength"))
+    return M.bracket_titles(strength.orderBy(F.desc("strength"), "entrant").limit(8), 5000)
 
 
 @query("i02_preview_replace", "SELECT o_orderkey AS k, CASE WHEN o_orderkey % 2 = 0 THEN 2 ELSE 1 END AS v, CASE WHEN o_orderkey % 2 = 0 THEN round(o_totalprice, 2) END AS amount FROM orders")
@@ -416,12 +466,10 @@ def i09(spark, sf):
 @query("i18_session_window", "WITH o AS (SELECT *, CASE WHEN ts < lag(ts) OVER (PARTITION BY player ORDER BY ts) + INTERVAL 12 HOUR THEN 0 ELSE 1 END AS n FROM plays), z AS (SELECT *, sum(n) OVER (PARTITION BY player ORDER BY ts) AS s FROM o) SELECT player, strftime(min(ts), '%Y-%m-%d %H:%M:%S') AS start, count(*) AS games FROM z GROUP BY player, s", "plays")
 def i18(spark, sf):
     """The streaming form over the whole table, drained; one memory table per call."""
-    import tempfile
-
     schema = load(spark, sf, "events").schema
     stream = spark.readStream.schema(schema).option("pathGlobFilter", "events.parquet").parquet(sf)
     timed = stream.select(F.col("user_id").alias("player"), F.col("ts").cast("timestamp").alias("ts"))
-    name, root = f"sessions_{uuid.uuid4().hex}", spark.conf.get("spark.checkpoint.dir", None) or f"file://{tempfile.mkdtemp()}"
+    name, root = f"sessions_{uuid.uuid4().hex}", spark.conf.get("spark.checkpoint.dir", None) or spark.conf.get("spark.sql.warehouse.dir")
     got = I.gap_sessions(timed, "player", "ts", "12 hours", "1 day")
     got.writeStream.outputMode("complete").format("memory").queryName(name).option("checkpointLocation", f"{root}/{name}").trigger(availableNow=True).start().awaitTermination()
     return spark.table(name).select("player", F.date_format("start", "yyyy-MM-dd HH:mm:ss").alias("start"), "games")

@@ -28,8 +28,15 @@ def test_session_gap_runs_from_previous_end(spark):
 def test_best_of_three_resets(spark):
     rows = [(i, w) for i, w in enumerate([1, 1, 0, None, 0, 1, 0])]
     df = spark.createDataFrame(rows, "i int, w int").select(F.lit(1).alias("p"), F.timestamp_seconds("i").alias("ts"), "i", "w", F.lit("x").alias("o"))
-    got = sequence.best_of_three(df, ["p"], ["i"], "ts", "o", "1 HOUR").orderBy("set_no").collect()
-    assert [(r["games"], r["wins"], r["losses"]) for r in got] == [(2, 2, 0), (3, 0, 2)]
+    got = sequence.best_of_three(df, ["p"], ["i"], "ts", F.col("ts"), "o", "1 HOUR").orderBy("set_no").collect()
+    assert [(r["games"], r["wins"], r["losses"], r["opened"]) for r in got] == [(2, 2, 0, 1), (3, 0, 2, 0)]
+
+
+def test_sets_run_from_the_end_and_skip_unknown_opponents(spark):
+    rows = [(0, 1, "x", 50), (1, 0, None, 1), (55, 1, "x", 1), (70, 0, "x", 1), (71, 0, "x", 1), (200, 1, "x", 1)]
+    df = spark.createDataFrame(rows, "i int, w int, o string, d int").select(F.lit(1).alias("p"), F.timestamp_seconds("i").alias("ts"), F.timestamp_seconds(F.col("i") + F.col("d")).alias("e"), "i", "w", "o")
+    got = sequence.best_of_three(df, ["p"], ["i"], "ts", F.col("e"), "o", "10 SECONDS").orderBy("block", "set_no").collect()
+    assert [(r["games"], r["wins"], r["losses"], r["first_pos"]) for r in got] == [(2, 2, 0, 1), (2, 0, 2, 3)]
 
 
 def test_median_split_drops_the_middle(spark):
@@ -59,13 +66,71 @@ def test_glicko2_published_example():
     assert abs(a - 0.05999) < 1e-4
 
 
-def test_ratings_and_bracket(spark):
-    h = pd.DataFrame({"event": [1] * 6, "day": [0] * 6, "a": [1, 1, 1, 2, 2, 3], "b": [2, 3, 4, 3, 4, 4], "won": [1] * 6})
-    s = forecast.bradley_terry(h)["strength"].tolist()
-    assert s == sorted(s, reverse=True) and abs(sum(s)) < 1e-6
-    assert forecast.elo(h)["p"].tolist() == [0.5] * 6  # one event: all at once
-    r = forecast.knockout(spark, [2.0, 0.0, 0.0, 0.0], 500).orderBy("seed").collect()
-    assert sum(x["titles"] for x in r) == 500 and r[0]["titles"] == max(x["titles"] for x in r)
+def _history(rng, players=6, events=4, games=30):
+    rows = [(e, 100 * e + int(rng.integers(0, 5)), *map(int, rng.permutation(players)[:2]), int(rng.integers(0, 2))) for e in range(events) for _ in range(games)]
+    return pd.DataFrame(rows, columns=["event", "day", "a", "b", "won"])
+
+
+def test_ratings_against_plain_loops_over_games(spark):
+    h = _history(np.random.default_rng(3))
+    pairs = forecast.event_pairs(spark.createDataFrame(h.assign(k=1)), ["k"], "event", "day", "a", "b", "won").toPandas()
+    ends, cutoff = h.groupby("event")["day"].max().to_dict(), 400.0
+    rating, skill, seen = {}, {}, {}
+    for e, day in sorted(ends.items(), key=lambda x: x[1]):
+        mine, change = [g for g in h.itertuples(index=False) if g.event == e], {}
+        for g in mine:
+            d = 32 * 2 ** (-(cutoff - day) / 730) * (g.won - 1 / (1 + 10 ** ((rating.get(g.b, 0) - rating.get(g.a, 0)) / 400)))
+            change[g.a], change[g.b] = change.get(g.a, 0) + d, change.get(g.b, 0) - d
+        for x, d in change.items():
+            rating[x] = rating.get(x, 0) + d
+        names = sorted(change)
+        prior = {x: skill.get(x, 0) * 2 ** (-(day - seen.get(x, day)) / 365) for x in names}
+        s = dict(prior)
+        most = max(sum(x in (g.a, g.b) for g in mine) for x in names)
+        for _ in range(300):
+            grad = {x: -(s[x] - prior[x]) for x in names}
+            for g in mine:
+                r = g.won - 1 / (1 + math.exp(-(s[g.a] - s[g.b])))
+                grad[g.a], grad[g.b] = grad[g.a] + r, grad[g.b] - r
+            moves = {x: grad[x] / (1 + most / 2) for x in names}
+            s = {x: s[x] + moves[x] for x in names}
+            if max(map(abs, moves.values())) <= 1e-9:
+                break
+        for x in names:
+            skill[x], seen[x] = s[x], day
+    assert all(math.isclose(r.rating, rating[r.player], rel_tol=1e-9, abs_tol=1e-9) for r in forecast.elo(pairs, cutoff).itertuples())
+    got = forecast.dynamic_bradley_terry(pairs, cutoff)
+    assert all(math.isclose(r.strength, skill[r.player] * 2 ** (-(cutoff - seen[r.player]) / 365), abs_tol=1e-7) for r in got.itertuples()) and len(got) == 6
+    assert len(forecast.elo(pairs, ends[1])) <= 6 and forecast.elo(pairs, 0).empty  # strictly before the cutoff
+
+
+def test_double_elimination_against_a_plain_bracket():
+    power, n = np.array([1.0, 0.8, 0.5, 0.3, 0.0, -0.2, -0.5, -1.0]), np.arange(400)
+    u = [forecast._uniform(7, n, m) for m in range(15)]
+    got = forecast.double_elimination(power, n, 7)
+    for i in n.tolist():
+        k = iter(range(15))
+
+        def play(a, b):
+            first = u[next(k)][i] < 1 / (1 + math.exp(-(power[a] - power[b])))
+            return (a, b) if first else (b, a)
+
+        one = [play(*x) for x in ((0, 7), (3, 4), (1, 6), (2, 5))]
+        two = [play(one[0][0], one[1][0]), play(one[2][0], one[3][0])]
+        low = [play(one[0][1], one[1][1])[0], play(one[2][1], one[3][1])[0]]
+        low = [play(low[0], two[1][1])[0], play(low[1], two[0][1])[0]]
+        top, dropped = play(two[0][0], two[1][0])
+        below = play(play(*low)[0], dropped)[0]
+        first, other = play(top, below)
+        assert got[i] == (first if first == top else play(first, other)[0])
+
+
+def test_bracket_reads_its_strengths(spark):
+    rows = [(f"e{i}", float(i)) for i in range(8)]
+    r = {x["entrant"]: x["titles"] for x in forecast.bracket_titles(spark.createDataFrame(rows, "entrant string, strength double"), 500).collect()}
+    assert sum(r.values()) == 500 and max(r, key=r.get) == "e7"
+    with pytest.raises(ValueError):
+        forecast.bracket_titles(spark.createDataFrame(rows[:7], "entrant string, strength double"), 10)
 
 
 def test_choice_machine(spark):
