@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from math import comb
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 Z95 = 1.959963984540054  # 95 % two-sided normal quantile
@@ -115,3 +115,44 @@ def highlight(local: Column, field: Column, local_n: Column, field_n: Column, le
     bound = F.greatest(F.lit(least), 0.35 * F.abs(field))
     gap = F.abs(local - field) / bound
     return F.when((local_n >= 10) & (field_n >= 25), F.least(F.lit(1.0), 0.15 + F.greatest(F.lit(0.0), gap - 1) * 0.425))
+
+
+def odds(coefficient: Column) -> Column:
+    """Factor on the odds per standard deviation."""
+    return F.exp(coefficient)
+
+
+def probability_points(coefficient: Column) -> Column:
+    """About how many points of probability a standard deviation is worth near one half."""
+    return coefficient / 4 * 100
+
+
+def optional_count(family: Column, key: str, most: int | None = None) -> Column:
+    """A counter out of a map: null if the map is missing or the count invalid, 0 if the map lacks the key."""
+    n = F.coalesce(family[key], F.lit(0))
+    fine = (n >= 0) & (n <= most) if most is not None else n >= 0
+    return F.when(family.isNotNull() & fine, n)
+
+
+def interaction_rates(df: DataFrame, keys: list[str], option: list[str]) -> DataFrame:
+    """Shares and rates of outcome counters (attempts, punished, hit, traded, incomplete); unfinished attempts are no base."""
+    done = F.col("attempts") - F.col("incomplete")
+    share = F.col("attempts") / F.sum("attempts").over(Window.partitionBy(*keys))
+    none = done - F.col("punished") - F.col("hit") - F.col("traded")
+    return df.select(*keys, *option, share.alias("usage_share"), ratio(F.col("punished") + F.col("traded"), done).alias("caught_rate"), ratio(F.col("hit") + F.col("traded"), done).alias("landed_rate"), ratio(none, done).alias("no_hit_rate"))
+
+
+def canonical_digest(fields: dict[str, Column]) -> Column:
+    """SHA-256 of a JSON object with its keys in order and no blanks; null fields stay."""
+    return F.sha2(F.to_json(F.struct(*(fields[k].alias(k) for k in sorted(fields))), {"ignoreNullFields": "false"}), 256)
+
+
+def reliability_bucket(p: Column) -> Column:
+    """Confidence of the favoured side in fifths, the last one closed."""
+    return F.least(F.lit(4), F.floor((F.greatest(p, 1 - p) - 0.5) * 10)).cast("int")
+
+
+def tech_totals(in_place: Column, toward: Column, away: Column, missed: Column, wall: Column) -> list[Column]:
+    """ground successes, ground attempts, and successes of all kinds."""
+    ground = in_place + toward + away
+    return [ground.alias("ground"), (ground + missed).alias("attempts"), (ground + wall).alias("every")]

@@ -131,3 +131,18 @@ def auc(df: DataFrame, keys: list[str], score: str, label: str) -> DataFrame:
     counts = df.groupBy(*keys, score).agg(F.sum(F.when(F.col(label) == 1, 1).otherwise(0)).alias("p"), F.sum(F.when(F.col(label) == 0, 1).otherwise(0)).alias("n"))
     below = F.coalesce(F.sum("n").over(Window.partitionBy(*keys).orderBy(score).rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
     return counts.withColumn("u", F.col("p") * (below + F.col("n") / 2)).groupBy(*keys).agg((F.sum("u") / F.when(F.sum("p") * F.sum("n") > 0, F.sum("p") * F.sum("n"))).alias("auc"))
+
+
+def storylines(df: DataFrame, key: str, edition: str, n: str, rank: str) -> DataFrame:
+    """Per key: first edition, whether it came later than the first of all, first peak, first best rank, count in the latest."""
+    latest = df.agg(F.max(edition).alias("_latest"), F.min(edition).alias("_first"))  # one row
+    got = df.crossJoin(F.broadcast(latest)).groupBy(key).agg(
+        F.min(edition).alias("arrival"),
+        (F.min(edition) > F.first("_first")).alias("newcomer"),
+        F.min_by(edition, F.struct(-F.col(n), F.col(edition))).alias("peak_year"),
+        F.max(n).alias("peak"),
+        F.min_by(edition, F.struct(F.col(rank), F.col(edition))).alias("best_year"),
+        F.min(rank).alias("best_rank"),
+        F.coalesce(F.max(F.when(F.col(edition) == F.col("_latest"), F.col(n))), F.lit(0)).alias("current"),
+    )
+    return got

@@ -5,8 +5,9 @@ import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
+from matchlake.functions import names as N
 from matchlake.functions import scalar as S
-from matchlake.operators import aggregate, dedupe, forecast, machines, resolve, sequence, stats
+from matchlake.operators import aggregate, community, dedupe, forecast, impact, keeping, machines, resolve, sequence, stats, teams
 from matchlake.sources import tables
 from matchlake.streaming import incremental
 
@@ -191,3 +192,68 @@ def test_dimensions_beyond_the_bound_fail(spark):
     assert len(bounded(spark.range(5), 5)) == 5
     with pytest.raises(ValueError):
         bounded(spark.range(6), 5)
+
+
+def _generator(text):
+    """The seeded generator in plain 32-bit arithmetic."""
+    state = 2166136261
+    for c in text:
+        state = ((state ^ ord(c)) * 16777619) & 0xFFFFFFFF
+    while True:
+        state = (state + 0x6D2B79F5) & 0xFFFFFFFF
+        v = ((state ^ (state >> 15)) * (state | 1)) & 0xFFFFFFFF
+        v ^= (v + ((v ^ (v >> 7)) * (v | 61))) & 0xFFFFFFFF
+        yield ((v ^ (v >> 14)) & 0xFFFFFFFF) / 4294967296
+
+
+def test_random_numbers_need_no_state(spark):
+    df = spark.createDataFrame([(t, n) for t in ("", "a", "seed 42", "\u00e9") for n in range(1, 6)], "t string, n int")
+    for r in df.select("t", "n", N.counted_random(N.seed_hash(F.col("t")), F.col("n")).alias("u")).collect():
+        g = _generator(r["t"])
+        assert [next(g) for _ in range(r["n"])][-1] == r["u"]
+
+
+def test_names(spark):
+    df = spark.createDataFrame([(" \uff26ox\u2460 ", None), (None, "x")], "a string, b string")
+    assert [r[0] for r in df.select(N.strict_alias(F.col("a"))).collect()] == ["fox1", None]
+    one = spark.range(1)
+    get = lambda c: one.select(c.alias("x")).first()["x"]
+    assert get(N.tier(F.array(F.lit("Master Player"), F.lit("diamond player")))) is None and get(N.tier(F.array().cast("array<string>"))) is None
+    assert get(N.template_fields(F.lit("{{P|a| b }}{{Q|c}}{{P|d}}"), "P")) == [["a", "b"], ["d"]] and get(N.earnings(F.lit("none"))) is None
+    assert get(N.roster(F.array(F.array(F.lit("b"), F.lit("a")), F.array(F.lit("c"), F.lit(None))))) is None
+    assert get(N.roster(F.array(F.array(F.lit("d"), F.lit("c")), F.array(F.lit("b"), F.lit("a"))))) == "a+b vs c+d"
+    assert get(N.zoned(F.lit("2024-01-01T00:00:00"))) is None and get(N.mode_of_match(F.lit(None).cast("string"))) == "offline"
+    assert abs(get(N.two_sided(F.lit(1.959964))) - 0.05) < 1e-6 and abs(get(N.normal_upper_tail(F.lit(0.0))) - 0.5) < 1e-6
+
+
+def test_unused_moves_count_as_zero(spark):
+    df = spark.createDataFrame([(1, 1, "a", 3.0), (1, 2, "b", 1.0), (1, 2, "a", 1.0), (2, 3, "c", 0.0)], "k int, g int, m string, l double")
+    got = {(r["g"], r["m"]): r["share"] for r in impact.dense_shares(df, ["k"], "g", "m", "l").collect()}
+    assert got == {(1, "a"): 1.0, (1, "b"): 0.0, (2, "a"): 0.5, (2, "b"): 0.5}
+
+
+def test_detectors_keep_their_gates(spark):
+    rows = [("k", "x", 1)] * 40 + [("k", "x", 0)] * 10 + [("k", "y", 0)] * 25 + [("k", "z", 0)] * 5 + [("few", "x", 0)] * 30
+    got = impact.detect(spark.createDataFrame(rows, "k string, c string, w int"), ["k"], ["c"], 20).collect()
+    assert [(r["k"], r["c"], r["decided"]) for r in got] == [("k", "y", 25)]
+
+
+def test_contributed_games(spark):
+    row = lambda owner, players, version=3, stage=1, error=None: (owner, version, players, error, "2024-01-01", stage, False)
+    g = spark.createDataFrame([row(1, ["A", "B"]), row(1, ["A", "A2"]), row(1, ["C", "D"]), row(2, ["E", "F"]), row(1, ["A", "B"], 2), row(1, ["A", "B"], stage=9), row(1, ["A", "B"], error="x")], "owner int, pack_version int, players array<string>, error string, ts string, stage int, is_teams boolean")
+    consent = spark.createDataFrame([(1, True), (2, False)], "owner int, enabled boolean")
+    codes = spark.createDataFrame([(1, ["A", "A2"]), (2, ["E"])], "owner int, codes array<string>")
+    assert community.eligible(g, consent, codes, "owner", 3, [1]).count() == 1
+    assert spark.range(1).select(community.count_members(F.array(F.array(F.lit("a"), F.lit("")), F.array(F.lit("a"), F.lit("b"))))).first()[0] == 2
+
+
+def test_small_helpers(spark):
+    one = spark.range(1)
+    get = lambda c: one.select(c.alias("x")).first()["x"]
+    won = lambda s, p, a, b, q: get(keeping.winner(F.lit(s), F.lit(p).cast("int"), F.lit(a), F.lit(b), F.lit(q).cast("int")))
+    assert [won(10, 1, False, True, None), won(60, 1, True, False, None), won(60, None, True, False, None), won(60, None, False, False, 0), won(60, None, True, True, None)] == [None, 1, 1, 1, None]
+    assert get(teams.taken([F.lit(1), F.lit(None).cast("int")])) is None and get(S.optional_count(F.create_map(F.lit("a"), F.lit(1)), "b")) == 0
+    bad = keeping.validate(spark.createDataFrame([(1,), (None,)], "x int"), {"positive": "x > 0"}).collect()
+    assert [(r["check"], r["broken"]) for r in bad] == [("positive", 1)]
+    f = {r["field"]: r["rows"] for r in keeping.forbidden(spark.createDataFrame([("u", "x#1")], "user_uuid string, n string"), "(?i)uuid", "#1").collect()}
+    assert f == {"user_uuid": 1, "n": 1}

@@ -1,7 +1,7 @@
 import pytest
 from conftest import plain
 
-from matchlake.plans import records, registry, sequences  # noqa: F401
+from matchlake.plans import fields, records, registry, rollups, sequences, teams  # noqa: F401
 
 
 @pytest.mark.parametrize("name", sorted(registry.ORACLES))
