@@ -37,7 +37,7 @@ def f06(spark, sf):
     return li.groupBy(F.col("l_orderkey").alias("game"), F.col("l_linenumber").alias("move")).agg(F.max(measured).alias("attempts"))
 
 
-@query("f11_syncable", "SELECT count(*) AS n, sum(game) AS s FROM uploads WHERE error IS NULL AND crouch IS NOT NULL AND pack_version >= 4 AND (p1 IN ('P1', 'P2', 'P3') OR p2 IN ('P1', 'P2', 'P3'))", "uploads")
+@query("f11_syncable", "SELECT count(*) AS n, CAST(sum(game) AS BIGINT) AS s FROM uploads WHERE error IS NULL AND crouch IS NOT NULL AND pack_version >= 4 AND (p1 IN ('P1', 'P2', 'P3') OR p2 IN ('P1', 'P2', 'P3'))", "uploads")
 def f11(spark, sf):
     mine = spark.createDataFrame([(c,) for c in ("P1", "P2", "P3")], "code string")
     u = uploads(spark, sf)
@@ -65,7 +65,7 @@ def f15(spark, sf):
     return load(spark, sf, "orders").groupBy(tier.alias("tier")).agg(F.count("*").alias("n"))
 
 
-@query("f17_gate", "WITH bad AS (SELECT DISTINCT l_orderkey FROM lineitem WHERE l_discount > 0.095) SELECT count(*) AS kept, sum(o_orderkey) AS s FROM orders WHERE o_orderkey NOT IN (SELECT l_orderkey FROM bad)")
+@query("f17_gate", "WITH bad AS (SELECT DISTINCT l_orderkey FROM lineitem WHERE l_discount > 0.095) SELECT count(*) AS kept, CAST(sum(o_orderkey) AS BIGINT) AS s FROM orders WHERE o_orderkey NOT IN (SELECT l_orderkey FROM bad)")
 def f17(spark, sf):
     """One impossible count rejects both sides of a game."""
     bad = load(spark, sf, "lineitem").where("l_discount > 0.095").select(F.col("l_orderkey").alias("o_orderkey"))
@@ -191,7 +191,7 @@ def d01b(spark, sf):
     return uploads(spark, sf).select("game", F.when(F.col("ts").isNotNull(), key).alias("key"))
 
 
-@query("d06_failed", "SELECT count(*) AS n, sum(o_custkey) AS s FROM (SELECT DISTINCT o_custkey FROM orders WHERE o_orderstatus = 'P' EXCEPT SELECT o_custkey FROM orders WHERE o_totalprice > 250000)")
+@query("d06_failed", "SELECT count(*) AS n, CAST(sum(o_custkey) AS BIGINT) AS s FROM (SELECT DISTINCT o_custkey FROM orders WHERE o_orderstatus = 'P' EXCEPT SELECT o_custkey FROM orders WHERE o_totalprice > 250000)")
 def d06(spark, sf):
     o = load(spark, sf, "orders")
     failed = o.where("o_orderstatus = 'P'").select("o_custkey").subtract(o.where("o_totalprice > 250000").select("o_custkey"))

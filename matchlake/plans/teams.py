@@ -41,9 +41,10 @@ def f10(spark, sf):
 DUO_RUNS = RUNS.replace("FROM plays", "FROM duos")
 
 
-@query("a16_team_overview", f"WITH {DUO_RUNS}, k AS (SELECT player, arg_max(kind, last) AS streak_kind, arg_max(length, last) AS streak_length FROM s GROUP BY player), o AS (SELECT player, {WL}, round(sum(CASE WHEN s1 + s2 + s3 + s4 IS NOT NULL THEN 8 - s1 - s2 END) / nullif(count(s1 + s2 + s3 + s4), 0)::DOUBLE, 6) AS taken_per_game, round(sum(CASE WHEN s1 + s2 + s3 + s4 IS NOT NULL THEN 8 - s3 - s4 END) / nullif(count(s1 + s2 + s3 + s4), 0)::DOUBLE, 6) AS lost_per_game, round(avg(seconds), 6) AS mean_seconds, count(DISTINCT coalesce(mate, 'port:' || port)) AS partners FROM duos GROUP BY player) SELECT o.*, streak_kind, streak_length FROM o LEFT JOIN k USING (player)", "duos")
+@query("a16_team_overview", f"WITH {DUO_RUNS}, k AS (SELECT player, arg_max(kind, last) AS streak_kind, arg_max(length, last) AS streak_length FROM s GROUP BY player), o AS (SELECT player, {WL}, round(sum(CASE WHEN s1 + s2 + s3 + s4 IS NOT NULL THEN 8 - s1 - s2 END) / nullif(count(s1 + s2 + s3 + s4), 0)::DOUBLE, 6) AS taken_per_game, round(sum(CASE WHEN s1 + s2 + s3 + s4 IS NOT NULL THEN 8 - s3 - s4 END) / nullif(count(s1 + s2 + s3 + s4), 0)::DOUBLE, 6) AS lost_per_game, round(avg(seconds), 3) AS mean_seconds, count(DISTINCT coalesce(mate, 'port:' || port)) AS partners FROM duos GROUP BY player) SELECT o.*, streak_kind, streak_length FROM o LEFT JOIN k USING (player)", "duos")
 def a16(spark, sf):
-    return rounded(T.team_overview(duos(spark, sf), ["player"], SEQ, ["s1", "s2"], ["s3", "s4"], "seconds", "mate", "port"))
+    got = T.team_overview(duos(spark, sf), ["player"], SEQ, ["s1", "s2"], ["s3", "s4"], "seconds", "mate", "port")
+    return rounded(got.withColumn("mean_seconds", F.round("mean_seconds", 3)))
 
 
 @query("a17_by_teammate", f"WITH o AS (SELECT * FROM duos WHERE mate IS NOT NULL AND NOT self_match), n AS (SELECT player, mate, mate_char, count(*) AS k, min((ts, game)) AS f FROM o GROUP BY player, mate, mate_char), c AS (SELECT *, row_number() OVER (PARTITION BY player, mate ORDER BY k DESC, f) AS r FROM n), g AS (SELECT player, mate, {WL}, round(sum(8 - s1 - s2) / nullif(count(s1 + s2), 0)::DOUBLE, 6) AS taken_per_game, strftime(max(ts), '%Y-%m-%d') AS last FROM o GROUP BY player, mate) SELECT g.*, mate_char AS top_character FROM g JOIN c USING (player, mate) WHERE c.r = 1", "duos")

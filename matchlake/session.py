@@ -5,8 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 
 
-def session(master: str = "local[*]", partitions: int = 8) -> SparkSession:
-    return (
+def session(master: str = "local[*]", partitions: int = 8, more: dict[str, str] | None = None) -> SparkSession:
+    builder = (
         SparkSession.builder.master(master)
         .appName("matchlake")
         .config("spark.sql.session.timeZone", "UTC")
@@ -14,8 +14,10 @@ def session(master: str = "local[*]", partitions: int = 8) -> SparkSession:
         .config("spark.sql.adaptive.skewJoin.enabled", "true")
         .config("spark.sql.shuffle.partitions", str(partitions))
         .config("spark.ui.enabled", "false")
-        .getOrCreate()
     )
+    for key, value in (more or {}).items():
+        builder = builder.config(key, value)
+    return builder.getOrCreate()
 
 
 def load(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:

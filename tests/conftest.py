@@ -10,7 +10,7 @@ sys.path.insert(0, os.path.dirname(os.path.dirname(os.path.abspath(__file__))))
 def spark(tmp_path_factory):
     from matchlake.session import session
 
-    s = session("local[4]", 4)
+    s = session("local[4]", 4, {"spark.checkpoint.dir": f"file://{tmp_path_factory.mktemp('scratch')}"})
     s.sparkContext.setLogLevel("ERROR")
     yield s
     s.stop()
@@ -37,5 +37,11 @@ def plain(pdf):
     """Rows as sorted tuples of strings, columns by name."""
     import pandas as pd
 
-    show = lambda v: "None" if pd.isna(v) else f"{v:.6g}" if not isinstance(v, (str, bool)) and hasattr(v, "__float__") else str(v)
+    def show(v):
+        if not isinstance(v, (list, tuple)) and pd.isna(v):
+            return "None"
+        if isinstance(v, (str, bool)) or not hasattr(v, "__float__"):
+            return str(v)
+        return str(int(v)) if float(v) == int(v) else f"{float(v):.11g}"  # a column of whole numbers with nulls holds floats
+
     return sorted(tuple(map(show, r)) for r in pdf[sorted(pdf.columns)].astype(object).itertuples(index=False, name=None))
