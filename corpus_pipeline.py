@@ -47,7 +47,7 @@ def substrings_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataF
 
 def secrets_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     masked = secrets.redacted(F.coalesce(F.col("text"), F.lit("")), F.col("found"))
-    found = secrets.scan(docs.select(*COLUMNS)).withColumn("text", masked)
+    found = secrets.scan(docs.where("doc_id IS NOT NULL").select(*COLUMNS)).withColumn("text", masked)
     return found.withColumn("n_chars", F.char_length("text").cast("long")).select(*COLUMNS)
 
 
@@ -66,8 +66,7 @@ STAGES = [
     ("packing", packing_stage),
 ]
 
-#: SQL cannot express the classifier. No test holds the rows of run() against a plain version yet; the operators
-#: behind the stages have their own tests.
+#: SQL cannot express the classifier. tests/llm/test_pipeline.py holds the rows of run() against a plain Python version.
 ORACLE_SQL = None
 
 

@@ -11,7 +11,6 @@ Rules that hold for every document operator of this subpackage:
 
 from __future__ import annotations
 
-import tempfile
 import uuid
 import zlib
 from collections.abc import Iterator
@@ -44,14 +43,26 @@ def documents(df: DataFrame) -> DataFrame:
 
 
 def scratch_dir(spark: SparkSession) -> str:
-    """The shared folder named by spark.checkpoint.dir; a local one only where that is unset (tests)."""
+    """A folder of this application in the shared one that spark.checkpoint.dir names, or in the warehouse where it is unset."""
     sc = spark.sparkContext
-    found = spark.conf.get("spark.checkpoint.dir", None) or sc.getCheckpointDir()
-    if not found:
-        found = "file://" + tempfile.mkdtemp(prefix="matchlake-")
-    if not sc.getCheckpointDir():
-        sc.setCheckpointDir(found)
-    return found
+    found = spark.conf.get("spark.checkpoint.dir", None) or sc.getCheckpointDir() or spark.conf.get("spark.sql.warehouse.dir")
+    return f"{found.rstrip('/')}/matchlake-{sc.applicationId}"
+
+
+def _delete(spark: SparkSession, path: str) -> None:
+    at = spark._jvm.org.apache.hadoop.fs.Path(path)
+    at.getFileSystem(spark._jsc.hadoopConfiguration()).delete(at, True)
+
+
+def clear_scratch(spark: SparkSession) -> None:
+    """Removes all scratch tables of this application; results that have not been written by then are lost."""
+    _delete(spark, scratch_dir(spark))
+
+
+def discard(df: DataFrame) -> None:
+    """Removes the files of a materialized table that nothing will read again."""
+    for path in {f.rsplit("/", 1)[0] for f in df.inputFiles()}:
+        _delete(df.sparkSession, path)
 
 
 def materialize(df: DataFrame, name: str) -> DataFrame:

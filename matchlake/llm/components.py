@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from matchlake.llm.common import materialize
+from matchlake.llm.common import discard, materialize
 
 MOST_STEPS = 40
 
@@ -31,7 +31,8 @@ def components(links: DataFrame) -> DataFrame:
         down = large.select(F.greatest(a, b).alias("a"), F.least(a, b).alias("b"))
         low = down.groupBy("a").agg(F.min("b").alias("m"))
         small = down.join(low, "a").select(b.alias("a"), F.col("m").alias("b")).where(a != b).unionByName(low.select("a", F.col("m").alias("b"))).distinct()
-        edges = materialize(small, "links")
+        old, edges = edges, materialize(small, "links")
+        discard(old)
         now = _state(edges)
         if now == before:
             return edges.groupBy(a.alias("node")).agg(F.min(b).alias("root"))

@@ -191,10 +191,11 @@ def screened(rows: list[tuple[np.ndarray, float]]) -> np.ndarray:
     for x, posterior in rows:
         n[x] += 1
         y[x] += posterior
-    mean = sum(p for _, p in rows) / max(len(rows), 1)
+    mean = min(max(sum(p for _, p in rows) / max(len(rows), 1), 1e-6), 1 - 1e-6)
     enough = n >= min(LEAST_DOCS, max(2, len(rows) // 50))
-    spread = np.sqrt(np.maximum(n * mean * (1 - mean), 1e-12))
-    return enough & (np.abs(y - n * mean) > (math.sqrt(2 * math.log(max(enough.sum(), 2))) + 1) * spread)
+    x = np.clip(y / np.maximum(n, 1), 1e-12, 1 - 1e-12)
+    gap = n * (x * np.log(x / mean) + (1 - x) * np.log((1 - x) / (1 - mean)))  # Chernoff: chance of it at most exp(-gap)
+    return enough & (gap > math.log(max(enough.sum(), 2)) + 2)
 
 
 def train(rows: list[tuple[np.ndarray, float]], epochs: int = 8, rate: float = 0.3, decay: float = 1e-5) -> tuple[np.ndarray, float]:
