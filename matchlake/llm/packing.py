@@ -6,11 +6,13 @@ keys and lengths.  Then the ids are joined to their places, and `sequences` puts
 
 A round packs each partition by best-fit decreasing and certifies it: the largest of a family of
 dual-feasible-function bounds is a lower bound on the bins of any packing of those pieces.  A partition
-whose bins equal its bound is optimal and final.  Where a gap remains, full bins are final as well, and
-the documents of all other bins are exchanged: they are dealt into fewer partitions (so that small and
-large pieces from different gaps meet) and packed again.  Rounds end when no gap is left, when the
-exchanged pieces fit one partition, or after ``rounds``.  A partition holds PER_PARTITION pieces or so,
-whatever the input; nothing is gathered on the driver but counts.
+whose bins equal its bound is optimal; its bins are final but for those that lack more than 1 / SLACK, which could
+still take in another partition's pieces.  Where a gap remains, only full bins are final.
+The documents of all other bins are exchanged: they are dealt into fewer partitions (so that small and
+large pieces from different gaps meet) and packed again.  Rounds end when nothing is left, when the
+exchanged pieces fit one partition, or after ``rounds``.  A partition holds PER_PARTITION pieces or so (the last
+round eight times as many), whatever the input; nothing is gathered on the driver but counts.  `certificate` sets the
+sequences of a result against the bound of the whole table.
 
 Defined results: the empty text is one piece holding the end id; ties go to the fullest bin, then the
 oldest; equal documents are packed separately.
@@ -18,6 +20,7 @@ oldest; equal documents are packed separately.
 
 from __future__ import annotations
 
+import json
 import re
 import zlib
 
@@ -32,6 +35,7 @@ from matchlake.llm.common import Recent, documents, materialize, read
 CAPACITY = 2048
 PER_PARTITION = 50_000
 ROUNDS = 3
+SLACK = 256
 PIECES = "doc_id long, piece int, start long, length long, ids binary"
 #: White space outside ASCII, separators and strings of special tokens take the slow exact way.
 _ODD = re.compile(r"[\x1c-\x1f\x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000]|<\|")
@@ -44,6 +48,20 @@ def _byte_letters() -> dict[int, int]:
     return {b: b if b in plain else next(others) for b in range(256)}
 
 
+# Fixed value: how the tokenizer files that the short way serves split their texts.
+_SPLIT = r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"
+
+
+def _splits_as_known(model: str) -> bool:
+    """Are the normaliser and the pre-tokeniser those that the short way of the encoder takes for granted?"""
+    found = json.loads(model)
+    normal = [x.get("type") for x in (found.get("normalizer") or {}).get("normalizers", [])]
+    pre = (found.get("pre_tokenizer") or {}).get("pretokenizers", [])
+    split = [x.get("pattern", {}).get("Regex") for x in pre if x.get("type") == "Split"]
+    byte_level = [x for x in pre if x.get("type") == "ByteLevel" and not x.get("add_prefix_space")]
+    return normal == ["NFC", "Replace", "Lowercase"] and split == [_SPLIT] and len(byte_level) == 1 and len(pre) == 2 and found["model"].get("type") == "BPE" and not found.get("post_processor")
+
+
 class Encoder:
     """Little-endian uint32 ids of the chunks between white space, which encode independently here.
 
@@ -55,6 +73,7 @@ class Encoder:
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_str(model)
+        self.fast = _splits_as_known(model)
         self.letters = _byte_letters()
         self.words = Recent(self._word)
         self.chunks = Recent(self._chunk)
@@ -72,7 +91,7 @@ class Encoder:
         return self._whole(chunk)
 
     def encode(self, text: str) -> bytes:
-        return self._whole(text) if _ODD.search(text) else b"".join(map(self.chunks.__getitem__, text.split()))
+        return self._whole(text) if not self.fast or _ODD.search(text) else b"".join(map(self.chunks.__getitem__, text.split()))
 
 
 _encoders: dict[int, Encoder] = {}
@@ -113,7 +132,11 @@ def pieces(df: DataFrame, tokenizer: str, capacity: int = CAPACITY, end_id: int
 
 def bin_bound(lengths: np.ndarray, capacity: int) -> int:
     """The best of several dual-feasible-function lower bounds on the number of bins."""
-    n = np.bincount(lengths, minlength=capacity + 1).astype(np.int64)
+    return _bound(np.bincount(lengths, minlength=capacity + 1).astype(np.int64), capacity)
+
+
+def _bound(n: np.ndarray, capacity: int) -> int:
+    """n: how many pieces have each length from 0 to capacity."""
     size = np.arange(capacity + 1)
     total = int((n * size).sum())
     best = -(-total // capacity)
@@ -168,7 +191,7 @@ def _packer(capacity: int, r: int, last: bool):
         lengths = pdf["length"].to_numpy()
         where, offset, fill = best_fit(lengths, capacity)
         bound = bin_bound(lengths, capacity)
-        ok = np.full(len(fill), True) if last or len(fill) == bound else fill == capacity
+        ok = np.full(len(fill), True) if last else fill >= capacity - capacity // SLACK if len(fill) == bound else fill == capacity
         base = ((r + 1) << 59) + (int(key[0]) << 32)
         return pdf.drop(columns="part").assign(sequence_id=base + where, offset=offset, final=ok[where], bins=len(fill), bound=bound)
 
@@ -207,6 +230,14 @@ def pack_pieces(df: DataFrame, capacity: int = CAPACITY, rounds: int = ROUNDS, p
     return cut.join(places, "piece_id").select(*df.columns, "sequence_id", "offset")
 
 
+def certificate(packed: DataFrame, capacity: int = CAPACITY) -> tuple[int, int]:
+    """How many sequences there are, and how few any packing of the same pieces could have at least."""
+    n = np.zeros(capacity + 1, np.int64)
+    for length, count in packed.groupBy("length").count().collect():  # at most capacity rows
+        n[length] = count
+    return packed.select("sequence_id").distinct().count(), _bound(n, capacity)
+
+
 def sequences(packed: DataFrame) -> DataFrame:
     """The packed sequences: sequence_id, ids, and the members (offset, doc_id, piece, start, length) in order."""
     member = F.struct("offset", "doc_id", "piece", "start", "length", "ids")

@@ -92,9 +92,61 @@ def test_language_model(docs):
     for i, t in TEXTS:
         r = got[i]
         assert r["held_out"] == held(i) and r["n_tokens"] == len(toks(t)) and r["train_tokens"] == n and r["n_known"] == sum(c[x] > 0 for x in toks(t))
+        assert r["score"] < 0
         assert math.isclose(r["base_score"], sum(math.log10((c[x] + 0.5) / (n + 0.5 * (v + 1))) for x in toks(t)), rel_tol=1e-9)
 
 
+def test_language_model_query_against_plain_python(spark, sf, duck):
+    """Counts, weights of the context buckets by EM over the held-out bigrams, and the mixed score of every text."""
+    texts = duck.execute("SELECT doc_id, coalesce(text, '') FROM documents").fetchall()
+    toks = {i: [*t.encode().lower().split(), b" "] for i, t in texts}  # A to Z alone
+    held = {i: zlib.crc32(str(i).encode()) % 5 == 1 for i in toks}
+    c, cc = Counter(), Counter()
+    for i, ws in toks.items():
+        if not held[i]:
+            c.update(ws)
+            cc.update(zip([b"\t", *ws], ws))
+    n, v = sum(c.values()), len(c)
+    starts = sum(not h for h in held.values())
+    uni = lambda w: (c[w] + 0.5) / (n + 0.5 * (v + 1))
+    ahead = lambda p: starts if p == b"\t" else c[p]
+    bucket = lambda p: int(math.log2(ahead(p))) + 1 if ahead(p) else 0
+    cells = {}
+    for i, ws in toks.items():
+        if held[i]:
+            for p, w in zip([b"\t", *ws], ws):
+                if ahead(p):
+                    cells.setdefault(bucket(p), []).append(cc[p, w] / ahead(p) / uni(w))
+    exact = {}
+    for b, ratios in cells.items():
+        r, x = np.array(ratios), 0.5
+        for _ in range(500):
+            x = float(np.clip((x * r / (x * r + 1 - x)).mean(), 1e-6, 1 - 1e-6))
+        exact[b] = x
+    got = {r["doc_id"]: r for r in language_model.op8_lm_scoring(spark, sf).collect()}
+    better = 0
+    for i, ws in toks.items():
+        lam = [exact.get(bucket(p), language_model.START) if ahead(p) else 0.0 for p in [b"\t", *ws]]
+        mle = [cc[p, w] / ahead(p) if ahead(p) else 0.0 for p, w in zip([b"\t", *ws], ws)]
+        score = sum(math.log10(x * m + (1 - x) * uni(w)) for x, m, w in zip(lam, mle, ws))
+        # the weights of the operator come from a histogram of eight cells per octave
+        assert abs(got[i]["score"] - score) <= 0.01 * abs(score) + 0.05, (i, got[i]["score"], score)
+        better += held[i] and got[i]["score"] > got[i]["base_score"]
+    assert better > 0.5 * sum(held.values())
+
+
+def test_piece_query_round_trips(spark, sf, duck):
+    P = pytest.importorskip("public_tokenizers")
+    codec = pieces.Codec(pieces.load_vocabulary(P.path("piece_bpe_32k.model")))
+    texts = dict(duck.execute("SELECT doc_id, coalesce(text, '') FROM documents").fetchall())
+    got = {r["doc_id"]: r for r in pieces.op6_sentencepiece(spark, sf).collect()}
+    assert set(got) == set(texts)
+    for i, t in texts.items():
+        ids = codec.encode(t)
+        assert (got[i]["n_ids"], got[i]["ids_crc32"]) == (len(ids) // 4, zlib.crc32(ids)) and got[i]["round_trip"]
+        assert got[i]["decoded_sha256"] == hashlib.sha256(t.encode()).hexdigest()
+
+
 def test_weights_reach_the_maximum():
     cells = [(3, 8, 50), (3, None, 50)]  # ratio 2 ** (8.5 / 8) half of the time, else 0
     w, r = language_model.fit_weights(cells)[3], 2 ** (8.5 / 8)
@@ -111,6 +163,11 @@ def test_packing(docs):
     encoder, whole = packing.Encoder(open(path, encoding="utf-8").read()), Tokenizer.from_file(path)
     for t in odd:
         assert np.frombuffer(encoder.encode(t), "<u4").tolist() == whole.encode(t, add_special_tokens=False).ids
+    assert encoder.fast
+    other = P.path("byte_bpe_50k.json")  # keeps case and spaces: no short way
+    encoder, plain_ = packing.Encoder(open(other, encoding="utf-8").read()), Tokenizer.from_file(other)
+    for t in [*odd, "Two  Words here", "ABC"]:
+        assert np.frombuffer(encoder.encode(t), "<u4").tolist() == plain_.encode(t, add_special_tokens=False).ids
     rows = packing.pack_pieces(packing.pieces(docs, path)).orderBy("sequence_id", "offset").collect()
     assert sum(r["length"] for r in rows) == sum(len(whole.encode(t or "", add_special_tokens=False).ids) + 1 for _, t in TEXTS)
     fill: dict = {}
