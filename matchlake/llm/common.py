@@ -65,12 +65,12 @@ def discard(df: DataFrame) -> None:
         _delete(df.sparkSession, path)
 
 
-def materialize(df: DataFrame, name: str) -> DataFrame:
+def materialize(df: DataFrame, name: str, **options: str) -> DataFrame:
     """Write to the scratch folder and read again: the lineage is cut and survives lost executors."""
     spark = df.sparkSession
     path = f"{scratch_dir(spark)}/{name}-{uuid.uuid4().hex}"
     schema = df.schema
-    df.write.option("compression", "zstd").parquet(path)
+    df.write.option("compression", "zstd").options(**options).parquet(path)
     return spark.read.schema(schema).parquet(path)
 
 
@@ -95,14 +95,14 @@ _KEEP = 250_000
 
 
 class Recent(dict):
-    """Values by string, computed on a miss. The last KEEP to 2 KEEP strings used stay, so memory is bounded."""
+    """Values by string, computed on a miss. The last keep to 2 keep strings used stay, so memory is bounded."""
 
-    def __init__(self, make):
+    def __init__(self, make, keep: int = _KEEP):
         super().__init__()
-        self.make, self.older = make, {}
+        self.make, self.keep, self.older = make, keep, {}
 
     def __missing__(self, key: str) -> bytes:
-        if len(self) >= _KEEP:
+        if len(self) >= self.keep:
             self.older = dict(self)
             self.clear()
         value = self.older.get(key)

@@ -36,6 +36,7 @@ CAPACITY = 2048
 PER_PARTITION = 50_000
 ROUNDS = 3
 SLACK = 256
+PER_CACHE = 250_000
 PIECES = "doc_id long, piece int, start long, length long, ids binary"
 #: White space outside ASCII, separators and strings of special tokens take the slow exact way.
 _ODD = re.compile(r"[\x1c-\x1f\x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000]|<\|")
@@ -75,8 +76,8 @@ class Encoder:
         self.tokenizer = Tokenizer.from_str(model)
         self.fast = _splits_as_known(model)
         self.letters = _byte_letters()
-        self.words = Recent(self._word)
-        self.chunks = Recent(self._chunk)
+        self.words = Recent(self._word, PER_CACHE)
+        self.chunks = Recent(self._chunk, 2 * PER_CACHE)
 
     def _word(self, word: str) -> bytes:
         shown = word.encode().decode("latin-1").translate(self.letters)
@@ -225,7 +226,7 @@ def _places(df: DataFrame, capacity: int, rounds: int, per_partition: int) -> Da
 
 def pack_pieces(df: DataFrame, capacity: int = CAPACITY, rounds: int = ROUNDS, per_partition: int = PER_PARTITION) -> DataFrame:
     """Pieces, ids included, with their ids_crc32, sequence_id and offset."""
-    cut = materialize(df.withColumn("ids_crc32", F.crc32("ids")).withColumn("piece_id", F.monotonically_increasing_id()), "pieces")
+    cut = materialize(df.withColumn("ids_crc32", F.crc32("ids")).withColumn("piece_id", F.monotonically_increasing_id()), "pieces", **{"parquet.enable.dictionary": "false"})
     places = _places(cut.select(*_KEYS), capacity, rounds, per_partition).select("piece_id", "sequence_id", "offset")
     return cut.join(places, "piece_id").select(*df.columns, "ids_crc32", "sequence_id", "offset")
 
