@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -24,23 +26,37 @@ def content_digest(df: DataFrame, order: list[str]) -> DataFrame:
     return df.select(high.alias("h"), low.alias("l")).agg(F.count("*").alias("rows"), F.sha2(F.concat_ws(":", F.sum("h").cast("string"), F.sum("l").cast("string")), 256).alias("digest"))
 
 
-def publish(df: DataFrame, staging: str, target: str, checks: dict[str, str]) -> int:
-    """Write aside, assert the checks (name to SQL condition that no row may break), then replace the target."""
-    df.write.mode("overwrite").parquet(staging)
-    staged = df.sparkSession.read.parquet(staging)
+def publish(df: DataFrame, target: str, checks: dict[str, str]) -> int:
+    """Write a version of its own, assert the checks (name to SQL condition that no row may break), then point to it.
+
+    The pointer is replaced in one rename, so readers see the old version or the new one whole, whenever a run dies.
+    """
+    spark, version = df.sparkSession, uuid.uuid4().hex
+    df.write.parquet(f"{target}/{version}")
+    staged = spark.read.parquet(f"{target}/{version}")
     row = staged.agg(F.count("*").alias("_n"), *(F.count(F.when(~F.coalesce(F.expr(c), F.lit(False)), 1)).alias(n) for n, c in checks.items())).first()
+    fs_of, conf = spark._jvm.org.apache.hadoop.fs, spark._jsc.hadoopConfiguration()
+    path = lambda name: fs_of.Path(f"{target}/{name}")
+    fs = path(version).getFileSystem(conf)
     broken = {n: row[n] for n in checks if row[n]}
     if broken:
+        fs.delete(path(version), True)
         raise ValueError(f"rows break {broken}")
-    jvm, conf = df.sparkSession._jvm, df.sparkSession._jsc.hadoopConfiguration()
-    old, new = jvm.org.apache.hadoop.fs.Path(target), jvm.org.apache.hadoop.fs.Path(staging)
-    fs = old.getFileSystem(conf)
-    fs.delete(old, True)
-    if not fs.rename(new, old):
-        raise OSError(f"could not move {staging} to {target}")
+    out = fs.create(path(f"{version}.pointer"), True)
+    out.write(bytearray(version.encode()))
+    out.close()
+    rename = getattr(fs_of, "Options$Rename")
+    overwrite = spark.sparkContext._gateway.new_array(rename, 1)
+    overwrite[0] = rename.OVERWRITE
+    fs_of.FileContext.getFileContext(fs.makeQualified(path("current")).toUri(), conf).rename(fs.makeQualified(path(f"{version}.pointer")), fs.makeQualified(path("current")), overwrite)
     return row["_n"]
 
 
+def published(spark: SparkSession, target: str) -> DataFrame:
+    """The version that publish last pointed to."""
+    return spark.read.parquet(f"{target}/{spark.read.text(f'{target}/current').first()[0]}")
+
+
 def smallest_per_pair(manifest: DataFrame, keys: list[str], size: str, path: str) -> DataFrame:
     """The smallest archive of each pair, by path among equals."""
     best = F.min_by(F.struct(size, path), F.struct(size, path))
