@@ -230,13 +230,13 @@ def a57(spark, sf):
     return uploads(spark, sf).groupBy("ch").agg(F.count_if(valid).alias("attempt_games"), F.sum(F.when(valid, F.col("crouch"))).alias("attempts"), F.count_if(valid & (F.col("hit") + F.col("miss") == F.col("hit") + F.col("crouch"))).alias("outcome_games"))
 
 
-@query("j18_alignment", "WITH l AS (SELECT nation, segment, count(*) AS local_games, round(avg(w), 6) AS local_rate FROM games WHERE ts >= TIMESTAMP '1998-06-01' GROUP BY ALL), r AS (SELECT nation, segment, count(*) AS field_games, round(avg(w), 6) AS field_rate FROM games WHERE ts < TIMESTAMP '1992-02-01' GROUP BY ALL) SELECT coalesce(l.nation, r.nation) AS nation, coalesce(l.segment, r.segment) AS segment, local_games, local_rate, field_games, field_rate FROM l FULL JOIN r ON l.nation = r.nation AND l.segment = r.segment", "games")
+@query("j18_alignment", "WITH l AS (SELECT nation, segment, count(*) AS local_games, round(avg(w), 6) AS local_rate FROM games WHERE ts >= TIMESTAMP '1998-06-01' GROUP BY ALL), r AS (SELECT nation, segment, count(*) AS field_games, round(avg(w), 6) AS field_rate FROM games WHERE ts < TIMESTAMP '1995-02-01' GROUP BY ALL) SELECT coalesce(l.nation, r.nation) AS nation, coalesce(l.segment, r.segment) AS segment, local_games, local_rate, field_games, field_rate FROM l FULL JOIN r ON l.nation = r.nation AND l.segment = r.segment", "games")
 def j18(spark, sf):
     """Local rows beside reference rows of the same cell: a missing one stays null, never a broader cell."""
     at = lambda x: F.lit(x).cast("timestamp_ntz")
     g = games(spark, sf)
     one = lambda rows, name: rows.groupBy("nation", "segment").agg(F.count("*").alias(f"{name}_games"), F.avg("w").alias(f"{name}_rate"))
-    return rounded(one(g.where(F.col("ts") >= at("1998-06-01")), "local").join(one(g.where(F.col("ts") < at("1992-02-01")), "field"), ["nation", "segment"], "full"))
+    return rounded(one(g.where(F.col("ts") >= at("1998-06-01")), "local").join(one(g.where(F.col("ts") < at("1995-02-01")), "field"), ["nation", "segment"], "full"))
 
 
 @query("p03_metric_suppress", "SELECT nation, count(DISTINCT player) FILTER (w IS NOT NULL) AS players, CASE WHEN count(DISTINCT player) FILTER (w IS NOT NULL) >= 25 THEN round(quantile_cont(amount, 0.5) FILTER (w IS NOT NULL), 4) END AS median FROM games GROUP BY nation", "games")

@@ -393,15 +393,15 @@ def _by_segment(spark, sf, fit, schema):
     return pairs.groupBy("segment").applyInPandas(lambda key, pdf: fit(pdf).assign(segment=key[0])[names], schema)
 
 
-@query("m05_higher_seed", f"WITH {PAIRS}, s AS (SELECT segment, player, row_number() OVER (PARTITION BY segment ORDER BY sum(wins) DESC, player) AS seed FROM (SELECT segment, a AS player, wins FROM q WHERE event = 1992 UNION ALL SELECT segment, b, n - wins FROM q WHERE event = 1992) GROUP BY segment, player) SELECT q.segment, CAST(sum(n) AS BIGINT) AS comparisons, CAST(sum(CASE WHEN x.seed < y.seed THEN wins ELSE n - wins END) AS BIGINT) AS higher_wins, round(greatest(0.5, (sum(CASE WHEN x.seed < y.seed THEN wins ELSE n - wins END) + 1) / (sum(n) + 2)::DOUBLE), 6) AS confidence FROM q JOIN s x ON x.segment = q.segment AND x.player = a JOIN s y ON y.segment = q.segment AND y.player = b WHERE event > 1992 AND fin < 2192 GROUP BY q.segment", "games")
+@query("m05_higher_seed", f"WITH {PAIRS}, s AS (SELECT segment, player, row_number() OVER (PARTITION BY segment ORDER BY sum(wins) DESC, player) AS seed FROM (SELECT segment, a AS player, wins FROM q WHERE event = 1995 UNION ALL SELECT segment, b, n - wins FROM q WHERE event = 1995) GROUP BY segment, player) SELECT q.segment, CAST(sum(n) AS BIGINT) AS comparisons, CAST(sum(CASE WHEN x.seed < y.seed THEN wins ELSE n - wins END) AS BIGINT) AS higher_wins, round(greatest(0.5, (sum(CASE WHEN x.seed < y.seed THEN wins ELSE n - wins END) + 1) / (sum(n) + 2)::DOUBLE), 6) AS confidence FROM q JOIN s x ON x.segment = q.segment AND x.player = a JOIN s y ON y.segment = q.segment AND y.player = b WHERE event > 1995 AND fin < 2192 GROUP BY q.segment", "games")
 def m05(spark, sf):
     """Seeds from the wins of the first event; the confidence is that of the training events alone."""
     pairs = M.event_pairs(_pairings(spark, sf), ["segment"], "event", "day_of", "a", "b", "won")
-    first = pairs.where("event = 1992")
+    first = pairs.where("event = 1995")
     wins = first.select("segment", F.col("a").alias("player"), "wins").unionByName(first.select("segment", F.col("b").alias("player"), (F.col("games") - F.col("wins")).alias("wins")))
     seeds = wins.groupBy("segment", "player").agg(F.sum("wins").alias("w")).withColumn("seed", F.row_number().over(Window.partitionBy("segment").orderBy(F.desc("w"), "player")))
     side = lambda c: seeds.select("segment", F.col("player").alias(c), F.col("seed").alias(f"seed_{c}"))
-    known = pairs.where((F.col("event") > 1992) & (F.col("day") < CUTOFF)).join(side("a"), ["segment", "a"]).join(side("b"), ["segment", "b"])
+    known = pairs.where((F.col("event") > 1995) & (F.col("day") < CUTOFF)).join(side("a"), ["segment", "a"]).join(side("b"), ["segment", "b"])
     return rounded(M.seed_confidence(known, ["segment"], "seed_a", "seed_b", "games", "wins"))
 
 
