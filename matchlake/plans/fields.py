@@ -108,9 +108,9 @@ def j12(spark, sf):
     return load(spark, sf, "nation").join(players, "n_nationkey").select("n_name", "players")
 
 
-@query("j13_one_to_one", "SELECT 'missing' AS problem, count(*) AS n FROM nation WHERE n_nationkey NOT IN (SELECT s_nationkey FROM supplier WHERE s_suppkey % 3 = 0) UNION ALL SELECT 'repeated', count(*) FROM (SELECT s_nationkey FROM supplier WHERE s_suppkey % 3 = 0 GROUP BY 1 HAVING count(*) > 1)")
+@query("j13_one_to_one", "SELECT 'missing' AS problem, count(*) AS n FROM nation WHERE n_nationkey NOT IN (SELECT s_nationkey FROM supplier WHERE s_acctbal > 3000) UNION ALL SELECT 'repeated', count(*) FROM (SELECT s_nationkey FROM supplier WHERE s_acctbal > 3000 GROUP BY 1 HAVING count(*) > 1)")
 def j13(spark, sf):
-    s = load(spark, sf, "supplier").where("s_suppkey % 3 = 0").select(F.col("s_nationkey").alias("n_nationkey"))
+    s = load(spark, sf, "supplier").where("s_acctbal > 3000").select(F.col("s_nationkey").alias("n_nationkey"))
     return K.one_to_one_problems(_all(spark, sf, "nation", "n_nationkey"), s, "n_nationkey")
 
 
@@ -124,9 +124,9 @@ def j15(spark, sf):
     return seen.join(F.broadcast(ranks), "key").select("o_orderkey", "rank")  # a hundred rows
 
 
-@query("j16_lookups", "SELECT p_brand, count(*) FILTER (s_name IS NOT NULL) AS found, count(*) AS rows FROM part LEFT JOIN supplier ON s_suppkey = p_partkey % 150 AND s_suppkey % 2 = 0 GROUP BY p_brand")
+@query("j16_lookups", "SELECT p_brand, count(*) FILTER (s_name IS NOT NULL) AS found, count(*) AS rows FROM part LEFT JOIN supplier ON s_suppkey = p_partkey % 150 AND s_acctbal > 3000 GROUP BY p_brand")
 def j16(spark, sf):
-    s = load(spark, sf, "supplier").where("s_suppkey % 2 = 0").select(F.col("s_suppkey").cast("long").alias("k"), "s_name")
+    s = load(spark, sf, "supplier").where("s_acctbal > 3000").select(F.col("s_suppkey").cast("long").alias("k"), "s_name")
     p = load(spark, sf, "part").select("p_brand", (F.col("p_partkey") % 150).cast("long").alias("k"))
     return p.join(s, "k", "left").groupBy("p_brand").agg(F.count("s_name").alias("found"), F.count("*").alias("rows"))
 

@@ -312,9 +312,9 @@ def a40(spark, sf):
     return got
 
 
-@query("a47_gap_fill", "WITH c AS (SELECT segment, CAST(year(ts) AS INTEGER) AS year, count(*) AS n FROM games GROUP BY ALL HAVING count(*) >= 40 AND min(game) % 3 > 0), s AS (SELECT segment, unnest(range(min(year), max(year) + 1))::INTEGER AS year FROM c GROUP BY segment) SELECT segment, year, coalesce(n, 0) AS n FROM s LEFT JOIN c USING (segment, year)", "games")
+@query("a47_gap_fill", "WITH c AS (SELECT segment, CAST(year(ts) AS INTEGER) AS year, count(*) AS n FROM games GROUP BY ALL HAVING count(*) >= 40 AND 2 * sum(w) >= count(w)), s AS (SELECT segment, unnest(range(min(year), max(year) + 1))::INTEGER AS year FROM c GROUP BY segment) SELECT segment, year, coalesce(n, 0) AS n FROM s LEFT JOIN c USING (segment, year)", "games")
 def a47(spark, sf):
-    c = games(spark, sf).groupBy("segment", F.year("ts").alias("year")).agg(F.count("*").alias("n"), F.min("game").alias("first")).where("n >= 40 AND first % 3 > 0").drop("first")
+    c = games(spark, sf).groupBy("segment", F.year("ts").alias("year")).agg(F.count("*").alias("n"), (2 * F.sum("w") >= F.count("w")).alias("half")).where("n >= 40 AND half").drop("half")
     return A.gap_fill(c, ["segment"], "year", "n")
 
 

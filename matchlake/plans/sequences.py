@@ -446,11 +446,11 @@ def m19(spark, sf):
     return M.bracket_titles(strength.orderBy(F.desc("strength"), "entrant").limit(8), 5000)
 
 
-@query("i02_preview_replace", "SELECT o_orderkey AS k, CASE WHEN o_orderkey % 2 = 0 THEN 2 ELSE 1 END AS v, CASE WHEN o_orderkey % 2 = 0 THEN round(o_totalprice, 2) END AS amount FROM orders")
+@query("i02_preview_replace", "SELECT o_orderkey AS k, CASE WHEN o_orderstatus = 'F' THEN 2 ELSE 1 END AS v, CASE WHEN o_orderstatus = 'F' THEN round(o_totalprice, 2) END AS amount FROM orders")
 def i02(spark, sf):
-    o = load(spark, sf, "orders").select(F.col("o_orderkey").alias("k"), F.round("o_totalprice", 2).alias("amount"))
+    o = load(spark, sf, "orders").select(F.col("o_orderkey").alias("k"), F.round("o_totalprice", 2).alias("amount"), "o_orderstatus")
     preview = o.select("k", F.lit(1).alias("v"), F.lit(None).cast("double").alias("amount"), F.lit(0).alias("ord"))
-    full = o.where("k % 2 = 0").select("k", F.lit(2).alias("v"), "amount", F.lit(1).alias("ord"))
+    full = o.where("o_orderstatus = 'F'").select("k", F.lit(2).alias("v"), "amount", F.lit(1).alias("ord"))
     return D.versioned_merge(preview, full, ["k"], "v", "ord").drop("ord")
 
 
