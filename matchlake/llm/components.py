@@ -17,8 +17,9 @@ def _state(edges: DataFrame) -> tuple:
 def components(links: DataFrame) -> DataFrame:
     """node, root for every node of a link (a long, b long); root is the smallest node reachable.
 
-    Both steps are aggregations and equi-joins; a hub's neighbours are pre-aggregated map-side and its
-    join side can be split by skew handling.  Each round is written to the shared scratch folder.
+    Both steps are aggregations and equi-joins; a hub's neighbours are pre-aggregated map-side.  In the first join
+    they share one key and go to one task unless AQE splits that partition, which it did not do on the hub of
+    the check tables.  Each round is written to the shared scratch folder.
     """
     a, b = F.col("a"), F.col("b")
     edges = materialize(links.where(a != b).select(F.greatest(a, b).alias("a"), F.least(a, b).alias("b")).distinct(), "links")
