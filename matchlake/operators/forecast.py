@@ -1,129 +1,20 @@
-"""Rating systems, chronological evaluation, bootstrap and bracket simulation.
-
-Ratings advance event by event, so a fit is sequential in time.  Games within an event are simultaneous, so all that
-a fit needs of them is a count per event and pair: `event_pairs` adds them up in the JVM, and the history that the
-fit of one key reads is bounded by events times pairs of its players, however many games there are.
-"""
+"""Counts of events and pairs, chronological evaluation and bracket simulation."""
 
 from __future__ import annotations
 
-import math
-
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from matchlake.functions.scalar import brier, log_loss
 
-SCALE = 173.7178  # Glicko-2 units
-
-
 def event_pairs(df: DataFrame, keys: list[str], event: str, day: str, a: str, b: str, won: str) -> DataFrame:
     """keys, event, day (of its end), a, b, games, wins (of a)."""
     pairs = df.groupBy(*keys, F.col(event).alias("event"), F.col(a).alias("a"), F.col(b).alias("b")).agg(F.max(day).alias("_day"), F.count("*").alias("games"), F.sum(won).cast("long").alias("wins"))
     return pairs.withColumn("day", F.max("_day").over(Window.partitionBy(*keys, "event"))).drop("_day")
 
 
-def _events(pairs: pd.DataFrame):
-    """Events in the order of their ends, then by id."""
-    ordered = pairs.sort_values(["day", "event", "a", "b"])
-    for (day, _), games in ordered.groupby(["day", "event"], sort=False):
-        yield float(day), games
-
-
-def elo(pairs: pd.DataFrame, cutoff: float, k: float = 32.0, scale: float = 400.0, half_life: float = 730.0) -> pd.DataFrame:
-    """Event-batch Elo: all games of an event are predicted from its opening ratings, then applied together.
-
-    An update weighs 2 ** (-age / half_life) of the event's end at the cutoff; ratings themselves do not decay.
-    """
-    rating: dict = {}
-    for day, games in _events(pairs[pairs["day"] < cutoff]):
-        weight, change = k * 2 ** (-(cutoff - day) / half_life), {}
-        for g in games.itertuples(index=False):
-            p = 1 / (1 + 10 ** ((rating.get(g.b, 0.0) - rating.get(g.a, 0.0)) / scale))
-            d = weight * (g.wins - g.games * p)
-            change[g.a], change[g.b] = change.get(g.a, 0.0) + d, change.get(g.b, 0.0) - d
-        for x, d in change.items():
-            rating[x] = rating.get(x, 0.0) + d
-    return pd.DataFrame(sorted(rating.items()), columns=["player", "rating"])
-
-
-def dynamic_bradley_terry(pairs: pd.DataFrame, cutoff: float, half_life: float = 365.0, ridge: float = 1.0, rounds: int = 300, tolerance: float = 1e-9) -> pd.DataFrame:
-    """Strengths at the cutoff. Each event is fitted jointly about the decayed strengths of those who return.
-
-    The step 1 / (ridge + most games of a player / 2) is within the bound of the objective's smoothness.
-    """
-    state: dict = {}
-    for day, games in _events(pairs[pairs["day"] < cutoff]):
-        names = sorted({*games["a"], *games["b"]})
-        at = {x: i for i, x in enumerate(names)}
-        a, b = games["a"].map(at).to_numpy(), games["b"].map(at).to_numpy()
-        n, wins = games["games"].to_numpy(float), games["wins"].to_numpy(float)
-        prior = np.array([state[x][0] * 2 ** (-(day - state[x][1]) / half_life) if x in state else 0.0 for x in names])
-        played = np.bincount(a, n, len(names)) + np.bincount(b, n, len(names))
-        step, s, moved, done = 1 / (ridge + played.max() / 2), prior.copy(), np.inf, 0
-        while done < rounds and moved > tolerance:
-            r = wins - n / (1 + np.exp(-(s[a] - s[b])))
-            change = step * (np.bincount(a, r, len(names)) - np.bincount(b, r, len(names)) - ridge * (s - prior))
-            s, moved, done = s + change, np.abs(change).max(), done + 1
-        state.update({x: (float(v), day) for x, v in zip(names, s, strict=True)})
-    return pd.DataFrame([(x, v * 2 ** (-(cutoff - day) / half_life)) for x, (v, day) in sorted(state.items())], columns=["player", "strength"])
-
-
-def glicko2(pairs: pd.DataFrame, tau: float = 0.5) -> pd.DataFrame:
-    """Ratings (rating, deviation, volatility) after all events, one rating period each."""
-    state: dict = {}
-    g = lambda phi: 1 / math.sqrt(1 + 3 * phi * phi / math.pi**2)
-    for _, games in _events(pairs):
-        met: dict = {}
-        for r in games.itertuples(index=False):
-            met.setdefault(r.a, []).append((r.b, r.games, r.wins))
-            met.setdefault(r.b, []).append((r.a, r.games, r.games - r.wins))
-        old = {x: state.get(x, (0.0, 350 / SCALE, 0.06)) for x in met}
-        for x, results in met.items():
-            mu, phi, vol = old[x]
-            weight = drift = 0.0
-            for other, n, wins in results:
-                w = g(old[other][1])
-                e = 1 / (1 + math.exp(-w * (mu - old[other][0])))
-                weight, drift = weight + n * w * w * e * (1 - e), drift + w * (wins - n * e)
-            v = 1 / weight
-            delta = v * drift
-            vol = _volatility(phi, v, delta, vol, tau)
-            phi = 1 / math.sqrt(1 / (phi * phi + vol * vol) + 1 / v)
-            state[x] = (mu + phi * phi * drift, phi, vol)
-    return pd.DataFrame([(x, 1500 + SCALE * m, SCALE * f, v) for x, (m, f, v) in sorted(state.items())], columns=["player", "rating", "deviation", "volatility"])
-
-
-def _volatility(phi: float, v: float, delta: float, vol: float, tau: float) -> float:
-    """Root of the volatility equation by regula falsi with halving."""
-    a = math.log(vol * vol)
-
-    def f(x: float) -> float:
-        e = math.exp(x)
-        return e * (delta**2 - phi**2 - v - e) / (2 * (phi**2 + v + e) ** 2) - (x - a) / tau**2
-
-    low = a
-    if delta**2 > phi**2 + v:
-        high = math.log(delta**2 - phi**2 - v)
-    else:
-        n = 1
-        while f(a - n * tau) < 0:
-            n += 1
-        high = a - n * tau
-    f_low, f_high = f(low), f(high)
-    while abs(high - low) > 1e-6:
-        mid = low + (low - high) * f_low / (f_high - f_low)
-        f_mid = f(mid)
-        if f_mid * f_high <= 0:
-            low, f_low = high, f_high
-        else:
-            f_low /= 2
-        high, f_high = mid, f_mid
-    return math.exp(low / 2)
-
-
 def folds(events: DataFrame, least_train: int) -> DataFrame:
     """Per target event, the number of earlier events it may learn from: those that ended before it starts.
 
@@ -150,25 +41,6 @@ def scores(df: DataFrame, keys: list[str], p: str, y: str) -> DataFrame:
     return df.groupBy(*keys).agg(F.count("*").alias("n"), F.avg(right).alias("accuracy"), F.avg(brier(pc, yc)).alias("brier"), F.avg(log_loss(pc, yc)).alias("log_loss"))
 
 
-def bootstrap(spark: SparkSession, clusters: pd.DataFrame, replicates: int = 10_000, seed: int = 1) -> DataFrame:
-    """Replicate means of paired differences, whole clusters drawn with replacement.
-
-    clusters: total and n per cluster (one row per event). Replicates are dealt over the executors; each
-    draws from a generator seeded by its own number, so results do not depend on the partitioning.
-    """
-    total, n = clusters["total"].to_numpy(float), clusters["n"].to_numpy(float)
-
-    def run(batches):
-        for pdf in batches:
-            out = []
-            for r in pdf["id"]:
-                pick = np.random.default_rng([seed, int(r)]).integers(0, len(total), len(total))
-                out.append(total[pick].sum() / n[pick].sum())
-            yield pd.DataFrame({"replicate": pdf["id"], "mean": out})
-
-    return spark.range(replicates).mapInPandas(run, "replicate long, mean double")
-
-
 def _uniform(seed: int, simulation: np.ndarray, match: int) -> np.ndarray:
     """Random numbers by counter: of a simulation and a match alone, so that neither order nor partitioning shows."""
     x = simulation.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15) + np.uint64((seed * 1_000_003 + match) % (1 << 64))

@@ -106,16 +106,6 @@ def full_seed_phase(df: DataFrame, event: str, phase: str, seed: str) -> DataFra
     return whole.groupBy(event).agg(F.count("*").alias("_k"), F.min(phase).alias(phase)).where("_k = 1").drop("_k")
 
 
-def walk_forward(df: DataFrame, day: str, y: str, least: int) -> DataFrame:
-    """n and log loss of forecasting each day from the smoothed rate of the days before it."""
-    days = df.groupBy(day).agg(F.count("*").alias("n"), F.sum(y).alias("k"))
-    past = Window.partitionBy(F.lit(0)).orderBy(day).rowsBetween(Window.unboundedPreceding, -1)  # one row a day
-    known = days.withColumn("_n", F.sum("n").over(past)).withColumn("_k", F.sum("k").over(past)).where(F.col("_n") >= least)
-    p = (F.col("_k") + 1) / (F.col("_n") + 2)
-    loss = -F.col("k") * F.log(p) - (F.col("n") - F.col("k")) * F.log(1 - p)
-    return known.agg(F.sum("n").alias("n"), (F.sum(loss) / F.sum("n")).alias("log_loss"))
-
-
 def form(df: DataFrame, keys: list[str], residual: Column, day: Column, cutoff: str, half_life: float, prior: float) -> DataFrame:
     weight = decay(F.datediff(F.lit(cutoff).cast("date"), day), half_life)
     return df.groupBy(*keys).agg((F.sum(residual * weight) / (F.sum(weight) + prior)).alias("form"))

@@ -1,10 +1,7 @@
-"""State machines over ordered event sequences, one Arrow group per sequence."""
+"""Actions and contexts in ordered frame sequences."""
 
 from __future__ import annotations
 
-from collections.abc import Callable, Iterable, Iterator
-
-import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -30,38 +27,3 @@ def recent_action(df: DataFrame, keys: list[str], order: list[str], frame: str,
     return df.withColumn("_l", last).withColumn("context", F.when(F.col(frame) - F.col("_l.f") <= reach, F.col("_l.a"))).drop("_l")
 
 
-def run_machine(df: DataFrame, keys: list[str], order: list[str], machine: Callable[[Iterable], Iterator[tuple]], schema: str) -> DataFrame:
-    """machine reads one sequence's rows in order and yields tuples; schema names keys first."""
-    names = [f.strip().split()[0] for f in schema.split(",")]
-
-    def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        own = pdf.sort_values(order)
-        head = tuple(own[k].iloc[0] for k in keys)
-        return pd.DataFrame([(*head, *x) for x in machine(own.itertuples(index=False))], columns=names)
-
-    return df.groupBy(*keys).applyInPandas(run, schema)
-
-
-def choices(option: str, frame: str, hit: str, punished: str, reach: int) -> Callable[[Iterable], Iterator[tuple]]:
-    """Outcome of each chosen option: what comes first within reach: hit, punished, traded, none, or incomplete."""
-
-    def machine(rows: Iterable) -> Iterator[tuple]:
-        open_: list[tuple] = []
-        last = None
-        for r in rows:
-            at, mine, theirs = getattr(r, frame), bool(getattr(r, hit)), bool(getattr(r, punished))
-            still = []
-            for start, name in open_:
-                if at - start > reach:
-                    yield int(start), name, "none"
-                elif mine or theirs:
-                    yield int(start), name, "traded" if mine and theirs else "hit" if mine else "punished"
-                else:
-                    still.append((start, name))
-            open_, last = still, at
-            if isinstance(name := getattr(r, option), str):
-                open_.append((at, name))
-        for start, name in open_:
-            yield int(start), name, "none" if last - start >= reach else "incomplete"
-
-    return machine

@@ -453,12 +453,6 @@ def m04(spark, sf):
     return K.full_seed_phase(x, "event", "phase", "seed")
 
 
-@query("m12_walk_forward", "WITH d AS (SELECT CAST(ts AS DATE) AS day, count(*) AS n, sum(w) AS wins FROM plays WHERE w IS NOT NULL GROUP BY 1), c AS (SELECT day, n, wins, sum(n) OVER (ORDER BY day ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS before, sum(wins) OVER (ORDER BY day ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS won FROM d), p AS (SELECT *, (won + 1) / (before + 2) AS p FROM c WHERE before >= 50) SELECT CAST(sum(n) AS BIGINT) AS n, round(sum(-wins * ln(p) - (n - wins) * ln(1 - p)) / sum(n), 6) AS log_loss FROM p", "plays")
-def m12(spark, sf):
-    """Every day forecast from the days before it alone, once fifty games are there."""
-    return rounded(K.walk_forward(plays(spark, sf).where("w IS NOT NULL").withColumn("day", F.to_date("ts")), "day", "w", 50))
-
-
 @query("m14_side_swap", "SELECT swapped, count(*) AS n, round(avg(CASE WHEN swapped THEN 1 - w ELSE w END), 6) AS first_wins FROM (SELECT game, w, ascii(right(sha256(CAST(game AS VARCHAR)), 1)) % 2 = 1 AS swapped FROM games WHERE w IS NOT NULL) GROUP BY swapped", "games")
 def m14(spark, sf):
     """Sides swapped by a bit of the game's hash, so that no model gains from the order of entry."""
@@ -475,17 +469,6 @@ def m30(spark, sf):
     return twice.unionByName(s.where("s_acctbal < 0").agg(F.lit("late").alias("problem"), F.count("*").alias("n")))
 
 
-@query("m31_pair_forecast", "WITH r AS (SELECT nation, ln((sum(w) + 1) / (count(w) - sum(w) + 1)) AS s FROM games WHERE nation < 20 GROUP BY nation) SELECT a.n_nationkey AS a, b.n_nationkey AS b, round(1 / (1 + exp(-(coalesce(x.s, 0) - coalesce(y.s, 0)))), 6) AS p FROM nation a JOIN nation b ON b.n_regionkey = a.n_regionkey AND b.n_nationkey > a.n_nationkey LEFT JOIN r x ON x.nation = a.n_nationkey LEFT JOIN r y ON y.nation = b.n_nationkey", "games")
-def m31(spark, sf):
-    """Chances of pairs from strengths joined twice; an unknown one counts as neutral."""
-    g = games(spark, sf).where("nation < 20").groupBy("nation").agg(F.sum("w").alias("k"), F.count("w").alias("n"))
-    strength = g.select("nation", F.log((F.col("k") + 1) / (F.col("n") - F.col("k") + 1)).alias("s"))
-    n = load(spark, sf, "nation")
-    side = lambda c: n.select(F.col("n_nationkey").alias(c), "n_regionkey").join(strength.select(F.col("nation").alias(c), F.col("s").alias(f"s_{c}")), c, "left")
-    pairs = side("a").join(side("b"), "n_regionkey").where("b > a")
-    return rounded(pairs.select("a", "b", S.sigmoid(F.coalesce("s_a", F.lit(0.0)) - F.coalesce("s_b", F.lit(0.0))).alias("p")))
-
-
 # --- frames ------------------------------------------------------------------------------------------------
 
 FRAMES = "f AS (SELECT player, game, floor(value) % 12 AS state, value AS percent, CAST(lag(floor(value) % 12) OVER p AS BIGINT) AS before, lag(value) OVER p AS was FROM plays WINDOW p AS (PARTITION BY player ORDER BY ts, game))"

@@ -51,8 +51,14 @@ def query(name: str, sql: str | None = None, *views: str):
     def add(f: Query) -> Query:
         QUERIES[name] = f
         if sql is not None:
-            head = ", ".join(VIEWS[v] for v in views)
-            ORACLES[name] = f"WITH {head}, {sql.strip()[5:]}" if head and sql.strip().upper().startswith("WITH ") else f"WITH {head} {sql}" if head else sql
+            head, rest = ", ".join(VIEWS[v] for v in views), sql.strip()
+            for start in ("WITH RECURSIVE ", "WITH "):
+                if head and rest.upper().startswith(start):
+                    rest = f"{start}{head}, {rest[len(start):]}"
+                    break
+            else:
+                rest = f"WITH {head} {rest}" if head else sql
+            ORACLES[name] = rest
         return f
 
     return add

@@ -322,14 +322,6 @@ def _turns(spark, sf):
     return load(spark, sf, "conversations").select("conv_id", "turn", "role", F.length("text").alias("n"))
 
 
-@query("k07_choice_machine")
-def k07(spark, sf):
-    p = plays(spark, sf).withColumn("frame", F.row_number().over(Window.partitionBy("player").orderBy(*SEQ)).cast("long"))
-    p = p.select("player", "frame", F.when(F.col("mode") == "click", "click").alias("option"), (F.col("mode") == "purchase").alias("hit"), (F.col("mode") == "error").alias("punished"))
-    out = K.run_machine(p, ["player"], ["frame"], K.choices("option", "frame", "hit", "punished", 3), "player long, start long, option string, outcome string")
-    return out.groupBy("option", "outcome").agg(F.count("*").alias("n"))
-
-
 @query("k09_opening_context", "WITH x AS (SELECT conv_id, turn, role, max(CASE WHEN role = 'user' THEN turn END) OVER (PARTITION BY conv_id ORDER BY turn ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS last FROM conversations) SELECT conv_id, turn, CASE WHEN turn - last <= 1 THEN 'user' END AS context FROM x")
 def k09(spark, sf):
     t = _turns(spark, sf).withColumn("act", F.when(F.col("role") == "user", "user"))
@@ -376,23 +368,6 @@ PAIRS = """h AS (SELECT segment, CAST(year(ts) AS INTEGER) AS event, date_diff('
 q AS (SELECT segment, event, a, b, max(max(day_of)) OVER (PARTITION BY segment, event) AS fin, count(*) AS n, sum(won) AS wins FROM h GROUP BY segment, event, a, b)"""
 
 
-def _elo_sql() -> str:
-    """The events in turn, each from the ratings before it."""
-    steps = ["r1991 AS (SELECT DISTINCT segment, a AS player, 0.0::DOUBLE AS rating, false AS seen FROM h UNION SELECT DISTINCT segment, b, 0.0::DOUBLE, false FROM h)"]
-    for y in range(1992, 1998):
-        c = f"32 * 2.0 ** (-(2192 - fin) / 730.0) * (wins - n / (1 + 10 ** ((y.rating - x.rating) / 400)))"
-        steps.append(f"c{y} AS (SELECT q.*, {c} AS c FROM q JOIN r{y - 1} x ON x.segment = q.segment AND x.player = a JOIN r{y - 1} y ON y.segment = q.segment AND y.player = b WHERE event = {y} AND fin < 2192)")
-        steps.append(f"r{y} AS (SELECT r.segment, r.player, any_value(r.rating) + coalesce(sum(d.c), 0) AS rating, bool_or(r.seen OR d.c IS NOT NULL) AS seen FROM r{y - 1} r LEFT JOIN (SELECT segment, a AS player, c FROM c{y} UNION ALL SELECT segment, b, -c FROM c{y}) d ON d.segment = r.segment AND d.player = r.player GROUP BY r.segment, r.player)")
-    return f"WITH {PAIRS}, {', '.join(steps)} SELECT segment, player, round(rating, 4) AS rating FROM r1997 WHERE seen"
-
-
-def _by_segment(spark, sf, fit, schema):
-    """fit on the counts per event and pair of each segment."""
-    pairs = M.event_pairs(_pairings(spark, sf), ["segment"], "event", "day_of", "a", "b", "won")
-    names = [f.split()[0] for f in schema.split(", ")]
-    return pairs.groupBy("segment").applyInPandas(lambda key, pdf: fit(pdf).assign(segment=key[0])[names], schema)
-
-
 @query("m05_higher_seed", f"WITH {PAIRS}, s AS (SELECT segment, player, row_number() OVER (PARTITION BY segment ORDER BY sum(wins) DESC, player) AS seed FROM (SELECT segment, a AS player, wins FROM q WHERE event = 1995 UNION ALL SELECT segment, b, n - wins FROM q WHERE event = 1995) GROUP BY segment, player) SELECT q.segment, CAST(sum(n) AS BIGINT) AS comparisons, CAST(sum(CASE WHEN x.seed < y.seed THEN wins ELSE n - wins END) AS BIGINT) AS higher_wins, round(greatest(0.5, (sum(CASE WHEN x.seed < y.seed THEN wins ELSE n - wins END) + 1) / (sum(n) + 2)::DOUBLE), 6) AS confidence FROM q JOIN s x ON x.segment = q.segment AND x.player = a JOIN s y ON y.segment = q.segment AND y.player = b WHERE event > 1995 AND fin < 2192 GROUP BY q.segment", "games")
 def m05(spark, sf):
     """Seeds from the wins of the first event; the confidence is that of the training events alone."""
@@ -405,21 +380,6 @@ def m05(spark, sf):
     return rounded(M.seed_confidence(known, ["segment"], "seed_a", "seed_b", "games", "wins"))
 
 
-@query("m06_elo", _elo_sql(), "games")
-def m06(spark, sf):
-    return rounded(_by_segment(spark, sf, lambda pdf: M.elo(pdf, CUTOFF), "segment string, player int, rating double"), 4)
-
-
-@query("m07_glicko2")
-def m07(spark, sf):
-    return rounded(_by_segment(spark, sf, M.glicko2, "segment string, player int, rating double, deviation double, volatility double"), 4)
-
-
-@query("m08_dyn_bt")
-def m08(spark, sf):
-    return rounded(_by_segment(spark, sf, lambda pdf: M.dynamic_bradley_terry(pdf, CUTOFF), "segment string, player int, strength double"))
-
-
 @query("m13_calibration", "WITH x AS (SELECT least(9, CAST(floor(((value % 101) / 101.0) * 10) AS INTEGER)) AS bin, (value % 101) / 101.0 AS p, w FROM plays WHERE w IS NOT NULL) SELECT bin, count(*) AS n, round(avg(p), 6) AS mean_p, round(avg(w), 6) AS observed FROM x GROUP BY bin", "plays")
 def m13(spark, sf):
     p = (F.col("value") % 101) / 101.0
@@ -427,17 +387,6 @@ def m13(spark, sf):
     return rounded(x.groupBy("bin").agg(F.count("*").alias("n"), F.avg("p").alias("mean_p"), F.avg("w").alias("observed")))
 
 
-@query("m15_bootstrap")
-def m15(spark, sf):
-    """Interval of the difference in log loss between two forecasts of the same games, whole months drawn."""
-    p = F.greatest(F.lit(0.01), F.least(F.lit(0.99), (F.col("value") % 101) / 101.0))
-    x = plays(spark, sf).where("w IS NOT NULL").withColumn("d", S.log_loss(p, F.col("w")) - S.log_loss(F.lit(0.5), F.col("w")))
-    c = x.groupBy("mode", F.date_format("ts", "yyyy-MM").alias("cluster")).agg(F.sum("d").alias("total"), F.count("*").alias("n"))
-    b = M.bootstrap(spark, bounded(c.orderBy("mode", "cluster"), 100_000), 2000)
-    q = F.percentile("mean", F.array(F.lit(0.025), F.lit(0.5), F.lit(0.975)))
-    return rounded(b.agg(q.alias("q")).select(F.col("q")[0].alias("low"), F.col("q")[1].alias("mid"), F.col("q")[2].alias("high")))
-
-
 @query("m19_bracket_mc")
 def m19(spark, sf):
     """The eight nations with the best smoothed log-odds of their decided games."""

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from matchlake.functions import names as N
 from matchlake.functions import scalar as S
-from matchlake.operators import aggregate, community, dedupe, forecast, impact, keeping, machines, resolve, sequence, stats, teams
+from matchlake.operators import aggregate, community, dedupe, forecast, impact, keeping, resolve, sequence, stats, teams
 from matchlake.sources import tables
 from matchlake.streaming import incremental
 
@@ -61,50 +61,6 @@ def test_irls_recovers_a_known_fit(spark):
     assert stats.irls(df.withColumn("y", F.lit(1)), ["a"], "y") is None
 
 
-def test_glicko2_published_example():
-    # the worked example of the method's description: 1500/200 against 1400/30, 1550/100 and 1700/300
-    a = forecast._volatility(200 / 173.7178, 1.7785, -0.4834, 0.06, 0.5)
-    assert abs(a - 0.05999) < 1e-4
-
-
-def _history(rng, players=6, events=4, games=30):
-    rows = [(e, 100 * e + int(rng.integers(0, 5)), *map(int, rng.permutation(players)[:2]), int(rng.integers(0, 2))) for e in range(events) for _ in range(games)]
-    return pd.DataFrame(rows, columns=["event", "day", "a", "b", "won"])
-
-
-def test_ratings_against_plain_loops_over_games(spark):
-    h = _history(np.random.default_rng(3))
-    pairs = forecast.event_pairs(spark.createDataFrame(h.assign(k=1)), ["k"], "event", "day", "a", "b", "won").toPandas()
-    ends, cutoff = h.groupby("event")["day"].max().to_dict(), 400.0
-    rating, skill, seen = {}, {}, {}
-    for e, day in sorted(ends.items(), key=lambda x: x[1]):
-        mine, change = [g for g in h.itertuples(index=False) if g.event == e], {}
-        for g in mine:
-            d = 32 * 2 ** (-(cutoff - day) / 730) * (g.won - 1 / (1 + 10 ** ((rating.get(g.b, 0) - rating.get(g.a, 0)) / 400)))
-            change[g.a], change[g.b] = change.get(g.a, 0) + d, change.get(g.b, 0) - d
-        for x, d in change.items():
-            rating[x] = rating.get(x, 0) + d
-        names = sorted(change)
-        prior = {x: skill.get(x, 0) * 2 ** (-(day - seen.get(x, day)) / 365) for x in names}
-        s = dict(prior)
-        most = max(sum(x in (g.a, g.b) for g in mine) for x in names)
-        for _ in range(300):
-            grad = {x: -(s[x] - prior[x]) for x in names}
-            for g in mine:
-                r = g.won - 1 / (1 + math.exp(-(s[g.a] - s[g.b])))
-                grad[g.a], grad[g.b] = grad[g.a] + r, grad[g.b] - r
-            moves = {x: grad[x] / (1 + most / 2) for x in names}
-            s = {x: s[x] + moves[x] for x in names}
-            if max(map(abs, moves.values())) <= 1e-9:
-                break
-        for x in names:
-            skill[x], seen[x] = s[x], day
-    assert all(math.isclose(r.rating, rating[r.player], rel_tol=1e-9, abs_tol=1e-9) for r in forecast.elo(pairs, cutoff).itertuples())
-    got = forecast.dynamic_bradley_terry(pairs, cutoff)
-    assert all(math.isclose(r.strength, skill[r.player] * 2 ** (-(cutoff - seen[r.player]) / 365), abs_tol=1e-7) for r in got.itertuples()) and len(got) == 6
-    assert len(forecast.elo(pairs, ends[1])) <= 6 and forecast.elo(pairs, 0).empty  # strictly before the cutoff
-
-
 def test_double_elimination_against_a_plain_bracket():
     power, n = np.array([1.0, 0.8, 0.5, 0.3, 0.0, -0.2, -0.5, -1.0]), np.arange(400)
     u = [forecast._uniform(7, n, m) for m in range(15)]
@@ -134,12 +90,6 @@ def test_bracket_reads_its_strengths(spark):
         forecast.bracket_titles(spark.createDataFrame(rows[:7], "entrant string, strength double"), 10)
 
 
-def test_choice_machine(spark):
-    df = spark.createDataFrame([(1, 1, "roll", False, False), (1, 2, None, True, True), (1, 3, "jump", False, False), (1, 9, "wait", False, False)], "g int, f int, o string, h boolean, p boolean")
-    got = machines.run_machine(df, ["g"], ["f"], machines.choices("o", "f", "h", "p", 3), "g int, start long, option string, outcome string")
-    assert {(r["option"], r["outcome"]) for r in got.collect()} == {("roll", "traded"), ("jump", "none"), ("wait", "incomplete")}
-
-
 def test_upsert_stream_is_repeatable(spark, tmp_path):
     src, dst, ck = (str(tmp_path / x) for x in ("src", "dst", "ck"))
     for i, rows in enumerate(([(1, 1, "a"), (2, 1, "a")], [(1, 2, "b"), (2, 0, "c")])):
