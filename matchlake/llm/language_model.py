@@ -4,9 +4,11 @@ A bigram maximum-likelihood estimate is mixed with the additively smoothed unigr
 
     P(w | v) = L[b] * c(v, w) / c(v) + (1 - L[b]) * (c(w) + 0.5) / (N + 0.5 * (V + 1)),   b = floor(log2 c(v))
 
-Counts come from the training documents, the weights L (one per context-frequency bucket) from
-expectation-maximisation on the held-out documents' n-grams.  Contexts never seen have L = 0, so for
-every context the probabilities sum to one.  All counts cover all documents and are exact.
+Counts come from the training documents, and so do the weights L (one per context-frequency bucket): expectation-maximisation
+on the training tokens with each token's own occurrence deleted from the counts, c(v, w) - 1 over c(v) - 1, so that what it
+learns from was not seen by the estimate.  Held-out documents have no part in the model: their scores do not depend
+on each other.  Contexts never seen have L = 0, so for every context the probabilities sum to one.  All counts cover all
+documents and are exact.
 
 Spark's share: documents become blocks of word numbers (training and held-out apart), each block sends
 its distinct words and bigrams with their counts to hash ranges, where a Spark join adds them up and
@@ -14,7 +16,7 @@ answers every block.  A word occurs once per block however frequent it is, which
 combine; no range holds more than PER_BUCKET entries or so, and nothing that grows goes to the driver:
 EM runs on a histogram of (bucket, log2 of bigram over unigram estimate), of a fixed number of cells.
 
-Defined results: the empty text scores its end token alone; without held-out documents every weight is
+Defined results: the empty text scores its end token alone; a bucket without training tokens has the weight
 START; without training documents every token is unseen and N = V = 0.
 """
 
@@ -126,7 +128,7 @@ def _totals(table: DataFrame, kind: int, buckets: int) -> DataFrame:
 
 
 def _estimates(pdf: pd.DataFrame, n_all: int, distinct: int):
-    """Per token of the block: context count, bigram MLE, unigram estimate and count."""
+    """Per token of the block: its count, that of its bigram and of its context, both estimates and the bucket."""
     own = pdf[pdf["kind"] == 0].iloc[0]
 
     def total(kind):
@@ -143,7 +145,7 @@ def _estimates(pdf: pd.DataFrame, n_all: int, distinct: int):
     uni = (c + 0.5) / (n_all + 0.5 * (distinct + 1))
     bi = np.divide(cc, context, out=np.zeros(len(c)), where=context > 0)
     bucket = np.where(context > 0, np.log2(np.maximum(context, 1)).astype(np.int64) + 1, 0)
-    return own, lengths, starts, c, uni, bi, bucket
+    return own, lengths, starts, c, cc, context, uni, bi, bucket
 
 
 def fit_weights(cells: list[tuple[int, int | None, int]], rounds: int = 200) -> dict[int, float]:
@@ -177,7 +179,9 @@ def score(df: DataFrame, held: int = 1, folds: int = 5) -> DataFrame:
     joined = own.unionByName(totals.select("block_id", "bucket", "kind", "r"), allowMissingColumns=True)
 
     def cells(pdf: pd.DataFrame) -> pd.DataFrame:
-        _, _, _, _, uni, bi, bucket = _estimates(pdf, n_all, distinct)
+        _, _, _, c, cc, context, _, _, bucket = _estimates(pdf, n_all, distinct)
+        uni = (c - 0.5) / (n_all - 1 + 0.5 * (distinct + 1))
+        bi = np.divide(cc - 1, context - 1, out=np.zeros(len(c)), where=context > 1)
         with np.errstate(divide="ignore"):
             at = np.clip(np.floor(np.log2(bi / uni) * STEPS_PER_OCTAVE), LOW * STEPS_PER_OCTAVE, HIGH * STEPS_PER_OCTAVE).astype(np.int64)
         at[bi == 0] = LOW * STEPS_PER_OCTAVE - 1
@@ -187,13 +191,13 @@ def score(df: DataFrame, held: int = 1, folds: int = 5) -> DataFrame:
         which = np.flatnonzero(n)
         return pd.DataFrame({"bucket": which // width, "cell": which % width + LOW * STEPS_PER_OCTAVE - 1, "n": n[which]})
 
-    held_blocks = table.where("held_out").select("block_id")
-    part = joined.join(held_blocks, "block_id", "left_semi")
+    training = table.where("NOT held_out").select("block_id")
+    part = joined.join(training, "block_id", "left_semi")
     found = part.groupBy("block_id").applyInPandas(cells, "bucket long, cell long, n long").groupBy("bucket", "cell").agg(F.sum("n").alias("n")).collect()
-    weights = fit_weights([(r["bucket"], None if r["cell"] < LOW * STEPS_PER_OCTAVE else r["cell"], r["n"]) for r in found])
+    weights = fit_weights([(r["bucket"], None if r["cell"] < LOW * STEPS_PER_OCTAVE else r["cell"], r["n"]) for r in sorted(found)])
 
     def apply(pdf: pd.DataFrame) -> pd.DataFrame:
-        row, lengths, starts, c, uni, bi, bucket = _estimates(pdf, n_all, distinct)
+        row, lengths, starts, c, _, _, uni, bi, bucket = _estimates(pdf, n_all, distinct)
         weight = np.array([0.0, *(weights.get(b, START) for b in range(1, 65))])[bucket]
         base, mixed = np.log10(uni), np.log10(weight * bi + (1 - weight) * uni)
         return pd.DataFrame({"doc_id": np.frombuffer(row["docs"], np.int64), "held_out": bool(row["held_out"]), "n_tokens": lengths, "n_known": np.add.reduceat((c > 0).astype(np.int64), starts), "train_tokens": n_all, "base_score": np.add.reduceat(base, starts), "score": np.add.reduceat(mixed, starts)})
