@@ -32,7 +32,7 @@ from pyspark.sql import functions as F
 
 from matchlake.llm.common import BEGIN, BLOCK_BYTES, END, arrow_rows, block_ids, crc32_text, documents, materialize, mix, pack, parallelism, read, slices, unpack, word_hashes
 
-PER_BUCKET = 2_000_000
+PER_BUCKET = 1_000_000
 START = 0.5
 STEPS_PER_OCTAVE, LOW, HIGH = 8, -40, 80  # cells of the ratio histogram
 
@@ -127,8 +127,8 @@ def _totals(table: DataFrame, kind: int, buckets: int) -> DataFrame:
     return sent.groupBy("bucket").applyInPandas(add, _REPLY)
 
 
-def _estimates(pdf: pd.DataFrame, n_all: int, distinct: int):
-    """Per token of the block: its count, that of its bigram and of its context, both estimates and the bucket."""
+def _counts(pdf: pd.DataFrame):
+    """Per token of the block: its count, that of its bigram and of its context, and the context's bucket."""
     own = pdf[pdf["kind"] == 0].iloc[0]
 
     def total(kind):
@@ -142,10 +142,8 @@ def _estimates(pdf: pd.DataFrame, n_all: int, distinct: int):
     context = np.empty_like(c)
     context[1:] = c[:-1]
     context[starts] = c[starts + lengths - 1]  # as many beginnings as ends: the end token's count
-    uni = (c + 0.5) / (n_all + 0.5 * (distinct + 1))
-    bi = np.divide(cc, context, out=np.zeros(len(c)), where=context > 0)
-    bucket = np.where(context > 0, np.log2(np.maximum(context, 1)).astype(np.int64) + 1, 0)
-    return own, lengths, starts, c, cc, context, uni, bi, bucket
+    bucket = np.where(context > 0, np.log2(np.maximum(context, 1)).astype(np.int8) + 1, 0).astype(np.int8)
+    return own, lengths, starts, c, cc, context, bucket
 
 
 def fit_weights(cells: list[tuple[int, int | None, int]], rounds: int = 200) -> dict[int, float]:
@@ -179,14 +177,14 @@ def score(df: DataFrame, held: int = 1, folds: int = 5) -> DataFrame:
     joined = own.unionByName(totals.select("block_id", "bucket", "kind", "r"), allowMissingColumns=True)
 
     def cells(pdf: pd.DataFrame) -> pd.DataFrame:
-        _, _, _, c, cc, context, _, _, bucket = _estimates(pdf, n_all, distinct)
+        _, _, _, c, cc, context, bucket = _counts(pdf)
         uni = (c - 0.5) / (n_all - 1 + 0.5 * (distinct + 1))
         bi = np.divide(cc - 1, context - 1, out=np.zeros(len(c)), where=context > 1)
         with np.errstate(divide="ignore"):
             at = np.clip(np.floor(np.log2(bi / uni) * STEPS_PER_OCTAVE), LOW * STEPS_PER_OCTAVE, HIGH * STEPS_PER_OCTAVE).astype(np.int64)
         at[bi == 0] = LOW * STEPS_PER_OCTAVE - 1
         width = (HIGH - LOW) * STEPS_PER_OCTAVE + 2
-        flat = bucket * width + at - (LOW * STEPS_PER_OCTAVE - 1)
+        flat = bucket.astype(np.int64) * width + at - (LOW * STEPS_PER_OCTAVE - 1)
         n = np.bincount(flat[bucket > 0], minlength=1)
         which = np.flatnonzero(n)
         return pd.DataFrame({"bucket": which // width, "cell": which % width + LOW * STEPS_PER_OCTAVE - 1, "n": n[which]})
@@ -197,7 +195,9 @@ def score(df: DataFrame, held: int = 1, folds: int = 5) -> DataFrame:
     weights = fit_weights([(r["bucket"], None if r["cell"] < LOW * STEPS_PER_OCTAVE else r["cell"], r["n"]) for r in sorted(found)])
 
     def apply(pdf: pd.DataFrame) -> pd.DataFrame:
-        row, lengths, starts, c, _, _, uni, bi, bucket = _estimates(pdf, n_all, distinct)
+        row, lengths, starts, c, cc, context, bucket = _counts(pdf)
+        uni = (c + 0.5) / (n_all + 0.5 * (distinct + 1))
+        bi = np.divide(cc, context, out=np.zeros(len(c)), where=context > 0)
         weight = np.array([0.0, *(weights.get(b, START) for b in range(1, 65))])[bucket]
         base, mixed = np.log10(uni), np.log10(weight * bi + (1 - weight) * uni)
         return pd.DataFrame({"doc_id": np.frombuffer(row["docs"], np.int64), "held_out": bool(row["held_out"]), "n_tokens": lengths, "n_known": np.add.reduceat((c > 0).astype(np.int64), starts), "train_tokens": n_all, "base_score": np.add.reduceat(base, starts), "score": np.add.reduceat(mixed, starts)})
