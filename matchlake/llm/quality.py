@@ -8,11 +8,12 @@ a document is rejected for any.  No accuracy is given beforehand; each estimate
 Posteriors of a bounded sample (SAMPLE documents, chosen by hash) train a hashed linear scorer, which judges every
 document.
 
-The words of abuse are INSULTS and, where labels are given, those learnt from a bounded sample of them (LABELLED,
-chosen by hash): words whose share of toxic documents is SHARE or more and by a Chernoff bound, corrected for the
-number of words, no accident.  Their hash deals them to four labellers, so each has words of every language.
-Nothing else uses a true label.  Null labels and those of absent documents count for nothing, and of several labels
-of a document the toxic one holds.
+The words of abuse are learnt from a bounded sample of labels (LABELLED, chosen by hash): words whose share of toxic
+documents is SHARE or more and by a Chernoff bound, corrected for the number of words, no accident; no word is given beforehand, so
+without labels nothing is judged abusive.  Four labellers judge the same texts by them: any such word, DENSE or more of
+the text's words, TOGETHER or more different ones, and any of the surer half by the bound.  Nothing else uses a true
+label.  Null labels and those of absent documents count for nothing, and of several labels of a document the toxic
+one holds.
 
 Copies are no evidence of their own: of the sampled texts of one label (for the words), and of the sampled documents
 of one posterior (for the scorer), that are near copies of each other (by a min-hash sketch) one counts.
@@ -51,11 +52,10 @@ LEAST_DOCS = 20
 THRESHOLD = 0.5
 KEEP, REJECT, ABSTAIN = "k", "r", "-"
 
-# Abusive words.
-INSULTS = frozenset("clown disgusting idiot loser moron pathetic scum stupid trash worthless".split())
+#: Least share of abusive words, and least number of different ones, for their labellers.
+DENSE, TOGETHER = 0.01, 2
 #: Labellers by what they judge; the first one, which votes keep on prose, has a say in every facet of form.
 FACETS = ((0, 1, 2, 3), (0, 4, 5, 6), (0, 7, 8, 9), (10, 11, 12, 13))
-GROUPS = 4
 _STRIP = b".,;:!?*%$&#|~\"'()[]{}<>=+-_/\\@^`"
 _SYMBOLS = b"*%$&#|~^=<>{}\\"
 _MASK = (1 << BITS) - 1
@@ -84,8 +84,9 @@ def shape(raw: bytes, words: list[bytes], counts: dict[bytes, int], known: list[
     }
 
 
-def votes(s: dict[str, float], groups: set[int], n: int) -> str:
-    """One letter per labeller. groups: those of the abusive words held; n: words."""
+def votes(s: dict[str, float], abuse: tuple[int, int, bool], n: int) -> str:
+    """One letter per labeller. abuse: abusive words, different ones, and whether a sure one is among them; n: words."""
+    said, different, sure = abuse
     over = lambda x, bad: REJECT if x > bad else ABSTAIN
     out = [
         KEEP if 0.02 < s["stops"] < 0.4 else ABSTAIN,
@@ -98,7 +99,10 @@ def votes(s: dict[str, float], groups: set[int], n: int) -> str:
         over(s["repeats"], 0.2),
         REJECT if n >= 50 and s["variety"] < 0.2 else ABSTAIN,
         REJECT if n >= 50 and s["top"] > 0.2 else ABSTAIN,
-        *(REJECT if g in groups else ABSTAIN for g in range(GROUPS)),
+        over(said, 0),
+        REJECT if said and said >= DENSE * n else ABSTAIN,
+        REJECT if different >= TOGETHER else ABSTAIN,
+        REJECT if sure else ABSTAIN,
     ]
     return "".join(out) if n else ABSTAIN * len(out)
 
@@ -113,13 +117,8 @@ def _cleaned(word: bytes) -> tuple[str, int, bool, bool, bool, bool]:
     return w.decode(errors="replace"), zlib.crc32(w) & _MASK, shout, word.endswith((b".", b",")), len(word.translate(None, _SYMBOLS)) < len(word), t != t.upper()
 
 
-def group_of(word: str) -> int:
-    """The labeller of an abusive word."""
-    return (zlib.crc32(word.encode()) >> 8) % GROUPS
-
-
-def read_text(text: str, abusive: dict[str, int] | None = None) -> tuple[str, dict[str, float], list[tuple]]:
-    """Votes, shape and distinct words. abusive: words with their group_of."""
+def read_text(text: str, abusive: dict[str, bool] | None = None) -> tuple[str, dict[str, float], list[tuple]]:
+    """Votes, shape and distinct words. abusive: words, and whether each is a sure one."""
     global _clean
     if _clean is None:
         _clean = Recent(_cleaned)
@@ -128,12 +127,17 @@ def read_text(text: str, abusive: dict[str, int] | None = None) -> tuple[str, di
     counts = Counter(words)
     known = [_clean[w] for w in counts]
     s = shape(raw, words, counts, known)
-    held = {k[0] for k in known} & abusive.keys() if abusive else set()
+    said = Counter()
+    if abusive:
+        for k, c in zip(known, counts.values(), strict=True):
+            if k[0] in abusive:
+                said[k[0]] += c
+    held = said.keys()
     s["abuse"] = min(len(held), 4) / 20  # one bin per word
-    return votes(s, {abusive[w] for w in held} if held else set(), len(words)), s, known
+    return votes(s, (said.total(), len(held), any(abusive[w] for w in held) if held else False), len(words)), s, known
 
 
-def features(text: str, abusive: dict[str, int] | None = None) -> tuple[str, np.ndarray]:
+def features(text: str, abusive: dict[str, bool] | None = None) -> tuple[str, np.ndarray]:
     """Votes, and the hashed features in ascending order."""
     pattern, s, known = read_text(text, abusive)
     bins = [zlib.crc32(f"\t{k}:{min(int(v * 20 + 1e-9), 20)}".encode()) & _MASK for k, v in s.items()] if known else []
@@ -216,19 +220,24 @@ def train(rows: list[tuple[np.ndarray, float]], epochs: int = 8, rate: float = 0
     return weight.astype(np.float32), float(bias)
 
 
-def typical(counts: list[tuple[str, int, int]], toxic: int, clean: int, words: int) -> frozenset[str]:
-    """Words of toxic documents from (word, toxic documents, clean ones that hold it); words: how many there are in all."""
+def typical(counts: list[tuple[str, int, int]], toxic: int, clean: int, words: int) -> dict[str, bool]:
+    """Words of toxic documents from (word, toxic documents, clean ones that hold it); words: how many there are in all.
+
+    With each word, whether its evidence is no less than the median of theirs.
+    """
     if not toxic or not clean:
-        return frozenset()
+        return {}
     base, needed = toxic / (toxic + clean), math.log(max(words, 2))
     if base >= SHARE:
-        return frozenset()
+        return {}
 
     def gap(t: int, n: int) -> float:
         x = t / (t + n)
         return (t + n) * (x * math.log(x / base) + ((1 - x) * math.log((1 - x) / (1 - base)) if n else 0.0))
 
-    return frozenset(w for w, t, n in counts if w and t >= SHARE * (t + n) and gap(t, n) > needed)
+    found = {w: gap(t, n) for w, t, n in counts if w and t >= SHARE * (t + n) and gap(t, n) > needed}
+    middle = float(np.median([*found.values()])) if found else 0.0
+    return {w: g >= middle for w, g in found.items()}
 
 
 def _digest(text: str) -> str:
@@ -286,7 +295,7 @@ def copy_classes(sketches: np.ndarray, alike: float = ALIKE) -> np.ndarray:
     return np.array([find(i) for i in range(len(root))], np.int64)
 
 
-def learn_words(df: DataFrame, labels: DataFrame, most: int = LABELLED) -> frozenset[str]:
+def learn_words(df: DataFrame, labels: DataFrame, most: int = LABELLED) -> dict[str, bool]:
     """typical of a sample of at most 2 * most labelled documents (labels: doc_id, toxic)."""
     own = labels.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("toxic").cast("int").alias("toxic"))
     own = own.where("doc_id IS NOT NULL AND toxic IS NOT NULL").groupBy("doc_id").agg(F.max("toxic").alias("toxic"))
@@ -333,7 +342,7 @@ def learn_words(df: DataFrame, labels: DataFrame, most: int = LABELLED) -> froze
     return typical([tuple(r) for r in kept.collect()], toxic, clean, n)
 
 
-def read_documents(df: DataFrame, abusive: dict[str, int]) -> DataFrame:
+def read_documents(df: DataFrame, abusive: dict[str, bool]) -> DataFrame:
     """doc_id, votes and packed features of every document: the one pass over the texts."""
     listed = df.sparkSession.sparkContext.broadcast(abusive)
     schema = pa.schema([("doc_id", pa.int64()), ("votes", pa.string()), ("x", pa.binary())])
@@ -359,8 +368,8 @@ def fit(marked: DataFrame, sample: int = SAMPLE) -> tuple[np.ndarray, float, dic
 
 def classify(df: DataFrame, sample: int = SAMPLE, threshold: float = THRESHOLD, labels: DataFrame | None = None) -> DataFrame:
     """doc_id, votes, posterior and score (both: chance of reject), keep. labels: doc_id, toxic (optional)."""
-    words = INSULTS | (learn_words(df, labels) if labels is not None else frozenset())
-    marked = materialize(read_documents(df, {w: group_of(w) for w in words}), "votes")
+    words = learn_words(df, labels) if labels is not None else {}
+    marked = materialize(read_documents(df, words), "votes")
     shared = df.sparkSession.sparkContext.broadcast(fit(marked, sample))
 
     def judge(batches):
