@@ -15,9 +15,23 @@ def mode_of_match(match_id: Column) -> Column:
     return F.when(match_id.isNull(), "offline").when(has("mode.ranked"), "ranked").when(has("mode.unranked"), "unranked").when(has("mode.direct"), "direct").otherwise("unknown")
 
 
+# Suffixes of broadcast bundles, and what names brackets and friendlies in a path.
+ARCHIVE = r"(?i)\.(?:7z|zip)$"
+BROADCAST_SUFFIX = r"(?i)-(?:main-stream|streams?|top-8|r2-offstream)$"
+BROADCAST_BUNDLE = r"(?i)-(?:main-stream|streams?|top-8|r2-offstream)\.(?:7z|zip)$"
+BRACKET_PATH = r"(?i)(?:^|[/\\ _-])(?:bracket|pools?|top[-_ ]?\d+|stream|broadcast)(?:$|[/\\ _-])"
+FRIENDLY_PATH = r"(?i)(?:^|[/\\ _-])(?:friendlies?|warm[-_ ]?ups?|hand[-_ ]?warmers?|casuals?)(?:$|[/\\ _-])"
+
+
 def event_of_bundle(name: Column) -> Column:
-    """Bundle name without its archive suffix and then its stream suffix."""
-    return F.regexp_replace(F.regexp_replace(name, r"(?i)\.(7z|zip)$", ""), r"(?i)[-_ ]stream\d*$", "")
+    """Bundle name without its archive suffix and then its broadcast suffix."""
+    return F.regexp_replace(F.regexp_replace(name, ARCHIVE, ""), BROADCAST_SUFFIX, "")
+
+
+def path_evidence(bundle: Column, path: Column) -> dict[str, Column]:
+    """What a bundle's name and a file's path tell: broadcast_bundle, bracket_path, broadcast (either) and friendly."""
+    stream, bracket = bundle.rlike(BROADCAST_BUNDLE), path.rlike(BRACKET_PATH)
+    return {"broadcast_bundle": stream, "bracket_path": bracket, "broadcast": stream | bracket, "friendly": path.rlike(FRIENDLY_PATH)}
 
 
 def move_group(move: Column) -> Column:
@@ -80,11 +94,6 @@ def major_key(name: Column, year: Column) -> Column:
     return F.concat_ws(":", F.regexp_replace(F.lower(name), "[^a-z0-9]", ""), year.cast("string"))
 
 
-def broadcast_path(path: Column) -> Column:
-    """Does a path speak of a stream or a setup?"""
-    return path.rlike(r"(?i)(^|[/_ -])(stream|setup|station)\d*([/_ .-]|$)")
-
-
 def strict_alias(text: Column) -> Column:
     """Trimmed, compatibility-composed (NFKC) and lower-cased; Spark has no such function."""
 

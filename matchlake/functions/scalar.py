@@ -94,12 +94,33 @@ def name_key(text: Column) -> Column:
     return F.translate(F.regexp_replace(F.lower(text), r"[\s._\-'\"`]", ""), "0$", "os")
 
 
-def html_text(html: Column) -> Column:
-    """Tags to spaces, the five basic entities decoded, white space folded."""
-    out = F.regexp_replace(html, r"<[^>]*>", " ")
-    for entity, sign in (("&lt;", "<"), ("&gt;", ">"), ("&quot;", '"'), ("&#39;", "'"), ("&nbsp;", " "), ("&amp;", "&")):
-        out = F.replace(out, F.lit(entity), F.lit(sign))
-    return F.trim(F.regexp_replace(out, r"[ \t\n\r\f]+", " "))
+def html_text(html: Column, passes: int = 8) -> Column:
+    """Tags gone until none is left, angle brackets dropped, hard spaces and white space folded.
+
+    Removing a tag can splice another one together; a text that passes sweeps do not settle is an error.
+    """
+    out = html
+    for _ in range(passes):
+        out = F.regexp_replace(out, r"<[^>]*>", "")
+    settled = F.when(out.rlike(r"<[^>]*>"), F.raise_error(F.lit("tags are nested too deeply"))).otherwise(out)
+    out = F.regexp_replace(F.regexp_replace(settled, "[<>]", ""), "&#160;|&nbsp;|\u00a0", " ")
+    return F.trim(F.regexp_replace(out, r"[ \t\n\r\f\u000b]+", " "))
+
+
+#: A day, or a range of days within or across months, with an optional year.
+DAYS = r"([A-Z][a-z]{2})\s+(\d{1,2})(?:\s*[-\u2013]\s*(?:([A-Z][a-z]{2})\s+)?(\d{1,2}))?,?\s*(\d{4})?"
+MONTHS = "Jan Feb Mar Apr May Jun Jul Aug Sep Oct Nov Dec".split()
+
+
+def event_end(text: Column, year: Column) -> Column:
+    """The last day that a text names (of its last range), as YYYY-MM-DD; January of year where it names none."""
+    last = F.try_element_at(F.regexp_extract_all(text, F.lit(DAYS), F.lit(0)), F.lit(-1))
+    part = lambda k: F.nullif(F.regexp_extract(last, DAYS, k), F.lit(""))
+    found = F.when(F.size(F.regexp_extract_all(text, F.lit(DAYS), F.lit(0))) > 0, last)
+    number = lambda k: F.nullif(F.array_position(F.array(*map(F.lit, MONTHS)), part(k)), F.lit(0).cast("long"))
+    month = F.coalesce(number(3), number(1))
+    day = F.concat_ws("-", F.coalesce(part(5), year.cast("string")), F.lpad(month.cast("string"), 2, "0"), F.lpad(F.coalesce(part(4), part(2)), 2, "0"))
+    return F.when(found.isNotNull() & month.isNotNull(), day).otherwise(F.concat(year.cast("string"), F.lit("-01")))
 
 
 def first_reason(*cases: tuple[Column, str]) -> Column:

@@ -57,11 +57,6 @@ def count_members(sets: Column) -> Column:
     return F.size(F.array_distinct(F.filter(F.flatten(sets), lambda x: x.isNotNull() & (x != ""))))
 
 
-def merge_maps(df: DataFrame, keys: list[str], counters: str) -> DataFrame:
-    """Counter maps added up by entry, as one row per key and entry."""
-    return df.select(*keys, F.explode(counters).alias("entry", "n")).groupBy(*keys, "entry").agg(F.sum("n").alias("n"))
-
-
 def reaggregate(df: DataFrame, keys: list[str], sums: list[str], optional: list[str]) -> DataFrame:
     """Sums of published cells; an optional one stays null unless some cell has it."""
     return df.groupBy(*keys).agg(*(F.sum(F.coalesce(c, F.lit(0))).alias(c) for c in sums), *(F.sum(c).alias(c) for c in optional))

@@ -7,6 +7,8 @@ import re
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from matchlake.scratch import discard, materialize
+
 from matchlake.functions.scalar import code, decay
 
 
@@ -144,3 +146,20 @@ def winner(seconds: Column, placed: Column, out_first: Column, out_second: Colum
     """0 or 1; null for games under thirty seconds and those that nothing settles. out: has the side lost its last stock?"""
     survivor = F.when(out_first != out_second, F.when(out_first, 1).otherwise(0))
     return F.when(seconds >= 30, F.coalesce(placed, survivor, 1 - quitter))
+
+
+def settle(uploads: DataFrame, keys: list[str], owner: str, least: int) -> DataFrame:
+    """The owner of each key, the first of its uploaders, once nobody owns fewer than least keys.
+
+    Who holds too little drops out and the next uploader of each key takes over, which may leave others with more, or in turn
+    others with too little; rounds go on until nobody drops out.  A key whose uploaders have all dropped out has no owner.
+    """
+    left = materialize(uploads.select(owner).distinct(), "owners")
+    while True:
+        held = materialize(uploads.join(left, owner).groupBy(*keys).agg(F.min(owner).alias(owner)), "held")
+        few = materialize(held.groupBy(owner).agg(F.count("*").alias("n")).where(F.col("n") < least).select(owner), "few")
+        if few.isEmpty():
+            return held
+        after = materialize(left.join(few, owner, "left_anti"), "owners")
+        discard(left, held, few)
+        left = after

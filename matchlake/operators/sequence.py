@@ -113,11 +113,27 @@ def median_split(df: DataFrame, keys: list[str], by: str, order: list[str]) -> D
     return got.withColumn("delta", F.col("high") - F.col("low"))
 
 
+def ranked(df: DataFrame, keys: list[str], by: str, order: list[str], slices: int = 64) -> DataFrame:
+    """_i (from 0) and _n: a row's place among those of its keys by (by, order), and their number.
+
+    Approximate quantiles cut the values into slices that are sorted apart; counts of the slices give the offsets, so places are exact
+    wherever the cuts fall and no task sorts a whole key.
+    """
+    c = F.col
+    cuts = df.groupBy(*keys).agg(F.array_distinct(F.percentile_approx(by, F.array(*(F.lit(k / slices) for k in range(1, slices))), 10_000)).alias("_cuts"))
+    dealt = df.join(cuts, keys).withColumn("_s", F.size(F.filter("_cuts", lambda x: x < c(by)))).drop("_cuts")
+    counts = dealt.groupBy(*keys, "_s").agg(F.count("*").alias("_c"))
+    before = Window.partitionBy(*keys).orderBy("_s").rowsBetween(Window.unboundedPreceding, -1)
+    offsets = counts.select(*keys, "_s", F.coalesce(F.sum("_c").over(before), F.lit(0)).alias("_o"), F.sum("_c").over(Window.partitionBy(*keys)).alias("_n"))
+    own = F.row_number().over(Window.partitionBy(*keys, "_s").orderBy(by, *order)) - 1
+    return dealt.withColumn("_own", own).join(offsets, [*keys, "_s"]).withColumn("_i", c("_own") + c("_o")).drop("_own", "_o", "_s")
+
+
 def quartile_rates(df: DataFrame, keys: list[str], by: str, order: list[str], least: int = 40) -> DataFrame:
     """Win rate, size and bounds of four slices cut at floor(q n / 4) (ntile would put extras first)."""
-    ranked = df.withColumn("_i", F.row_number().over(Window.partitionBy(*keys).orderBy(by, *order)) - 1).withColumn("_n", F.count("*").over(Window.partitionBy(*keys))).where(F.col("_n") >= least)
+    placed = ranked(df, keys, by, order).where(F.col("_n") >= least)
     q = F.when(F.col("_i") < F.floor(F.col("_n") / 4), 1).when(F.col("_i") < F.floor(F.col("_n") / 2), 2).when(F.col("_i") < F.floor(3 * F.col("_n") / 4), 3).otherwise(4)
-    return ranked.withColumn("quartile", q).groupBy(*keys, "quartile").agg(F.count("*").alias("n"), F.avg("w").alias("win_rate"), F.min(by).alias("lo"), F.max(by).alias("hi"))
+    return placed.withColumn("quartile", q).groupBy(*keys, "quartile").agg(F.count("*").alias("n"), F.avg("w").alias("win_rate"), F.min(by).alias("lo"), F.max(by).alias("hi"))
 
 
 def thin(df: DataFrame, keys: list[str], order: list[str], most: int = 800) -> DataFrame:

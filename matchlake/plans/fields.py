@@ -53,9 +53,20 @@ def f12(spark, sf):
     return K.clean_accounts(load(spark, sf, "customer").select(raw.alias("raw")), "raw")
 
 
-@query("f14_path_evidence", "SELECT page_id, regexp_matches(url, '(^|[/_ -])(stream|setup|station|a|b|en)[0-9]*([/_ .-]|$)') AS broadcast FROM pages")
+BUNDLES = ["-main-stream.zip", "-Streams.7z", "-top-8.ZIP", "-r2-offstream.zip", "-pools.zip", "-stream.rar", ".zip"]
+PATHS = ["Bracket/", "r1 pools_", "top-8 ", "friendlies/", "Warm-ups ", "hand warmer-", "broadcaster/", ""]
+NAMED = "named AS (SELECT p_partkey, p_name || [" + ", ".join(f"'{b}'" for b in BUNDLES) + "][1 + p_partkey % 7] AS bundle, [" + ", ".join(f"'{b}'" for b in PATHS) + "][1 + p_size % 8] || p_type AS path FROM part)"
+
+
+def named(spark, sf):
+    pick = lambda names, n: F.array(*map(F.lit, names))[n % len(names)]
+    p = load(spark, sf, "part")
+    return p.select("p_partkey", F.concat("p_name", pick(BUNDLES, F.col("p_partkey"))).alias("bundle"), F.concat(pick(PATHS, F.col("p_size")), "p_type").alias("path"))
+
+
+@query("f14_path_evidence", f"WITH {NAMED}, x AS (SELECT p_partkey, regexp_matches(bundle, '(?i)-(?:main-stream|streams?|top-8|r2-offstream)[.](?:7z|zip)$') AS broadcast_bundle, regexp_matches(path, '(?i)(?:^|[/\\\\ _-])(?:bracket|pools?|top[-_ ]?[0-9]+|stream|broadcast)(?:$|[/\\\\ _-])') AS bracket_path, regexp_matches(path, '(?i)(?:^|[/\\\\ _-])(?:friendlies?|warm[-_ ]?ups?|hand[-_ ]?warmers?|casuals?)(?:$|[/\\\\ _-])') AS friendly FROM named) SELECT p_partkey, broadcast_bundle, bracket_path, broadcast_bundle OR bracket_path AS broadcast, friendly FROM x")
 def f14(spark, sf):
-    return load(spark, sf, "pages").select("page_id", F.col("url").rlike(r"(^|[/_ -])(stream|setup|station|a|b|en)\d*([/_ .-]|$)").alias("broadcast"))
+    return named(spark, sf).select("p_partkey", *(c.alias(n) for n, c in N.path_evidence(F.col("bundle"), F.col("path")).items()))
 
 
 @query("f15_tiers", "WITH x AS (SELECT o_orderkey, CASE WHEN o_orderstatus = 'P' THEN 'excluded' WHEN o_orderpriority = '1-URGENT' AND o_totalprice > 100000 THEN 'verified' WHEN o_orderpriority = '1-URGENT' OR o_totalprice > 200000 THEN 'probable' ELSE 'unclassified' END AS t FROM orders) SELECT tier, count(*) AS n FROM (SELECT CASE WHEN t = 'unclassified' AND o_orderkey % 10 = 0 THEN 'probable' ELSE t END AS tier FROM x) GROUP BY tier")
@@ -266,10 +277,9 @@ def x21(spark, sf):
     return load(spark, sf, "pages").select("page_id", N.mode_of_match(match).alias("mode"))
 
 
-@query("x22_bundle_event", "SELECT p_partkey, regexp_replace(regexp_replace(p_name || '-Stream' || (p_size % 3) || '.ZIP', '(?i)\\.(7z|zip)$', ''), '(?i)[-_ ]stream[0-9]*$', '') AS event FROM part")
+@query("x22_bundle_event", f"WITH {NAMED} SELECT p_partkey, regexp_replace(regexp_replace(bundle, '(?i)[.](7z|zip)$', ''), '(?i)-(main-stream|streams?|top-8|r2-offstream)$', '') AS event FROM named")
 def x22(spark, sf):
-    name = F.concat("p_name", F.lit("-Stream"), F.col("p_size") % 3, F.lit(".ZIP"))
-    return load(spark, sf, "part").select("p_partkey", N.event_of_bundle(name).alias("event"))
+    return named(spark, sf).select("p_partkey", N.event_of_bundle(F.col("bundle")).alias("event"))
 
 
 @query("x23_move_groups", "SELECT CASE WHEN p_size BETWEEN 2 AND 5 THEN 'jab' WHEN p_size = 6 THEN 'dash' WHEN p_size IN (7, 8, 9) THEN 'tilt' WHEN p_size IN (10, 11, 12) THEN 'smash' WHEN p_size BETWEEN 13 AND 17 THEN 'air' WHEN p_size BETWEEN 18 AND 21 THEN 'special' WHEN p_size = 50 THEN 'getup' ELSE 'other' END AS kind, count(*) AS n FROM part GROUP BY 1")
@@ -376,10 +386,20 @@ def i08(spark, sf):
     return last.where("crouch IS NULL").groupBy("owner").agg(F.count("*").alias("targets"))
 
 
-@query("i11_ownership_fixpoint", "SELECT min_owner AS owner, count(*) AS n FROM (SELECT stage, ch, min(owner) AS min_owner FROM uploads GROUP BY stage, ch) GROUP BY 1", "uploads")
+def _settled_sql(least: int, rounds: int = 12) -> str:
+    """Rounds that drop the owners who hold too little, each from the owners that the one before left."""
+    steps = ["u AS (SELECT DISTINCT stage, ch, pack_version AS v, owner FROM uploads)", "l0 AS (SELECT DISTINCT owner FROM u)"]
+    for k in range(1, rounds + 1):
+        steps.append(f"h{k} AS (SELECT stage, ch, v, min(owner) AS owner FROM u JOIN l{k - 1} USING (owner) GROUP BY ALL)")
+        steps.append(f"l{k} AS (SELECT owner FROM l{k - 1} WHERE owner NOT IN (SELECT owner FROM h{k} GROUP BY owner HAVING count(*) < {least}))")
+    return f"WITH {', '.join(steps)} SELECT owner, count(*) AS n FROM h{rounds} GROUP BY owner"
+
+
+@query("i11_ownership_fixpoint", _settled_sql(4), "uploads")
 def i11(spark, sf):
-    """Who owns each shared key once all transfers have settled: the first uploader, by one aggregation."""
-    return uploads(spark, sf).groupBy("stage", "ch").agg(F.min("owner").alias("owner")).groupBy("owner").agg(F.count("*").alias("n"))
+    """Who owns each shared key once all transfers have settled: owners who hold fewer than four hand theirs on, again and again."""
+    keys = uploads(spark, sf).select("stage", "ch", F.col("pack_version").alias("v"), "owner").distinct()
+    return K.settle(keys, ["stage", "ch", "v"], "owner", 4).groupBy("owner").agg(F.count("*").alias("n"))
 
 
 @query("i13_cursor_sync", "WITH r AS (SELECT game, pack_version AS v FROM uploads WHERE ts > TIMESTAMP '1996-01-01'), l AS (SELECT game, (game + 1) % 5 AS v FROM uploads WHERE game % 3 > 0) SELECT CASE WHEN l.game IS NULL OR r.v > l.v THEN 'pull' WHEN r.game IS NULL OR l.v > r.v THEN 'push' ELSE 'same' END AS action, count(*) AS n FROM r FULL JOIN l USING (game) GROUP BY 1", "uploads")

@@ -308,8 +308,10 @@ def a39(spark, sf):
 
 @query("a40_cube8_coverage", f"WITH {MEASURED} SELECT nation, segment, mode, CAST(grouping(nation) * 4 + grouping(segment) * 2 + grouping(mode) AS BIGINT) AS level, count(*) AS player_games, count(DISTINCT game) AS distinct_games, count(damage) AS covered, round(sum(amount) FILTER (damage IS NOT NULL), 2) AS covered_amount FROM j GROUP BY CUBE (nation, segment, mode)", "games", "moves")
 def a40(spark, sf):
-    got = measured(spark, sf).cube("nation", "segment", "mode").agg(F.grouping_id().cast("long").alias("level"), F.count("*").alias("player_games"), F.count("game").alias("distinct_games"), F.count("damage").alias("covered"), F.round(F.sum(F.when(F.col("damage").isNotNull(), F.col("amount"))), 2).alias("covered_amount"))
-    return got
+    """Leaves hold one row for each game, so the levels count games and not rows."""
+    covered = F.col("damage").isNotNull()
+    leaves = measured(spark, sf).groupBy("nation", "segment", "mode", "game").agg(F.count("*").alias("n"), F.count("damage").alias("covered"), F.sum(F.when(covered, F.col("amount"))).alias("amount"))
+    return leaves.cube("nation", "segment", "mode").agg(F.grouping_id().cast("long").alias("level"), F.sum("n").alias("player_games"), F.count_distinct("game").alias("distinct_games"), F.sum("covered").alias("covered"), F.round(F.sum("amount"), 2).alias("covered_amount"))
 
 
 @query("a47_gap_fill", "WITH c AS (SELECT segment, CAST(year(ts) AS INTEGER) AS year, count(*) AS n FROM games GROUP BY ALL HAVING count(*) >= 40 AND 2 * sum(w) >= count(w)), s AS (SELECT segment, unnest(range(min(year), max(year) + 1))::INTEGER AS year FROM c GROUP BY segment) SELECT segment, year, coalesce(n, 0) AS n FROM s LEFT JOIN c USING (segment, year)", "games")

@@ -15,6 +15,7 @@ from matchlake.operators import machines as K
 from matchlake.operators import sequence as W
 from matchlake.operators import stats as L
 from matchlake.plans.registry import VIEWS, games, plays, query, rounded
+from matchlake.scratch import scratch_dir
 from matchlake.session import load
 from matchlake.sources.tables import content_digest, smallest_per_pair
 from matchlake.streaming import incremental as I  # noqa: E741
@@ -287,9 +288,37 @@ def x20(spark, sf):
     return load(spark, sf, "part").select("p_partkey", c.alias("code"), c.rlike(r"^[A-Z0-9]{1,8}#\d{1,4}$").alias("valid"))
 
 
-@query("x29_html_strip", r"""SELECT page_id, sha256(trim(regexp_replace(replace(replace(replace(replace(replace(replace(regexp_replace(html, '<[^>]*>', ' ', 'g'), '&lt;', '<'), '&gt;', '>'), '&quot;', '"'), '&#39;', ''''), '&nbsp;', ' '), '&amp;', '&'), '[ \t\n\r\f]+', ' ', 'g'))) AS digest FROM pages""")
+SPLICED = "CASE WHEN page_id % 3 = 0 THEN html || '<scr<b>ipt>x</scr</b>ipt> a &nbsp; b' ELSE html END"
+
+
+def _stripped(text: str, passes: int = 8) -> str:
+    for _ in range(passes):
+        text = f"regexp_replace({text}, '<[^>]*>', '', 'g')"
+    return text
+
+
+@query("x29_html_strip", rf"SELECT page_id, sha256(trim(regexp_replace(regexp_replace(regexp_replace({_stripped(SPLICED)}, '[<>]', '', 'g'), '&#160;|&nbsp;|\x{{A0}}', ' ', 'g'), '[ \t\n\r\f\v]+', ' ', 'g'))) AS digest FROM pages")
 def x29(spark, sf):
-    return load(spark, sf, "pages").select("page_id", F.sha2(S.html_text(F.col("html")), 256).alias("digest"))
+    """Pages, a third of them with tags that removing other tags puts together."""
+    return load(spark, sf, "pages").select("page_id", F.sha2(S.html_text(F.expr(SPLICED)), 256).alias("digest"))
+
+
+@query("x29_event_end", "SELECT o_orderkey, CASE o_orderkey % 5 WHEN 0 THEN year(o_orderdate) || '-01' WHEN 1 THEN strftime(o_orderdate, '%Y-%m-%d') WHEN 4 THEN year(o_orderdate) || strftime(o_orderdate + INTERVAL 3 DAY, '-%m-%d') ELSE strftime(o_orderdate + INTERVAL 3 DAY, '%Y-%m-%d') END AS day FROM orders")
+def x29_end(spark, sf):
+    """The last day of texts that name none, one day, a range, and a range without its year (then the order's)."""
+    d, later, k = F.col("o_orderdate"), F.col("o_orderdate") + F.expr("INTERVAL 3 DAY"), F.col("o_orderkey") % 5
+    name = lambda x, form: F.date_format(x, form)
+    text = F.when(k == 0, "no day").when(k == 1, F.concat(F.lit("On "), name(d, "MMM d, yyyy"))).when(k == 4, F.concat(name(d, "MMM d"), F.lit(" - "), name(later, "MMM d")))
+    text = text.otherwise(F.concat(name(d, "MMM d"), F.lit(" \u2013 "), F.when(F.month(d) == F.month(later), name(later, "d, yyyy")).otherwise(name(later, "MMM d, yyyy"))))
+    return load(spark, sf, "orders").select("o_orderkey", S.event_end(text, F.year("o_orderdate")).alias("day"))
+
+
+@query("x05_one_sample", "WITH c AS (SELECT nation, sum(w)::DOUBLE AS k, count(w)::DOUBLE AS n FROM games GROUP BY nation), t AS (SELECT sum(k) / sum(n) AS p FROM c) SELECT nation, round((k / n - p) / sqrt(p * (1 - p) / n), 6) AS z FROM c, t WHERE n > 0", "games")
+def x05_one(spark, sf):
+    """Each nation's rate of wins against that of all."""
+    c = games(spark, sf).groupBy("nation").agg(F.sum("w").cast("double").alias("k"), F.count("w").cast("double").alias("n"))
+    base = c.agg((F.sum("k") / F.sum("n")).alias("p"))
+    return rounded(c.crossJoin(F.broadcast(base)).where("n > 0").select("nation", S.z_one(F.col("k") / F.col("n"), F.col("p"), F.col("n")).alias("z")))
 
 
 @query("x33_highlight", "SELECT p_partkey, CASE WHEN p_size >= 10 AND p_partkey >= 25 THEN round(least(1, 0.15 + greatest(0, abs(p_size - 20.0) / greatest(2.0, 7.0) - 1) * 0.425), 6) END AS strength FROM part")
@@ -414,11 +443,16 @@ def i09(spark, sf):
 
 @query("i18_session_window", "WITH o AS (SELECT *, CASE WHEN ts < lag(ts) OVER (PARTITION BY player ORDER BY ts) + INTERVAL 12 HOUR THEN 0 ELSE 1 END AS n FROM plays), z AS (SELECT *, sum(n) OVER (PARTITION BY player ORDER BY ts) AS s FROM o) SELECT player, strftime(min(ts), '%Y-%m-%d %H:%M:%S') AS start, count(*) AS games FROM z GROUP BY player, s", "plays")
 def i18(spark, sf):
-    """The streaming form over the whole table, drained; one memory table per call."""
+    """The streaming form over the whole table, drained; every batch writes the sessions so far as files, and the last one stays."""
     schema = load(spark, sf, "events").schema
     stream = spark.readStream.schema(schema).option("pathGlobFilter", "events.parquet").parquet(sf)
     timed = stream.select(F.col("user_id").alias("player"), F.col("ts").cast("timestamp").alias("ts"))
-    name, root = f"sessions_{uuid.uuid4().hex}", spark.conf.get("spark.checkpoint.dir", None) or spark.conf.get("spark.sql.warehouse.dir")
+    root, last = f"{scratch_dir(spark)}/sessions-{uuid.uuid4().hex}", []
     got = I.gap_sessions(timed, "player", "ts", "12 hours", "1 day")
-    got.writeStream.outputMode("complete").format("memory").queryName(name).option("checkpointLocation", f"{root}/{name}").trigger(availableNow=True).start().awaitTermination()
-    return spark.table(name).select("player", F.date_format("start", "yyyy-MM-dd HH:mm:ss").alias("start"), "games")
+
+    def write(batch, number):
+        batch.write.mode("overwrite").parquet(f"{root}/{number}")
+        last.append(number)
+
+    got.writeStream.outputMode("complete").foreachBatch(write).option("checkpointLocation", f"{root}/checkpoint").trigger(availableNow=True).start().awaitTermination()
+    return spark.read.schema(got.schema).parquet(f"{root}/{max(last)}").select("player", F.date_format("start", "yyyy-MM-dd HH:mm:ss").alias("start"), "games")

@@ -35,11 +35,6 @@ def run_available(stream: DataFrame, write: Callable[[DataFrame, int], None], ch
     return query
 
 
-def changed_keys(stream: DataFrame, key: str, ts: str, late: str) -> DataFrame:
-    """Distinct keys of a change log, duplicates within the lateness dropped."""
-    return stream.withWatermark(ts, late).dropDuplicatesWithinWatermark([key]).select(key, ts)
-
-
 def gap_sessions(df: DataFrame, key: str, ts: str, gap: str, late: str | None = None) -> DataFrame:
     """Sessions by gap between starts (the streaming form of sessions; batch and stream agree)."""
     timed = df.withWatermark(ts, late) if late else df

@@ -1,7 +1,7 @@
 import pytest
 from conftest import plain
 
-from matchlake.plans import audits, fields, interactions, models, records, registry, rollups, sequences, teams  # noqa: F401
+from matchlake.plans import audits, fields, interactions, models, records, registry, rollups, sequences, services, teams  # noqa: F401
 
 
 @pytest.mark.parametrize("name", sorted(registry.ORACLES))
