@@ -72,12 +72,12 @@ def m26(spark, sf):
     return pairs.groupBy("slug").agg(F.count("p_brand").alias("majors"), F.when(F.count("p_brand") == 1, F.min("p_brand")).alias("major"))
 
 
-@query("m29_integrity", "WITH x AS (SELECT segment, CAST(year(ts) AS INTEGER) AS event, amount, amount / sum(amount) OVER (PARTITION BY segment, year(ts)) AS t FROM games) SELECT segment, event, count(*) AS players, abs(sum(t) - 1) <= 1e-4 AS title_ok, abs(sum(least(1.0::DOUBLE, 8 * t)) - least(8, count(*))) <= 1e-4 AS top8_ok FROM x WHERE amount <= 499500 GROUP BY segment, event", "games")
+@query("m29_integrity", "WITH x AS (SELECT segment, CAST(year(ts) AS INTEGER) AS event, amount, round(amount / sum(amount) OVER (PARTITION BY segment, year(ts)), 4) AS t FROM games) SELECT segment, event, count(*) AS players, abs(sum(t) - 1) <= 1e-4 AS title_ok, abs(sum(least(1.0::DOUBLE, 8 * t)) - least(8, count(*))) <= 1e-4 AS top8_ok FROM x GROUP BY segment, event", "games")
 def m29(spark, sf):
-    """Shares as forecasts of which those of the dearest games are lost: the sums show in which events."""
+    """Shares rounded to four places as forecasts: the sums show in which events too much was lost."""
     g = games(spark, sf).select("segment", F.year("ts").alias("event"), "game", "amount")
     totals = g.groupBy("segment", "event").agg(F.sum("amount").alias("total"))
-    shares = g.join(totals, ["segment", "event"]).where("amount <= 499500").withColumn("t", F.col("amount") / F.col("total"))
+    shares = g.join(totals, ["segment", "event"]).withColumn("t", F.round(F.col("amount") / F.col("total"), 4))
     return A.forecast_integrity(shares, ["segment", "event"], "t")
 
 

@@ -173,10 +173,9 @@ def a43(spark, sf):
     return C.recompute_differs(export, changed)
 
 
-@query("a44_reaggregate", "WITH r AS (SELECT ch, mode, count(*) AS games, sum(hit) AS hit, CASE WHEN any_value(mode) <> '5-LOW' THEN sum(crouch) END AS crouch FROM uploads WHERE ch <> 3 OR mode = '5-LOW' GROUP BY ch, mode) SELECT ch, CAST(sum(games) AS BIGINT) AS games, CAST(sum(hit) AS BIGINT) AS hit, CAST(sum(crouch) AS BIGINT) AS crouch FROM r GROUP BY ch", "uploads")
+@query("a44_reaggregate", "WITH r AS (SELECT ch, mode, count(*) AS games, sum(hit) AS hit, CASE WHEN any_value(mode) <> '5-LOW' THEN sum(crouch) END AS crouch FROM uploads GROUP BY ch, mode) SELECT ch, CAST(sum(games) AS BIGINT) AS games, CAST(sum(hit) AS BIGINT) AS hit, CAST(sum(crouch) AS BIGINT) AS crouch FROM r GROUP BY ch", "uploads")
 def a44(spark, sf):
-    u = uploads(spark, sf).where("ch <> 3 OR mode = '5-LOW'")
-    r = u.groupBy("ch", "mode").agg(F.count("*").alias("games"), F.sum("hit").alias("hit"), F.sum("crouch").alias("_c")).withColumn("crouch", F.when(F.col("mode") != "5-LOW", F.col("_c")))
+    r = uploads(spark, sf).groupBy("ch", "mode").agg(F.count("*").alias("games"), F.sum("hit").alias("hit"), F.sum("crouch").alias("_c")).withColumn("crouch", F.when(F.col("mode") != "5-LOW", F.col("_c")))
     return C.reaggregate(r, ["ch"], ["games", "hit"], ["crouch"])
 
 
@@ -190,11 +189,11 @@ def a45(spark, sf):
     return got
 
 
-@query("a46_move_metric", "WITH m AS (SELECT grp, kind, sum(landed) AS landed, count(*) AS n FROM moves WHERE NOT (grp = 'Brand#11' AND kind LIKE 'S%') GROUP BY ALL), k AS (SELECT count(DISTINCT kind) AS kinds FROM moves) SELECT grp, CASE WHEN count(DISTINCT kind) < any_value(kinds) THEN NULL ELSE round(sum(landed) / sum(n), 6) END AS per_game FROM m, k GROUP BY grp", "moves")
+@query("a46_move_metric", "WITH m AS (SELECT grp, kind, sum(landed) AS landed, count(*) AS n FROM moves GROUP BY ALL HAVING count(*) >= 400), k AS (SELECT count(DISTINCT kind) AS kinds FROM moves) SELECT grp, CASE WHEN count(DISTINCT kind) < any_value(kinds) THEN NULL ELSE round(sum(landed) / sum(n), 6) END AS per_game FROM m, k GROUP BY grp", "moves")
 def a46(spark, sf):
-    """A per-game figure only where every kind has its cell published."""
+    """A per-game figure only where every kind has its cell published, that is 400 moves or more."""
     m = moves(spark, sf)
-    cells = m.where("NOT (grp = 'Brand#11' AND kind LIKE 'S%')").groupBy("grp", "kind").agg(F.sum("landed").alias("landed"), F.count("*").alias("n"))
+    cells = m.groupBy("grp", "kind").agg(F.sum("landed").alias("landed"), F.count("*").alias("n")).where("n >= 400")
     kinds = m.agg(F.count_distinct("kind").alias("kinds"))
     got = cells.crossJoin(F.broadcast(kinds)).groupBy("grp").agg(F.count_distinct("kind").alias("have"), F.first("kinds").alias("kinds"), (F.sum("landed") / F.sum("n")).alias("x"))
     return rounded(got.select("grp", F.when(F.col("have") == F.col("kinds"), F.col("x")).alias("per_game")))

@@ -95,12 +95,12 @@ def w17(spark, sf):
     return rounded(I.impact(a.withColumn("share", F.col("n") / ((v + 1) / 60)), ["player"], ["action"], "share", SEQ, 20))
 
 
-@query("w21_storylines", "WITH c AS (SELECT year(ts) AS year, nation, count(*) AS n, max(amount) AS best FROM games WHERE nation <> 3 OR year(ts) > 1996 GROUP BY ALL), r AS (SELECT *, row_number() OVER (PARTITION BY year ORDER BY best DESC, nation) AS rank FROM c), l AS (SELECT max(year) AS latest, min(year) AS first FROM c) SELECT nation, CAST(min(year) AS INTEGER) AS arrival, min(year) > any_value(l.first) AS newcomer, CAST(arg_max(year, (n, -year)) AS INTEGER) AS peak_year, max(n) AS peak, CAST(arg_min(year, (rank, year)) AS INTEGER) AS best_year, min(rank) AS best_rank, coalesce(max(n) FILTER (year = latest), 0) AS current FROM r, l GROUP BY nation", "games")
+@query("w21_storylines", "WITH c AS (SELECT year(ts) AS year, player, count(*) AS n, max(amount) AS best FROM games GROUP BY ALL), r AS (SELECT *, row_number() OVER (PARTITION BY year ORDER BY best DESC, player) AS rank FROM c), l AS (SELECT max(year) AS latest, min(year) AS first FROM c) SELECT player, CAST(min(year) AS INTEGER) AS arrival, min(year) > any_value(l.first) AS newcomer, CAST(arg_max(year, (n, -year)) AS INTEGER) AS peak_year, max(n) AS peak, CAST(arg_min(year, (rank, year)) AS INTEGER) AS best_year, min(rank) AS best_rank, coalesce(max(n) FILTER (year = latest), 0) AS current FROM r, l GROUP BY player", "games")
 def w21(spark, sf):
-    """Arrival, first peak, first best rank and the latest edition of each nation's presence."""
-    c = games(spark, sf).where("nation <> 3 OR year(ts) > 1996").groupBy(F.year("ts").alias("year"), "nation").agg(F.count("*").alias("n"), F.max("amount").alias("best"))
-    ranked = c.withColumn("rank", F.row_number().over(Window.partitionBy("year").orderBy(F.desc("best"), "nation")).cast("long"))
-    return W.storylines(ranked, "nation", "year", "n", "rank")
+    """Arrival, first peak, first best rank and the latest edition of each player's presence."""
+    c = games(spark, sf).groupBy(F.year("ts").alias("year"), "player").agg(F.count("*").alias("n"), F.max("amount").alias("best"))
+    ranked = c.withColumn("rank", F.row_number().over(Window.partitionBy("year").orderBy(F.desc("best"), "player")).cast("long"))
+    return W.storylines(ranked, "player", "year", "n", "rank")
 
 
 @query("l02_l04_model_fit", "WITH x AS (SELECT player, w AS y, greatest(1e-15, least(1 - 1e-15, (value % 101) / 101.0)) AS p FROM plays WHERE w IS NOT NULL), g AS (SELECT player, count(*) AS n, CAST(sum(y) AS BIGINT) AS wins, sum(CASE WHEN y = 1 THEN ln(p) ELSE ln(1 - p) END) AS ll FROM x GROUP BY player) SELECT player, n, wins, round(1 - ll / (wins * ln(wins / n) + (n - wins) * ln(1 - wins / n)), 6) AS r2 FROM g WHERE n >= 20 AND wins >= 5 AND n - wins >= 5", "plays")
