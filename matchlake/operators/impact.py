@@ -49,6 +49,29 @@ def detect(df: DataFrame, keys: list[str], by: list[str], least: int, gate: floa
     return found.withColumn("_r", F.row_number().over(first)).where("_r = 1").drop("_r").withColumn("score", F.abs(F.col("rate") - F.col("base")) * F.sqrt("decided"))
 
 
+def worst_character(df: DataFrame, keys: list[str], character: str, least: int = 30, gate: float = Z_GATE) -> DataFrame:
+    """Per key the character that costs most, of those with enough decided games; a key with one such character has no choice to make."""
+    enough = decided_rates(df, keys, [character]).where(F.col("decided") >= least).groupBy(*keys).agg(F.count("*").alias("_choices")).where("_choices > 1").select(*keys)
+    return detect(df, keys, [character], least, gate).join(enough, keys, "left_semi")
+
+
+def move_habit(rows: DataFrame, keys: list[str], move: str, archive: DataFrame | None = None, least: int = 60, share: float = 0.05, delta: float = -0.08, gate: float = Z_GATE, over: tuple[float, float] = (0.04, 0.5), archive_games: int = 100) -> DataFrame:
+    """Per key the move whose heavy use goes with losses: the most negative two-proportion z of the heavy against the light half.
+
+    rows: those of impact.  archive (keys, move, archive_share, games): with it only moves count that are used more than there by over[0], or
+    over[1] of the archive's share if that is more; a key whose archive has too few games has no habit.
+    """
+    c, half = F.col, F.floor(F.col("n") / 2)
+    if archive is not None:
+        gap = F.greatest(F.lit(over[0]), over[1] * c("archive_share"))
+        rows = rows.join(archive.where(c("games") >= archive_games), [*keys, move]).where(c("mean_use") - c("archive_share") >= gap)
+    pooled = (c("high") + c("low")) / 2
+    z = (c("high") - c("low")) / F.sqrt(pooled * (1 - pooled) * 2 / half)
+    judged = rows.where((c("mean_use") >= share) & (2 * half >= least) & (pooled > 0) & (pooled < 1)).withColumn("z", z).where((c("z") <= -gate) & (c("delta") <= delta))
+    first = Window.partitionBy(*keys).orderBy("z", move)
+    return judged.withColumn("_r", F.row_number().over(first)).where("_r = 1").drop("_r").withColumn("score", F.abs("delta") * 0.5 * F.sqrt(2 * half))
+
+
 def stage_tip(df: DataFrame, keys: list[str], matchup: str, stage: str, margin: float = 0.12, least: int = 8) -> DataFrame:
     """For each key's worst matchup, the best stage within it that is better by the margin (null if none is)."""
     mu = detect(df, keys, [matchup], 20).select(*keys, matchup, F.col("rate").alias("matchup_rate"))

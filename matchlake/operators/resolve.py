@@ -55,6 +55,13 @@ def date_range_error(start: str | None, end: str | None) -> str | None:
     return "the range ends before it starts" if start > end else None
 
 
+def range_error(start: Column, end: Column) -> Column:
+    """date_range_error of columns."""
+    written = lambda x: F.coalesce(x.rlike(r"^\d{4}-\d{2}-\d{2}$"), F.lit(False))
+    is_day = lambda x: F.try_to_date(x, "yyyy-MM-dd").isNotNull()
+    return F.when(~written(start) | ~written(end), "dates are written YYYY-MM-DD").when(~is_day(start) | ~is_day(end), "no such date").when(start > end, "the range ends before it starts")
+
+
 @dataclass(frozen=True)
 class Filters:
     """Declarative predicates; None means any. range: all, custom, or a number of days up to now."""

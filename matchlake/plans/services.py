@@ -7,10 +7,12 @@ import uuid
 from pyspark.sql import functions as F
 from pyspark.sql.functions import udtf
 
+from matchlake.operators.resolve import range_error
 from matchlake.plans.registry import games, plays, query, rounded
 from matchlake.scratch import scratch_dir
 from matchlake.session import load
 from matchlake.sources import shards as V
+from matchlake.sources import tables as S
 from matchlake.streaming import incremental as I  # noqa: E741
 from matchlake.streaming import queue as Q
 
@@ -113,3 +115,35 @@ def x26_explode(spark, sf):
     v = load(spark, sf, "events").select("event_type", F.parse_json("props").alias("v"))
     v.createOrReplaceTempView(name := f"records_{uuid.uuid4().hex}")
     return spark.sql(f"SELECT event_type, f.key AS field, count(*) AS n, count(DISTINCT to_json(f.value)) AS different FROM {name}, LATERAL variant_explode(v) AS f GROUP BY ALL")
+
+
+@query("p05_publish", "SELECT nation, count(*) AS n, CAST(sum(w) AS BIGINT) AS wins FROM games GROUP BY nation", "games")
+def p05(spark, sf):
+    """Totals published under checks: a version that breaks one never becomes the current one."""
+    totals = games(spark, sf).groupBy("nation").agg(F.count("*").alias("n"), F.sum("w").alias("wins"))
+    path = _folder(spark, "published")
+    S.publish(totals, path, {"counts": "n > 0", "wins": "wins IS NULL OR wins <= n"})
+    try:
+        S.publish(totals.withColumn("n", -F.col("n")), path, {"counts": "n > 0"})
+    except ValueError:
+        return S.published(spark, path)
+    raise AssertionError("a broken version was published")
+
+
+@query("s16_line_records", "SELECT mode, count(*) AS n, count(w) AS decided, round(sum(amount), 2) AS amount FROM games GROUP BY mode", "games")
+def s16(spark, sf):
+    """Records written as JSON lines in folders of their own, and all folders read again under one schema; a null stays one."""
+    g, root = games(spark, sf).select("game", "mode", "w", "amount"), _folder(spark, "lines")
+    for k, part in enumerate((g.where("w = 1"), g.where("w = 0"), g.where("w IS NULL"))):
+        part.write.json(f"{root}/{k}")
+    lines = S.read_any(spark, f"{root}/*", "json", g.schema)
+    return lines.groupBy("mode").agg(F.count("*").alias("n"), F.count("w").alias("decided"), F.round(F.sum("amount"), 2).alias("amount"))
+
+
+@query("f08_range_errors", "WITH r AS (SELECT strftime(o_orderdate, '%Y-%m-%d') AS a, CASE o_orderkey % 5 WHEN 0 THEN NULL WHEN 1 THEN strftime(o_orderdate + INTERVAL 30 DAY, '%Y-%m-%d') WHEN 2 THEN strftime(o_orderdate - INTERVAL 1 DAY, '%Y-%m-%d') WHEN 3 THEN strftime(o_orderdate, '%Y-02-30') ELSE strftime(o_orderdate, '%d.%m.%Y') END AS b FROM orders) SELECT CASE WHEN a IS NULL OR b IS NULL OR NOT regexp_full_match(b, '[0-9]{4}-[0-9]{2}-[0-9]{2}') THEN 'dates are written YYYY-MM-DD' WHEN try_cast(b AS DATE) IS NULL THEN 'no such date' WHEN a > b THEN 'the range ends before it starts' ELSE 'fine' END AS problem, count(*) AS n FROM r GROUP BY 1")
+def f08(spark, sf):
+    """What is wrong with ranges that orders give: an end that is missing, later, earlier, impossible or written otherwise."""
+    d, k = F.col("o_orderdate"), F.col("o_orderkey") % 5
+    day = lambda x: F.date_format(x, "yyyy-MM-dd")
+    end = F.when(k == 1, day(d + F.expr("INTERVAL 30 DAY"))).when(k == 2, day(d - F.expr("INTERVAL 1 DAY"))).when(k == 3, F.concat(F.date_format(d, "yyyy"), F.lit("-02-30"))).when(k == 4, F.date_format(d, "dd.MM.yyyy"))
+    return load(spark, sf, "orders").groupBy(F.coalesce(range_error(day(d), end), F.lit("fine")).alias("problem")).agg(F.count("*").alias("n"))

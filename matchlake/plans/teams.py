@@ -142,6 +142,37 @@ def l06_rival(spark, sf):
     return rounded(I.detect(games(spark, sf), ["mode"], ["player"], 5, 1.5))
 
 
+@query("l06_mode", _detected("segment", 30, 0.25).replace("mode", "nation").replace("segment", "mode"), "games")
+def l06_mode(spark, sf):
+    return rounded(I.detect(games(spark, sf), ["nation"], ["mode"], 30, 0.25))
+
+
+@query("l06_my_character", "WITH k AS (SELECT * FROM games WHERE w IS NOT NULL), b AS (SELECT segment, avg(w) AS base FROM k GROUP BY segment HAVING count(*) >= 40), r AS (SELECT segment, nation, count(*) AS decided, avg(w) AS rate FROM k GROUP BY ALL HAVING count(*) >= 30), z AS (SELECT r.*, base, (rate - base) / sqrt(base * (1 - base) / decided) AS z, count(*) OVER (PARTITION BY segment) AS choices FROM r JOIN b USING (segment)) SELECT segment, nation, decided, round(rate, 6) AS rate, round(base, 6) AS base, round(z, 6) AS z, round(abs(rate - base) * sqrt(decided), 6) AS score FROM z WHERE z <= -0.5 AND choices > 1 QUALIFY row_number() OVER (PARTITION BY segment ORDER BY z, nation) = 1", "games")
+def l06_character(spark, sf):
+    return rounded(I.worst_character(games(spark, sf), ["segment"], "nation", gate=0.5))
+
+
+HABIT = f"""WITH m AS (SELECT segment, g.game, any_value(g.ts) AS ts, any_value(w) AS w, kind, sum(landed) AS l FROM moves JOIN games g USING (game) WHERE w IS NOT NULL GROUP BY segment, g.game, kind), t AS (SELECT segment, game, any_value(ts) AS ts, any_value(w) AS w, sum(l) AS t FROM m GROUP BY ALL HAVING sum(l) > 0), d AS (SELECT t.*, k.kind, coalesce(l, 0) / t AS share FROM t JOIN (SELECT DISTINCT segment, kind FROM m) k USING (segment) LEFT JOIN m ON m.segment = t.segment AND m.game = t.game AND m.kind = k.kind), x AS (SELECT *, row_number() OVER (PARTITION BY segment, kind ORDER BY share, ts, game) AS rn, count(*) OVER (PARTITION BY segment, kind) AS c FROM d), s AS (SELECT segment, kind, count(*) AS n, avg(w) FILTER (rn <= c // 2) AS low, avg(w) FILTER (rn > c - c // 2) AS high, avg(share) AS mean_use FROM x GROUP BY segment, kind HAVING count(*) >= 40),
+a AS (SELECT segment, kind, sum(landed) / sum(sum(landed)) OVER (PARTITION BY segment) AS archive_share, any_value(games) AS games FROM moves JOIN (SELECT game, segment, count(*) OVER (PARTITION BY segment) AS games FROM games) g USING (game) GROUP BY segment, kind),
+z AS (SELECT s.*, archive_share, games, high - low AS delta, (high - low) / sqrt((high + low) / 2 * (1 - (high + low) / 2) * 2 / (n // 2)) AS z FROM s JOIN a USING (segment, kind))
+SELECT segment, kind, n, round(low, 6) AS low, round(high, 6) AS high, round(delta, 6) AS delta, round(mean_use, 6) AS mean_use, round(archive_share, 6) AS archive_share, games, round(z, 6) AS z, round(abs(delta) * 0.5 * sqrt(2 * (n // 2)), 6) AS score
+FROM z WHERE games >= 100 AND mean_use - archive_share >= greatest(-0.01, -0.05 * archive_share) AND mean_use >= 0.001 AND 2 * (n // 2) >= 60 AND z <= -0.2 AND delta <= -0.001 QUALIFY row_number() OVER (PARTITION BY segment ORDER BY z, kind) = 1"""
+
+
+@query("l06_move_habit", HABIT, "games", "moves")
+def l06_habit(spark, sf):
+    """The move each segment overuses against all its games' share of it, where heavy use goes with losses (the gates are wide: these moves are all alike)."""
+    every = games(spark, sf).select("game", "segment", "ts", "w")
+    own = every.where("w IS NOT NULL")
+    landed = moves(spark, sf).select("game", "kind", "landed")
+    shares = I.dense_shares(landed.join(own.select("game", "segment"), "game"), ["segment"], "game", "kind", "landed")
+    rows = I.impact(shares.join(own.select("game", "ts", "w"), "game"), ["segment"], ["kind"], "share", SEQ)
+    sums = landed.join(every.select("game", "segment"), "game").groupBy("segment", "kind").agg(F.sum("landed").alias("l"))
+    counts = every.groupBy("segment").agg(F.count("*").alias("games"))
+    archive = sums.join(sums.groupBy("segment").agg(F.sum("l").alias("t")), "segment").join(counts, "segment").select("segment", "kind", (F.col("l") / F.col("t")).alias("archive_share"), "games")
+    return rounded(I.move_habit(rows, ["segment"], "kind", archive, share=0.001, delta=-0.001, gate=0.2, over=(-0.01, -0.05)))
+
+
 @query("l06_hours", "WITH k AS (SELECT *, hour(ts) // 6 AS part FROM plays WHERE w IS NOT NULL), b AS (SELECT player % 5 AS grp, avg(w) AS base FROM k GROUP BY 1 HAVING count(*) >= 40), r AS (SELECT player % 5 AS grp, part, count(*) AS decided, avg(w) AS rate FROM k GROUP BY 1, 2) SELECT r.grp, CAST(part AS INTEGER) AS part, decided, round(rate, 6) AS rate, round(base, 6) AS base, round((rate - base) / sqrt(base * (1 - base) / decided), 6) AS z FROM r JOIN b USING (grp) WHERE decided >= 30", "plays")
 def l06_hours(spark, sf):
     k = plays(spark, sf).withColumn("grp", F.col("player") % 5).withColumn("part", S.hour_bucket(F.col("ts")))

@@ -205,3 +205,42 @@ def test_small_helpers(spark):
     assert [(r["check"], r["broken"]) for r in bad] == [("positive", 1)]
     f = {r["field"]: r["rows"] for r in keeping.forbidden(spark.createDataFrame([("u", "x#1")], "user_uuid string, n string"), "(?i)uuid", "#1").collect()}
     assert f == {"user_uuid": 1, "n": 1}
+
+
+def test_a_character_is_judged_only_where_there_is_a_choice(spark):
+    rows = [("k", "x", 1)] * 40 + [("k", "x", 0)] * 10 + [("k", "y", 0)] * 30 + [("one", "x", 0)] * 40 + [("one", "y", 1)] * 20
+    got = impact.worst_character(spark.createDataFrame(rows, "k string, c string, w int"), ["k"], "c").collect()
+    assert [(r["k"], r["c"], r["decided"]) for r in got] == [("k", "y", 30)]
+
+
+def test_move_habits_need_share_evidence_and_overuse(spark):
+    row = lambda k, m, n, low, high, use: (k, m, n, low, high, high - low, use)
+    rows = [row("a", "x", 100, 0.7, 0.4, 0.2), row("a", "y", 100, 0.7, 0.3, 0.04), row("a", "z", 50, 0.9, 0.1, 0.2), row("b", "x", 100, 0.55, 0.5, 0.2), row("c", "x", 100, 0.7, 0.4, 0.2)]
+    df = spark.createDataFrame(rows, "k string, m string, n long, low double, high double, delta double, mean_use double")
+    assert {(r["k"], r["m"]) for r in impact.move_habit(df, ["k"], "m").collect()} == {("a", "x"), ("c", "x")}
+    archive = spark.createDataFrame([("a", "x", 0.15, 500), ("c", "x", 0.02, 500), ("b", "x", 0.0, 500)], "k string, m string, archive_share double, games long")
+    assert [(r["k"], r["m"]) for r in impact.move_habit(df, ["k"], "m", archive).collect()] == [("c", "x")]
+    assert impact.move_habit(df, ["k"], "m", archive.withColumn("games", F.lit(99))).count() == 0
+
+
+def test_owners_who_hold_too_little_hand_on_again_and_again(spark):
+    rows = [("a", 1), ("a", 2), ("b", 2), ("b", 3), ("c", 2), ("c", 3), ("d", 3), ("e", 4)]
+    got = {r["k"]: r["o"] for r in keeping.settle(spark.createDataFrame(rows, "k string, o int"), ["k"], "o", 2).collect()}
+    assert got == {"a": 2, "b": 2, "c": 2}  # 1 drops out, then 3 and 4 hold one key each and drop out too
+
+
+def test_event_days(spark):
+    cases = {"Nov 20 - 21, 2010": "2010-11-21", "Aug 9, 2026": "2026-08-09", "Dec 30, 2003 - Jan 2, 2004": "2004-01-02", "none": "1999-01", "May 5": "1999-05-05", "Foo 3, 2001": "1999-01"}
+    df = spark.createDataFrame([(t,) for t in cases], "t string")
+    assert {r["t"]: r["d"] for r in df.select("t", S.event_end(F.col("t"), F.lit(1999)).alias("d")).collect()} == cases
+    nested = "<" * 30 + "b" + ">" * 30
+    assert spark.range(1).select(S.html_text(F.lit(f"a {nested} c")).alias("x")).first()["x"] == "a c"
+
+
+def test_paths_and_bundles(spark):
+    one = spark.range(1)
+    get = lambda c: one.select(c.alias("x")).first()["x"]
+    tell = lambda b, p: tuple(get(c) for c in N.path_evidence(F.lit(b), F.lit(p)).values())
+    assert tell("x-Streams.7z", "a/b") == (True, False, True, False) and tell("x.zip", "Top 8/1.slp") == (False, True, True, False)
+    assert tell("x-stream.rar", "warm-ups/g") == (False, False, False, True) and tell("x.zip", "poolside") == (False, False, False, False)
+    assert get(N.event_of_bundle(F.lit("big-one-R2-Offstream.ZIP"))) == "big-one" and get(N.event_of_bundle(F.lit("big-one-pools.zip"))) == "big-one-pools"
