@@ -25,7 +25,7 @@ SCALE = 173.7178  # Glicko-2 units
 
 
 def _ends(pairs: DataFrame) -> list:
-    return sorted(r["day"] for r in pairs.select("day").distinct().toLocalIterator())
+    return sorted(r["day"] for r in pairs.select("day").distinct().collect())
 
 
 def advance(pairs: DataFrame, state: DataFrame, update: Callable[[DataFrame, DataFrame, float], DataFrame], history: bool = False) -> DataFrame:

@@ -82,7 +82,7 @@ def build(df: DataFrame, stage: Callable[[DataFrame], DataFrame], path: str, by:
     row = F.xxhash64(F.to_json(F.struct(*df.columns), {"ignoreNullFields": "false"})).cast("decimal(38,0)")
     digests = df.groupBy(by).agg(F.sha2(F.concat_ws(":", F.lit(version), F.count("*").cast("string"), F.sum(row).cast("string")), 256).alias("digest"))
     paths = []
-    for r in digests.orderBy(by).toLocalIterator():
+    for r in digests.orderBy(by).collect():
         at = f"{path}/{by}={r[by]}/{r['digest']}"
         if not exists(spark, f"{at}/_SUCCESS"):
             stage(df.where(F.col(by).eqNullSafe(F.lit(r[by])))).write.mode("overwrite").parquet(at)
