@@ -30,9 +30,9 @@ def contests(spark, sf):
     return g.select("game", "player", "segment", F.year("ts").alias("year"), half.alias("event"), day.alias("day"), (day + F.col("game") % 40).alias("completed"), F.col("nation").alias("a"), "b", F.col("w").alias("won"))
 
 
-def half_years(spark, sf):
-    """events (event, cutoff, available) and pairs (event, a, b, games, wins)."""
-    h = contests(spark, sf)
+def half_years(spark, sf, event="event"):
+    """events (event, cutoff, available) and pairs (event, a, b, games, wins); event may be year."""
+    h = contests(spark, sf).withColumn("event", F.col(event))
     events = h.groupBy("event").agg(F.min("day").alias("cutoff"), F.greatest(F.max("day"), F.max("completed")).alias("available"))
     return materialize(events, "events"), materialize(h.groupBy("event", "a", "b").agg(F.count("*").alias("games"), F.sum("won").cast("long").alias("wins")), "pairs")
 
@@ -329,9 +329,9 @@ FITTED += [("regularised", "regularised-2", 0, {"ridge": 2.0}), ("regularised",
 
 
 def fitted_scores(spark, sf):
-    """Scores of fitted candidates: one fit for each half-year and candidate, all of them advanced together."""
+    """Scores of fitted candidates: one fit for each year and candidate, all of them advanced together."""
     c = F.col
-    events, pairs = half_years(spark, sf)
+    events, pairs = half_years(spark, sf, "year")
     first = events.agg(F.min("available").alias("first"))
     folds = materialize(events.join(F.broadcast(first), c("cutoff") > c("first")).select("event", "cutoff"), "folds")
     own = lambda model, *names: folds.select("event", "cutoff", F.inline(F.array(*(F.struct(F.lit(n).alias("candidate"), *(F.lit(o[x]).alias(x) for x in names)) for m, n, _, o in FITTED if m == model)))).withColumn("fit", F.concat_ws("@", "candidate", c("event").cast("string")))

@@ -207,12 +207,12 @@ def test_bootstrap_draws(spark):
 
 
 def test_fitted_tuning_scores_against_plain_fits(spark, sf):
-    """The scores of one half-year for each candidate, from ratings and fits of its own past alone."""
+    """The scores of one year for each candidate, from ratings and fits of its own past alone."""
     from matchlake.plans import models as P
 
     events, scores = P.fitted_scores(spark, sf)
     dates = {r["event"]: r for r in events.collect()}
-    pairs = [r for r in P.half_years(spark, sf)[1].collect()]
+    pairs = [r for r in P.half_years(spark, sf, "year")[1].collect()]
     got = {(r["candidate"], r["event"]): r for r in scores.collect()}
     target = max(e for _, e in got)
     past = sorted({p["event"] for p in pairs if dates[p["event"]]["available"] < dates[target]["cutoff"]}, key=lambda e: dates[e]["available"])
