@@ -196,7 +196,7 @@ def m12(spark, sf):
 HALF_LIVES, PRIORS = (180.0, 730.0), (0.0, 1.0, 4.0, 16.0)
 #: name, half-life, prior games of either result, distance to the default
 RATES = [("rate-730-4", 730.0, 4.0, 0), ("rate-180-4", 180.0, 4.0, 1), ("rate-730-16", 730.0, 16.0, 1), ("rate-180-1", 180.0, 1.0, 2), ("rate-180-0", 180.0, 0.0, 3)]
-LEAST_INNER = 4
+LEAST_INNER, LEAST_FITTED = 4, 2
 FAMILIES = [("neutral", "neutral", 0), ("higher-seed", "higher-seed", 0), *(("rate", name, d) for name, _, _, d in RATES)]
 
 
@@ -361,7 +361,7 @@ def fitted_scores(spark, sf):
 def m16_fitted(spark, sf):
     """Ratings and regularised strengths tuned the same way; tests hold the scores against plain fits."""
     events, scores = fitted_scores(spark, sf)
-    return rounded(T.nested_choice(scores, events, [(m, n, d) for m, n, d, _ in FITTED], LEAST_INNER), 5)
+    return rounded(T.nested_choice(scores, events, [(m, n, d) for m, n, d, _ in FITTED], LEAST_FITTED), 5)
 
 
 BOOT_SEED = "list_reduce(list_prepend(2166136261::HUGEINT, list_transform(range(1, length(mode) + 1), lambda i: CAST(ascii(substr(mode, CAST(i AS INTEGER), 1)) AS HUGEINT))), lambda h, b: (xor(h, b) * 16777619) % 4294967296)"
