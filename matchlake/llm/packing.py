@@ -30,7 +30,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from matchlake.llm.common import Recent, documents, materialize, read
+from matchlake.llm.common import Recent, documents, forget, materialize, read, remembered
 
 CAPACITY = 2048
 PER_PARTITION = 50_000
@@ -95,14 +95,8 @@ class Encoder:
         return self._whole(text) if not self.fast or _ODD.search(text) else b"".join(map(self.chunks.__getitem__, text.split()))
 
 
-_encoders: dict[int, Encoder] = {}
-
-
 def _encoder(model: str) -> Encoder:
-    key = zlib.crc32(model.encode())
-    if key not in _encoders:
-        _encoders[key] = Encoder(model)
-    return _encoders[key]
+    return remembered(("encoder", zlib.crc32(model.encode())), lambda: Encoder(model))
 
 
 def pieces(df: DataFrame, tokenizer: str, capacity: int = CAPACITY, end_id: int = 0) -> DataFrame:
@@ -188,6 +182,7 @@ _PACKED = "piece_id long, doc_id long, piece int, length long, ids_crc32 long, s
 
 def _packer(capacity: int, r: int, last: bool):
     def run(key: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
+        forget()
         pdf = pdf.sort_values(["doc_id", "piece", "ids_crc32"], kind="stable")
         lengths = pdf["length"].to_numpy()
         where, offset, fill = best_fit(lengths, capacity)

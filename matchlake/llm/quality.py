@@ -39,7 +39,7 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from matchlake.llm.common import Recent, arrow_rows, documents, materialize, mix, pack, read, unpack
+from matchlake.llm.common import Recent, arrow_rows, documents, forget, materialize, mix, pack, read, remembered, unpack
 from matchlake.llm.simhash import shingle_hashes
 
 SAMPLE = 20_000
@@ -107,9 +107,6 @@ def votes(s: dict[str, float], abuse: tuple[int, int, bool], n: int) -> str:
     return "".join(out) if n else ABSTAIN * len(out)
 
 
-_clean: Recent | None = None
-
-
 def _cleaned(word: bytes) -> tuple[str, int, bool, bool, bool, bool]:
     """Bare word, its hash, is it all capitals, does a full stop or comma end it, has it a symbol, or small letters?"""
     w, t = word.strip(_STRIP).lower(), word.decode(errors="replace")
@@ -119,13 +116,11 @@ def _cleaned(word: bytes) -> tuple[str, int, bool, bool, bool, bool]:
 
 def read_text(text: str, abusive: dict[str, bool] | None = None) -> tuple[str, dict[str, float], list[tuple]]:
     """Votes, shape and distinct words. abusive: words, and whether each is a sure one."""
-    global _clean
-    if _clean is None:
-        _clean = Recent(_cleaned)
+    clean = remembered("words", lambda: Recent(_cleaned))
     raw = text.encode()
     words = raw.split()
     counts = Counter(words)
-    known = [_clean[w] for w in counts]
+    known = [clean[w] for w in counts]
     s = shape(raw, words, counts, known)
     said = Counter()
     if abusive:
@@ -373,6 +368,7 @@ def classify(df: DataFrame, sample: int = SAMPLE, threshold: float = THRESHOLD,
     shared = df.sparkSession.sparkContext.broadcast(fit(marked, sample))
 
     def judge(batches):
+        forget()
         weight, bias, post = shared.value
         schema = pa.schema([("doc_id", pa.int64()), ("votes", pa.string()), ("posterior", pa.float64()), ("score", pa.float64()), ("keep", pa.bool_())])
         for batch in batches:

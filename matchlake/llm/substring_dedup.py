@@ -48,6 +48,7 @@ from matchlake.llm.common import (
     arrow_rows,
     block_ids,
     documents,
+    forget,
     materialize,
     pack,
     parallelism,
@@ -305,6 +306,7 @@ def repeated_spans(df: DataFrame, k: int = WINDOW, texts: bool = False, key_bits
     gone = spans.select("block_id", "n", "docs", "places", "starts", "source_doc", "source_start")
 
     def apply(pdf: pd.DataFrame) -> pd.DataFrame:
+        forget()
         row = pdf[pdf["blob"].notna()].iloc[0]
         ids, raw = np.frombuffer(row["r"], np.int64), _texts(row["sizes"], row["blob"])
         found: dict[int, set] = {}

@@ -1,5 +1,6 @@
 """The pipeline's rows against a plain Python version, and its stages on awkward tables."""
 
+import gc
 import hashlib
 import re
 import zlib
@@ -10,7 +11,7 @@ import pytest
 
 import corpus_pipeline
 from matchlake.llm import packing, quality, secrets
-from matchlake.llm.common import clear_scratch
+from matchlake.llm.common import Recent, WordHashes, clear_scratch, word_hashes
 
 P = pytest.importorskip("public_tokenizers")
 SHAPE = "doc_id long, text string, lang string, source string, n_chars long"
@@ -153,3 +154,15 @@ def test_packing_in_many_partitions(spark):
     bound = packing.bin_bound(np.array(lengths), 2048)
     print("bins", used, "bound", bound)
     assert used[3] <= 1.01 * bound
+
+
+def test_a_worker_remembers_for_one_operator_only():
+    """Workers outlive the stages, and what each stage's operator remembered would add up in their memory."""
+    with open(P.path("word_bpe_49k.json"), encoding="utf-8") as f:
+        model = f.read()
+    held = lambda mark: [x for x in gc.get_objects() if isinstance(x, (Recent, WordHashes)) and mark in x]
+    steps = [(b"oneseenbyquality", lambda: quality.read_text("oneseenbyquality")), (b"twoseenbyhashes", lambda: word_hashes([b"twoseenbyhashes"])), ("threeseenbyids", lambda: packing._encoder(model).encode("threeseenbyids"))]
+    for k, (mark, use) in enumerate([*steps, steps[0]]):
+        first = use()
+        assert held(mark) and not any(held(other) for other, _ in steps if other != mark), k
+        assert str(use()) == str(first)
