@@ -30,9 +30,10 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from matchlake.llm.common import BEGIN, BLOCK_BYTES, END, arrow_rows, block_ids, crc32_text, documents, materialize, mix, pack, parallelism, read, slices, unpack, word_hashes
+from matchlake.llm.common import BEGIN, BLOCK_BYTES, END, arrow_rows, block_ids, crc32_text, documents, forget, materialize, mix, pack, parallelism, read, slices, unpack, word_hashes
 
 PER_BUCKET = 1_000_000
+PER_SORT = 1 << 16
 START = 0.5
 STEPS_PER_OCTAVE, LOW, HIGH = 8, -40, 80  # cells of the ratio histogram
 
@@ -72,7 +73,7 @@ def blocks(df: DataFrame, held: int, folds: int) -> DataFrame:
             return pa.RecordBatch.from_pylist([out], schema)
 
         for batch in batches:
-            for doc_id, text in arrow_rows(batch):
+            for doc_id, text in (row for i in range(0, batch.num_rows, 512) for row in arrow_rows(batch.slice(i, 512))):
                 is_held = crc32_text(doc_id) % folds == held
                 words = text.encode().lower().split()
                 words.append(END)
@@ -102,29 +103,45 @@ def _entries(own, kind: int):
     return keys, n, inverse
 
 
+def _adder(kind: int):
+    def add(pdf: pd.DataFrame) -> pd.DataFrame:
+        """Totals of a bucket's entries, in the order of its messages. The sort runs PER_SORT entries or so at a time."""
+        forget()
+        keys = [unpack(x, True) for x in pdf["keys"]]
+        sizes = np.array([len(x) for x in keys])
+        every = np.concatenate(keys)
+        del keys
+        total = np.empty(len(every), np.uint64)
+        for x, end, size in zip(pdf["n"], np.cumsum(sizes), sizes, strict=True):
+            total[end - size : end] = unpack(x)
+        low, high, distinct = int(every.min()), int(every.max()), 0
+        step = (high - low) // (len(every) // PER_SORT + 1) + 1
+        for a in range(low, high + 1, step):
+            at = np.flatnonzero((every >= np.uint64(a)) & (every <= np.uint64(min(a + step - 1, high))))
+            at = at[np.argsort(every[at])]
+            if len(at):
+                s = every[at]
+                first = np.flatnonzero(np.append(True, s[1:] != s[:-1]))
+                sums = np.add.reduceat(total[at], first)
+                total[at] = np.repeat(sums, np.diff(np.append(first, len(s))))
+                distinct += int((sums > 0).sum())
+        return pd.DataFrame({"block_id": pdf["block_id"], "bucket": pdf["bucket"], "kind": kind, "r": [pack(x) for x in np.split(total, np.cumsum(sizes)[:-1])], "distinct": [distinct] + [0] * (len(sizes) - 1)})
+
+    return add
+
+
 def _totals(table: DataFrame, kind: int, buckets: int) -> DataFrame:
     def send(batches):
+        forget()
         schema = pa.schema([("bucket", pa.int32()), ("block_id", pa.int64()), ("keys", pa.binary()), ("n", pa.binary())])
         for batch in batches:
-            for own in batch.to_pylist():
+            for own in (batch.slice(i, 1).to_pylist()[0] for i in range(batch.num_rows)):
                 keys, n, _ = _entries(own, kind)
                 n = np.zeros_like(n) if own["held_out"] else n
                 yield pa.RecordBatch.from_pylist([{"bucket": b, "block_id": own["block_id"], "keys": pack(keys[i:j], True), "n": pack(n[i:j].astype(np.uint64))} for b, i, j in slices(keys, buckets)], schema)
 
-    def add(pdf: pd.DataFrame) -> pd.DataFrame:
-        keys = [unpack(x, True) for x in pdf["keys"]]
-        every = np.concatenate(keys)
-        order = np.argsort(every)
-        s, n = every[order], np.concatenate([unpack(x) for x in pdf["n"]])[order].astype(np.int64)
-        first = np.flatnonzero(np.append(True, s[1:] != s[:-1]))
-        sums = np.add.reduceat(n, first)
-        total = np.empty(len(every), np.uint64)
-        total[order] = np.repeat(sums, np.diff(np.append(first, len(s))))
-        cuts = np.cumsum([len(x) for x in keys])[:-1]
-        return pd.DataFrame({"block_id": pdf["block_id"], "bucket": pdf["bucket"], "kind": kind, "r": [pack(x) for x in np.split(total, cuts)], "distinct": [int((sums > 0).sum())] + [0] * (len(keys) - 1)})
-
     sent = table.select("block_id", "held_out", "lengths", "words", "tokens").mapInArrow(send, "bucket int, block_id long, keys binary, n binary")
-    return sent.groupBy("bucket").applyInPandas(add, _REPLY)
+    return sent.groupBy("bucket").applyInPandas(_adder(kind), _REPLY)
 
 
 def _counts(pdf: pd.DataFrame):
@@ -177,6 +194,7 @@ def score(df: DataFrame, held: int = 1, folds: int = 5) -> DataFrame:
     joined = own.unionByName(totals.select("block_id", "bucket", "kind", "r"), allowMissingColumns=True)
 
     def cells(pdf: pd.DataFrame) -> pd.DataFrame:
+        forget()
         _, _, _, c, cc, context, bucket = _counts(pdf)
         uni = (c - 0.5) / (n_all - 1 + 0.5 * (distinct + 1))
         bi = np.divide(cc - 1, context - 1, out=np.zeros(len(c)), where=context > 1)
@@ -195,6 +213,7 @@ def score(df: DataFrame, held: int = 1, folds: int = 5) -> DataFrame:
     weights = fit_weights([(r["bucket"], None if r["cell"] < LOW * STEPS_PER_OCTAVE else r["cell"], r["n"]) for r in sorted(found)])
 
     def apply(pdf: pd.DataFrame) -> pd.DataFrame:
+        forget()
         row, lengths, starts, c, cc, context, bucket = _counts(pdf)
         uni = (c + 0.5) / (n_all + 0.5 * (distinct + 1))
         bi = np.divide(cc, context, out=np.zeros(len(c)), where=context > 0)

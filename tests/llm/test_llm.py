@@ -1,18 +1,23 @@
 """Each operator against brute force on small and awkward tables."""
 
+import gc
 import hashlib
 import math
 import re
+import tracemalloc
 import unicodedata
 import zlib
 from collections import Counter
+from unittest.mock import MagicMock
 
 import numpy as np
+import pandas as pd
 import pytest
 import xxhash
 from conftest import plain
 
 from matchlake.llm import digest, language_model, neighbours, packing, pieces, quality, registry, secrets, simhash, substring_dedup, url_filter
+from matchlake.llm.common import WordHashes, pack, unpack, word_hashes
 
 LONG = " ".join(f"w{i % 97}" for i in range(6000))
 PASSAGE = " ".join(f"p{i}" for i in range(60))
@@ -155,6 +160,32 @@ def test_piece_query_round_trips(spark, sf, duck):
         assert got[i]["decoded_sha256"] == hashlib.sha256(t.encode()).hexdigest()
 
 
+def test_totals_take_little_memory():
+    """A bucket's entries are added up exactly, in few bytes each, and the words remembered before are given back."""
+    caught = MagicMock()
+    language_model._totals(caught, 2, 4)
+    add = caught.select.return_value.mapInArrow.return_value.groupBy.return_value.applyInPandas.call_args.args[0]
+    rng = np.random.default_rng(3)
+    pool = rng.integers(0, 1 << 63, 100_000, dtype=np.uint64)
+    pool[:2] = 0, (1 << 64) - 1
+    keys = [np.unique(np.append(rng.choice(pool, 5000), pool[:2])) for _ in range(60)]
+    counts = [rng.integers(0, 3, len(k)).astype(np.uint64) for k in keys]
+    pdf = pd.DataFrame({"bucket": 1, "block_id": range(60), "keys": [pack(k, True) for k in keys], "n": [pack(n) for n in counts]})
+    word_hashes([b"remembered"])
+    tracemalloc.start()
+    got = add(pdf)
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    sums = Counter()
+    for k, n in zip(keys, counts, strict=True):
+        sums.update(dict(zip(k.tolist(), n.tolist(), strict=True)))
+    for k, r in zip(keys, got["r"], strict=True):
+        assert unpack(r).tolist() == [sums[x] for x in k.tolist()]
+    assert got["distinct"].sum() == sum(x > 0 for x in sums.values()) and got["block_id"].tolist() == list(range(60))
+    assert peak < 40 * sum(map(len, keys)), peak
+    assert not any(isinstance(x, WordHashes) and b"remembered" in x for x in gc.get_objects())
+
+
 def test_weights_reach_the_maximum():
     cells = [(3, 8, 50), (3, None, 50)]  # ratio 2 ** (8.5 / 8) half of the time, else 0
     w, r = language_model.fit_weights(cells)[3], 2 ** (8.5 / 8)
