@@ -22,6 +22,7 @@ from __future__ import annotations
 
 import json
 import re
+import struct
 import zlib
 
 import numpy as np
@@ -38,10 +39,18 @@ ROUNDS = 3
 SLACK = 256
 PER_CACHE = 250_000
 PIECES = "doc_id long, piece int, start long, length long, ids binary"
-#: White space outside ASCII, separators and strings of special tokens take the slow exact way.
-_ODD = re.compile(r"[\x1c-\x1f\x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000]|<\|")
+#: White space outside ASCII and separators take the slow exact way, as strings of special tokens do.
+_ODD = "\x1c\x1d\x1e\x1f\x85\xa0\u1680\u2000\u2001\u2002\u2003\u2004\u2005\u2006\u2007\u2008\u2009\u200a\u2028\u2029\u202f\u205f\u3000"
 #: Letters and then punctuation, all of one byte's code points: two tokens at most, case folds one to one.
 _CHUNK = re.compile(r"([A-Za-z\xc0-\xd6\xd8-\xf6\xf8-\xff]*)([!-&(-/:-@\[-`{-~]*)")
+# Fixed value: the punctuation of _CHUNK.
+_MARKS = "!\"#$%&()*+,-./:;<=>?@[\\]^_`{|}~"
+
+
+def _odd(text: str) -> bool:
+    return "<|" in text or any(map(text.__contains__, _ODD))  # much faster than a regular expression
+
+
 def _byte_letters() -> dict[int, int]:
     """The printable letter that stands for each byte in a byte-level vocabulary: itself, or 256 upwards in order."""
     plain = {*range(0x21, 0x7F), *range(0xA1, 0xAD), *range(0xAE, 0x100)}
@@ -63,11 +72,15 @@ def _splits_as_known(model: str) -> bool:
     return normal == ["NFC", "Replace", "Lowercase"] and split == [_SPLIT] and len(byte_level) == 1 and len(pre) == 2 and found["model"].get("type") == "BPE" and not found.get("post_processor")
 
 
+def _packed(ids: list[int]) -> bytes:
+    return struct.pack(f"<{len(ids)}I", *ids)
+
+
 class Encoder:
     """Little-endian uint32 ids of the chunks between white space, which encode independently here.
 
     Chunks of letters and punctuation take their parts' ids from the library's model; all other chunks
-    go through the whole tokenizer.  Both are remembered within a bound.
+    go through the whole tokenizer.  Parts are chunks themselves; all are remembered within a bound.
     """
 
     def __init__(self, model: str):
@@ -76,23 +89,33 @@ class Encoder:
         self.tokenizer = Tokenizer.from_str(model)
         self.fast = _splits_as_known(model)
         self.letters = _byte_letters()
-        self.words = Recent(self._word, PER_CACHE)
+        self.part = self.tokenizer.model.tokenize
         self.chunks = Recent(self._chunk, 2 * PER_CACHE)
 
     def _word(self, word: str) -> bytes:
-        shown = word.encode().decode("latin-1").translate(self.letters)
-        return np.array([t.id for t in self.tokenizer.model.tokenize(shown)], "<u4").tobytes()
+        shown = word if word.isascii() else word.encode().decode("latin-1").translate(self.letters)
+        return _packed([t.id for t in self.part(shown)])
 
     def _whole(self, text: str) -> bytes:
-        return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, "<u4").tobytes()
+        return _packed(self.tokenizer.encode(text, add_special_tokens=False).ids)
 
     def _chunk(self, chunk: str) -> bytes:
-        if m := _CHUNK.fullmatch(chunk):
-            return b"".join(self.words[x] for x in (m[1].lower(), m[2]) if x)
-        return self._whole(chunk)
+        if chunk.isascii():
+            letters = chunk.rstrip(_MARKS)
+            if letters and not letters.isalpha():
+                return self._whole(chunk)
+        elif m := _CHUNK.fullmatch(chunk):
+            letters = m[1]
+        else:
+            return self._whole(chunk)
+        word = letters.lower()
+        if word == chunk or not letters:
+            return self._word(chunk)
+        marks = chunk[len(letters) :]
+        return self.chunks[word] + self.chunks[marks] if marks else self.chunks[word]
 
     def encode(self, text: str) -> bytes:
-        return self._whole(text) if not self.fast or _ODD.search(text) else b"".join(map(self.chunks.__getitem__, text.split()))
+        return self._whole(text) if not self.fast or _odd(text) else b"".join(map(self.chunks.__getitem__, text.split()))
 
 
 def _encoder(model: str) -> Encoder:

@@ -2,6 +2,7 @@
 
 import gc
 import hashlib
+import itertools
 import math
 import re
 import tracemalloc
@@ -17,7 +18,7 @@ import xxhash
 from conftest import plain
 
 from matchlake.llm import digest, language_model, neighbours, packing, pieces, quality, registry, secrets, simhash, substring_dedup, url_filter
-from matchlake.llm.common import WordHashes, pack, unpack, word_hashes
+from matchlake.llm.common import Recent, WordHashes, pack, unpack, word_hashes
 
 LONG = " ".join(f"w{i % 97}" for i in range(6000))
 PASSAGE = " ".join(f"p{i}" for i in range(60))
@@ -243,6 +244,24 @@ def test_pieces_return_ids_and_text(docs):
     assert got == sorted((i, codec.encode(t or ""), codec.decode(codec.encode(t or ""))) for i, t in TEXTS)
 
 
+def test_each_part_is_remembered_once(monkeypatch):
+    """A word that is a chunk by itself costs one miss, and the short way gives the whole tokenizer's ids."""
+    P = pytest.importorskip("public_tokenizers")
+    tokenizers = pytest.importorskip("tokenizers")
+    path = P.path("word_bpe_49k.json")
+    encoder, whole = packing.Encoder(open(path, encoding="utf-8").read()), tokenizers.Tokenizer.from_file(path)
+    misses, missing = [], Recent.__missing__
+    monkeypatch.setattr(Recent, "__missing__", lambda self, key: misses.append(key) or missing(self, key))
+    small = [f"{a}{b}{c}" for a in "abcdefgh" for b in "aeiou" for c in "klmnop"]
+    encoder.encode(" ".join(small))
+    assert sorted(misses) == sorted(small)
+    odd = ["".join(c) for c in itertools.product("aZé'.\u00d7_\u017f7", repeat=3)] + ["!" * 9, "don't.", "dogs'", "Straße,", "ÀÖ;", "\u0130x", "x\u0307", "<|endoftext|>", "a<|"]
+    odd += [f"a{chr(c)}b" for c in range(1, 0x3100) if chr(c).isspace() or not chr(c).isprintable()]
+    for text in [*odd, " ".join(odd[:700])]:
+        for _ in range(2):
+            assert list(np.frombuffer(encoder.encode(text), "<u4")) == whole.encode(text, add_special_tokens=False).ids, repr(text)
+
+
 def test_bounds_never_exceed_a_packing():
     rng = np.random.default_rng(1)
     for _ in range(30):
