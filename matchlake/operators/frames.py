@@ -1,8 +1,11 @@
 """Interactions out of frame streams: defensive choices, recoveries and edgeguards, special moves.
 
 frames: game, player (0 or 1), frame, state, percent, stocks, last_hit_by, airborne, hitlag, x, y, and further columns
-that an operator names.  A game is one singles match of two players with a row per frame each.  Everything before the folds is windows over a
-player's frames; a fold sees one choice (thirty frames at most) or one stretch between calm phases, never a whole game, and
+that an operator names.  A game is one singles match of two players with a row per frame each, or per spell: where frames hold
+the column spell, a row stands for that many frames from frame on, in which nothing of either player changes but counter, which rises
+by one a frame; c_stick is then that of the first.  Both players' rows have the same bounds.  The opponent's columns may be given as o_ and the name.
+Everything before the folds is windows over a
+player's frames, so frames that are dealt by game stay where they are; a fold sees one choice (thirty frames at most) or one stretch between calm phases, never a whole game, and
 runs in the JVM.  A player's stream with a gap, a repeat, or a missing measurement has no result, which is not zero.
 """
 
@@ -61,9 +64,17 @@ def let(value: Column, body) -> Column:
 
 
 def with_opponent(frames: DataFrame, columns: list[str]) -> DataFrame:
-    """Each row with the opponent's columns of the same frame as o_; null where that row is missing."""
-    other = frames.select("game", (1 - F.col("player")).alias("player"), "frame", *(F.col(c).alias(f"o_{c}") for c in columns))
-    return frames.join(other, ["game", "player", "frame"], "left")
+    """Each row with the opponent's columns of the same frames as o_, and with spell; null where that row is missing."""
+    rows = frames if "spell" in frames.columns else frames.withColumn("spell", F.lit(1))
+    if all(f"o_{c}" in frames.columns for c in columns):
+        return rows
+    other = rows.select("game", (1 - F.col("player")).alias("player"), "frame", "spell", *(F.col(c).alias(f"o_{c}") for c in columns))
+    return rows.join(other, ["game", "player", "frame", "spell"], "left")
+
+
+def end() -> Column:
+    """The last frame of a row."""
+    return F.col("frame") + F.col("spell") - 1
 
 
 def measured(rows: DataFrame, needed: list[str], keys: list[str], first: int | None = None) -> DataFrame:
@@ -73,11 +84,11 @@ def measured(rows: DataFrame, needed: list[str], keys: list[str], first: int | N
     missing = F.lit(False)
     for c in needed:
         missing = missing | F.col(c).isNull()
-    n, low, high = F.count("*").over(w), F.min("frame").over(w), F.max("frame").over(w)
-    steady = F.lag("frame").over(Window.partitionBy("game", "player").orderBy("frame"))
+    n, low, high = F.sum("spell").over(w), F.min("frame").over(w), F.max(end()).over(w)
+    steady = F.lag(end()).over(Window.partitionBy("game", "player").orderBy("frame"))
     out = rows.withColumn("_before", steady).withColumn("_bad", missing | (F.col("_before") != F.col("frame") - 1))
     game = Window.partitionBy("game")
-    fine = (low == F.min("frame").over(game)) & (high == F.max("frame").over(game)) & (n == per * (high - low + 1)) & ~F.coalesce(F.max("_bad").over(w), F.lit(False))
+    fine = (low == F.min("frame").over(game)) & (high == F.max(end()).over(game)) & (n == per * (high - low + 1)) & ~F.coalesce(F.max("_bad").over(w), F.lit(False))
     return out.withColumn("_fine", fine & (low == first) if first is not None else fine).where("_fine").drop("_before", "_bad", "_fine")
 
 
@@ -99,8 +110,8 @@ def defensive_choices(frames: DataFrame, first: int = FIRST) -> DataFrame:
     upto, before = w.rowsBetween(Window.unboundedPreceding, 0), w.rowsBetween(Window.unboundedPreceding, -1)
     old = {x: F.lag(x).over(w) for x in ("state", "percent", "stocks", "o_state", "o_percent", "o_stocks")}
     rows = rows.withColumns({f"p_{x}": v for x, v in old.items()})
-    held = F.max(F.when(c("state") == SHIELD_HIT, c("frame"))).over(before)
-    loose = F.max(F.when(~c("state").isin(*SHIELDS), c("frame"))).over(before)
+    held = F.max(F.when(c("state") == SHIELD_HIT, end())).over(before)
+    loose = F.max(F.when(~c("state").isin(*SHIELDS), end())).over(before)
     hit_shield = (held > F.coalesce(loose, F.lit(NEVER))) & (c("frame") - held <= WINDOW)
     free = (c("stocks") == c("p_stocks")) & ~disrupted(c("state"))
     from_ledge = c("p_state").isin(*LEDGE) & ~c("state").isin(*LEDGE)
@@ -111,16 +122,16 @@ def defensive_choices(frames: DataFrame, first: int = FIRST) -> DataFrame:
     given = touched(c("o_state"), c("o_percent"), c("o_stocks"), c("o_last_hit_by"), None, c("o_hitlag"), c("p_o_state"), c("p_o_percent"), c("p_o_stocks"), c("player"))
     lost = (c("stocks") != c("p_stocks")) | (c("o_stocks") != c("p_o_stocks")) | dead(c("state")) | dead(c("o_state")) | disrupted(c("state"))
     told = F.when(taken & given, "traded").when(taken, "punished").when(given, "hit").when(lost, "incomplete")
-    rows = rows.withColumn("section", section).withColumn("told", told).withColumn("choice", F.count("section").over(upto)).withColumn("last", F.max("frame").over(Window.partitionBy("game", "player")))
+    rows = rows.withColumn("section", section).withColumn("told", told).withColumn("choice", F.count("section").over(upto)).withColumn("last", F.max(end()).over(Window.partitionBy("game", "player")))
     rows = rows.where("choice > 0").withColumn("start", F.max(F.when(c("section").isNotNull(), c("frame"))).over(upto))
-    nexts = F.min(F.when(c("section").isNotNull(), c("frame"))).over(w.rowsBetween(1, Window.unboundedFollowing))
-    rows = rows.withColumn("next", nexts).where(c("frame") - c("start") < WINDOW)
-    rows = rows.withColumn("told", F.coalesce("told", F.when(c("frame") - c("start") == WINDOW - 1, "noHit")))
+    rows = rows.where(c("frame") - c("start") < WINDOW)
     flat = (c("character") == FLAT) & within(c("state"), FLAT_AERIALS)
-    step = F.struct("frame", "state", "airborne", (within(c("state"), AERIALS) | flat).alias("aerial"), F.coalesce("landed_dodge", F.lit(False)).alias("landed_dodge"), disrupted(c("state")).alias("disrupted"), "c_stick", "section")
-    got = rows.groupBy("game", "player", "choice", "start").agg(F.array_sort(F.collect_list(step)).alias("steps"), F.min_by("told", F.when(c("told").isNotNull(), c("frame"))).alias("told"), F.min(F.when(c("told").isNotNull(), c("frame"))).alias("at"), F.max(F.when(c("frame") == c("start"), c("next"))).alias("next"), F.max("last").alias("last"))
-    end = F.coalesce("at", "next", "last")
-    got = got.withColumn("end", end).withColumn("section", c("steps")[0]["section"]).withColumn("steps", F.filter("steps", lambda s: (s["frame"] < c("end")) | (c("at").isNotNull() & (s["frame"] == c("end"))) | (c("next").isNull() & (s["frame"] == c("end")))))
+    step = F.struct("frame", end().alias("to"), "state", "airborne", (within(c("state"), AERIALS) | flat).alias("aerial"), F.coalesce("landed_dodge", F.lit(False)).alias("landed_dodge"), disrupted(c("state")).alias("disrupted"), "c_stick", "section")
+    got = rows.groupBy("game", "player", "choice", "start").agg(F.array_sort(F.collect_list(step)).alias("steps"), F.min_by("told", F.when(c("told").isNotNull(), c("frame"))).alias("told"), F.min(F.when(c("told").isNotNull(), c("frame"))).alias("at"), F.max(end()).alias("seen"), F.max("last").alias("last"))
+    got = got.withColumn("next", F.lead("start").over(Window.partitionBy("game", "player").orderBy("choice")))
+    quiet = c("at").isNull() & (c("seen") - c("start") >= WINDOW - 1)
+    got = got.withColumn("told", F.when(quiet, "noHit").otherwise(c("told"))).withColumn("at", F.when(quiet, c("start") + WINDOW - 1).otherwise(c("at")))
+    got = got.withColumn("end", F.coalesce("at", "next", "last")).withColumn("section", c("steps")[0]["section"])
     option = F.when(c("section") == "ledge", _ledge_option()).otherwise(_shield_option())
     eligible = c("_first").isin("jump", "aerial", "wavedash", "rollForward", "rollBackward", "spotDodge") & c("option").isin("jump", "aerial", "wavedash", "rollForward", "rollBackward", "spotDodge") & (c("section") != "ledge")
     got = got.withColumn("_first", F.when(c("section") == "ledge", _ledge_start(c("steps")[0])).otherwise(_shield_start(c("steps")[0]))).withColumn("option", option)
@@ -145,9 +156,12 @@ def _sequence(start: Column, goes_on: list[str], jumped: Column, limit: int, jud
     zero = F.struct(start.alias("option"), start.isin(*goes_on).alias("open"), jumped.alias("jumped"), F.lit(False).alias("dodged"))
 
     def fold(a: Column, s: Column) -> Column:
-        late = s["frame"] - s0["frame"] >= limit
+        # Judged at its first frame after the start; more frames alike change nothing.
+        at = F.greatest(s["frame"], s0["frame"] + 1)
+        over = (at > s["to"]) | F.coalesce(at > F.col("at"), F.lit(False))
+        late = at - s0["frame"] >= limit
         shut = F.struct(a["option"].alias("option"), F.lit(False).alias("open"), a["jumped"].alias("jumped"), a["dodged"].alias("dodged"))
-        return F.when(~a["open"] | (s["frame"] == s0["frame"]), a).when(late, shut).when(s["disrupted"], a).otherwise(judge(a, s))
+        return F.when(~a["open"] | over, a).when(late, shut).when(s["disrupted"], a).otherwise(judge(a, s))
 
     return F.aggregate(F.col("steps"), zero, fold)["option"]
 
@@ -193,19 +207,22 @@ def choice_counts(choices: DataFrame, keys: list[str]) -> DataFrame:
 # --- recoveries and edgeguards ---------------------------------------------------------------------------------
 
 
-def recoveries(frames: DataFrame, games: DataFrame) -> DataFrame:
+def recoveries(frames: DataFrame, games: DataFrame | None = None) -> DataFrame:
     """A row for each recovery: game, player, started, ended, route, tactic, outcome, ledge, hit, opponent_lost.
 
-    games: game, edge (half-width of the ground; null or a game that is not measured gives none).  An episode opens when a player
+    games: game, edge (half-width of the ground; null or a game that is not measured gives none); without games, frames hold edge.  An episode opens when a player
     is launched off the stage (or was within LAUNCH_FRAMES), counts once the player acts out there or takes the ledge, and ends by a
     death or RETURN_FRAMES steady frames after landing; at the end of the stream it is incomplete.  The route is where the approach was seen, the tactic what the
     opponent was seen to do.
     """
     c = F.col
-    rows = with_opponent(frames, ["state", "stocks", "x", "y"]).join(games.where("edge IS NOT NULL"), "game")
+    rows = with_opponent(frames, ["state", "stocks", "x", "y"])
+    rows = rows.where("edge IS NOT NULL") if games is None else rows.join(games.where("edge IS NOT NULL"), "game")
     rows = measured(rows, ["state", "percent", "stocks", "last_hit_by", "airborne", "x", "y"], ["game"])
     w = Window.partitionBy("game", "player").orderBy("frame")
-    rows = rows.withColumns({f"p_{x}": F.lag(x).over(w) for x in ("percent", "stocks", "x")}).where(c("frame") >= FIRST_PLAYABLE)
+    early = c("frame") < FIRST_PLAYABLE  # a spell that goes on into play has itself before
+    rows = rows.withColumns({f"p_{x}": F.lag(x).over(w) for x in ("percent", "stocks", "x")}).where(end() >= FIRST_PLAYABLE)
+    rows = rows.withColumns({f"p_{x}": F.when(early, c(x)).otherwise(c(f"p_{x}")) for x in ("percent", "stocks", "x")} | {"frame": F.greatest("frame", F.lit(FIRST_PLAYABLE)), "spell": F.when(early, end() - FIRST_PLAYABLE + 1).otherwise(c("spell"))})
     state, ostate, edge = c("state"), c("o_state"), c("edge")
     cliff = lambda s: s.isin(*LEDGE)
     disabled = lambda s: within(s, DAMAGE) | captured(s) | dead(s) | s.isin(*ENTRY, CLIFF_FALL) | within(s, DOWN)
@@ -213,8 +230,8 @@ def recoveries(frames: DataFrame, games: DataFrame) -> DataFrame:
     on = lambda x, y: (F.abs(x) <= edge) & (y >= -HEIGHT)
     by_opponent = c("last_hit_by") == 1 - c("player")
     hit = F.coalesce((c("stocks") == c("p_stocks")) & (c("percent") > c("p_percent")) & by_opponent & (within(state, DAMAGE) | captured(state) | (F.coalesce("hitlag", F.lit(0.0)) > 0)), F.lit(False))
-    rows = rows.withColumns({"hit": hit, "died": dead(state) | F.coalesce(c("stocks") < c("p_stocks"), F.lit(False)), "outside": off(c("x"), c("y")), "inside": on(c("x"), c("y")), "disabled": disabled(state), "cliff": cliff(state)})
-    rows = rows.withColumn("launched", c("hit") | (within(state, DAMAGE) & by_opponent) | (state == CLIFF_FALL)).withColumn("passive", within(state, DOWN) | within(state, TUMBLES) | state.isin(42, 43))
+    rows = rows.withColumns({"hit": hit, "fell": F.coalesce(c("stocks") < c("p_stocks"), F.lit(False)), "outside": off(c("x"), c("y")), "inside": on(c("x"), c("y")), "disabled": disabled(state), "cliff": cliff(state)})
+    rows = rows.withColumns({"launched": (within(state, DAMAGE) & by_opponent) | (state == CLIFF_FALL), "passive": within(state, DOWN) | within(state, TUMBLES) | state.isin(42, 43)})
     rows = rows.withColumn("calm", ~c("outside") & ~c("disabled") & ~c("airborne") & ~c("passive")).withColumn("steady", c("inside") & ~c("disabled") & ~c("cliff"))
     act = c("outside") & ~c("disabled") & ~c("cliff")
     near = F.abs("x") <= edge + APPROACH
@@ -222,25 +239,34 @@ def recoveries(frames: DataFrame, games: DataFrame) -> DataFrame:
     distance = F.hypot(c("o_x") - c("x"), c("o_y") - c("y"))
     coming = c("outside") | c("cliff")
 
-    def tactic(side: int) -> Column:
+    def tactic(side: int, hit: Column) -> Column:
         same = c("o_x") * F.when(c("x") != 0, F.signum("x")).otherwise(F.lit(float(side))) > 0
         grips = coming & cliff(ostate) & same & (F.abs(F.abs("o_x") - edge) <= AT_EDGE)
-        away = off(c("o_x"), c("o_y")) & (c("hit") | (coming & (distance <= NEAR)))
-        home = on(c("o_x"), c("o_y")) & (c("hit") | (attacking & (F.abs("o_x") >= edge - NEAR_EDGE) & (distance <= NEAR)))
-        found = F.when(grips, 1).when(~same, F.when(c("hit") & on(c("o_x"), c("o_y")), 2).otherwise(0)).when(away, F.when(c("o_y") < 0, 8).otherwise(4)).when(home, 2).otherwise(0)
-        return F.when(disabled(ostate) & ~c("hit"), 0).otherwise(found)
+        away = off(c("o_x"), c("o_y")) & (hit | (coming & (distance <= NEAR)))
+        home = on(c("o_x"), c("o_y")) & (hit | (attacking & (F.abs("o_x") >= edge - NEAR_EDGE) & (distance <= NEAR)))
+        found = F.when(grips, 1).when(~same, F.when(hit & on(c("o_x"), c("o_y")), 2).otherwise(0)).when(away, F.when(c("o_y") < 0, 8).otherwise(4)).when(home, 2).otherwise(0)
+        return F.when(disabled(ostate) & ~hit, 0).otherwise(found)
+
+    def row(frame: Column, spell: Column, hit: Column, fell: Column, before: Column) -> Column:
+        died = dead(state) | fell
+        side = F.signum(F.coalesce(F.nullif(c("x"), F.lit(0.0)), F.nullif(before, F.lit(0.0)), F.lit(1.0))).cast("int")
+        return F.struct(frame.alias("frame"), spell.alias("spell"), hit.alias("hit"), died.alias("died"), "airborne", (hit | c("launched")).alias("launched"), "passive", "calm", "steady", (c("outside") & c("airborne") & ~died).alias("leaves"), act.alias("acts"), (act & near & (c("y") > HEIGHT)).alias("high"), (act & near & (c("y") < -HEIGHT)).alias("low"), "cliff", (c("inside") & ~c("airborne")).alias("lands"), tactic(1, hit).alias("right"), tactic(-1, hit).alias("left"), side.alias("side"), "o_stocks", dead(ostate).alias("o_dead"))
 
-    rows = rows.withColumns({"right": tactic(1), "left": tactic(-1), "side": F.signum(F.coalesce(F.nullif(c("x"), F.lit(0.0)), F.nullif(c("p_x"), F.lit(0.0)), F.lit(1.0))).cast("int")})
     # Calm phases: more than RETURN_FRAMES steady frames without a hit since one on the ground, on the ground still; whatever went on is over.
     broken = F.sum((~c("steady") | c("hit")).cast("int")).over(w.rowsBetween(Window.unboundedPreceding, 0))
-    rows = rows.withColumn("_run", broken)
+    rows = rows.withColumn("_run", broken).withColumn("_free", c("frame") + c("hit").cast("int"))  # a hit is only in a row's first frame
     run = Window.partitionBy("game", "player", "_run").orderBy("frame").rowsBetween(Window.unboundedPreceding, 0)
-    rows = rows.withColumn("_ground", F.min(F.when(c("steady") & ~c("hit") & ~c("airborne"), c("frame"))).over(run))
-    over = F.coalesce(c("steady") & ~c("hit") & c("calm") & (c("frame") - c("_ground") >= RETURN_FRAMES), F.lit(False))
-    rows = rows.withColumn("_over", over).withColumn("stretch", F.sum(c("_over").cast("int")).over(w.rowsBetween(Window.unboundedPreceding, 0))).where("NOT _over")
-    row = F.struct("frame", "hit", "died", "airborne", "launched", "passive", "calm", "steady", (c("outside") & c("airborne") & ~c("died")).alias("leaves"), act.alias("acts"), (act & near & (c("y") > HEIGHT)).alias("high"), (act & near & (c("y") < -HEIGHT)).alias("low"), "cliff", (c("inside") & ~c("airborne")).alias("lands"), "right", "left", "side", "o_stocks", dead(ostate).alias("o_dead"))
-    stretches = rows.groupBy("game", "player", "stretch").agg(F.array_sort(F.collect_list(row)).alias("rows"), F.max(c("outside") & c("airborne")).alias("off")).where("off")
-    folded = stretches.select("game", "player", _recovery_fold(F.col("rows")).alias("s"), F.col("rows")[F.size("rows") - 1]["frame"].alias("last"))
+    rows = rows.withColumn("_ground", F.min(F.when(c("steady") & ~c("airborne") & (c("_free") <= end()), c("_free"))).over(run))
+    over = F.when(c("steady") & c("calm"), F.greatest("_free", c("_ground") + RETURN_FRAMES))
+    rows = rows.withColumn("_over", F.when(over <= end(), over))  # null: no frame of the row
+    rows = rows.withColumn("stretch", F.coalesce(F.sum(c("_over").isNotNull().cast("int")).over(w.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)))
+    rows = rows.withColumn("spell", F.coalesce("_over", end() + 1) - c("frame")).where("spell > 0")
+    # The first frame of a spell is a row of its own where it may differ from the others by what was before it.
+    no, differs = F.lit(False), (c("spell") > 1) & (c("hit") | c("fell") | F.coalesce((c("x") == 0) & (c("p_x") != 0), F.lit(False)))
+    first = row(c("frame"), F.when(differs, 1).otherwise(c("spell")), c("hit"), c("fell"), c("p_x"))
+    parts = F.when(differs, F.array(first, row(c("frame") + 1, c("spell") - 1, no, no, c("x")))).otherwise(F.array(first))
+    stretches = rows.groupBy("game", "player", "stretch").agg(F.array_sort(F.collect_list(F.struct("frame", parts.alias("parts")))).alias("rows"), F.max(c("outside") & c("airborne")).alias("off"), F.max(end()).alias("last")).where("off")
+    folded = stretches.select("game", "player", _recovery_fold(F.flatten(c("rows.parts"))).alias("s"), "last")
     left_over = F.when(c("s.on") & c("s.eligible"), F.array(_record(c("s"), F.lit("incomplete"), c("last")))).otherwise(F.slice(c("s.out"), 1, 0))
     return folded.select("game", "player", F.inline(F.concat(c("s.out"), left_over)))
 
@@ -258,14 +284,19 @@ def _record(s: Column, outcome: Column, at: Column) -> Column:
 
 
 def _recovery_fold(rows: Column) -> Column:
-    """The state after a stretch of frames, with the episodes that ended in it (out)."""
+    """The state after a stretch of rows, with the episodes that ended in it (out).
+
+    The frames of a row are alike, a hit or a loss of stocks is only in a row of one frame.  So an episode opens in a row's first frame or not in
+    it, dies in the first, and all but the last frame that launches and the count of steady frames are as after the first two.
+    """
     zero = F.struct(F.lit(NEVER).alias("until"), *(F.lit(False if kind == "boolean" else 0).cast(kind).alias(n) for n, kind in _EPISODE.items()), F.array().cast(f"array<{_RECORD}>").alias("out"))
     field = lambda name, value: value.cast(_EPISODE[name]).alias(name)
 
     def step(a: Column, r: Column) -> Column:
-        recent = F.when(r["launched"], r["frame"] + LAUNCH_FRAMES).otherwise(a["until"])
-        until = F.when(r["calm"], NEVER).when(r["passive"] & (r["launched"] | (a["until"] > NEVER)), r["frame"] + LAUNCH_FRAMES).otherwise(recent)
-        return let(F.struct(until.cast("int").alias("until"), (~a["on"] & r["leaves"] & (until >= r["frame"])).alias("opens")), lambda u: opened(a, r, u))
+        goes_on = r["launched"] | (r["passive"] & (a["until"] > NEVER))
+        until = lambda frame: F.when(r["calm"], NEVER).when(goes_on, frame + LAUNCH_FRAMES).otherwise(a["until"])
+        last = r["frame"] + r["spell"] - 1
+        return let(F.struct(until(last).cast("int").alias("until"), last.alias("last"), (~a["on"] & r["leaves"] & (until(r["frame"]) >= r["frame"])).alias("opens")), lambda u: opened(a, r, u))
 
     def opened(a: Column, r: Column, u: Column) -> Column:
         fresh = {"on": F.lit(True), "side": r["side"], "started": r["frame"], "o_stocks": r["o_stocks"]}
@@ -273,19 +304,20 @@ def _recovery_fold(rows: Column) -> Column:
         return let(first, lambda e: seen(a, r, u, e))
 
     def seen(a: Column, r: Column, u: Column, e: Column) -> Column:
-        later = r["frame"] > e["started"]
+        later = u["last"] > e["started"]
         lost = e["o_lost"] | (r["o_stocks"] < e["o_stocks"]) | r["o_dead"]
         approached = e["approached"] | r["cliff"] | r["lands"]
         eligible = e["eligible"] | r["cliff"] | r["acts"]
         tactic = F.when(eligible & later & ~lost, F.when(e["side"] > 0, r["right"]).otherwise(r["left"])).otherwise(0)
         landed = r["steady"] & (e["landed"] | ~r["airborne"])
-        stable = F.when(landed & ~r["hit"], e["stable"] + 1).otherwise(0)
+        stable = F.when(landed & ~r["hit"], e["stable"] + r["spell"]).otherwise(0)
         new = {"was_hit": e["was_hit"] | (r["hit"] & later), "o_lost": lost, "ledge": e["ledge"] | r["cliff"], "eligible": eligible, "approached": approached, "high": e["high"] | (r["high"] & ~approached), "low": e["low"] | (r["low"] & ~approached), "tactics": e["tactics"].bitwiseOR(tactic), "landed": landed, "stable": stable}
         return let(F.struct(*(field(n, new.get(n, e[n])) for n in _EPISODE)), lambda f: ended(a, r, u, f))
 
     def ended(a: Column, r: Column, u: Column, f: Column) -> Column:
         outcome = F.when(f["on"], F.when(r["died"], "died").when(f["stable"] >= RETURN_FRAMES, "returned"))
-        out = F.when(outcome.isNotNull() & f["eligible"], F.concat(a["out"], F.array(_record(f, outcome, r["frame"])))).otherwise(a["out"])
+        at = F.when(r["died"], r["frame"]).otherwise(u["last"] - (f["stable"] - RETURN_FRAMES))
+        out = F.when(outcome.isNotNull() & f["eligible"], F.concat(a["out"], F.array(_record(f, outcome, at)))).otherwise(a["out"])
         return F.struct(F.when(outcome.isNotNull(), NEVER).otherwise(u["until"]).cast("int").alias("until"), *(field(n, f[n] & outcome.isNull() if n == "on" else f[n]) for n in _EPISODE), out.alias("out"))
 
     return F.aggregate(rows, zero, step)
@@ -310,37 +342,40 @@ def edgeguard_counts(found: DataFrame, keys: list[str]) -> DataFrame:
 # --- special moves ---------------------------------------------------------------------------------------------
 
 
-def special_attempts(frames: DataFrame, capabilities: DataFrame, characters: DataFrame, first: int = FIRST) -> DataFrame:
+def special_attempts(frames: DataFrame, capabilities: DataFrame, characters: DataFrame | None = None, first: int = FIRST) -> DataFrame:
     """game, player, move, attempts, hit, no_hit, incomplete.
 
     frames also hold: character, counter (position in the animation), last_attack, instance, instance_hit_by (null: not recorded).
     capabilities: character, move, states, starts, restarts (arrays of states), outcomes (whether damage tells of a hit), most (greatest
-    counter of a start), same_state (whether the same state's animation may begin anew).  characters: game, player, expected.
+    counter of a start), same_state (whether the same state's animation may begin anew); every task gets them whole.  characters: game, player, expected;
+    without them, frames hold expected.
 
     An attempt begins in a start state with a counter of most at the highest while none is under way, or anew when the counter falls; it lasts
     until the first frame outside of the move's states.  Attempts are null where the stream has a gap, another character, or is joined within the
     move; outcomes are null where damage does not tell or a measurement is missing.
     """
     c = F.col
-    rows = with_opponent(frames, ["state", "percent", "last_hit_by", "hitlag", "instance_hit_by", "character"]).join(characters, ["game", "player"])
+    rows = with_opponent(frames, ["state", "percent", "last_hit_by", "hitlag", "instance_hit_by"])
+    rows = rows if characters is None else rows.join(characters, ["game", "player"])
     w = Window.partitionBy("game", "player").orderBy("frame")
-    rows = rows.withColumns({f"p_{x}": F.lag(x).over(w) for x in ("state", "counter", "character", "instance", "o_percent", "frame")})
+    rows = rows.withColumns({"p_frame": F.lag(end()).over(w), "p_counter": F.lag(c("counter") + c("spell") - 1).over(w)} | {f"p_{x}": F.lag(x).over(w) for x in ("state", "character", "instance", "o_percent")})
     gap = F.when(c("p_frame").isNull(), c("frame") != first).otherwise(c("frame") != c("p_frame") + 1)
     broken = gap | c("state").isNull() | c("character").isNull() | (c("character") != c("expected"))
     damage = (c("o_percent") > c("p_o_percent")) & (c("o_last_hit_by") == c("player")) & (damaged(c("o_state")) | (F.coalesce("o_hitlag", F.lit(0.0)) > 0))
     same = F.when(c("o_instance_hit_by").isNotNull() & c("instance").isNotNull(), (c("o_instance_hit_by") != 0) & ((c("o_instance_hit_by") == c("instance")) | F.coalesce(c("o_instance_hit_by") == c("p_instance"), F.lit(False)))).otherwise(True)
-    rows = rows.withColumns({"broken": broken, "touch": F.coalesce(damage & same, F.lit(False))})
-    moves = capabilities.withColumnRenamed("character", "expected")
-    rows = rows.join(moves, "expected")
-    inside = F.coalesce(F.array_contains("states", c("state")), F.lit(False))
-    starts = inside & F.coalesce(F.array_contains("starts", c("state")) & (c("counter") <= c("most")), F.lit(False))
+    player = Window.partitionBy("game", "player")
+    missing = c("o_percent").isNull() | c("o_last_hit_by").isNull() | c("last_attack").isNull()
+    rows = rows.withColumns({"broken": F.max(broken).over(player), "missing": F.max(missing).over(player), "touch": F.coalesce(damage & same, F.lit(False))})
+    # Of the rows outside of a move and not right after it only the stream's first is kept, so that a move without attempts has a count.
+    moves = F.broadcast(capabilities.withColumnRenamed("character", "expected"))
+    inside = lambda state: F.coalesce(F.array_contains("states", state), F.lit(False))
+    rows = rows.join(moves, "expected").withColumns({"inside": inside(c("state")), "p_inside": inside(c("p_state"))}).where(c("inside") | c("p_inside") | c("p_frame").isNull())
+    starts = c("inside") & F.coalesce(F.array_contains("starts", c("state")) & (c("counter") <= c("most")), F.lit(False))
     v = Window.partitionBy("game", "player", "move").orderBy("frame")
-    rows = rows.withColumn("inside", inside).withColumn("p_inside", F.coalesce(F.lag("inside").over(v), F.lit(False)))
     again = c("p_inside") & starts & F.coalesce(c("counter") < c("p_counter"), F.lit(False)) & (c("p_character") == c("character")) & (((c("state") == c("p_state")) & c("same_state")) | F.coalesce(F.array_contains("restarts", c("p_state")), F.lit(False)))
     begins = (c("inside") & ~c("p_inside") & starts) | F.coalesce(again, F.lit(False))
     joined = (c("inside") & ~c("p_inside") & ~starts) | (c("inside") & c("counter").isNull())
-    unknown = ~c("outcomes") | c("o_percent").isNull() | c("o_last_hit_by").isNull() | c("last_attack").isNull()
-    rows = rows.withColumns({"begins": begins, "joined": joined, "unknown": unknown | (begins & c("p_frame").isNull())})
+    rows = rows.withColumns({"begins": begins, "joined": joined, "unknown": ~c("outcomes") | c("missing") | (begins & c("p_frame").isNull())})
     rows = rows.withColumn("attempt", F.sum(c("begins").cast("int")).over(v.rowsBetween(Window.unboundedPreceding, 0)))
     counted = c("inside") | c("p_inside")  # the frame after the move still tells of its hit
     per = rows.groupBy("game", "player", "move", "attempt").agg(
