@@ -19,7 +19,8 @@ FIRST, FIRST_PLAYABLE = -123, -39
 DEAD = (0, 10)
 DAMAGE = (75, 91)
 DAMAGE_FALL, JAB_RESETS = 38, (185, 193)
-GRABBED, COMMAND_GRABBED, BARREL = (223, 232), ((266, 304), (327, 338)), 293
+HURT = (DAMAGE, (DAMAGE_FALL, DAMAGE_FALL), *((s, s) for s in JAB_RESETS))
+HELD = ((223, 232), (266, 292), (294, 304), (327, 338))  # by grabs and command grabs; 293 is the barrel
 LEDGE = (252, 253)
 SHIELDS, SHIELD_HIT, SHIELD_RELEASES = (178, 179, 181, 182), 181, (180, 14)
 AIR_JUMPS, JUMPS, FALLS = (27, 28), (24, 28), (29, 34)
@@ -38,8 +39,10 @@ NEVER = -1_000_000
 ROUTES, TACTICS = ("unknown", "high", "low", "mixed"), ("holdLedge", "onstage", "high", "low")
 
 
-def within(state: Column, bounds: tuple[int, int]) -> Column:
-    return state.between(*bounds)
+def within(state: Column, *bounds: tuple[int, int]) -> Column:
+    """Whether the state is in one of the ranges, ends included, by a list: long chains of comparisons make methods that the JVM does not compile."""
+    flags = (any(low <= k <= high for low, high in bounds) for k in range(max(high for _, high in bounds) + 1))
+    return F.coalesce(F.get(F.expr(f"array({', '.join(str(x).lower() for x in flags)})"), state), F.lit(False))
 
 
 def dead(state: Column) -> Column:
@@ -47,15 +50,15 @@ def dead(state: Column) -> Column:
 
 
 def damaged(state: Column) -> Column:
-    return within(state, DAMAGE) | state.isin(DAMAGE_FALL, *JAB_RESETS)
+    return within(state, *HURT)
 
 
 def captured(state: Column) -> Column:
-    return within(state, GRABBED) | ((within(state, COMMAND_GRABBED[0]) | within(state, COMMAND_GRABBED[1])) & (state != BARREL))
+    return within(state, *HELD)
 
 
 def disrupted(state: Column) -> Column:
-    return dead(state) | damaged(state) | captured(state) | within(state, SHIELD_BREAK) | (state == CLIFF_FALL)
+    return within(state, DEAD, *HURT, *HELD, SHIELD_BREAK, (CLIFF_FALL, CLIFF_FALL))
 
 
 def let(value: Column, body) -> Column:
@@ -127,7 +130,8 @@ def defensive_choices(frames: DataFrame, first: int = FIRST) -> DataFrame:
     rows = rows.where(c("frame") - c("start") < WINDOW)
     flat = (c("character") == FLAT) & within(c("state"), FLAT_AERIALS)
     step = F.struct("frame", end().alias("to"), "state", "airborne", (within(c("state"), AERIALS) | flat).alias("aerial"), F.coalesce("landed_dodge", F.lit(False)).alias("landed_dodge"), disrupted(c("state")).alias("disrupted"), "c_stick", "section")
-    got = rows.groupBy("game", "player", "choice", "start").agg(F.array_sort(F.collect_list(step)).alias("steps"), F.min_by("told", F.when(c("told").isNotNull(), c("frame"))).alias("told"), F.min(F.when(c("told").isNotNull(), c("frame"))).alias("at"), F.max(end()).alias("seen"), F.max("last").alias("last"))
+    rows = rows.withColumns({"step": step, "at": F.when(c("told").isNotNull(), c("frame")), "seen": end()})  # before the aggregate, which interprets what it collects
+    got = rows.groupBy("game", "player", "choice", "start").agg(F.sort_array(F.collect_list("step")).alias("steps"), F.min_by("told", "at").alias("told"), F.min("at").alias("at"), F.max("seen").alias("seen"), F.max("last").alias("last"))
     got = got.withColumn("next", F.lead("start").over(Window.partitionBy("game", "player").orderBy("choice")))
     quiet = c("at").isNull() & (c("seen") - c("start") >= WINDOW - 1)
     got = got.withColumn("told", F.when(quiet, "noHit").otherwise(c("told"))).withColumn("at", F.when(quiet, c("start") + WINDOW - 1).otherwise(c("at")))
@@ -225,49 +229,54 @@ def recoveries(frames: DataFrame, games: DataFrame | None = None) -> DataFrame:
     rows = rows.withColumns({f"p_{x}": F.when(early, c(x)).otherwise(c(f"p_{x}")) for x in ("percent", "stocks", "x")} | {"frame": F.greatest("frame", F.lit(FIRST_PLAYABLE)), "spell": F.when(early, end() - FIRST_PLAYABLE + 1).otherwise(c("spell"))})
     state, ostate, edge = c("state"), c("o_state"), c("edge")
     cliff = lambda s: s.isin(*LEDGE)
-    disabled = lambda s: within(s, DAMAGE) | captured(s) | dead(s) | s.isin(*ENTRY, CLIFF_FALL) | within(s, DOWN)
+    disabled = lambda s: within(s, DAMAGE, *HELD, DEAD, ENTRY, (CLIFF_FALL, CLIFF_FALL), DOWN)
     off = lambda x, y: (F.abs(x) > edge + MARGIN) | ((F.abs(x) > edge - 4) & (y < -HEIGHT)) | (y < -DEPTH)
     on = lambda x, y: (F.abs(x) <= edge) & (y >= -HEIGHT)
     by_opponent = c("last_hit_by") == 1 - c("player")
-    hit = F.coalesce((c("stocks") == c("p_stocks")) & (c("percent") > c("p_percent")) & by_opponent & (within(state, DAMAGE) | captured(state) | (F.coalesce("hitlag", F.lit(0.0)) > 0)), F.lit(False))
+    hit = F.coalesce((c("stocks") == c("p_stocks")) & (c("percent") > c("p_percent")) & by_opponent & (within(state, DAMAGE, *HELD) | (F.coalesce("hitlag", F.lit(0.0)) > 0)), F.lit(False))
     rows = rows.withColumns({"hit": hit, "fell": F.coalesce(c("stocks") < c("p_stocks"), F.lit(False)), "outside": off(c("x"), c("y")), "inside": on(c("x"), c("y")), "disabled": disabled(state), "cliff": cliff(state)})
-    rows = rows.withColumns({"launched": (within(state, DAMAGE) & by_opponent) | (state == CLIFF_FALL), "passive": within(state, DOWN) | within(state, TUMBLES) | state.isin(42, 43)})
+    rows = rows.withColumns({"launched": (within(state, DAMAGE) & by_opponent) | (state == CLIFF_FALL), "passive": within(state, DOWN, TUMBLES, (42, 43))})
     rows = rows.withColumn("calm", ~c("outside") & ~c("disabled") & ~c("airborne") & ~c("passive")).withColumn("steady", c("inside") & ~c("disabled") & ~c("cliff"))
     act = c("outside") & ~c("disabled") & ~c("cliff")
     near = F.abs("x") <= edge + APPROACH
-    attacking = within(ostate, ATTACKS[0]) | within(ostate, ATTACKS[1]) | (ostate >= FIRST_SPECIAL)
-    distance = F.hypot(c("o_x") - c("x"), c("o_y") - c("y"))
+    attacking = within(ostate, *ATTACKS) | (ostate >= FIRST_SPECIAL)
+    close = F.hypot(c("o_x") - c("x"), c("o_y") - c("y")) <= NEAR
     coming = c("outside") | c("cliff")
+    opponent = {"o_off": off(c("o_x"), c("o_y")), "o_on": on(c("o_x"), c("o_y")), "o_disabled": disabled(ostate), "grips": coming & cliff(ostate) & (F.abs(F.abs("o_x") - edge) <= AT_EDGE), "chases": coming & close, "strikes": attacking & (F.abs("o_x") >= edge - NEAR_EDGE) & close}
 
     def tactic(side: int, hit: Column) -> Column:
         same = c("o_x") * F.when(c("x") != 0, F.signum("x")).otherwise(F.lit(float(side))) > 0
-        grips = coming & cliff(ostate) & same & (F.abs(F.abs("o_x") - edge) <= AT_EDGE)
-        away = off(c("o_x"), c("o_y")) & (hit | (coming & (distance <= NEAR)))
-        home = on(c("o_x"), c("o_y")) & (hit | (attacking & (F.abs("o_x") >= edge - NEAR_EDGE) & (distance <= NEAR)))
-        found = F.when(grips, 1).when(~same, F.when(hit & on(c("o_x"), c("o_y")), 2).otherwise(0)).when(away, F.when(c("o_y") < 0, 8).otherwise(4)).when(home, 2).otherwise(0)
-        return F.when(disabled(ostate) & ~hit, 0).otherwise(found)
+        away, home = c("o_off") & (hit | c("chases")), c("o_on") & (hit | c("strikes"))
+        found = F.when(c("grips") & same, 1).when(~same, F.when(hit & c("o_on"), 2).otherwise(0)).when(away, F.when(c("o_y") < 0, 8).otherwise(4)).when(home, 2).otherwise(0)
+        return F.when(c("o_disabled") & ~hit, 0).otherwise(found)
 
-    def row(frame: Column, spell: Column, hit: Column, fell: Column, before: Column) -> Column:
+    def row(frame: Column, spell: Column, hit: Column, fell: Column, before: Column, right: str, left: str) -> Column:
         died = dead(state) | fell
         side = F.signum(F.coalesce(F.nullif(c("x"), F.lit(0.0)), F.nullif(before, F.lit(0.0)), F.lit(1.0))).cast("int")
-        return F.struct(frame.alias("frame"), spell.alias("spell"), hit.alias("hit"), died.alias("died"), "airborne", (hit | c("launched")).alias("launched"), "passive", "calm", "steady", (c("outside") & c("airborne") & ~died).alias("leaves"), act.alias("acts"), (act & near & (c("y") > HEIGHT)).alias("high"), (act & near & (c("y") < -HEIGHT)).alias("low"), "cliff", (c("inside") & ~c("airborne")).alias("lands"), tactic(1, hit).alias("right"), tactic(-1, hit).alias("left"), side.alias("side"), "o_stocks", dead(ostate).alias("o_dead"))
+        return F.struct(frame.alias("frame"), spell.alias("spell"), hit.alias("hit"), died.alias("died"), "airborne", (hit | c("launched")).alias("launched"), "passive", "calm", "steady", (c("outside") & c("airborne") & ~died).alias("leaves"), act.alias("acts"), (act & near & (c("y") > HEIGHT)).alias("high"), (act & near & (c("y") < -HEIGHT)).alias("low"), "cliff", (c("inside") & ~c("airborne")).alias("lands"), c(right).alias("right"), c(left).alias("left"), side.alias("side"), "o_stocks", dead(ostate).alias("o_dead"))
 
+    no = F.lit(False)
     # Calm phases: more than RETURN_FRAMES steady frames without a hit since one on the ground, on the ground still; whatever went on is over.
     broken = F.sum((~c("steady") | c("hit")).cast("int")).over(w.rowsBetween(Window.unboundedPreceding, 0))
     rows = rows.withColumn("_run", broken).withColumn("_free", c("frame") + c("hit").cast("int"))  # a hit is only in a row's first frame
     run = Window.partitionBy("game", "player", "_run").orderBy("frame").rowsBetween(Window.unboundedPreceding, 0)
     rows = rows.withColumn("_ground", F.min(F.when(c("steady") & ~c("airborne") & (c("_free") <= end()), c("_free"))).over(run))
+    rows = rows.withColumns(opponent)
+    rows = rows.withColumns({"right": tactic(1, c("hit")), "left": tactic(-1, c("hit")), "right_later": tactic(1, no), "left_later": tactic(-1, no)})
     over = F.when(c("steady") & c("calm"), F.greatest("_free", c("_ground") + RETURN_FRAMES))
     rows = rows.withColumn("_over", F.when(over <= end(), over))  # null: no frame of the row
     rows = rows.withColumn("stretch", F.coalesce(F.sum(c("_over").isNotNull().cast("int")).over(w.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)))
     rows = rows.withColumn("spell", F.coalesce("_over", end() + 1) - c("frame")).where("spell > 0")
     # The first frame of a spell is a row of its own where it may differ from the others by what was before it.
-    no, differs = F.lit(False), (c("spell") > 1) & (c("hit") | c("fell") | F.coalesce((c("x") == 0) & (c("p_x") != 0), F.lit(False)))
-    first = row(c("frame"), F.when(differs, 1).otherwise(c("spell")), c("hit"), c("fell"), c("p_x"))
-    parts = F.when(differs, F.array(first, row(c("frame") + 1, c("spell") - 1, no, no, c("x")))).otherwise(F.array(first))
-    stretches = rows.groupBy("game", "player", "stretch").agg(F.array_sort(F.collect_list(F.struct("frame", parts.alias("parts")))).alias("rows"), F.max(c("outside") & c("airborne")).alias("off"), F.max(end()).alias("last")).where("off")
+    differs = (c("spell") > 1) & (c("hit") | c("fell") | F.coalesce((c("x") == 0) & (c("p_x") != 0), F.lit(False)))
+    first = row(c("frame"), F.when(differs, 1).otherwise(c("spell")), c("hit"), c("fell"), c("p_x"), "right", "left")
+    parts = F.when(differs, F.array(first, row(c("frame") + 1, c("spell") - 1, no, no, c("x"), "right_later", "left_later"))).otherwise(F.array(first))
+    # Only stretches that leave the stage after a launch are folded, from that on.
+    rows = rows.withColumns({"row": F.struct("frame", parts.alias("parts")), "off": F.when(c("outside") & c("airborne"), end()), "launch": F.when(c("launched") | c("hit"), c("frame")), "last": end()})  # before the aggregate, which interprets what it collects
+    stretches = rows.groupBy("game", "player", "stretch").agg(F.collect_list("row").alias("rows"), F.max("off").alias("off"), F.min("launch").alias("launch"), F.max("last").alias("last")).where("launch <= off")
+    stretches = stretches.withColumn("rows", F.sort_array(F.filter("rows", lambda r: r["frame"] >= c("launch"))))
     folded = stretches.select("game", "player", _recovery_fold(F.flatten(c("rows.parts"))).alias("s"), "last")
-    left_over = F.when(c("s.on") & c("s.eligible"), F.array(_record(c("s"), F.lit("incomplete"), c("last")))).otherwise(F.slice(c("s.out"), 1, 0))
+    left_over = F.when(c("s.now.on") & c("s.now.eligible"), F.array(_record(c("s.now"), F.lit("incomplete"), c("last")))).otherwise(F.slice(c("s.out"), 1, 0))
     return folded.select("game", "player", F.inline(F.concat(c("s.out"), left_over)))
 
 
@@ -289,19 +298,22 @@ def _recovery_fold(rows: Column) -> Column:
     The frames of a row are alike, a hit or a loss of stocks is only in a row of one frame.  So an episode opens in a row's first frame or not in
     it, dies in the first, and all but the last frame that launches and the count of steady frames are as after the first two.
     """
-    zero = F.struct(F.lit(NEVER).alias("until"), *(F.lit(False if kind == "boolean" else 0).cast(kind).alias(n) for n, kind in _EPISODE.items()), F.array().cast(f"array<{_RECORD}>").alias("out"))
+    blank = lambda kind: F.lit(False if kind == "boolean" else 0).cast(kind)
     field = lambda name, value: value.cast(_EPISODE[name]).alias(name)
+    none = F.struct(*(field(n, blank(kind)) for n, kind in _EPISODE.items()))
+    state = lambda until, episode, out: F.struct(until.cast("int").alias("until"), episode.alias("now"), out.alias("out"))
 
     def step(a: Column, r: Column) -> Column:
         goes_on = r["launched"] | (r["passive"] & (a["until"] > NEVER))
         until = lambda frame: F.when(r["calm"], NEVER).when(goes_on, frame + LAUNCH_FRAMES).otherwise(a["until"])
         last = r["frame"] + r["spell"] - 1
-        return let(F.struct(until(last).cast("int").alias("until"), last.alias("last"), (~a["on"] & r["leaves"] & (until(r["frame"]) >= r["frame"])).alias("opens")), lambda u: opened(a, r, u))
+        more = let(F.struct(until(last).cast("int").alias("until"), last.alias("last"), (~a["now"]["on"] & r["leaves"] & (until(r["frame"]) >= r["frame"])).alias("opens")), lambda u: opened(a, r, u))
+        return F.when(a["now"]["on"] | r["launched"] | (a["until"] > NEVER), more).otherwise(a)
 
     def opened(a: Column, r: Column, u: Column) -> Column:
         fresh = {"on": F.lit(True), "side": r["side"], "started": r["frame"], "o_stocks": r["o_stocks"]}
-        first = F.struct(*(field(n, F.when(u["opens"], fresh.get(n, F.lit(False if kind == "boolean" else 0).cast(kind))).otherwise(a[n])) for n, kind in _EPISODE.items()))
-        return let(first, lambda e: seen(a, r, u, e))
+        first = F.struct(*(field(n, fresh.get(n, blank(kind))) for n, kind in _EPISODE.items()))
+        return F.when(a["now"]["on"] | u["opens"], let(F.when(u["opens"], first).otherwise(a["now"]), lambda e: seen(a, r, u, e))).otherwise(state(u["until"], a["now"], a["out"]))
 
     def seen(a: Column, r: Column, u: Column, e: Column) -> Column:
         later = u["last"] > e["started"]
@@ -315,12 +327,12 @@ def _recovery_fold(rows: Column) -> Column:
         return let(F.struct(*(field(n, new.get(n, e[n])) for n in _EPISODE)), lambda f: ended(a, r, u, f))
 
     def ended(a: Column, r: Column, u: Column, f: Column) -> Column:
-        outcome = F.when(f["on"], F.when(r["died"], "died").when(f["stable"] >= RETURN_FRAMES, "returned"))
+        outcome = F.when(r["died"], "died").when(f["stable"] >= RETURN_FRAMES, "returned")
         at = F.when(r["died"], r["frame"]).otherwise(u["last"] - (f["stable"] - RETURN_FRAMES))
-        out = F.when(outcome.isNotNull() & f["eligible"], F.concat(a["out"], F.array(_record(f, outcome, at)))).otherwise(a["out"])
-        return F.struct(F.when(outcome.isNotNull(), NEVER).otherwise(u["until"]).cast("int").alias("until"), *(field(n, f[n] & outcome.isNull() if n == "on" else f[n]) for n in _EPISODE), out.alias("out"))
+        over = state(F.lit(NEVER), none, F.when(f["eligible"], F.concat(a["out"], F.array(_record(f, outcome, at)))).otherwise(a["out"]))
+        return F.when(outcome.isNull(), state(u["until"], f, a["out"])).otherwise(over)
 
-    return F.aggregate(rows, zero, step)
+    return F.aggregate(rows, state(F.lit(NEVER), none, F.array().cast(f"array<{_RECORD}>")), step)
 
 
 def recovery_counts(found: DataFrame, keys: list[str]) -> DataFrame:
